@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,23 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def gapless(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], name: str, buckets: int) -> DataFrame:
+    """Number the rows of each group from 0 without gaps, as column `name` (long), by bucket, then `order`.
+
+    Rows are numbered inside (group, bucket) windows and moved by the counts of the group's earlier buckets, so no task
+    holds a whole group. The counts are buckets x groups rows at most (the caller's groups are few), which bounds the
+    broadcast. df is read twice: materialize it if it is dear.
+    """
+    placed = df.withColumn("_bucket", bucket)
+    counts = placed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*groups, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order)
+    numbered = placed.withColumn("_row", F.row_number().over(inside).cast("long") - 1)
+    return (
+        numbered.join(F.broadcast(starts), [*groups, "_bucket"])
+        .withColumn(name, F.col("_row") + F.col("_start"))
+        .drop("_bucket", "_row", "_start")
+    )

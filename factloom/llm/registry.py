@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from factloom.llm import sharding
+from factloom.llm import bpe, packing, sharding
 
 QUERIES = {
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
+    "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
+    "op5_binary_packing": packing.op5_binary_packing,
 }
 
 SQL = {

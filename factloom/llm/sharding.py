@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.base import table
+from factloom.llm.base import gapless, table
 
 #: Slots are counted in this many buckets a shard, so no task holds a whole shard.
 SLOT_BUCKETS = 4096
@@ -42,22 +42,14 @@ def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
 def assign_shards(df: DataFrame, key: str, weights: Sequence[float], order: Sequence[str] = ()) -> DataFrame:
     """Add ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard, by bucket, key, then `order`).
 
-    Slots are numbered inside (shard, bucket) windows and moved by the sum of the earlier buckets' counts: the one
-    shuffle is on 4,096 x shards groups, whatever shard is hot, and the table of counts has as many rows at most, which
-    bounds the broadcast.
+    The one shuffle of rows is on 4,096 x shards groups, whatever shard is hot.
     """
-    bucket = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")), 1, 3), 16, 10).cast("int")
-    placed = df.withColumn("shard", rendezvous_shard(F.col(key), weights)).withColumn("_bucket", bucket)
-    counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy(F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order])
-    numbered = placed.withColumn("_row", F.row_number().over(inside).cast("long") - 1)
-    return (
-        numbered.join(F.broadcast(starts), ["shard", "_bucket"])
-        .withColumn("slot", F.col("_row") + F.col("_start"))
-        .drop("_bucket", "_row", "_start")
-    )
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    bucket = F.conv(F.substring(F.md5(name.cast("binary")), 1, 3), 16, 10).cast("int")
+    placed = df.withColumn("shard", rendezvous_shard(F.col(key), weights))
+    by = [F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]]
+    return gapless(placed, ["shard"], bucket, by, "slot", SLOT_BUCKETS)
+
 
 
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
