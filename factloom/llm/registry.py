@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, packing, sharding
+from factloom.llm import bpe, chat, packing, sharding
 
 QUERIES = {
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
+    "op3_budgeted_windows": chat.op3_budgeted_windows,
     "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
     "op5_binary_packing": packing.op5_binary_packing,
 }
 
 SQL = {
     "op2_rendezvous_sharding": sharding.OP2_SQL,
+    "op3_budgeted_windows": chat.OP3_SQL,
 }
