@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, chat, packing, sharding
+from factloom.llm import bpe, chat, packing, sharding, topk
 
 QUERIES = {
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
     "op3_budgeted_windows": chat.op3_budgeted_windows,
     "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
     "op5_binary_packing": packing.op5_binary_packing,
+    "op6_pivot_top_k": topk.op6_pivot_top_k,
 }
 
 SQL = {
     "op2_rendezvous_sharding": sharding.OP2_SQL,
     "op3_budgeted_windows": chat.OP3_SQL,
+    "op6_pivot_top_k": topk.OP6_SQL,
 }
