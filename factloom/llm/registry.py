@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, chat, langid, packing, sharding, topk
+from factloom.llm import bpe, chat, langid, packing, pii, sharding, topk
 
 QUERIES = {
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_binary_packing": packing.op5_binary_packing,
     "op6_pivot_top_k": topk.op6_pivot_top_k,
     "op7_language_mixture": langid.op7_language_mixture,
+    "op9_weak_supervision_pii": pii.op9_weak_supervision_pii,
 }
 
 SQL = {
