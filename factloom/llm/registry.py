@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, chat, langid, packing, pii, sharding, topk
+from factloom.llm import bpe, chat, langid, packing, pii, sharding, topk, warc
 
 QUERIES = {
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_pivot_top_k": topk.op6_pivot_top_k,
     "op7_language_mixture": langid.op7_language_mixture,
     "op9_weak_supervision_pii": pii.op9_weak_supervision_pii,
+    "op10_warc_round_trip": warc.op10_warc_round_trip,
 }
 
 SQL = {
     "op2_rendezvous_sharding": sharding.OP2_SQL,
     "op3_budgeted_windows": chat.OP3_SQL,
     "op6_pivot_top_k": topk.OP6_SQL,
+    "op10_warc_round_trip": warc.OP10_SQL,
 }
