@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, chat, langid, packing, pii, sharding, topk, warc
+from factloom.llm import bpe, chat, langid, media, packing, pii, sharding, topk, warc
 
 QUERIES = {
+    "op1_content_defined_chunks": media.op1_content_defined_chunks,
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
     "op3_budgeted_windows": chat.op3_budgeted_windows,
     "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
