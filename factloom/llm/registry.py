@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, chat, langid, media, packing, pii, sharding, topk, warc
+from factloom.llm import bpe, chat, jaccard, langid, media, packing, pii, sharding, topk, warc
 
 QUERIES = {
     "op1_content_defined_chunks": media.op1_content_defined_chunks,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_binary_packing": packing.op5_binary_packing,
     "op6_pivot_top_k": topk.op6_pivot_top_k,
     "op7_language_mixture": langid.op7_language_mixture,
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_weak_supervision_pii": pii.op9_weak_supervision_pii,
     "op10_warc_round_trip": warc.op10_warc_round_trip,
 }
@@ -20,5 +21,6 @@ SQL = {
     "op2_rendezvous_sharding": sharding.OP2_SQL,
     "op3_budgeted_windows": chat.OP3_SQL,
     "op6_pivot_top_k": topk.OP6_SQL,
+    "op8_ngram_jaccard_join": jaccard.OP8_SQL,
     "op10_warc_round_trip": warc.OP10_SQL,
 }
