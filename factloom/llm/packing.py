@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,41 +29,73 @@ END_ID = 2
 #: Buckets in which the sequences of one length are numbered.
 NUMBER_BUCKETS = 2048
 
-#: Texts of these characters alone are cut into pieces here and looked up; all others go to the tokenizers library whole.
+#: Texts of these characters alone are looked up word by word; all others go to the tokenizers library whole.
 #: (Composed Latin letters only: normalization leaves them alone, and lower-casing has no context. U+0130 is left out.)
 _SIMPLE = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*")
-_L, _N = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: Fixed value: the tokenizer's own split pattern over those characters.
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
-KEPT_PIECES = 400_000
+#: Words in a worker's table; it is emptied when full.
+KEPT_WORDS = 1_000_000
 
 
 class WordTokenizer:
-    """ids of whole texts as little-endian 32-bit bytes, by the tokenizers library; pieces that repeat are looked up."""
+    """ids of whole texts as little-endian 32-bit bytes, by the tokenizers library.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    No token spans white space, so words that repeat are looked up; a text's new words go to the library in one call.
+    Words of letters alone need neither its normalizer nor its pattern (they are lower-cased, one piece each).
+    """
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.letters):
+            t.no_truncation()
+            t.no_padding()
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kept: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ask(self, tokenizer, words: list[str]) -> None:
+        """One call for many words; offsets tell their tokens apart."""
+        found = tokenizer.encode(" ".join(words), add_special_tokens=False)
+        data = np.array(found.ids, "<u4").tobytes()
+        starts, first, place = [s for s, _ in found.offsets], 0, 0
+        for word in words:
+            place += len(word) + 1
+            last = bisect_left(starts, place, first)
+            self.kept[word] = data[4 * first : 4 * last]
+            first = last
+
+    def _learn(self, words: list[str]) -> None:
+        kept = self.kept
+        if len(kept) + 2 * len(words) > KEPT_WORDS:
+            kept.clear()
+        # a word of letters and one mark is that word and that mark
+        marked = [w for w in words if w[-1] in ".," and w[:-1].isalpha()]
+        letters = list({w for w in [*(w[:-1] for w in marked), *(w for w in words if w.isalpha())] if w not in kept})
+        others = [w for w in {".", ",", *words} - set(marked) if w not in kept and not w.isalpha()]
+        for tokenizer, part in ((self.letters, letters), (self.library, others)):
+            if part:
+                self._ask(tokenizer, part)
+        for w in marked:
+            kept[w] = kept[w[:-1]] + kept[w[-1]]
+
     def encode(self, text: str) -> bytes:
         if "<|" in text or not _SIMPLE.fullmatch(text):
             return self._ids(text)
-        words, kept = _PIECE.findall(text.lower()), self.kept
+        words = text.lower().split()
         try:
-            return b"".join(map(kept.__getitem__, words))
+            return b"".join(map(self.kept.__getitem__, words))
         except KeyError:
-            if len(kept) >= KEPT_PIECES:
-                kept.clear()
-            for word in set(words) - kept.keys():
-                kept[word] = self._ids(word)
-            return b"".join(map(kept.__getitem__, words))
+            new = list({w for w in words if w not in self.kept})
+            for at in range(0, len(new), 2000):
+                self._learn(new[at : at + 2000])
+            try:
+                return b"".join(map(self.kept.__getitem__, words))
+            except KeyError:  # the table was emptied on the way
+                return self._ids(text)
 
 
 @lru_cache(maxsize=4)
