@@ -131,53 +131,63 @@ def compressed_media(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def _keep_owned(stored: DataFrame) -> DataFrame:
-    """The chunk store: of each media, own (its owned chunks, one after the other) and given (those that others refer to)."""
-    schema = (
-        T.StructType().add("media_id", T.BinaryType()).add("rep", stored.schema["rep"].dataType).add("plan", stored.schema["plan"].dataType)
-        .add("own", T.BinaryType()).add("given", T.ArrayType(T.StructType().add("seq", T.IntegerType()).add("bytes", T.BinaryType())))
-    )
-    given_type = pa.list_(pa.struct([("seq", pa.int32()), ("bytes", pa.binary())]))
+def _given(stored: DataFrame) -> DataFrame:
+    """The owned chunks that other media refer to: of_media, of_seq, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for whole in batches:
             for first in range(0, whole.num_rows, 64):
-                batch = whole.slice(first, 64)
-                own, given = [], []
-                for packed, plan, wanted in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                media, seqs, data = [], [], []
+                for name, packed, plan, wanted in zip(*(c.to_pylist() for c in whole.slice(first, 64).columns), strict=True):
                     pieces = _pieces(unpack.decompress(packed), [p["length"] for p in plan])
-                    own.append(b"".join(pieces[p["seq"]] for p in plan if p["from"] == p["seq"]))
-                    given.append([(s, pieces[s]) for s in wanted or ()])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary()), pa.array(given, given_type)], names=["media_id", "rep", "plan", "own", "given"])
+                    media += [name] * len(wanted)
+                    seqs += wanted
+                    data += [pieces[s] for s in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(seqs, pa.int32()), pa.array(data, pa.binary())], names=["g_media", "g_seq", "bytes"])
+
+    wanted = stored.filter(F.col("wanted").isNotNull()).select("media_id", "packed", "plan", "wanted")
+    return wanted.mapInArrow(run, "g_media binary, g_seq int, bytes binary")
+
 
-    return stored.select("media_id", "rep", "plan", "packed", "wanted").mapInArrow(run, schema)
+def owned_chunks(media: bytes, plan: list[dict]) -> bytes:
+    """What the chunk store keeps of a media: the chunks that it owns, one after the other."""
+    pieces = _pieces(media, [p["length"] for p in plan])
+    return b"".join(pieces[p["seq"]] for p in plan if p["from"] == p["seq"])
+
+
+def join_chunks(plan: list[dict], own: bytes, others: dict[int, bytes]) -> bytes:
+    """The media, from its ordered chunk list, its owned chunks, and those of other media."""
+    pieces: list[bytes] = []
+    at = 0
+    for p in plan:
+        if p["from"] is None:
+            pieces.append(others[p["seq"]])
+        elif p["from"] == p["seq"]:
+            pieces.append(own[at : at + p["length"]])
+            at += p["length"]
+        else:  # a chunk that the media holds twice
+            pieces.append(pieces[p["from"]])
+    return b"".join(pieces)
 
 
 def _rebuild(parts: DataFrame) -> DataFrame:
-    """media_id and media, from plan, own and got; a media whose digest isn't its id is an error."""
+    """media_id and media, from plan, owned chunks and got; a media whose digest isn't its id is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for whole in batches:
             for first in range(0, whole.num_rows, 64):
                 batch = whole.slice(first, 64)
                 media = []
-                for name, plan, own, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    others, pieces, at = {g["seq"]: g["bytes"] for g in got or ()}, [], 0
-                    for p in plan:
-                        if p["from"] is None:
-                            pieces.append(others[p["seq"]])
-                        elif p["from"] == p["seq"]:
-                            pieces.append(own[at : at + p["length"]])
-                            at += p["length"]
-                        else:  # a chunk that the media holds twice
-                            pieces.append(pieces[p["from"]])
-                    media.append(b"".join(pieces))
+                for name, plan, packed, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = owned_chunks(unpack.decompress(packed), plan)
+                    media.append(join_chunks(plan, own, {g["seq"]: g["bytes"] for g in got or ()}))
                     if hashlib.sha256(media[-1]).digest() != name:
                         raise ValueError(f"media {name.hex()} is damaged")
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["media_id", "media"])
 
-    return parts.select("media_id", "plan", "own", "got").mapInArrow(run, "media_id binary, media binary")
+    return parts.select("media_id", "plan", "packed", "got").mapInArrow(run, "media_id binary, media binary")
 
 
 def store_and_read(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -199,8 +209,8 @@ def store_and_read(df: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     wanted = asked.groupBy(F.col("of_media").alias("media_id"), F.col("of_rep").alias("rep")).agg(F.collect_set("of_seq").alias("wanted"))
     plans = materialize(plans.join(wanted, ["media_id", "rep"], "left"), "chunk-plans")
     packed = compressed_media(df, key, text).select(F.col("media_id"), F.struct(key).alias("rep"), "packed")
-    stored = _keep_owned(packed.join(plans, ["media_id", "rep"]))
-    given = stored.select(F.col("media_id").alias("g_media"), F.explode("given").alias("g")).select("g_media", F.col("g.seq").alias("g_seq"), F.col("g.bytes").alias("bytes"))
+    stored = packed.join(plans, ["media_id", "rep"])
+    given = _given(stored)
     sent = asked.join(given, (F.col("of_media") == F.col("g_media")) & (F.col("of_seq") == F.col("g_seq")))
     got = sent.groupBy(F.col("to_media").alias("media_id"), F.col("to_rep").alias("rep")).agg(F.collect_list(F.struct(F.col("to_seq").alias("seq"), "bytes")).alias("got"))
     return lists.select(key, "media_id"), _rebuild(stored.join(got, ["media_id", "rep"], "left"))
