@@ -1,9 +1,10 @@
-"""Registered queries and their DuckDB SQL, by name."""
+"""All registered queries and their DuckDB SQL, by name."""
 
 from __future__ import annotations
 
-FLAGSHIP = "candidates_absent_from_list"
+from factloom.plans import aggregates, incremental, joins, matching, reads, results, streams, texts, windows  # noqa: F401
+from factloom.plans.base import QUERIES, SQL
 
-QUERIES: dict = {}
+FLAGSHIP = "candidates_absent_from_list"
 
-SQL: dict = {}
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
