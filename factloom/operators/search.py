@@ -22,7 +22,7 @@ def tf_idf_search(index: DataFrame, documents: int, query: Sequence[str], key: s
     hits = index.filter(F.col("term").isin(wanted))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.col("tf") / F.col("dl") * F.log1p(F.lit(float(documents)) / F.col("df"))
-    scored = hits.join(F.broadcast(df), "term").groupBy(key).agg(F.round(F.sum(weight), 9).alias("score"), F.count_if(F.col("term").isin([*require])).alias("_required"))
+    scored = hits.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(weight).alias("score"), F.count_if(F.col("term").isin([*require])).alias("_required"))
     return scored.filter(F.col("_required") == len(set(require))).drop("_required")
 
 
@@ -30,7 +30,7 @@ def reciprocal_rank_fusion(lists: DataFrame, query: str, key: str, score: str, k
     """Fuse ranked lists: the sum of 1 / (k + rank) over the lists in which a document stands, each list once."""
     once = lists.groupBy(query, key).agg(F.max(score).alias(score))
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.col(score).desc(), key))
-    return once.withColumn("_r", rank).groupBy(key).agg(F.round(F.sum(1.0 / (k + F.col("_r"))), 9).alias("fused"), F.count("*").alias("lists"))
+    return once.withColumn("_r", rank).groupBy(key).agg(F.sum(1.0 / (k + F.col("_r"))).alias("fused"), F.count("*").alias("lists"))
 
 
 def mark_terms(text: str, terms: Sequence[str]) -> Column:

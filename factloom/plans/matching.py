@@ -1 +1,206 @@
-"""."""
+"""Entity resolution, list matching, classification and grouping over names that the documents begin with."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import text as X
+from factloom.operators import classify, resolution
+from factloom.operators.graph import components
+from factloom.operators.listmatch import match_list
+from factloom.plans.base import query, table
+
+#: Evidence lexicon of the fixtures' invented English, as data.
+LEXICON = {"charge": ["nation", "ationre"], "rights": ["thered", "inganat"], "press": ["ontheat", "whinger"], "faith": ["esheri", "thatin"]}
+
+_NAMES_SQL = r"""
+names as (
+    select doc_id, source, w[1] as given, w[2] as surname, w[3] as patronymic from (
+        select doc_id, source, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') as w from documents where lang = 'en') where len(w) >= 3)"""
+
+
+def names(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, source, given, surname, patronymic): the first three words of English documents, as names."""
+    docs = table(spark, sf, "documents").filter("lang = 'en'")
+    words = docs.select("doc_id", "source", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("w")).filter(F.size("w") >= 3)
+    return words.select("doc_id", "source", F.col("w")[0].alias("given"), F.col("w")[1].alias("surname"), F.col("w")[2].alias("patronymic"))
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    every = names(spark, sf)
+    incoming = every.filter("source = 'src0'").select("doc_id", "given", "surname", "patronymic")
+    known = every.filter("source <> 'src0'").select(F.col("doc_id").alias("person"), *[F.col(c).alias(f"k_{c}") for c in ("given", "surname", "patronymic")])
+    met = incoming.join(known, (F.left("surname", F.lit(3)) == F.left("k_surname", F.lit(3))) & (F.left("given", F.lit(1)) == F.left("k_given", F.lit(1))))
+    parts = {c: resolution.compare(F.col(c), F.col(f"k_{c}")) for c in ("surname", "given", "patronymic")}
+    exact = (F.col("given") == F.col("k_given")) & (F.col("surname") == F.col("k_surname")) & (F.col("patronymic") == F.col("k_patronymic"))
+    initials = (F.length("given") == 1) | (F.length("surname") == 1) | (F.length("patronymic") == 1)
+    met = met.withColumns({f"m_{c}": v for c, v in parts.items()} | {"exact_form": exact, "complete": ~initials})
+    value = resolution.score(F.col("m_surname"), F.col("m_given"), F.col("m_patronymic"), F.col("exact_form"), F.col("complete"), F.lit(False))
+    conflict = (F.col("m_surname") == "mismatch") | (F.col("m_given") == "mismatch") | (F.col("m_patronymic") == "mismatch")
+    return met.withColumn("score", value).withColumn("conflict", conflict)
+
+
+def _compare_sql(c: str) -> str:
+    return f"""case when length({c}) = 1 or length(k_{c}) = 1 then case when left({c}, 1) = left(k_{c}, 1) then 'initial' else 'mismatch' end
+        when {c} = k_{c} then 'exact' when levenshtein({c}, k_{c}) <= case when greatest(length({c}), length(k_{c})) >= 10 then 2 when greatest(length({c}), length(k_{c})) >= 5 then 1 else 0 end then 'typo'
+        else 'mismatch' end as m_{c}"""
+
+
+_SCORED_SQL = f"""
+with {_NAMES_SQL},
+met as (
+    select i.doc_id, k.doc_id as person, i.given, i.surname, i.patronymic, k.given as k_given, k.surname as k_surname, k.patronymic as k_patronymic
+    from names i join names k on left(i.surname, 3) = left(k.surname, 3) and left(i.given, 1) = left(k.given, 1) and i.source = 'src0' and k.source <> 'src0'),
+compared as (
+    select doc_id, person, {_compare_sql("surname")}, {_compare_sql("given")}, {_compare_sql("patronymic")},
+           given = k_given and surname = k_surname and patronymic = k_patronymic as exact_form,
+           length(given) > 1 and length(surname) > 1 and length(patronymic) > 1 as complete from met),
+summed as (
+    select *, case m_surname when 'exact' then 0.45::double when 'typo' then 0.30 else 0 end + case m_given when 'exact' then 0.30::double when 'typo' then 0.20 when 'initial' then 0.08 else 0 end
+              + case m_patronymic when 'exact' then 0.20::double when 'typo' then 0.12 when 'initial' then 0.05 when 'missing' then 0.05 else 0 end + case when exact_form then 0.05::double else 0 end as v,
+           m_surname = 'mismatch' or m_given = 'mismatch' or m_patronymic = 'mismatch' as conflict from compared),
+scored as (
+    select *, round(least(1.0::double, case when conflict then least(v, 0.25) when exact_form and complete then greatest(v, 0.85) else v end), 4) as score from summed)"""
+
+
+@query(_SCORED_SQL + " select doc_id, person, m_surname, m_given, m_patronymic, exact_form, conflict, score from scored")
+def er_candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates by block (surname prefix, given initial), their parts compared and scored."""
+    return _scored(spark, sf).select("doc_id", "person", "m_surname", "m_given", "m_patronymic", "exact_form", "conflict", "score")
+
+
+@query(_SCORED_SQL + """,
+everyone as (select n.doc_id, s.person, s.score, coalesce(s.conflict, false) as conflict, length(n.given) > 1 and length(n.surname) > 1 as full_name
+             from names n left join scored s on s.doc_id = n.doc_id where n.source = 'src0'),
+ranked as (
+    select *, person is not null and not conflict and score >= 0.4 as ok,
+           row_number() over (partition by doc_id order by case when person is not null and not conflict and score >= 0.4 then score end desc nulls last, person nulls first) as r from everyone),
+one as (
+    select doc_id, max(score) filter (where r = 1 and ok) as top, max(score) filter (where r = 2 and ok) as second, max(person) filter (where r = 1 and ok) as chosen,
+           count(*) filter (where ok) as plausible, count(*) filter (where ok and score >= 0.85) as strong, bool_and(full_name) as full_name from ranked group by doc_id),
+decided as (
+    select *, round(top - coalesce(second, 0), 4) as margin,
+           case when plausible = 0 then case when full_name then 'CREATE_NEW' else 'REVIEW' end
+                when top < 0.85 or (round(top - coalesce(second, 0), 4) <= 0.1 and plausible > 1) or strong > 1 or not full_name then 'REVIEW' else 'AUTO_LINK' end as action from one)
+select doc_id, action, case when action = 'AUTO_LINK' then chosen end as selected, margin, plausible from decided""")
+def er_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each incoming name linked, reviewed, or made a new person."""
+    incoming = names(spark, sf).filter("source = 'src0'").select("doc_id", ((F.length("given") > 1) & (F.length("surname") > 1)).alias("full"))
+    scored = incoming.join(_scored(spark, sf).select("doc_id", "person", "score", "conflict"), "doc_id", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
+    return resolution.decide(scored, "doc_id", "person", "score", "conflict", "full")
+
+
+_MATCH_SQL = rf"""
+listed as (
+    select item_id as entry, list_slice(w, 1, 3) as words from (
+        select item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') as w from benchmark) where len(w) >= 3),
+people as (select doc_id as person, [given, surname, patronymic] as words from names),
+met as (
+    select p.person, l.entry, p.words, l.words as e_words, case when list_sort(p.words) = list_sort(l.words) then 0.8::double else 0 end as k,
+           len(list_intersect(p.words, l.words))::double / len(list_distinct(list_concat(p.words, l.words))) as j
+    from people p join listed l on len(list_intersect(p.words, l.words)) > 0),
+scored as (
+    select *, least(1.0::double, k + case when j > 0.8 then 0.2 * j else 0 end) as score,
+           len(list_filter(words, lambda w: len(list_filter(e_words, lambda e:
+               (least(length(w), length(e)) >= 3 and left(w, greatest(3, least(length(w), length(e)) - 2)) = left(e, greatest(3, least(length(w), length(e)) - 2)))
+               or (left(w, 1) = left(e, 1) and levenshtein(w, e) <= 2))) = 0)) = 0 as variant from met),
+ranked as (select *, row_number() over (partition by person order by score desc, entry) as r from scored),
+best as (
+    select person, max(score) filter (where r = 1 and score > 0.5) as top, max(score) filter (where r = 2 and score > 0.5) as second,
+           max(entry) filter (where r = 1 and score > 0.5) as entry, bool_or(variant) as variant from ranked group by person),
+matched as (
+    select p.person, b.entry, case when top is null and coalesce(variant, false) then 'NEEDS_REVIEW' when top is null then 'NOT_MATCHED'
+           when second is not null and top - second < 0.1 then 'AMBIGUOUS' when top >= 0.95 then 'MATCHED' else 'NEEDS_REVIEW' end as status, top
+    from people p left join best b on b.person = p.person)"""
+
+
+def matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of documents against the list of names that benchmark items begin with."""
+    people = names(spark, sf).select(F.col("doc_id").alias("person"), F.array("given", "surname", "patronymic").alias("words"))
+    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("entry"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("w"))
+    return match_list(people, words.filter(F.size("w") >= 3).select("entry", F.slice("w", 1, 3).alias("words")))
+
+
+@query(f"""
+with {_NAMES_SQL}, {_MATCH_SQL}
+select person, status, round(case when status = 'NOT_MATCHED' then 0.8::double else coalesce(top, 0) end, 6) as confidence, entry from matched""")
+def list_match_status(spark: SparkSession, sf: str) -> DataFrame:
+    return matches(spark, sf)
+
+
+def _found(kind: str) -> str:
+    return f"case when regexp_matches(lower(text), '(^|[^a-zà-ÿ])({'|'.join(LEXICON[kind])})') then '{kind}' end"
+
+
+_CLASSIFIED_SQL = f"""
+kinds as (
+    select d.doc_id, d.source, list_filter([{', '.join(_found(k) for k in LEXICON)}], lambda k: k is not null) as kinds, l.quality is not null and l.quality = 1 as has_event
+    from documents d left join labels l on l.doc_id = d.doc_id),
+classified as (
+    select doc_id, source, kinds, case when len(kinds) = 0 then 'NON_POLITICAL' when not has_event then 'UNCERTAIN'
+               when list_contains(kinds, 'charge') or len(kinds) >= 2 then 'POLITICAL' else 'UNCERTAIN' end as status,
+           case when len(kinds) = 0 then 0.0::double when not has_event then 0.5 when list_contains(kinds, 'charge') or len(kinds) >= 2 then least(0.9, round(0.7 + (len(kinds) - 1) * 0.1, 6)) else 0.6 end as confidence
+    from kinds)"""
+
+
+def classified(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with kinds of evidence, status and confidence; a label of quality 1 stands for an event of its own."""
+    marked = table(spark, sf, "documents").select("doc_id", "source", "text").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    found = marked.select("doc_id", "source", classify.evidence(F.col("text"), LEXICON).alias("kinds"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("has_event"))
+    kinds, event = F.col("kinds"), F.col("has_event")
+    return found.select("doc_id", "source", "kinds", classify.status(kinds, "charge", event).alias("status"), classify.confidence(kinds, "charge", event).alias("confidence"))
+
+
+@query(f"with {_CLASSIFIED_SQL} select doc_id, source, array_to_string(kinds, ',') as kinds, status, confidence from classified")
+def keyword_evidence_classify(spark: SparkSession, sf: str) -> DataFrame:
+    return classified(spark, sf).withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query("""
+select p_partkey, coalesce(regexp_matches(p_type || ' ' || p_size, '(^|[^0-9.])(7|11|28)([^0-9.]|$)') and p_type <> 'SMALL', false)
+       or (p_type = 'SMALL' and regexp_matches(p_type || ' ' || p_size, '(^|[^0-9.])(3|11)([^0-9.]|$)')) as listed from part""")
+def charge_in_own_code(spark: SparkSession, sf: str) -> DataFrame:
+    """An article number counts in its own code only."""
+    charge = F.concat_ws(" ", "p_type", "p_size")
+    return table(spark, sf, "part").select("p_partkey", classify.charge_listed(charge, ["7", "11", "28"], ["3", "11"], "small").alias("listed"))
+
+
+@query(r"""
+with recursive ends as (select doc_id, 'b' || left(text, 40) as k from documents where n_chars > 60 union all select doc_id, 'e' || right(text, 40) from documents where n_chars > 60),
+hubs as (select k, min(doc_id) as hub from ends group by k having count(*) > 1),
+edges as (select e.doc_id as a, h.hub as b from ends e join hubs h using (k) where e.doc_id <> h.hub),
+both_ as (select a, b from edges union select b, a from edges),
+reached as (select a as node, a as root from both_ union select e.b, r.root from reached r join both_ e on e.a = r.node)
+select node, min(root) as root from reached group by node""")
+def merged_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that share a beginning or an end, transitively."""
+    docs = table(spark, sf, "documents").filter("n_chars > 60")
+    ends = docs.select("doc_id", F.explode(F.array(F.concat(F.lit("b"), F.left("text", F.lit(40))), F.concat(F.lit("e"), F.right("text", F.lit(40))))).alias("k"))
+    hubs = ends.groupBy("k").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    edges = ends.join(hubs, "k").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    return components(edges)
+
+
+@query(rf"""
+with {_NAMES_SQL},
+keyed as (select doc_id, given || ' ' || surname as k, patronymic from names),
+known as (select k, min(patronymic) as p from keyed where length(patronymic) > 4 group by k having count(distinct patronymic) = 1)
+select y.doc_id, y.k as name, coalesce(case when length(y.patronymic) > 4 then y.patronymic end, n.p) as patronymic from keyed y left join known n on n.k = y.k""")
+def attach_weaker_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """A name without a third part takes it from the fuller mentions of its key, where these agree on one."""
+    keyed = names(spark, sf).select("doc_id", F.concat_ws(" ", "given", "surname").alias("name"), F.when(F.length("patronymic") > 4, F.col("patronymic")).alias("patronymic"))
+    full = keyed.filter("patronymic is not null").groupBy("name").agg(F.min("patronymic").alias("p"), F.count_distinct("patronymic").alias("n")).filter("n = 1")
+    return keyed.join(full, "name", "left").select("doc_id", "name", F.coalesce("patronymic", "p").alias("patronymic"))
+
+
+@query(rf"""
+with {_NAMES_SQL}, one as (select distinct given, surname, patronymic from names)
+select a.given, a.surname, a.patronymic, b.patronymic as other, case when levenshtein(a.patronymic, b.patronymic) <= 1 then 'similar' else 'patronymic' end as kind
+from one a join one b on a.given = b.given and a.surname = b.surname and a.patronymic < b.patronymic""")
+def dispute_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that agree but for the third part: spelling, or another person."""
+    one = names(spark, sf).select("given", "surname", "patronymic").distinct()
+    other = one.withColumnRenamed("patronymic", "other")
+    pairs = one.join(other, ["given", "surname"]).filter("patronymic < other")
+    return pairs.withColumn("kind", F.when(F.levenshtein("patronymic", "other") <= 1, "similar").otherwise("patronymic"))

@@ -1 +1,161 @@
-"""."""
+"""Text predicates, search, extraction, HTML and URLs."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import text as X
+from factloom.operators import extraction, resolution, search
+from factloom.plans.base import query, table
+from factloom.sources import html
+
+TERMS = ("the", "with", "from", "was")
+
+
+@query("select doc_id, lang, source from documents where (text ilike '%nation%' or text ilike '%thered%') and lang = 'en' and n_chars between 500 and 5000")
+def optional_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    """A search form whose empty fields ask nothing."""
+    form = {"any": ["nation", "thered"], "lang": "en", "source": "", "least": 500, "most": 5000}
+    asked = [reduce(lambda a, b: a | b, [F.col("text").ilike(f"%{w}%") for w in form["any"]])]
+    asked += [F.col(c) == form[c] for c in ("lang", "source") if form[c]]
+    asked.append(F.col("n_chars").between(form["least"], form["most"]))
+    return table(spark, sf, "documents").filter(reduce(lambda a, b: a & b, asked)).select("doc_id", "lang", "source")
+
+
+@query("""
+select doc_id, lang from documents where contains(lower(text), 'ation') and contains(lower(text), 'thre') and contains(lower(text), 'ing')""")
+def all_stems_contained(spark: SparkSession, sf: str) -> DataFrame:
+    stems = F.array(*[F.lit(s) for s in ("ation", "thre", "ing")])
+    folded = X.fold(F.col("text"))
+    return table(spark, sf, "documents").filter(F.forall(stems, lambda s: F.contains(folded, s))).select("doc_id", "lang")
+
+
+@query(r"""
+select doc_id from documents where contains(regexp_replace(text, '[\t\n\v\f\r ]+', ' ', 'g'), 'of the')""")
+def squeezed_containment(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").filter(F.contains(X.squeeze(F.col("text")), F.lit("of the"))).select("doc_id")
+
+
+@query(r"""
+select doc_id, nullif(regexp_extract(text, '([0-9]{1,3}\.[0-9]{1,3})\.[0-9]{1,3}\.[0-9]{1,3}', 1), '') as network
+from documents where regexp_matches(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}') and doc_id <> 1""")
+def regex_capture_per_row(spark: SparkSession, sf: str) -> DataFrame:
+    octets = r"[0-9]{1,3}\.[0-9]{1,3}"
+    docs = table(spark, sf, "documents").filter(F.col("text").rlike(rf"{octets}\.{octets}") & (F.col("doc_id") != 1))
+    return docs.select("doc_id", F.nullif(F.regexp_extract("text", rf"({octets})\.{octets}", 1), F.lit("")).alias("network"))
+
+
+@query(r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as t from documents),
+terms as (select doc_id, len(t) as dl, unnest(t) as term from w),
+tf as (select doc_id, dl, term, count(*) as tf from terms where term in ('the', 'with', 'from', 'was') group by all),
+df as (select term, count(*) as df from tf group by term)
+select doc_id, round(sum(tf::double / dl * ln(1 + (select count(*) from documents)::double / df)), 6) as score
+from tf join df using (term) group by doc_id having count(*) filter (where term = 'the') = 1""")
+def inverted_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    index = search.inverted_index(docs, "doc_id", "text")
+    found = search.tf_idf_search(index, docs.count(), TERMS, "doc_id", require=["the"])
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(r"""
+with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from documents),
+tf as (select term, doc_id, count(*) as n from w where term in ('the', 'with', 'from', 'was') group by all),
+ranked as (select *, row_number() over (partition by term order by n desc, doc_id) as r from tf)
+select doc_id, round(sum(1.0::double / (60 + r)), 6) as fused, count(*) as lists from ranked group by doc_id""")
+def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
+    """One ranked list for each term, fused."""
+    index = search.inverted_index(table(spark, sf, "documents"), "doc_id", "text").filter(F.col("term").isin(list(TERMS)))
+    fused = search.reciprocal_rank_fusion(index, "term", "doc_id", "tf")
+    return fused.select("doc_id", F.round("fused", 6).alias("fused"), "lists")
+
+
+@query(r"""
+select doc_id, regexp_replace(regexp_replace(substr(text, 1, 200), '(?i)(^|[^a-z\[])(nation|was|from)([^a-z]|$)', '\1[\2]\3', 'g'),
+                              '(?i)(^|[^a-z\[])(nation|was|from)([^a-z\]]|$)', '\1[\2]\3', 'g') as headline, count(*) over () as total
+from documents where lang = 'en' and regexp_matches(lower(substr(text, 1, 200)), '(^|[^a-z])(nation|was|from)([^a-z]|$)')""")
+def any_word_headline(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.substring("text", 1, 200).alias("headline"))
+    hits = docs.filter(F.lower("headline").rlike(r"(^|[^a-z])(nation|was|from)([^a-z]|$)"))
+    marked = hits.withColumn("headline", search.mark_terms("headline", ["nation", "was", "from"]))
+    return marked.crossJoin(F.broadcast(hits.agg(F.count("*").alias("total"))))  # one row
+
+
+@query("""
+select doc_id, substr(text, greatest(1, strpos(text, 'tion') - 160), strpos(text, 'tion') - greatest(1, strpos(text, 'tion') - 160) + 4 + 160) as quote
+from documents where lang = 'en' and contains(text, 'tion')""")
+def quotes_around_first_hit(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").filter("lang = 'en'")
+    return docs.select("doc_id", X.quote_around(F.col("text"), F.lit("tion")).alias("quote")).filter(F.col("quote").isNotNull())
+
+
+@query(r"""
+with m as (
+    select doc_id, 'email' as entity_type, unnest(regexp_extract_all(text, '[a-z0-9._]+@[a-z0-9]+\.[a-z0-9.]+')) as surface from documents union all
+    select doc_id, 'address', unnest(regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')) from documents union all
+    select doc_id, 'name', unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) from documents)
+select doc_id, entity_type, count(*) as mentions, sum(length(surface))::bigint as characters, min(surface) as first_surface from m group by all""")
+def extracted_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions of three kinds, all spans checked, counted by document and kind."""
+    patterns = {"email": r"[a-z0-9._]+@[a-z0-9]+\.[a-z0-9.]+", "address": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "name": r"[A-Z][a-z]+ [A-Z][a-z]+"}
+    found = extraction.extract(table(spark, sf, "documents").select("doc_id", "text"), "text", patterns)
+    rows = extraction.mentions_table(found, "doc_id", "text").filter("status = 'succeeded' and entity_type is not null")
+    return rows.groupBy("doc_id", "entity_type").agg(F.count("*").alias("mentions"), F.sum(F.length("surface")).alias("characters"), F.min("surface").alias("first_surface"))
+
+
+@query(r"""
+select doc_id, i as place, s as sentence from (
+    select doc_id, unnest(range(len(l))) as i, unnest(l) as s from (
+        select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([^ \n.(][\p{L}\p{N}\p{P}])([.!?])[ \n]+', '\1\2' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') as l
+        from documents where lang = 'en' and n_chars < 400 and not contains(text, chr(10)) and regexp_matches(text, '^[A-Za-z,. ]+$')))""")
+def sentence_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of short plain documents, in order."""
+    docs = table(spark, sf, "documents").filter("lang = 'en' and n_chars < 400").filter(F.col("text").rlike("^[A-Za-z,. ]+$"))
+    return docs.select("doc_id", F.posexplode(extraction.sentences(F.col("text"))).alias("i", "sentence")).select("doc_id", F.col("i").cast("long").alias("place"), "sentence")
+
+
+@query("""
+with n as (select distinct p_name from part),
+g as (select p_name, list_distinct(flatten(list_transform(string_split(p_name, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) as t from n)
+select a.p_name as x, b.p_name as y, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as similarity
+from g a join g b on a.p_name < b.p_name and len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.45""")
+def trigram_similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "part").select("p_name").distinct().withColumn("k", F.col("p_name"))
+    return resolution.trigram_pairs(names, "k", "p_name", 0.45)
+
+
+@query(r"""
+with l as (select distinct lower(regexp_extract(text, '^[A-Za-z]+')) as x from benchmark), r as (select distinct lower(regexp_extract(text, '^[A-Za-z]+')) as y from documents where lang = 'en')
+select x, y, levenshtein(x, y)::int as edits from l join r on levenshtein(x, y) <= 1 and x <> '' and y <> ''""")
+def words_one_edit_apart(spark: SparkSession, sf: str) -> DataFrame:
+    first = F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0))
+    left = table(spark, sf, "benchmark").select(first.alias("x")).distinct().filter("x <> ''")
+    right = table(spark, sf, "documents").filter("lang = 'en'").select(first.alias("y")).distinct().filter("y <> ''")
+    return resolution.typo_partners(left, right, 1)
+
+
+@query(r"""
+select page_id, replace(replace(replace(regexp_extract(html, '<title>\s*([^<]*?)\s*</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title, len(regexp_extract_all(html, '<a href="[^"]')) as links from pages""")
+def html_titles_and_links(spark: SparkSession, sf: str) -> DataFrame:
+    found = html.articles(table(spark, sf, "pages"))
+    return found.select("page_id", "title", F.size("links").cast("long").alias("links"))
+
+
+@query(r"""
+select page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^(www|m)\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') as external_id from pages""")
+def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", html.canonical_url(F.col("url")).alias("external_id"))
+
+
+@query("""
+with e as (select regexp_extract_all(string_agg(text, ' '), '[0-9]+') as known from benchmark),
+n as (select doc_id, regexp_extract_all(text, '[0-9]+') as found from documents where lang = 'de')
+select doc_id, len(list_distinct(list_filter(found, lambda x: not list_contains(known, x)))) as unknown from n, e""")
+def numbers_not_in_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    evidence = F.broadcast(table(spark, sf, "benchmark").agg(F.array_join(F.collect_list("text"), " ").alias("evidence")))  # one row
+    docs = table(spark, sf, "documents").filter("lang = 'de'").select("doc_id", "text").crossJoin(evidence)
+    return docs.select("doc_id", F.size(X.numbers_not_in(F.col("text"), F.col("evidence"))).cast("long").alias("unknown"))
