@@ -13,7 +13,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     A round sends each node's larger neighbours, then its smaller ones, to the least neighbour; edges don't grow in
     number, and rounds grow with the logarithm of the longest path. Least neighbours are partial aggregates joined back on
-    the node, which Spark may split where a node has many. Each round is a written table. Self-loops name single nodes.
+    the node. Each round is a written table. Self-loops name single nodes.
     """
     loops = edges.filter(F.col(left) == F.col(right)).select(F.col(left).alias("node")).distinct()
     now = edges.filter(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct()
@@ -21,7 +21,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "c"))
+        # written, so that the join below has a plain exchange on each side and Spark may split a node of many edges
+        least = materialize(both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "c")), "least")
         large = both.filter(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter(F.col("u") != F.col("v")).distinct()
         least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
