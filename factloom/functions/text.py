@@ -49,7 +49,8 @@ def typo_tolerance(length: Column) -> Column:
 
 
 def same_stem(a: Column, b: Column) -> Column:
-    """Equal up to an ending: all but two letters of the shorter word in common (three at least), or at most two edits behind an equal first letter."""
+    """Equal up to an ending: all but two letters of the shorter word in common (three at least), or at most two edits behind an equal first letter. Soft and hard signs don't count."""
+    a, b = F.translate(a, "ьъ", ""), F.translate(b, "ьъ", "")
     short = F.least(F.length(a), F.length(b))
     ending = F.left(a, F.greatest(F.lit(3), short - 2)) == F.left(b, F.greatest(F.lit(3), short - 2))
     return (ending & (short >= 3)) | ((F.left(a, F.lit(1)) == F.left(b, F.lit(1))) & (F.levenshtein(a, b) <= 2))
