@@ -24,7 +24,7 @@ def names(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, source, given, surname, patronymic): the first three words of English documents, as names."""
     docs = table(spark, sf, "documents").filter("lang = 'en'")
     words = docs.select("doc_id", "source", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("w")).filter(F.size("w") >= 3)
-    return words.select("doc_id", "source", F.col("w")[0].alias("given"), F.col("w")[1].alias("surname"), F.col("w")[2].alias("patronymic"))
+    return words.select("doc_id", "source", F.get("w", F.lit(0)).alias("given"), F.get("w", F.lit(1)).alias("surname"), F.get("w", F.lit(2)).alias("patronymic"))
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
