@@ -145,6 +145,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
         .filter((F.col("_n") > 1) & F.col("_first").isNotNull())
         .select("_digest", "_first")
     )
+    shared = materialize(shared, "shared-payloads")  # a plain exchange on each side: Spark may split a digest of many pages
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return (
         sized.join(shared, F.col("payload_digest") == F.col("_digest"), "left")
