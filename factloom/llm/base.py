@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.storage import materialize, shared_folder
+
+__all__ = ["gapless", "materialize", "shared_folder", "spread", "table", "text_or_empty"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,25 +25,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*[F.col(k) for k in keys])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of its own in local mode, where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    path = f"{shared_folder(df.sparkSession)}/factloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.base import gapless, materialize, table
-from factloom.llm.graph import components
+from factloom.operators.graph import components
 
 #: Key bits of the counts, bits of the filter (16 MB), most frequent n-grams kept, and the count from which they are.
 KEY_BITS, FILTER_BITS, FREQUENT, FREQUENT_FROM = 36, 27, 1 << 19, 8
@@ -248,7 +248,8 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, share: tuple[in
 def candidate_clusters(nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(node, root): clusters of nodes that may link, from nodes (node, n, tokens, places)."""
     rows = nodes.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("node", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
-    groups = rows.groupBy("token").agg(F.count("*").alias("docs"), F.min("node").alias("hub")).filter(F.col("docs") > 1)
+    # written, so that the join has a plain exchange on each side and Spark may split the documents of one n-gram
+    groups = materialize(rows.groupBy("token").agg(F.count("*").alias("docs"), F.min("node").alias("hub")).filter(F.col("docs") > 1), "ngrams")
     grouped = materialize(rows.join(groups, "token"), "shared-ngrams")
     rare = grouped.filter(F.col("docs") <= SMALL)
     other = rare.select(F.col("token").alias("token2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
