@@ -197,9 +197,12 @@ def store_and_read(df: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     medias = lists.groupBy("media_id").agg(F.min(F.struct(F.struct(key).alias("rep"), "chunks")).alias("m")).select("media_id", "m.rep", "m.chunks")
     medias = materialize(medias, "medias")
     chunks = medias.select("media_id", "rep", F.posexplode("chunks").alias("seq", "c")).select("media_id", "rep", "seq", "c.digest", "c.length")
-    owners = chunks.groupBy(F.col("digest").alias("o_digest")).agg(F.min(F.struct("media_id", "seq", "rep")).alias("owner"))
-    refs = chunks.join(owners, F.col("digest") == F.col("o_digest"))
-    refs = refs.select("media_id", "rep", "seq", "length", F.when(F.col("owner.media_id") == F.col("media_id"), F.col("owner.seq")).alias("from"), "owner")
+    # written, so that the join has a plain exchange on each side and Spark may split the media that share one chunk
+    owners = chunks.groupBy(F.col("digest").alias("o_digest")).agg(F.min(F.struct("media_id", "seq", "rep")).alias("owner"), F.count("*").alias("n"))
+    shared = materialize(owners.filter("n > 1").drop("n"), "shared-chunks")
+    refs = chunks.join(shared, F.col("digest") == F.col("o_digest"), "left")
+    own = F.when(F.col("owner").isNull(), F.col("seq")).when(F.col("owner.media_id") == F.col("media_id"), F.col("owner.seq"))
+    refs = refs.select("media_id", "rep", "seq", "length", own.alias("from"), "owner")
     refs = materialize(refs, "chunk-owners")
     plans = refs.groupBy("media_id", "rep").agg(F.sort_array(F.collect_list(F.struct("seq", "length", "from"))).alias("plan"))
     asked = refs.filter(F.col("from").isNull()).select(
@@ -242,5 +245,6 @@ def media_features(medias: DataFrame) -> DataFrame:
 def op1_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text through the chunk store and back."""
     rows, medias = store_and_read(table(spark, sf_dir, "documents"))
-    features = materialize(media_features(medias), "features").dropDuplicates(["media_id"])
+    # each media once, and written: the join has a plain exchange on each side, and Spark may split the copies of one media
+    features = materialize(materialize(media_features(medias), "features").dropDuplicates(["media_id"]), "media-features")
     return rows.join(features, "media_id").drop("media_id")
