@@ -132,3 +132,56 @@ def typo_partners(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     b = right.select("y", F.explode(F.array_distinct(windows)).alias("p")).select("y", "p.i", "p.s", "p.n")
     met = a.join(b, ["i", "s", "n"]).select("x", "y").distinct()
     return met.withColumn("edits", F.levenshtein("x", "y")).filter(F.col("edits") <= most)
+
+
+#: Admissible readings of a name's words, by their shape (w: a word, i: an initial). s, g, p: surname, given, patronymic.
+READINGS = {
+    "w": ("s", "g"), "ww": ("gs", "sg", "gp"), "www": ("sgp", "gps"),
+    "iw": ("gs",), "wi": ("sg",), "iiw": ("gps",), "wii": ("sgp",), "wiw": ("gps",), "wwi": ("sgp",),
+}
+
+
+def name_variants(name: Column) -> Column:
+    """Every admissible reading of a name as (surname, given, patronymic), absent parts null; none for other shapes."""
+    words = X.words(name)
+    shape = F.array_join(F.transform(words, lambda w: F.when(F.length(w) == 1, "i").otherwise("w")), "")
+    found = None
+    for form, readings in READINGS.items():
+        structs = [F.struct(*[(F.get(words, F.lit(r.index(c))) if c in r else F.lit(None).cast("string")).alias(n) for c, n in (("s", "surname"), ("g", "given"), ("p", "patronymic"))]) for r in readings]
+        found = F.when(shape == form, F.array(*structs)) if found is None else found.when(shape == form, F.array(*structs))
+    return F.coalesce(found, F.array().cast("array<struct<surname:string,given:string,patronymic:string>>"))
+
+
+#: Suffixes that hint at a part's role.
+SURNAME_SUFFIXES = ("ов", "ев", "ин", "ын", "ова", "ева", "ина", "ына", "ский", "цкий", "ская", "цкая", "енко", "ук", "юк", "ян", "швили", "дзе")
+PATRONYMIC_SUFFIXES = ("ич", "вна", "вн", "ична", "ичн")
+
+
+def plausibility(reading: Column) -> Column:
+    """One for each part whose suffix speaks for its role."""
+    hint = lambda part, suffixes: F.coalesce(F.regexp_like(part, F.lit("(" + "|".join(suffixes) + ")$")), F.lit(False)).cast("int")
+    return hint(reading["surname"], SURNAME_SUFFIXES) + hint(reading["patronymic"], PATRONYMIC_SUFFIXES)
+
+
+def best_alignment(pairs: DataFrame, incoming: str, form: str) -> DataFrame:
+    """pairs with surname, given and patronymic matches of the best of all readings of both names.
+
+    Ranked by the weight of the matches, by how plausible both readings are, and by fewest conflicts.
+    """
+    weight = {"exact": 4, "typo": 3, "initial": 2, "missing": 1, "mismatch": 0}
+    points = F.create_map(*[F.lit(x) for kv in weight.items() for x in kv])
+    aligned = F.flatten(
+        F.transform(
+            name_variants(F.col(incoming)),
+            lambda a: F.transform(
+                name_variants(F.col(form)),
+                lambda b: F.struct(*[compare(a[p], b[p]).alias(p) for p in ("surname", "given", "patronymic")], (plausibility(a) + plausibility(b)).alias("plausible")),
+            ),
+        )
+    )
+    parts = ("surname", "given", "patronymic")
+    total = lambda m: sum((points[m[p]] for p in parts), F.lit(0))
+    conflicts = lambda m: sum(((m[p] == "mismatch").cast("int") for p in parts), F.lit(0))
+    ranked = F.transform(aligned, lambda m: F.struct(total(m).alias("w"), m["plausible"].alias("p"), (-conflicts(m)).alias("c"), m.alias("m")))
+    best = F.array_max(ranked)["m"]
+    return pairs.withColumns({f"m_{p}": F.coalesce(best[p], F.lit("missing")) for p in parts})

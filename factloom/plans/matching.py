@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import text as X
 from factloom.operators import classify, resolution
 from factloom.operators.graph import components
 from factloom.operators.listmatch import match_list

@@ -238,3 +238,26 @@ def test_screen(spark, data):
     scored = vectors.select("y", screen.linear_score(F.col("embedding"), F.array(*[F.lit(float(w)) for w in weights]), bias).alias("s"))
     means = {r.y: r.m for r in scored.groupBy("y").agg(F.avg("s").alias("m")).collect()}
     assert means[1] > means[0]
+
+
+def test_name_readings_and_alignment(spark):
+    df = spark.createDataFrame([("Иванов Иван Ильич", "Иван Ильич Иванов"), ("И. И. Иванов", "Иванов Иван Ильич"), ("Петров Иван", "Иванов Иван"), ("a b c d", "Иван Иванов")], "a string, b string")
+    got = [(r.m_surname, r.m_given, r.m_patronymic) for r in resolution.best_alignment(df, "a", "b").collect()]
+    assert got == [("exact", "exact", "exact"), ("exact", "initial", "initial"), ("mismatch", "exact", "missing"), ("missing", "missing", "missing")]
+
+
+def test_unnamed_reports_join_the_one_case_they_point_at(spark):
+    from factloom.operators import unnamed
+
+    cases = spark.createDataFrame([(1, 1, "r", 12, "2024-05-01", 7), (2, 2, "r", 24, "2024-05-01", 7), (3, 3, "q", 12, "2024-05-01", 7), (4, 4, "q", 12, "2024-05-02", 7)], "id long, case long, region string, term int, on string, exact int")
+    rows = spark.createDataFrame([(10, "r", 12, "2024-05-09", 7), (11, "q", 12, "2024-05-09", 7), (12, "q", 12, "2024-05-30", 7), (13, "r", 24, "2024", 7), (14, "", 24, "2024-05", 7), (15, "q", 12, "", 7)], "id long, region string, term int, on string, exact int")
+    assert {r.id: r.case for r in unnamed.attach_unnamed(rows, cases).collect()} == {10: 1, 11: 11, 12: 11, 13: 2, 14: 14, 15: 15}
+
+
+def test_age_is_carried_forward(spark):
+    from factloom.operators import unnamed
+
+    d = datetime.date
+    told = spark.createDataFrame([(30, d(2020, 1, 1), d(2023, 6, 1))], "age int, told_on date, on date")
+    r = unnamed.carried_age(told).first()
+    assert (r.age_low, r.age_high) == (32, 34)
