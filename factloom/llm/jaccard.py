@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -395,7 +395,7 @@ with recursive words as (
     from documents),
 sets as (
     select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-                        else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) end as s
+                        else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) end as s
     from words),
 tokens as (select doc_id, len(s) as n, unnest(s) as t from sets),
 pairs as (

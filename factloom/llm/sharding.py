@@ -6,7 +6,7 @@ one only gives up its own.
 
 Defined cases. A null key is hashed as the string ``null``; repeated keys share a shard and get slots of their own.
 A null text has size 1 and the checksum of no bytes. An empty table gives an empty result. Further columns are kept by
-``assign_shards`` under any name but those that it adds.
+``assign_shards`` under any name but those that it uses (shard, slot, _bucket, _row, _start), which are replaced or dropped.
 """
 
 from __future__ import annotations
