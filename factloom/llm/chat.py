@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.base import table
+from factloom.llm.base import materialize, table
 
 #: Turn numbers in a block of prefix sums.
 BLOCK = 256
@@ -53,7 +53,9 @@ def positions(turns: DataFrame) -> DataFrame:
     turns = turns.select(
         F.struct("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    turns = turns.withColumn("tokens", turn_tokens(F.col("role"), F.col("text"))).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    # a null turn has a block of its own, before all others
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)))
+    turns = turns.withColumn("tokens", turn_tokens(F.col("role"), F.col("text"))).withColumn("block", block)
     turns = turns.withColumn("long", (F.col("tokens") > NEW_TOKENS // 2).cast("long"))
     turns = turns.withColumn("short_tokens", F.when(F.col("long") == 0, F.col("tokens")).otherwise(0))
     inside = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
@@ -62,11 +64,9 @@ def positions(turns: DataFrame) -> DataFrame:
     turns = turns.withColumn("one", F.lit(1).cast("long"))
     placed = turns.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"in_{c}") for c in sums])
     totals = turns.groupBy("conv", "block").agg(*[F.sum(c).alias(c) for c in sums])
-    blocks = Window.partitionBy("conv").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        F.col("conv").alias("o_conv"), F.struct("block").alias("o_block"), *[F.coalesce(F.sum(c).over(blocks), F.lit(0)).alias(f"o_{c}") for c in sums]
-    )
-    joined = placed.join(offsets, (F.col("conv") == F.col("o_conv")) & (F.struct("block") == F.col("o_block")))
+    blocks = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("conv", "block", *[F.coalesce(F.sum(c).over(blocks), F.lit(0)).alias(f"o_{c}") for c in sums])
+    joined = placed.join(offsets, ["conv", "block"])  # placed is dealt by these keys already
     return joined.select(
         "conv", "role", "text", "tokens", "long",
         (F.col("in_one") + F.col("o_one")).alias("pos"),
@@ -76,46 +76,41 @@ def positions(turns: DataFrame) -> DataFrame:
     )
 
 
-def _part(repeated: bool) -> Column:
+#: Order of a window's parts: the system turn, repeated turns, new turns.
+SYSTEM, HISTORY, NEW = 0, 1, 2
+
+
+def _part(kind: int) -> Column:
     """A turn of a window: its place, what stands before its text, its text as written, and the length of its target."""
     text = escape(F.col("text"))
-    target = F.lit(None).cast("int") if repeated else F.when(F.col("role") == "assistant", F.length(text))
-    return F.struct("pos", F.concat(F.lit("<s>["), escape(F.col("role")), F.lit("]")).alias("head"), text.alias("body"), target.alias("target"))
+    target = F.when(F.col("role") == "assistant", F.length(text)) if kind == NEW else F.lit(None).cast("int")
+    return F.struct(F.lit(kind).alias("kind"), "pos", F.concat(F.lit("<s>["), escape(F.col("role")), F.lit("]")).alias("head"), text.alias("body"), target.alias("target"))
 
 
 def format_windows(turns: DataFrame) -> DataFrame:
     """conv_id, start (position of the first new turn), formatted, n_context (turns repeated), loss_spans.
 
-    loss_spans: array of (start, length) in code points of formatted, in order.
+    loss_spans: array of (start, length) in code points of formatted, in order. Positions are written once. The windows'
+    plan (which turns each repeats) has no texts in it; texts are shuffled to their positions, and with their copies to
+    their windows.
     """
     placed = positions(turns)
     cell = F.when(F.col("long") == 1, F.lit(-1)).otherwise(F.floor(F.col("short_before") / (NEW_TOKENS // 2)))
-    windows = (
-        placed.withColumn("cell", cell)
-        .groupBy("conv", "longs", "cell")
-        .agg(F.min("pos").alias("start"), F.min("before").alias("sum_before"), F.sort_array(F.collect_list(_part(False))).alias("new"))
-        .select("conv", "start", "sum_before", "new")
-    )
-    system = placed.filter(F.col("role") == "system").groupBy("conv").agg(F.min(F.struct("pos", _part(True).alias("part"))).alias("s"))
-    system = system.select(F.col("conv").alias("s_conv"), F.col("s.pos").alias("system_pos"), F.col("s.part").alias("system"))
-    wanted = windows.select(
-        F.col("conv").alias("h_conv"), "start", "sum_before",
-        F.explode(F.when(F.col("start") > 0, F.sequence(F.greatest(F.col("start") - HISTORY_TURNS, F.lit(0)), F.col("start") - 1))).alias("h_pos"),
-    )
-    past = placed.select("conv", "pos", "before", _part(True).alias("part"))
-    history = (
-        wanted.join(past, (F.col("h_conv") == F.col("conv")) & (F.col("h_pos") == F.col("pos")))
-        .filter(F.col("sum_before") - F.col("before") <= HISTORY_TOKENS)
-        .groupBy("h_conv", F.col("start").alias("h_start"))
-        .agg(F.sort_array(F.collect_list("part")).alias("history"))
-    )
-    full = windows.join(history, (F.col("conv") == F.col("h_conv")) & (F.col("start") == F.col("h_start")), "left").join(
-        system, F.col("conv") == F.col("s_conv"), "left"
-    )
-    none = F.array().cast(full.schema["new"].dataType)
-    kept = F.filter(F.coalesce("history", none), lambda p: F.col("system_pos").isNull() | (p["pos"] != F.col("system_pos")))
-    lead = F.when(F.col("system_pos") < F.col("start"), F.array("system")).otherwise(none)
-    full = full.withColumn("context", F.concat(lead, kept)).withColumn("parts", F.concat("context", "new"))
+    placed = materialize(placed.withColumn("cell", cell), "turns")
+    window = ["conv", "longs", "cell"]
+    windows = placed.groupBy(*window).agg(F.min("pos").alias("start"), F.min("before").alias("sum_before"))
+    first = placed.filter(F.col("role") == "system").groupBy("conv").agg(F.min("pos").alias("system_pos"))
+    later = materialize(windows.filter(F.col("start") > 0).join(first, "conv", "left"), "windows")
+    asked = later.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("start") - HISTORY_TURNS, F.lit(0)), F.col("start") - 1)))
+    asked = asked.filter(F.col("system_pos").isNull() | (F.col("pos") != F.col("system_pos"))).select(*window, "pos", "sum_before", F.lit(HISTORY).alias("kind"))
+    leads = later.filter(F.col("system_pos") < F.col("start")).select(*window, F.col("system_pos").alias("pos"), "sum_before", F.lit(SYSTEM).alias("kind"))
+    wanted = asked.unionByName(leads)
+    texts = placed.select("conv", "pos", "before", "role", "text")
+    repeated = wanted.join(texts, ["conv", "pos"]).filter((F.col("kind") == SYSTEM) | (F.col("sum_before") - F.col("before") <= HISTORY_TOKENS))
+    part = F.when(F.col("kind") == SYSTEM, _part(SYSTEM)).otherwise(_part(HISTORY))
+    parts = placed.select(*window, _part(NEW).alias("part")).unionByName(repeated.select(*window, part.alias("part")))
+    full = parts.groupBy(*window).agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    full = full.withColumn("n_context", F.size(F.filter("parts", lambda p: p["kind"] != NEW)))
     spans = F.aggregate(
         "parts",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
@@ -128,9 +123,9 @@ def format_windows(turns: DataFrame) -> DataFrame:
     )
     return full.select(
         F.col("conv.conv_id").alias("conv_id"),
-        "start",
+        F.get("parts", F.col("n_context"))["pos"].alias("start"),
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
-        F.size("context").alias("n_context"),
+        "n_context",
         spans["spans"].alias("loss_spans"),
     )
 
