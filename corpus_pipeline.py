@@ -5,11 +5,14 @@ Each stage is one operator of factloom.llm, takes (spark, docs, sf_dir) and retu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import jaccard, langid, packing, pii
 from factloom.llm.base import materialize, spread, table
+from factloom.session import share_code
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -50,11 +53,22 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     )
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shared(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        share_code(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language", identify_language),
-    ("near_duplicates", remove_near_duplicates),
-    ("personal_data", redact_personal_data),
-    ("packing", pack_sequences),
+    ("language", _shared(identify_language)),
+    ("near_duplicates", _shared(remove_near_duplicates)),
+    ("personal_data", _shared(redact_personal_data)),
+    ("packing", _shared(pack_sequences)),
 ]
 
 #: Models are trained and spans classified on the way, which SQL can't express; tests hold run() against brute force.

@@ -174,8 +174,8 @@ def count_order(docs: DataFrame, text: str, width: int) -> Order:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["piece", "n", "gaps", "counts"]).cast(counted)
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                prints = shingles(t, width)
+            for t in batch.column(0):  # one text at a time
+                prints = shingles(t.as_py(), width)
                 if len(prints):
                     held.append(prints)
                     size += len(prints)
@@ -225,8 +225,8 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, share: tuple[in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 1024):
-                batch = whole.slice(first, 1024)
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
                 sig, n, tokens, places = [], [], [], []
                 for t in batch.column(1).to_pylist():
                     prints = shingles(t, width)
@@ -373,8 +373,8 @@ def _prints(docs: DataFrame, placed: DataFrame, key: str, text: str, width: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
                 prints = [shingles(t, width).tobytes() for t in batch.column(0).to_pylist()]
                 own = [i for i, (p, s) in enumerate(zip(prints, batch.column(1).to_pylist(), strict=True)) if hashlib.sha256(p).digest()[:16] == s]
                 at = pa.array(own, pa.int64())

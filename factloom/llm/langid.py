@@ -70,10 +70,10 @@ def train(df: DataFrame, label: str, text: str, key: str, rows: int = TRAIN_ROWS
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for language, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for language, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if language not in totals:
                     totals[language] = np.zeros(FEATURES, np.int64)
-                totals[language] += np.bincount(trigram_buckets(t), minlength=FEATURES)
+                totals[language] += np.bincount(trigram_buckets(t.as_py()), minlength=FEATURES)
         for language, n in totals.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["language", "bucket", "n"])
@@ -131,10 +131,11 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [infer(shared.value, t) for t in batch.column(at).to_pylist()]
-            lang, score, kept = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(kept, pa.list_(pa.string()))], names=names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                lang, score, kept = zip(*[infer(shared.value, t) for t in batch.column(at).to_pylist()], strict=True)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(kept, pa.list_(pa.string()))], names=names)
 
     return df.mapInArrow(run, schema)
 
