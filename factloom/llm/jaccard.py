@@ -20,7 +20,7 @@ skew-splittable joins, and blocks of BLOCK documents.
 
 Defined cases. Null or blank text: empty set, linked with nothing, its own component. Fewer words than the width: the whole
 sequence is the one n-gram. Equal sets are one node, whatever their texts. Null keys are kept, and ignored in the least key of a component.
-Repeated rows count each. Further columns are dropped. An empty table gives an empty result. A pair's overlap is wrong
+Repeated rows have a result each, and are one row of their node. Further columns are dropped. An empty table gives an empty result. A pair's overlap is wrong
 only where two of its own n-grams have one fingerprint, a chance of |a||b| / 2^64.
 """
 
@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,9 +219,9 @@ def count_order(docs: DataFrame, text: str, width: int) -> Order:
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, share: tuple[int, int], order: Order) -> DataFrame:
-    """key, sig (128 bits of the set's digest), n (its size), and shared n-grams among the first ones: token, place."""
+    """key, sig (128 bits of the set's digest), n (its size), shared n-grams among the first ones (token, place), and the text's digest."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    schema = docs.select(key).schema.add("sig", T.BinaryType()).add("n", T.LongType()).add("tokens", T.ArrayType(T.LongType())).add("places", T.ArrayType(T.IntegerType()))
+    schema = docs.select(key).schema.add("sig", T.BinaryType()).add("n", T.LongType()).add("tokens", T.ArrayType(T.LongType())).add("places", T.ArrayType(T.IntegerType())).add("digest", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -238,11 +238,15 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, share: tuple[in
                     tokens.append(front[at].view(np.int64))
                     places.append(at.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+                    [batch.column(0), pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), batch.column(2)],
                     names=schema.fieldNames(),
                 )
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, _digest(text).alias("digest")).mapInArrow(run, schema)
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
 
 
 def candidate_clusters(nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -334,12 +338,12 @@ def set_classes(docs: DataFrame, key: str, text: str, width: int = 4, share: tup
     """key, n_shingles, component_id (least key of the component), links (other sets that its set links to)."""
     order = count_order(docs, text, width)
     signed = materialize(signatures(docs, key, text, width, share, order), "signatures")
-    sets = signed.filter(F.col("n") > 0).groupBy("sig").agg(F.min(F.struct(F.struct(key).alias("rep"), "n", "tokens", "places")).alias("s"), F.min(key).alias("least")).select("sig", "s.*", "least")
+    sets = signed.filter(F.col("n") > 0).groupBy("sig").agg(F.min(F.struct(F.struct(key, "digest").alias("rep"), "n", "tokens", "places")).alias("s"), F.min(key).alias("least")).select("sig", "s.*", "least")
     bucket = F.pmod(F.xxhash64("sig"), F.lit(1024)).cast("int")
     nodes = materialize(gapless(materialize(sets, "sets").withColumn("_g", F.lit(0)), ["_g"], bucket, [F.col("sig")], "node", 1024).drop("_g"), "nodes")
     clusters = materialize(candidate_clusters(nodes, share), "clusters")
     sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members"))
-    placed = clusters.join(sizes, "root").join(nodes.select("node", "rep", "sig"), "node")
+    placed = clusters.join(sizes, "root").join(nodes.select("node", "rep"), "node")
     prints = _prints(docs, placed, key, text, width)
     # small clusters share groups; a large one's blocks meet two by two
     pack = F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(_packs(clusters))))
@@ -367,8 +371,10 @@ def _packs(clusters: DataFrame) -> int:
 
 
 def _prints(docs: DataFrame, placed: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """placed with prints (the set, as bytes), from the texts of the rows that stand for its nodes."""
-    rows = docs.select(F.struct(key).alias("rep"), F.col(text).alias("text")).join(placed.select("rep", "sig", "node", "root", "blocks"), "rep")
+    """placed with prints (the set, as bytes), one row for each node, from the rows that stand for the nodes: by key and
+    text digest, so those that repeat are equal and one of them is enough."""
+    rows = docs.select(F.struct(F.col(key), _digest(text).alias("digest")).alias("rep"), F.col(text).alias("text")).join(placed.select("rep", "node", "root", "blocks"), "rep")
+    rows = rows.select("text", "node", "root", "blocks").dropDuplicates(["node"])
     schema = "node long, root long, blocks int, prints binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,12 +382,9 @@ def _prints(docs: DataFrame, placed: DataFrame, key: str, text: str, width: int)
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
                 prints = [shingles(t, width).tobytes() for t in batch.column(0).to_pylist()]
-                own = [i for i, (p, s) in enumerate(zip(prints, batch.column(1).to_pylist(), strict=True)) if hashlib.sha256(p).digest()[:16] == s]
-                at = pa.array(own, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (2, 3, 4)), pa.array([prints[i] for i in own], pa.binary())], names=["node", "root", "blocks", "prints"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (1, 2, 3)), pa.array(prints, pa.binary())], names=["node", "root", "blocks", "prints"])
 
-    found = rows.select("text", "sig", "node", "root", "blocks").mapInArrow(run, schema)
-    return found
+    return rows.mapInArrow(run, schema)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

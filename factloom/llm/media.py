@@ -191,8 +191,7 @@ def _rebuild(parts: DataFrame) -> DataFrame:
 
 
 def store_and_read(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, media_id) of each row, and (media_id, media) as read back from the chunk store, once for each media
-    (rows that repeat key and text may repeat it)."""
+    """(key, media_id) of each row, and (media_id, media) as read back from the chunk store, once for each media."""
     lists = materialize(chunk_lists(df, key, text), "chunk-lists")
     medias = lists.groupBy("media_id").agg(F.min(F.struct(F.struct(key).alias("rep"), "chunks")).alias("m")).select("media_id", "m.rep", "m.chunks")
     medias = materialize(medias, "medias")
@@ -211,7 +210,8 @@ def store_and_read(df: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     )
     wanted = asked.groupBy(F.col("of_media").alias("media_id"), F.col("of_rep").alias("rep")).agg(F.collect_set("of_seq").alias("wanted"))
     plans = materialize(plans.join(wanted, ["media_id", "rep"], "left"), "chunk-plans")
-    packed = compressed_media(df, key, text).select(F.col("media_id"), F.struct(key).alias("rep"), "packed")
+    # rows that repeat are one, before the shuffle that the join needs anyway
+    packed = compressed_media(df, key, text).select(F.col("media_id"), F.struct(key).alias("rep"), "packed").dropDuplicates(["media_id", "rep"])
     stored = packed.join(plans, ["media_id", "rep"])
     given = _given(stored)
     sent = asked.join(given, (F.col("of_media") == F.col("g_media")) & (F.col("of_seq") == F.col("g_seq")))
@@ -246,5 +246,5 @@ def op1_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text through the chunk store and back."""
     rows, medias = store_and_read(table(spark, sf_dir, "documents"))
     # each media once, and written: the join has a plain exchange on each side, and Spark may split the copies of one media
-    features = materialize(materialize(media_features(medias), "features").dropDuplicates(["media_id"]), "media-features")
+    features = materialize(media_features(medias), "media-features")
     return rows.join(features, "media_id").drop("media_id")

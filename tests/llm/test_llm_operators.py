@@ -65,6 +65,22 @@ def test_shared_passages_are_shared_chunks(spark):
     assert {media.from_media(bytes(r.media))[1] for r in medias.collect()} == {padded(t) for t in texts}
 
 
+def test_repeated_rows_share_a_media(spark, monkeypatch):
+    """Each media is rebuilt once, and each chunk that it asks for is sent once, however often its row repeats."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    rows = [(1, passage + " one")] * 4 + [(2, passage + " two")] * 3 + [(None, passage)] * 2
+    got = []
+    rebuild = media._rebuild
+    monkeypatch.setattr(media, "_rebuild", lambda parts: got.append(parts) or rebuild(parts))
+    ids, medias = media.store_and_read(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert ids.count() == len(rows)
+    found = [bytes(r.media_id) for r in medias.collect()]
+    assert len(found) == len(set(found)) == 3
+    places = [[g.seq for g in r.got or ()] for r in got[0].select("got").collect()]
+    assert any(places) and all(len(p) == len(set(p)) for p in places)
+
+
 @pytest.mark.parametrize("size", [0, 1, 255, 256, 10_000, 100_000])
 def test_cuts_are_bounded_and_whole(size):
     data = random.Random(size).randbytes(size)
@@ -308,6 +324,19 @@ def test_classes_edges(docs, empty):
     assert jaccard.set_classes(empty, "doc_id", "text").count() == 0
 
 
+def test_repeated_rows_are_one_node(spark):
+    """Rows that repeat key and text, and keys that repeat with other texts: links count sets."""
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[: 60 - k], *["x"] * k]) for k in range(4)]
+    rows = [(1, near[0])] * 5 + [(2, near[1])] * 3 + [(2, near[2])] * 2 + [(None, near[3]), (None, near[3]), (3, "alone in the world it is"), (3, "alone in the world it is")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.set_classes(docs, "doc_id", "text").collect()
+    sets = {t: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for _, t in rows}
+    links = {t: sum(u != t and 100 * len(s & o) >= 85 * len(s | o) for u, o in sets.items()) for t, s in sets.items()}
+    expected = [(d, len(sets[t]), 3 if d == 3 else 1, links[t]) for d, t in rows]
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id, r.links) for r in got) == sorted((str(d), *x) for d, *x in expected)
+
+
 def test_overlaps_are_sums_of_fragments(monkeypatch):
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 500, 120)).astype(np.uint64) for _ in range(9)]
