@@ -35,8 +35,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "phone_local": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,5}",
-    "secret": r"(?<![A-Za-z])(?:password|passwd|secret|token|api[_-]?key|Password|Token|Secret) ?[=:] ?\"?[A-Za-z0-9_/+.-]{8,200}\"?|(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
+    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
+    "secret": r"(?<![A-Za-z])(?:password|passwd|secret|token|api[_-]?key|Password|Token|Secret) ?[=:] ?\"?[A-Za-z0-9_/+.-]{8,}+\"?|(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
     "id_number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: Cue words for and against.

@@ -394,6 +394,19 @@ def test_redaction_and_edges(spark, docs, empty):
     assert pii.find_spans(docs)[0].count() == docs.count() and pii.find_spans(empty)[0].count() == 0
 
 
+def test_long_secrets_and_spelled_addresses_are_whole(spark):
+    rng = random.Random(4)
+    token = "".join(rng.choice("abcXYZ0189_-./+") for _ in range(1000))
+    local, domain = "anna." * 20 + "bell", " (dot) ".join(["mail", "b" * 70, *"cdefghij"])
+    rows = [("token=", f"{token}"), ("", f"{local} (at) {domain}"), ("password: ", "abc12345x"), ("secret=", "k9" * 20_000), ("", "joe (at) mail" + " (dot) a" * 5000)]
+    df = spark.createDataFrame([(i, f"see {head}{body} there, and on") for i, (head, body) in enumerate(rows)], "doc_id long, text string")
+    found = pii.candidates(df)
+    wide = found.withColumn("_spans", F.filter("_spans", lambda s: s["kind"].isin(pii.KINDS.index("secret"), pii.KINDS.index("email_spelled"))))
+    assert {r.doc_id: [s.surface for s in r._spans] for r in wide.collect()} == {i: [head + body] for i, (head, body) in enumerate(rows)}
+    kinds = ["SECRET", "EMAIL_SPELLED", "SECRET", "SECRET", "EMAIL_SPELLED"]
+    assert {r.doc_id: r.text for r in pii.redact(wide).collect()} == {i: f"see [{k}] there, and on" for i, k in enumerate(kinds)}
+
+
 def test_labelers_are_told_apart():
     """A labeler that votes at random is trusted less than two that agree with the truth."""
     rng = random.Random(1)
