@@ -11,9 +11,14 @@ Scale: pivots are a bounded sample, the only broadcast. Queries are a stated set
 no task holds more than one block (BLOCK_ROWS on average) and QUERY_ROWS queries. Inner products in many dimensions can
 leave bounds weak: then all blocks are read in full, which is still exact.
 
-Defined cases. Vectors that are null or empty or hold null or non-finite components take no part; nor do components of
-2^25 or more in size after scaling (64-bit scores would overflow). Vectors meet those of their own dimension only. Rows
-with the query's own id are not its candidates; rows of equal id are candidates each. A null id takes no part.
+Scores are exact whatever the components' size: 64-bit sums where they can't overflow, whole numbers of any length
+elsewhere. Vectors with components of 2^40 or more after scaling have no pivot (distances would be rounded too far): they
+have blocks of their own, and bounds are not used on them. A score beyond 64 bits ranks by its true value and is
+returned as the nearest 64-bit number.
+
+Defined cases. Vectors that are null or empty or hold null or non-finite components take no part. Vectors meet those of
+their own dimension only. Rows with the query's own id are not its candidates; rows of equal id are candidates each, and
+are dealt over blocks by their place, as all rows are. A null id takes no part.
 """
 
 from __future__ import annotations
@@ -22,29 +27,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.base import materialize, table
 
 #: Documented bounds: pivots, rows from which they are chosen, rows in a block, queries in a block, candidates a step.
-PIVOTS, PIVOT_SAMPLE, BLOCK_ROWS, QUERY_ROWS, STEP = 24, 2000, 1024, 4096, 256
-LIMIT = 1 << 25
+PIVOTS, PIVOT_SAMPLE, BLOCK_ROWS, QUERY_ROWS, STEP = 24, 2000, 8192, 4096, 256
+#: Components from which a vector has no pivot, and the cell of such vectors.
+LARGE, NO_PIVOT = float(1 << 40), -1
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
-def integer_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key (long), v (array of long, floor(256 x)); rows that can take part only."""
-    scaled = F.transform(F.col(vector), lambda x: F.floor(F.lit(256.0) * x.cast("double")))
-    sound = F.forall(F.col(vector), lambda x: x.isNotNull() & (F.abs(F.lit(256.0) * x.cast("double")) < LIMIT))  # NaN is not less
-    return df.filter(F.col(key).isNotNull() & (F.size(vector) > 0) & sound).select(F.col(key).cast("long").alias("vec_id"), scaled.alias("v"))
+def sound_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """key (long), x (array of double); rows that can take part only."""
+    x = F.transform(F.col(vector), lambda c: c.cast("double"))
+    return df.filter(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("vec_id"), x.alias("x")).filter(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+
+
+def scale(x: np.ndarray) -> np.ndarray:
+    """floor(256 x), as doubles: exact, as 256 is a power of two (numbers that would overflow are taken back in exact_row)."""
+    with np.errstate(over="ignore"):
+        return np.floor(256 * x)
+
+
+def exact_row(x: np.ndarray) -> list[int]:
+    """floor(256 x) as whole numbers of any length."""
+    return [int(np.floor(256 * c)) if abs(c) < 2.0**900 else 256 * int(c) for c in x.tolist()]
+
+
+def wide_key(n: int) -> str:
+    """Text that sorts as whole numbers beyond 64 bits do; empty for those within."""
+    if LEAST <= n <= MOST:
+        return ""
+    digits = str(abs(n))
+    if n > 0:
+        return f"1{len(digits):04}{digits}"
+    return f"0{9999 - len(digits):04}{''.join(str(9 - int(d)) for d in digits)}"
 
 
 def choose_pivots(vectors: DataFrame, pivots: int, sample: int) -> dict[int, np.ndarray]:
     """For each dimension, pivots far from each other (greedily), from a bounded sample: the rows of least id hash."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     out = {}
-    for dim in sorted({len(r.v) for r in rows}):
-        points = np.array([r.v for r in rows if len(r.v) == dim], float)
+    for dim in sorted({len(r.x) for r in rows}):
+        points = scale(np.array([r.x for r in rows if len(r.x) == dim], float))
+        points = points[np.abs(points).max(1) < LARGE]
+        if not len(points):
+            continue
         chosen = [int(((points - points.mean(0)) ** 2).sum(1).argmax())]
         least = ((points - points[chosen[0]]) ** 2).sum(1)
         while len(chosen) < pivots and least.max() > 0:
@@ -54,86 +85,131 @@ def choose_pivots(vectors: DataFrame, pivots: int, sample: int) -> dict[int, np.
     return out
 
 
+def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Of scaled points to the pivots."""
+    gaps = (points**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * points @ centres.T
+    return np.sqrt(np.maximum(gaps, 0))
+
+
 def with_pivot_distances(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Add dim, cell (nearest pivot) and far (distances to all pivots of its dimension)."""
+    """Add dim, cell (nearest pivot), norm (squared), far (distances to all pivots of its dimension) and place (number of the row)."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = TaskContext.get().partitionId() << 33
         for part in batches:
-            for dim, rows in part.groupby(part["v"].map(len)):
-                points = np.stack(rows["v"].to_numpy()).astype(float)
+            for dim, rows in part.groupby(part["x"].map(len)):
+                points = scale(np.stack(rows["x"].to_numpy()).astype(float))
+                large = np.abs(points).max(1) >= LARGE
+                points[large] = 0
                 centres = shared.value.get(dim, np.zeros((1, dim)))
-                gaps = (points**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * points @ centres.T
-                far = np.sqrt(np.maximum(gaps, 0))
-                yield pd.DataFrame({"vec_id": rows["vec_id"].to_numpy(), "v": rows["v"].to_numpy(), "dim": np.int32(dim), "cell": far.argmin(1).astype(np.int32), "far": list(far)})
-
-    return vectors.mapInPandas(run, "vec_id long, v array<long>, dim int, cell int, far array<double>")
-
-
-def _search(q: np.ndarray, q_far: np.ndarray, q_id: int, x: np.ndarray, norms: np.ndarray, far: np.ndarray, ids: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-    """(-score, id) of the k best in the block that reach floor; candidates in the order of their bounds."""
-    size = float(q @ q)
-    least = np.abs(far - q_far).max(1)
-    slack = 1e-6 * (1 + least + np.sqrt(norms) + size**0.5)  # rounding of the distances
-    bound = (size + norms - np.maximum(least - slack, 0) ** 2) / 2 + 1e-9 * (size + norms) + 1
+                far = distances(points, centres)
+                cell = np.where(large, NO_PIVOT, far.argmin(1)).astype(np.int32)
+                yield pd.DataFrame({
+                    "vec_id": rows["vec_id"].to_numpy(), "x": rows["x"].to_numpy(), "dim": np.int32(dim), "cell": cell, "norm": (points**2).sum(1),
+                    "far": list(far), "place": np.arange(place, place + len(rows)),
+                })
+                place += len(rows)
+
+    return vectors.mapInPandas(run, "vec_id long, x array<double>, dim int, cell int, norm double, far array<double>, place long")
+
+
+def scores(q: np.ndarray, block: dict, step: np.ndarray) -> list[int]:
+    """Exact inner products of floor(256 q) with the rows `step` of a block (x; points: scaled; most: largest component)."""
+    point = scale(q)
+    with np.errstate(over="ignore"):
+        size = np.abs(point).max() * block["most"][step] * len(q)
+    if size.max() < 2.0**53:  # whole numbers that doubles hold
+        return (block["points"][step] @ point).astype(np.int64).tolist()
+    out, safe = np.empty(len(step), object), size < 2.0**62
+    if safe.any():
+        out[safe] = (block["points"][step[safe]].astype(np.int64) @ point.astype(np.int64)).tolist()
+    exact = exact_row(q)
+    for i in np.flatnonzero(~safe):
+        out[i] = sum(a * b for a, b in zip(exact, exact_row(block["x"][step[i]]), strict=True))
+    return out.tolist()
+
+
+def _search(q: np.ndarray, q_far: np.ndarray, q_norm: float, q_id: int, bounded: bool, block: dict, k: int, floor: float) -> list[tuple[int, int]]:
+    """(-score, id) of the k best in the block that reach floor; candidates in the order of their bounds, if these hold."""
+    ids = block["ids"]
+    if bounded:
+        least = np.abs(block["far"] - q_far).max(1)
+        slack = 1e-6 * (1 + least + np.sqrt(block["norms"]) + q_norm**0.5)  # rounding of the distances
+        bound = (q_norm + block["norms"] - np.maximum(least - slack, 0) ** 2) / 2 + 1e-9 * (q_norm + block["norms"]) + 1
+    else:
+        bound = np.full(len(ids), np.inf)
     mine = np.flatnonzero((bound >= floor) & (ids != q_id))
-    mine = mine[np.argsort(-bound[mine])]
+    mine = mine[np.argsort(-bound[mine], kind="stable")]
     best: list[tuple[int, int]] = []
     for at in range(0, len(mine), STEP):
         step = mine[at : at + STEP]
         if len(best) == k and bound[step[0]] < -best[-1][0]:
             break
-        scores = x[step] @ q
-        keep = scores >= (-best[-1][0] if len(best) == k else floor)
-        best = sorted(best + list(zip((-scores[keep]).tolist(), ids[step][keep].tolist(), strict=True)))[:k]
+        found = scores(q, block, step)
+        keep = -best[-1][0] if len(best) == k else floor
+        best = sorted(best + [(-s, i) for s, i in zip(found, ids[step].tolist(), strict=True) if s >= keep])[:k]
     return best
 
 
 BLOCK = ["dim", "cell", "part", "slice"]
 
 
-def _round(blocked: DataFrame, queries: DataFrame, k: int, slices: int) -> DataFrame:
-    """Each query against the blocks it names: query_id, vec_id, score, k rows at most for each block."""
+def _round(blocked: DataFrame, queries: DataFrame, pivots: dict[int, np.ndarray], k: int, slices: int) -> DataFrame:
+    """Each query against the blocks it names: query_id, vec_id, score, wide; k rows at most for each block.
+
+    Rows and queries travel as plain vectors: distances to the pivots are worked out again in the block.
+    """
+    shared = blocked.sparkSession.sparkContext.broadcast(pivots)
 
     def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, str]] = []
         if len(rows) and len(asked):
-            x, far, ids = np.stack(rows["v"].to_numpy()), np.stack(rows["far"].to_numpy()), rows["vec_id"].to_numpy()
-            norms = (x.astype(float) ** 2).sum(1)
+            x, dim, cell = np.stack(rows["x"].to_numpy()), int(rows["dim"].iloc[0]), int(rows["cell"].iloc[0])
+            centres, points = shared.value.get(dim, np.zeros((1, dim))), scale(x)
+            block = {"x": x, "points": points, "ids": rows["vec_id"].to_numpy(), "most": np.abs(points).max(1)}
+            if cell != NO_PIVOT:
+                block |= {"far": distances(points, centres), "norms": (points**2).sum(1)}
             for q in asked.itertuples(index=False):
-                found = _search(np.asarray(q.v), np.asarray(q.far), q.vec_id, x, norms, far, ids, k, -np.inf if pd.isna(q.floor) else q.floor)
-                out += [(q.vec_id, i, -s) for s, i in found]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    spread_rows = blocked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+                vector = np.asarray(q.x, float)
+                point = scale(vector)[None, :]
+                bounded = cell != NO_PIVOT and bool(np.abs(point).max() < LARGE)
+                q_far, q_norm = (distances(point, centres)[0], float((point**2).sum())) if bounded else (centres[0], 0.0)
+                found = _search(vector, q_far, q_norm, q.vec_id, bounded, block, k, -np.inf if pd.isna(q.floor) else q.floor)
+                out += [(q.vec_id, i, max(LEAST, min(MOST, -s)), wide_key(-s)) for s, i in found]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "wide"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64", "wide": "str"})
+
+    rows = blocked.select("vec_id", "x", "dim", "cell", "part").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     dealt = queries.withColumn("slice", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(slices)).cast("int"))
-    dealt = dealt.select(*[F.col(c).alias(c) for c in dealt.columns])  # attributes of its own: both sides come from one table
-    return spread_rows.groupBy(*BLOCK).cogroup(dealt.groupBy(*BLOCK)).applyInPandas(run, "query_id long, vec_id long, score long")
+    dealt = dealt.select(*[F.col(c).alias(c) for c in ("vec_id", "x", "dim", "cell", "part", "floor", "slice")])  # attributes of its own: both sides come from one table
+    return rows.groupBy(*BLOCK).cogroup(dealt.groupBy(*BLOCK)).applyInPandas(run, "query_id long, vec_id long, score long, wide string")
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("wide").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows but its own, ties to the smaller id.
 
-    vectors: as integer_vectors gives them. The table with its pivot distances is written once and read by both rounds.
+    vectors: as sound_vectors gives them. The table with its pivot distances is written once and read by both rounds.
     Of query rows of equal id, that of the least vector asks.
     """
-    tabled = materialize(with_pivot_distances(vectors, choose_pivots(vectors, pivots, PIVOT_SAMPLE)), "pivot-table")
+    chosen = choose_pivots(vectors, pivots, PIVOT_SAMPLE)
+    tabled = materialize(with_pivot_distances(vectors, chosen), "pivot-table")
     counted = tabled.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
-    sizes = F.broadcast(counted)  # a row for each pivot at most
-    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    blocked = tabled.join(sizes, ["dim", "cell"]).withColumn("part", part).drop("parts")
-    asking = tabled.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "far", "dim", "cell")).alias("q")).select("vec_id", "q.*")
+    sizes = F.broadcast(counted)  # a row for each pivot at most, and one
+    blocked = tabled.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")).cast("int")).drop("parts")
+    asking = tabled.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("x", "far", "dim", "cell", "norm")).alias("q")).select("vec_id", "q.*")
     slices = max(1, -(-tabled.filter(is_query).count() // QUERY_ROWS))
-    home = asking.join(sizes, ["dim", "cell"]).withColumn("part", part).drop("parts")
-    one = materialize(_round(blocked, home.withColumn("floor", F.lit(None).cast("double")), k, slices), "first-round")
-    floors = one.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
+    home = asking.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    one = materialize(_round(blocked, home.withColumn("floor", F.lit(None).cast("double")), chosen, k, slices), "first-round")
+    # above 64 bits the floor is that bound, which such scores reach; below them there is none
+    floors = one.groupBy("query_id").agg(F.when((F.count("*") >= k) & (F.min("score") > LEAST), F.min("score").cast("double")).alias("floor"))
+    floors = floors.withColumn("floor", F.col("floor") - F.abs("floor") * 1e-15)  # the double may lie above the whole number
     summary = blocked.groupBy("dim", "cell", "part").agg(
-        F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"),
+        F.max("norm").alias("most"),
         F.array(*[F.min(F.get("far", F.lit(i))) for i in range(pivots)]).alias("lo"),
         F.array(*[F.max(F.get("far", F.lit(i))) for i in range(pivots)]).alias("hi"),
     )
@@ -146,25 +222,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, pivots: int = PIVOTS, bl
         .filter((F.col("b_cell") != F.col("h_cell")) | (F.col("b_part") != F.col("h_part")))
         .withColumnsRenamed({"b_cell": "cell", "b_part": "part"})
     )
-    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     outside = F.zip_with(F.zip_with("lo", "far", lambda lo, f: lo - f), F.zip_with("hi", "far", lambda hi, f: f - hi), lambda a, b: F.greatest(a, b))
     least = F.array_max(F.concat(F.array(F.lit(0.0)), F.filter(outside, lambda g: g.isNotNull())))
-    slack = 1e-6 * (1 + least + F.sqrt("norm") + F.sqrt(size))
-    bound = (size + F.col("norm") - F.pow(F.greatest(least - slack, F.lit(0.0)), 2)) / 2 + 1e-9 * (size + F.col("norm")) + 1
-    rest = pairs.join(summary, ["dim", "cell", "part"]).filter(F.col("floor").isNull() | (bound >= F.col("floor")))
-    two = _round(blocked, rest.select("vec_id", "v", "far", "dim", "cell", "part", "floor"), k, slices)
+    slack = 1e-6 * (1 + least + F.sqrt("most") + F.sqrt("norm"))
+    bound = (F.col("norm") + F.col("most") - F.pow(F.greatest(least - slack, F.lit(0.0)), 2)) / 2 + 1e-9 * (F.col("norm") + F.col("most")) + 1
+    unbounded = (F.col("cell") == NO_PIVOT) | (F.col("h_cell") == NO_PIVOT) | F.col("floor").isNull()
+    rest = pairs.join(summary, ["dim", "cell", "part"]).filter(unbounded | (bound >= F.col("floor")))
+    two = _round(blocked, rest.select("vec_id", "x", "dim", "cell", "part", "floor"), chosen, k, slices)
     return best_of(one.unionByName(two), k)
 
 
 def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest inner products of every embedding whose id is divisible by 50 with all other rows."""
-    vectors = integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    vectors = sound_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
 OP6_SQL = """
 with sound as (
-    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::hugeint) as v from embeddings
     where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
     select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
