@@ -3,11 +3,13 @@
 A payload is padded to 64 bytes and stored as a WAV file of unsigned 8-bit samples; its ``fact`` chunk keeps the unpadded
 length. A gear hash that rolls over the bytes cuts the media where its top bits are zero, so equal passages give equal
 chunks wherever they stand. Chunk digests meet in Spark joins: the first media (by id) that holds a chunk owns it, and
-every other one refers to it. A media is read back from its ordered chunk list, its own chunks and those that it gets
-from owners, and checked against its SHA-256.
+every other one refers to it. The store is a written table: a row for each media, with its ordered chunk list and the bytes
+of the chunks that it owns, each chunk of the corpus once. A media is read back from the store alone: from its list, its
+own chunks and those that its owners' rows give, checked against their digests and the media's SHA-256.
 
-Shuffles: lists of digests and lengths, the compressed media once, by (media, key), and the chunks that others asked for.
-Copies of a payload share a media and travel as ids alone; a hot chunk is an equi-join key that Spark may split.
+Shuffles: lists of digests and lengths; each distinct media once, compressed, to its list; in reading, the chunks that
+others asked for and the rows that ask. Copies of a payload share a media and travel as ids alone, one of them with its
+bytes; a hot chunk is an equi-join key that Spark may split.
 
 Defined cases. Null text: the empty payload, 64 zero bytes. Null keys are kept. Repeated rows and equal texts share a
 media. Further columns are dropped. An empty table gives an empty result. Chunks are identified by 128 bits of SHA-256;
@@ -113,110 +115,132 @@ def chunk_lists(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def compressed_media(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, media_id and the media, compressed for its one shuffle."""
-    schema = df.select(key).schema.add("media_id", T.BinaryType()).add("packed", T.BinaryType())
+def compressed_media(df: DataFrame, text: str) -> DataFrame:
+    """media_id and the media, compressed for its one shuffle; a batch gives each media once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
-                batch = whole.slice(first, 256)
-                media = [_media_of(t) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([hashlib.sha256(m).digest() for m in media], pa.binary()), pa.array([pack.compress(m) for m in media], pa.binary())],
-                    names=[key, "media_id", "packed"],
-                )
+                media = {hashlib.sha256(m).digest(): m for t in whole.column(0).slice(first, 256).to_pylist() for m in (_media_of(t),)}
+                yield pa.RecordBatch.from_arrays([pa.array(media.keys(), pa.binary()), pa.array([pack.compress(m) for m in media.values()], pa.binary())], names=["media_id", "packed"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(text).mapInArrow(run, "media_id binary, packed binary")
+
+
+#: A chunk list as stored. from: the chunk's place in the media (its own place: an owned chunk; an earlier one: a chunk
+#: that the media holds twice), or null where `owner` holds it as its chunk `at`.
+PLAN = "array<struct<seq:int,length:int,digest:binary,from:int,owner:binary,at:int>>"
 
 
-def _given(stored: DataFrame) -> DataFrame:
-    """The owned chunks that other media refer to: of_media, of_seq, bytes."""
+def _keep_owned(joined: DataFrame) -> DataFrame:
+    """The store's rows, from media_id, plan, wanted and packed: of the media's bytes, only the owned chunks stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for whole in batches:
             for first in range(0, whole.num_rows, 64):
-                media, seqs, data = [], [], []
-                for name, packed, plan, wanted in zip(*(c.to_pylist() for c in whole.slice(first, 64).columns), strict=True):
-                    pieces = _pieces(unpack.decompress(packed), [p["length"] for p in plan])
-                    media += [name] * len(wanted)
-                    seqs += wanted
-                    data += [pieces[s] for s in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(seqs, pa.int32()), pa.array(data, pa.binary())], names=["g_media", "g_seq", "bytes"])
-
-    wanted = stored.filter(F.col("wanted").isNotNull()).select("media_id", "packed", "plan", "wanted")
-    return wanted.mapInArrow(run, "g_media binary, g_seq int, bytes binary")
+                batch = whole.slice(first, 64)
+                own = []
+                for plan, packed in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
+                    pieces = _pieces(unpack.decompress(packed.as_py()), [p["length"] for p in plan])
+                    own.append(b"".join(pieces[p["seq"]] for p in plan if p["from"] == p["seq"]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], names=["media_id", "plan", "wanted", "own"])
 
+    return joined.select("media_id", "plan", "wanted", "packed").mapInArrow(run, f"media_id binary, plan {PLAN}, wanted array<int>, own binary")
 
-def owned_chunks(media: bytes, plan: list[dict]) -> bytes:
-    """What the chunk store keeps of a media: the chunks that it owns, one after the other."""
-    pieces = _pieces(media, [p["length"] for p in plan])
-    return b"".join(pieces[p["seq"]] for p in plan if p["from"] == p["seq"])
 
+def write_store(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(key, media_id) of each row, and the chunk store: media_id, plan, wanted (owned chunks that others ask for), own (bytes).
 
-def join_chunks(plan: list[dict], own: bytes, others: dict[int, bytes]) -> bytes:
-    """The media, from its ordered chunk list, its owned chunks, and those of other media."""
-    pieces: list[bytes] = []
-    at = 0
+    Both are written tables; nothing in them leads back to df.
+    """
+    lists = materialize(chunk_lists(df, key, text), "chunk-lists")
+    chunks = lists.groupBy("media_id").agg(F.min("chunks").alias("chunks")).select("media_id", F.posexplode("chunks").alias("seq", "c"))
+    chunks = chunks.select("media_id", "seq", "c.digest", "c.length")
+    # written, so that the join has a plain exchange on each side and Spark may split the media that share one chunk
+    owners = chunks.groupBy(F.col("digest").alias("o_digest")).agg(F.min(F.struct("media_id", "seq")).alias("owner"), F.count("*").alias("n"))
+    shared = materialize(owners.filter("n > 1").drop("n"), "shared-chunks")
+    refs = chunks.join(shared, F.col("digest") == F.col("o_digest"), "left")
+    own = F.when(F.col("owner").isNull(), F.col("seq")).when(F.col("owner.media_id") == F.col("media_id"), F.col("owner.seq"))
+    refs = refs.select("media_id", "seq", "length", "digest", own.alias("from"), "owner")
+    foreign = F.col("from").isNull()
+    asked = refs.filter(foreign).select(F.col("owner.media_id").alias("media_id"), F.col("owner.seq").alias("seq")).distinct()
+    wanted = asked.groupBy("media_id").agg(F.sort_array(F.collect_list("seq")).alias("wanted"))
+    part = F.struct("seq", "length", "digest", "from", F.when(foreign, F.col("owner.media_id")).alias("owner"), F.when(foreign, F.col("owner.seq")).alias("at"))
+    plans = refs.groupBy("media_id").agg(F.sort_array(F.collect_list(part)).cast(PLAN).alias("plan"))
+    plans = materialize(plans.join(wanted, "media_id", "left"), "chunk-plans")
+    packed = compressed_media(df, text).groupBy("media_id").agg(F.min("packed").alias("packed"))
+    return lists.select(key, "media_id"), materialize(_keep_owned(plans.join(packed, "media_id")), "chunk-store")
+
+
+def _checked(piece: bytes, part: dict) -> bytes:
+    if hashlib.sha256(piece).digest()[:16] != part["digest"]:
+        raise ValueError(f"chunk {part['digest'].hex()} is damaged")
+    return piece
+
+
+def stored_chunks(plan: list[dict], own: bytes) -> dict[int, bytes]:
+    """The owned chunks of a row of the store, by their place in the media; a chunk that isn't what its digest says is an error."""
+    out, at = {}, 0
     for p in plan:
-        if p["from"] is None:
-            pieces.append(others[p["seq"]])
-        elif p["from"] == p["seq"]:
-            pieces.append(own[at : at + p["length"]])
+        if p["from"] == p["seq"]:
+            out[p["seq"]] = _checked(own[at : at + p["length"]], p)
             at += p["length"]
-        else:  # a chunk that the media holds twice
-            pieces.append(pieces[p["from"]])
-    return b"".join(pieces)
+    return out
+
+
+def join_chunks(plan: list[dict], own: bytes, others: dict[int, bytes]) -> bytes:
+    """The media, from its ordered chunk list, its owned chunks, and those of other media (by place in this one)."""
+    mine = stored_chunks(plan, own)
+    return b"".join(_checked(others[p["seq"]], p) if p["from"] is None else mine[p["from"]] for p in plan)
 
 
-def _rebuild(parts: DataFrame) -> DataFrame:
+def _given(store: DataFrame) -> DataFrame:
+    """The owned chunks that other media refer to: g_media, g_seq, bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 64):
+                rows = []
+                for name, plan, wanted, own in zip(*(c.to_pylist() for c in whole.slice(first, 64).columns), strict=True):
+                    mine = stored_chunks(plan, own)
+                    rows += [(name, s, mine[s]) for s in wanted]
+                names, seqs, data = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(seqs, pa.int32()), pa.array(data, pa.binary())], names=["g_media", "g_seq", "bytes"])
+
+    return store.filter(F.col("wanted").isNotNull()).select("media_id", "plan", "wanted", "own").mapInArrow(run, "g_media binary, g_seq int, bytes binary")
+
+
+def _rebuild(rows: DataFrame) -> DataFrame:
     """media_id and media, from plan, owned chunks and got; a media whose digest isn't its id is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for whole in batches:
             for first in range(0, whole.num_rows, 64):
                 batch = whole.slice(first, 64)
                 media = []
-                for name, plan, packed, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = owned_chunks(unpack.decompress(packed), plan)
+                for name, plan, own, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     media.append(join_chunks(plan, own, {g["seq"]: g["bytes"] for g in got or ()}))
                     if hashlib.sha256(media[-1]).digest() != name:
                         raise ValueError(f"media {name.hex()} is damaged")
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["media_id", "media"])
 
-    return parts.select("media_id", "plan", "packed", "got").mapInArrow(run, "media_id binary, media binary")
+    return rows.select("media_id", "plan", "own", "got").mapInArrow(run, "media_id binary, media binary")
 
 
-def store_and_read(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, media_id) of each row, and (media_id, media) as read back from the chunk store, once for each media."""
-    lists = materialize(chunk_lists(df, key, text), "chunk-lists")
-    medias = lists.groupBy("media_id").agg(F.min(F.struct(F.struct(key).alias("rep"), "chunks")).alias("m")).select("media_id", "m.rep", "m.chunks")
-    medias = materialize(medias, "medias")
-    chunks = medias.select("media_id", "rep", F.posexplode("chunks").alias("seq", "c")).select("media_id", "rep", "seq", "c.digest", "c.length")
-    # written, so that the join has a plain exchange on each side and Spark may split the media that share one chunk
-    owners = chunks.groupBy(F.col("digest").alias("o_digest")).agg(F.min(F.struct("media_id", "seq", "rep")).alias("owner"), F.count("*").alias("n"))
-    shared = materialize(owners.filter("n > 1").drop("n"), "shared-chunks")
-    refs = chunks.join(shared, F.col("digest") == F.col("o_digest"), "left")
-    own = F.when(F.col("owner").isNull(), F.col("seq")).when(F.col("owner.media_id") == F.col("media_id"), F.col("owner.seq"))
-    refs = refs.select("media_id", "rep", "seq", "length", own.alias("from"), "owner")
-    refs = materialize(refs, "chunk-owners")
-    plans = refs.groupBy("media_id", "rep").agg(F.sort_array(F.collect_list(F.struct("seq", "length", "from"))).alias("plan"))
-    asked = refs.filter(F.col("from").isNull()).select(
-        F.col("media_id").alias("to_media"), F.col("rep").alias("to_rep"), F.col("seq").alias("to_seq"),
-        F.col("owner.media_id").alias("of_media"), F.col("owner.rep").alias("of_rep"), F.col("owner.seq").alias("of_seq"),
-    )
-    wanted = asked.groupBy(F.col("of_media").alias("media_id"), F.col("of_rep").alias("rep")).agg(F.collect_set("of_seq").alias("wanted"))
-    plans = materialize(plans.join(wanted, ["media_id", "rep"], "left"), "chunk-plans")
-    # rows that repeat are one, before the shuffle that the join needs anyway
-    packed = compressed_media(df, key, text).select(F.col("media_id"), F.struct(key).alias("rep"), "packed").dropDuplicates(["media_id", "rep"])
-    stored = packed.join(plans, ["media_id", "rep"])
-    given = _given(stored)
-    sent = asked.join(given, (F.col("of_media") == F.col("g_media")) & (F.col("of_seq") == F.col("g_seq")))
-    got = sent.groupBy(F.col("to_media").alias("media_id"), F.col("to_rep").alias("rep")).agg(F.collect_list(F.struct(F.col("to_seq").alias("seq"), "bytes")).alias("got"))
-    return lists.select(key, "media_id"), _rebuild(stored.join(got, ["media_id", "rep"], "left"))
+def read_store(store: DataFrame) -> DataFrame:
+    """media_id and media of every row of a chunk store, from the store alone.
+
+    Media that own all their chunks are put together where they lie; the others are joined with the chunks they ask for.
+    """
+    asks = F.exists("plan", lambda p: p["from"].isNull())
+    alone = store.filter(~asks).withColumn("got", F.array().cast("array<struct<seq:int,bytes:binary>>"))
+    asked = store.filter(asks).select(F.col("media_id").alias("to_media"), F.explode(F.filter("plan", lambda p: p["from"].isNull())).alias("p"))
+    asked = asked.select("to_media", F.col("p.seq").alias("to_seq"), F.col("p.owner").alias("of_media"), F.col("p.at").alias("of_seq"))
+    sent = asked.join(_given(store), (F.col("of_media") == F.col("g_media")) & (F.col("of_seq") == F.col("g_seq")))
+    got = sent.groupBy(F.col("to_media").alias("media_id")).agg(F.collect_list(F.struct(F.col("to_seq").alias("seq"), "bytes")).alias("got"))
+    return _rebuild(alone.unionByName(store.filter(asks).join(got, "media_id")))
 
 
 def media_features(medias: DataFrame) -> DataFrame:
@@ -243,8 +267,8 @@ def media_features(medias: DataFrame) -> DataFrame:
 
 
 def op1_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text through the chunk store and back."""
-    rows, medias = store_and_read(table(spark, sf_dir, "documents"))
+    """Every document's text written to the chunk store and read back from it."""
+    rows, store = write_store(table(spark, sf_dir, "documents"))
     # each media once, and written: the join has a plain exchange on each side, and Spark may split the copies of one media
-    features = materialize(media_features(medias), "media-features")
+    features = materialize(media_features(read_store(store)), "media-features")
     return rows.join(features, "media_id").drop("media_id")
