@@ -30,6 +30,8 @@ from factloom.llm.base import materialize, table
 MIN_REVISIT = 100
 #: Magic of the skippable frame and of zstd dictionaries.
 SKIPPABLE, DICTIONARY = 0x184D2A5D, 0xEC30A437
+#: Bytes of an archive that the reader decodes at a time.
+PIECE_BYTES = 16 << 10
 #: Bounds of an archive, and of what a dictionary is trained on.
 ARCHIVE_RECORDS, ARCHIVE_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 8 << 20, 64, 1 << 20, 16 << 10
 LINE, END = b"\r\n", b"\r\n\r\n"
@@ -116,17 +118,19 @@ def read_archive(data: bytes) -> Iterator[dict]:
         if body[:4] != struct.pack("<I", DICTIONARY):
             raise BadRecord("not a dictionary")
         trained, at = zstandard.ZstdCompressionDict(body), 8 + size
-    decompressor = zstandard.ZstdDecompressor(dict_data=trained)
+    decompressor, view = zstandard.ZstdDecompressor(dict_data=trained), memoryview(data)
     while at < len(data):
-        frame = decompressor.decompressobj()
-        try:
-            record = frame.decompress(memoryview(data)[at:])
-        except zstandard.ZstdError as e:
-            raise BadRecord(f"frame at {at}: {e}") from e
-        if not frame.eof:
-            raise BadRecord(f"frame at {at} is cut off")
-        at = len(data) - len(frame.unused_data)
-        yield read_record(record)
+        frame, start, parts = decompressor.decompressobj(), at, []
+        while not frame.eof:  # piece by piece: what a piece holds beyond the frame is little, however long the archive
+            if at >= len(data):
+                raise BadRecord(f"frame at {start} is cut off")
+            try:
+                parts.append(frame.decompress(view[at : at + PIECE_BYTES]))
+            except zstandard.ZstdError as e:
+                raise BadRecord(f"frame at {start}: {e}") from e
+            at = min(len(data), at + PIECE_BYTES)
+        at -= len(frame.unused_data)
+        yield read_record(b"".join(parts))
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
