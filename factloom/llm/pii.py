@@ -80,37 +80,67 @@ def _valid(kind: str, surface: Column) -> Column:
     return F.lit(kind == "email")
 
 
-_SPAN = "array<struct<start:int,kind:int,end:int,base:boolean,surface:string,left:string,right:string>>"
+_SPAN = "array<struct<start:int,kind:int,end:int,base:boolean,surface:string,left:string,right:string,from:int,to:int>>"
+#: Elements that a running sum or a search takes at a time.
+CHUNK = 512
 
 
-def _step(number: int, kind: str) -> Callable[[Column, Column], Column]:
-    """Of an aggregate over (gap before, match, gap after): where the next gap starts, and the spans so far."""
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once for a row, however often it is used and in whatever lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["gap"])
-        end = start + F.length(m["hit"])
-        span = F.struct(
-            start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), _valid(kind, m["hit"]).alias("base"), m["hit"].alias("surface"),
-            F.right(m["gap"], F.lit(CONTEXT)).alias("left"), F.left(m["next"], F.lit(1)).alias("right"),
+
+def _chunks(values: Column) -> Column:
+    """An array in pieces of CHUNK elements; values must be a column or bound by let."""
+    return F.transform(
+        F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.slice(values, i * CHUNK + 1, F.lit(CHUNK)),
+    )
+
+
+def running(values: str, join: str) -> Column:
+    """Of each element of an array of int (SQL), join (SQL, of `a` and `v`) over all before it, zero for the first.
+
+    It goes piece by piece, so that the time is in proportion to the array even where it is long.
+    """
+    pieces = f"transform(if(size(w) > 0, sequence(0, cast((size(w) - 1) div {CHUNK} as int)), cast(array() as array<int>)), i -> slice(w, i * {CHUNK} + 1, {CHUNK}))"
+    scan = lambda over, start: f"aggregate({over}, named_struct('a', {start}, 'out', cast(array() as array<int>)), (s, v) -> transform(array(s.a), a -> named_struct('a', {join}, 'out', concat(s.out, array(a))))[0]).out"
+    totals = f"transform(p, q -> aggregate(q, 0, (a, v) -> {join}))"
+    whole = f"flatten(zip_with(p, {scan(totals, '0')}, (q, b) -> {scan('q', 'b')}))"
+    return F.expr(f"transform(array({values}), w -> transform(array({pieces}), p -> {whole})[0])[0]")
+
+
+def _span(number: int, kind: str) -> Callable[[Column], Column]:
+    """The span of a match, from what stands before it (in code points, in bytes, and as text) and after it."""
+
+    def span(m: Column) -> Column:
+        start, byte = m["at"] + F.length(m["gap"]), m["byte"] + F.octet_length(m["gap"])
+        return F.struct(
+            start.alias("start"), F.lit(number).alias("kind"), (start + F.length(m["hit"])).alias("end"), _valid(kind, m["hit"]).alias("base"), m["hit"].alias("surface"),
+            F.right(m["gap"], F.lit(CONTEXT)).alias("left"), F.left(m["next"], F.lit(1)).alias("right"), byte.alias("from"), (byte + F.octet_length(m["hit"])).alias("to"),
         )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span.cast(_SPAN[6:-1]))).alias("out"))
 
-    return step
+    return span
 
 
 def candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with _spans: every candidate as (start, kind number, end, base, surface, left, right), by start, then kind."""
+    """df with _spans: every candidate as (start, kind number, end, base, surface, left, right, from, to), by start, then kind.
+
+    from, to: the same places in bytes. Places are running sums of the lengths of gaps and matches.
+    """
     df = df.withColumn("_t", text_or_empty(text))
-    for kind in KINDS:
-        df = df.withColumn(f"_m_{kind}", F.when(_guard(kind, F.col("_t")), F.regexp_extract_all("_t", F.lit(PATTERNS[kind]), F.lit(0))))
-    for number, kind in enumerate(KINDS):
-        found = F.col(f"_m_{kind}")
-        gaps = F.split("_t", PATTERNS[kind], -1)
-        around = F.when(F.size(found) > 0, F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"), F.slice(gaps, 2, F.size(found)).alias("next")))
-        located = F.aggregate(around, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), _step(number, kind))["out"]
-        df = df.withColumn(f"_c_{kind}", F.coalesce(located, F.array().cast(_SPAN)))
+    df = df.withColumns({f"_m_{k}": F.when(_guard(k, F.col("_t")), F.regexp_extract_all("_t", F.lit(PATTERNS[k]), F.lit(0))) for k in KINDS})
+    df = df.withColumns({f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, F.split("_t", PATTERNS[k], -1)) for k in KINDS})
+
+    def located(number: int, kind: str) -> Column:
+        gaps, hits = F.col(f"_g_{kind}"), F.col(f"_m_{kind}")
+        before = lambda size: running(f"zip_with(slice(_g_{kind}, 1, size(_m_{kind})), _m_{kind}, (g, h) -> {size}(g) + {size}(h))", "a + v")
+        parts = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.size(hits)).alias("next"), before("length").alias("at"), before("octet_length").alias("byte"))
+        return F.when(gaps.isNotNull(), F.transform(parts, _span(number, kind)).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+
+    df = df.withColumns({f"_c_{k}": located(i, k) for i, k in enumerate(KINDS)})
     spans = F.array_sort(F.concat(*[F.col(f"_c_{k}") for k in KINDS]))
-    return df.withColumn("_spans", spans).drop("_t", *[f"_{p}_{k}" for p in "mc" for k in KINDS])
+    return df.withColumn("_spans", spans).drop("_t", *[f"_{p}_{k}" for p in "mgc" for k in KINDS])
 
 
 def votes(s: Column) -> list[Column]:
@@ -178,8 +208,9 @@ def fit(annotated: DataFrame) -> SpanModel:
         return SpanModel({}, {}, {})
     accuracy, share, posterior = estimate(sorted(patterns))
     # soft labels: each vote pattern's posterior, summed for each feature
-    label = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("votes") == F.array(*[F.lit(x) for x in v])), F.lit(p)) for (k, v), p in posterior.items()])
-    soft = counted.select("kind", F.explode("features").alias("feature"), (F.col("n") * label).alias("yes"), (F.col("n") * (1 - label)).alias("no"))
+    labels = annotated.sparkSession.createDataFrame([(k, list(v), p) for (k, v), p in sorted(posterior.items())], "kind int, votes array<int>, label double")
+    label = F.col("label")
+    soft = counted.join(F.broadcast(labels), ["kind", "votes"]).select("kind", F.explode("features").alias("feature"), (F.col("n") * label).alias("yes"), (F.col("n") * (1 - label)).alias("no"))
     rows = soft.groupBy("kind", "feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()
     true = {k: sum(n * posterior[k, v] for kind, v, n in patterns if kind == k) for k in share}
     false = {k: sum(n * (1 - posterior[k, v]) for kind, v, n in patterns if kind == k) for k in share}
@@ -188,9 +219,12 @@ def fit(annotated: DataFrame) -> SpanModel:
 
 
 def classify(annotated: DataFrame, model: SpanModel) -> DataFrame:
-    """_spans narrowed to the spans found: base ones, and candidates of which the classifier is sure that no base one overlaps."""
-    number = "array<struct<start:int,kind:int,end:int,base:boolean>>"
-    slim = lambda s: F.struct(s["start"], s["kind"], s["end"], s["base"])
+    """_spans narrowed to the spans found: base ones, and candidates of which the classifier is sure that no base one overlaps.
+
+    Base spans stand in pieces by start; a candidate looks into those pieces only whose reach it touches.
+    """
+    number = "array<struct<start:int,kind:int,end:int,base:boolean,from:int,to:int>>"
+    slim = lambda s: F.struct(s["start"], s["kind"], s["end"], s["base"], s["from"], s["to"])
     base = F.transform(F.filter("_spans", lambda s: s["base"]), slim).cast(number)
     if not model.prior:
         return annotated.withColumn("_spans", base)
@@ -203,9 +237,16 @@ def classify(annotated: DataFrame, model: SpanModel) -> DataFrame:
             odds = odds + F.coalesce(weights[f], F.lit(0.0))
         return odds >= math.log(SURE / (1 - SURE))
 
-    apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.transform(F.filter("_spans", lambda s: ~s["base"] & (s["kind"] >= BASE) & apart(s) & sure(s)), slim).cast(number)
-    return annotated.withColumn("_base", base).withColumn("_spans", F.array_sort(F.concat("_base", added))).drop("_base")
+    meets = lambda a, s: (a["start"] < s["end"]) & (s["start"] < a["end"])
+    reach = lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("start"), F.array_max(F.transform(p, lambda b: b["end"])).alias("end"), p.alias("spans"))
+    apart = lambda s, reaches: ~F.exists(reaches, lambda r: meets(r, s) & F.exists(r["spans"], lambda b: meets(b, s)))
+    wider = F.filter("_spans", lambda s: ~s["base"] & (s["kind"] >= BASE))
+
+    def found(base: Column) -> Column:
+        added = let(F.transform(_chunks(base), reach), lambda reaches: F.filter(wider, lambda s: apart(s, reaches) & sure(s)))
+        return F.array_sort(F.concat(base, F.transform(added, slim).cast(number)))
+
+    return annotated.withColumn("_spans", let(base, found))
 
 
 def find_spans(df: DataFrame, text: str = "text", keep_text: bool = True) -> tuple[DataFrame, SpanModel]:
@@ -217,23 +258,23 @@ def find_spans(df: DataFrame, text: str = "text", keep_text: bool = True) -> tup
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the spans of _spans in the text by their kind in brackets; of overlapping spans, the first and what sticks out go."""
+    """Replace the spans of _spans in the text by their kind in brackets; of overlapping spans, the first and what sticks out go.
+
+    Pieces are cut out of the text's bytes and joined once, so the time is in proportion to the text.
+    """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    done = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"])).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-    )
-    cleaned = done["out"]
-    rest = F.substring(F.col(text), done["at"] + 1, F.length(F.col(text)))
-    return df.withColumn(text, F.when(F.size("_spans") > 0, F.concat(cleaned, rest)).otherwise(F.col(text)))
+    ends = running("transform(_spans, s -> s.to)", "greatest(a, v)")
+
+    def cleaned(data: Column) -> Column:
+        piece = lambda s, at: F.when(s["from"] >= at, F.concat(F.substring(data, at + 1, s["from"] - at).cast("string"), F.get(names, s["kind"]))).otherwise("")
+        last = F.greatest(F.array_max(F.transform("_spans", lambda s: s["to"])), F.lit(0))
+        return F.concat(F.array_join(F.zip_with("_spans", ends, piece), ""), F.substring(data, last + 1, F.octet_length(data)).cast("string"))
+
+    return df.withColumn(text, F.when(F.size("_spans") > 0, let(F.col(text).cast("binary"), cleaned)).otherwise(F.col(text)))
 
 
 def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found, _ = find_spans(docs, keep_text=False)
     names = F.array(*[F.lit(k) for k in KINDS])
     written = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
