@@ -29,8 +29,8 @@ from factloom.llm.base import spread, table
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the byte-level pre-tokenizer's pattern, white space spelled out.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Entries of a worker's table of pieces; it is emptied when full.
-KEPT_PIECES = 400_000
+#: Bytes of a worker's table of pieces (it is emptied when full), what an entry takes besides its own bytes, and the longest piece kept.
+KEPT_BYTES, ENTRY_BYTES, LONGEST = 96 << 20, 160, 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -60,6 +60,7 @@ class Bpe:
         # longest first, so that no added token hides a longer one
         self.split = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.kept: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
@@ -86,20 +87,25 @@ class Bpe:
                 heapq.heappush(queue, (found[0], before[at], symbol[before[at]], whole, found[1]))
         return [s for s in symbol if s >= 0]
 
+    def _ids(self, word: str) -> bytes:
+        """The ids of a piece; short ones are kept."""
+        found = self.kept.get(word)
+        if found is None:
+            found = np.array(self.merge(word.encode("utf-8", "surrogatepass")), np.int32).tobytes()
+            if len(word) <= LONGEST:
+                if self.held >= KEPT_BYTES:
+                    self.kept.clear()
+                    self.held = 0
+                self.kept[word] = found
+                self.held += ENTRY_BYTES + 4 * len(word) + len(found)
+        return found
+
     def _plain(self, text: str) -> bytes:
         words = self.pieces.findall(text)
-        kept = self.kept
         try:
-            return b"".join(map(kept.__getitem__, words))
+            return b"".join(map(self.kept.__getitem__, words))
         except KeyError:
-            for word in words:
-                if word not in kept:
-                    if len(kept) >= KEPT_PIECES:
-                        kept.clear()
-                    kept[word] = np.array(self.merge(word.encode("utf-8", "surrogatepass")), np.int32).tobytes()
-            if all(word in kept for word in words):
-                return b"".join(map(kept.__getitem__, words))
-            return b"".join(np.array(self.merge(word.encode("utf-8", "surrogatepass")), np.int32).tobytes() for word in words)
+            return b"".join(map(self._ids, words))
 
     def encode(self, text: str) -> np.ndarray:
         if not self.split or not (found := list(self.split.finditer(text))):
@@ -145,7 +151,7 @@ def byte_bpe_path() -> str:
 
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded; the digests of both."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     coded = encode_decode(docs, byte_bpe_path())
     return coded.select(
         "doc_id",

@@ -148,5 +148,5 @@ def held_out(key: str = "doc_id") -> Column:
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.filter(~held_out()), "lang", "text", "doc_id")
-    out = identify(spread(docs.select("doc_id", "text"), "doc_id"), model)
+    out = identify(spread(docs.select("doc_id", "text")), model)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_set")

@@ -32,8 +32,8 @@ NUMBER_BUCKETS = 2048
 #: Texts of these characters alone are looked up word by word; all others go to the tokenizers library whole.
 #: (Composed Latin letters only: normalization leaves them alone, and lower-casing has no context. U+0130 is left out.)
 _SIMPLE = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*")
-#: Words in a worker's table; it is emptied when full.
-KEPT_WORDS = 1_000_000
+#: Bytes of a worker's table of words (it is emptied when full), what an entry takes besides its own bytes, and the longest word kept.
+KEPT_BYTES, ENTRY_BYTES, LONGEST = 192 << 20, 160, 64
 
 
 class WordTokenizer:
@@ -53,6 +53,11 @@ class WordTokenizer:
         self.letters.normalizer = None
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kept: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.kept[word] = ids
+        self.held += ENTRY_BYTES + 4 * len(word) + len(ids)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -65,13 +70,14 @@ class WordTokenizer:
         for word in words:
             place += len(word) + 1
             last = bisect_left(starts, place, first)
-            self.kept[word] = data[4 * first : 4 * last]
+            self._keep(word, data[4 * first : 4 * last])
             first = last
 
     def _learn(self, words: list[str]) -> None:
         kept = self.kept
-        if len(kept) + 2 * len(words) > KEPT_WORDS:
+        if self.held >= KEPT_BYTES:
             kept.clear()
+            self.held = 0
         # a word of letters and one mark is that word and that mark
         marked = [w for w in words if w[-1] in ".," and w[:-1].isalpha()]
         letters = list({w for w in [*(w[:-1] for w in marked), *(w for w in words if w.isalpha())] if w not in kept})
@@ -80,7 +86,7 @@ class WordTokenizer:
             if part:
                 self._ask(tokenizer, part)
         for w in marked:
-            kept[w] = kept[w[:-1]] + kept[w[-1]]
+            self._keep(w, kept[w[:-1]] + kept[w[-1]])
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or not _SIMPLE.fullmatch(text):
@@ -90,6 +96,8 @@ class WordTokenizer:
             return b"".join(map(self.kept.__getitem__, words))
         except KeyError:
             new = list({w for w in words if w not in self.kept})
+            if max(map(len, new)) > LONGEST:  # words without end aren't kept
+                return self._ids(text)
             for at in range(0, len(new), 2000):
                 self._learn(new[at : at + 2000])
             try:
@@ -151,12 +159,13 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
     """The pieces with sequence_id (gapless over all, lengths in falling order) and offset in the sequence (0: it is alone).
 
     The pieces are written once, because numbering reads them twice and tokenizing is dear. Lengths are 13 at most, so
-    one length may hold a third of all pieces: its numbers are dealt in buckets of the key.
+    one length may hold a third of all pieces: its numbers are dealt in buckets of the piece's place in the written
+    table, so documents that repeat, or have no key, are dealt out like all others.
     """
-    pieces = materialize(cut_documents(df, tokenizer, key, text, max_length, end_id, with_ids), "pieces")
-    bucket = F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(NUMBER_BUCKETS)).cast("int")
-    order = [F.col(key).asc_nulls_first(), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")]
-    numbered = gapless(pieces, ["length"], bucket, order, "_slot", NUMBER_BUCKETS)
+    cut = cut_documents(df, tokenizer, key, text, max_length, end_id, with_ids)
+    pieces = materialize(cut.withColumn("_place", F.monotonically_increasing_id()), "pieces")
+    bucket = F.pmod(F.xxhash64("_place"), F.lit(NUMBER_BUCKETS)).cast("int")
+    numbered = gapless(pieces, ["length"], bucket, [F.col("_place")], "_slot", NUMBER_BUCKETS).drop("_place")
     totals = pieces.groupBy("length").agg(F.count("*").alias("_n"))
     longer = Window.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1)  # 13 rows: one for each length
     bases = totals.select("length", F.coalesce(F.sum("_n").over(longer), F.lit(0)).alias("_base"))
@@ -176,6 +185,6 @@ def word_bpe_path() -> str:
 
 def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of binary length; sequences of 4096 ids at most, unpadded."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = pack(docs, word_bpe_path(), with_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

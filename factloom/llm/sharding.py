@@ -4,9 +4,10 @@ A record goes to the shard with the least ``-ln(u) / weight``, where u in (0, 1)
 score of one shard does not depend on the others, so a new shard only takes the records on which it wins, and a removed
 one only gives up its own.
 
-Defined cases. A null key is hashed as the string ``null``; repeated keys share a shard and get slots of their own.
-A null text has size 1 and the checksum of no bytes. An empty table gives an empty result. Further columns are kept by
-``assign_shards`` under any name but those that it uses (shard, slot, _bucket, _row, _start), which are replaced or dropped.
+Defined cases. A null key is hashed as the string ``null``; repeated keys share a shard and get slots of their own. Rows
+that repeat whole are counted before they are shuffled, and numbered by their count. A null text has size 1 and the
+checksum of no bytes. An empty table gives an empty result. Further columns are kept by ``assign_shards`` under any name
+but those that it uses (shard, slot, _bucket, _row, _start, _copies), which are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -42,18 +43,24 @@ def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
 def assign_shards(df: DataFrame, key: str, weights: Sequence[float], order: Sequence[str] = ()) -> DataFrame:
     """Add ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard, by bucket, key, then `order`).
 
-    The one shuffle of rows is on 4,096 x shards groups, whatever shard is hot.
+    Buckets come from the key and `order`, 4,096 in each shard: neither a hot shard nor a key that many rows repeat is
+    numbered in one task, and rows that are equal in all columns travel as one with their count.
     """
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    df = df.drop("shard", "slot")
+    once = df.groupBy(*df.columns).agg(F.count("*").alias("_times"))
+    name = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order])
     bucket = F.conv(F.substring(F.md5(name.cast("binary")), 1, 3), 16, 10).cast("int")
-    placed = df.withColumn("shard", rendezvous_shard(F.col(key), weights))
+    placed = once.withColumn("shard", rendezvous_shard(F.col(key), weights))
     by = [F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]]
-    return gapless(placed, ["shard"], bucket, by, "slot", SLOT_BUCKETS)
+    return gapless(placed, ["shard"], bucket, by, "slot", SLOT_BUCKETS, "_times")
 
 
+#: Weights of the query's second assignment: capacities of shards that differ.
+CAPACITIES = [1.0, 2.0, 4.0, 1.5] * 4
+
 
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents over shards 0 to 15 of equal weight, law ``key``; grown_shard: with shard 16 added."""
+    """All documents over shards 0 to 15 of equal weight, law ``key``; grown_shard: with shard 16 added; weighted_shard: by CAPACITIES."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
@@ -63,6 +70,7 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
         rendezvous_shard(F.col("doc_id"), [1.0] * 17).alias("grown_shard"),
+        rendezvous_shard(F.col("doc_id"), CAPACITIES).alias("weighted_shard"),
     )
 
 
@@ -90,9 +98,10 @@ checked as (
 scored as (
     select doc_id, name, size, text_crc32,
            list_transform(range(17), lambda i: {{'score': -ln((('0x' || substr(md5(name || ':' || i), 1, 12))::ubigint::double + 0.5) / 281474976710656.0), 'shard': i}}) as s,
-           ('0x' || substr(md5(name), 1, 3))::int as bucket
+           list_transform(range(16), lambda i: {{'score': -ln((('0x' || substr(md5(name || ':' || i), 1, 12))::ubigint::double + 0.5) / 281474976710656.0) / {CAPACITIES}[i + 1], 'shard': i}}) as w,
+           ('0x' || substr(md5(name || ':' || text_crc32 || ':' || size), 1, 3))::int as bucket
     from checked),
-placed as (select *, list_min(s[1:16]).shard::int as shard, list_min(s).shard::int as grown_shard from scored)
+placed as (select *, list_min(s[1:16]).shard::int as shard, list_min(s).shard::int as grown_shard, list_min(w).shard::int as weighted_shard from scored)
 select doc_id, size, text_crc32, 'key' as law, shard,
-       row_number() over (partition by shard order by bucket, doc_id nulls first, text_crc32, size) - 1 as slot, grown_shard
+       row_number() over (partition by shard order by bucket, doc_id nulls first, text_crc32, size) - 1 as slot, grown_shard, weighted_shard
 from placed"""
