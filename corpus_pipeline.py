@@ -20,7 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, of a language that the model knows; lang becomes the predicted one. The rest goes."""
     model = langid.train(docs.filter(~langid.held_out()), "lang", "text", "doc_id")
-    found = langid.identify(spread(docs.select(*COLUMNS), "doc_id"), model)
+    found = langid.identify(spread(docs.select(*COLUMNS)), model)
     return found.filter(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
@@ -42,13 +42,13 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose personal data are replaced by their kind in brackets; n_chars is the new length."""
-    found, _ = pii.find_spans(spread(docs.select(*COLUMNS), "doc_id"), "text")
+    found, _ = pii.find_spans(spread(docs.select(*COLUMNS)), "text")
     return pii.redact(found, "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, in sequences of binary length, with its ids."""
-    return packing.pack(spread(docs.select("doc_id", "text"), "doc_id"), packing.word_bpe_path(), with_ids=True).select(
+    return packing.pack(spread(docs.select("doc_id", "text")), packing.word_bpe_path(), with_ids=True).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"
     )
 
