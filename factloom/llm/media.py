@@ -5,15 +5,15 @@ length. A gear hash that rolls over the bytes cuts the media where its top bits
 chunks wherever they stand. Chunk digests meet in Spark joins: the first media (by id) that holds a chunk owns it, and
 every other one refers to it. The store is a written table: a row for each media, with its ordered chunk list and the bytes
 of the chunks that it owns, each chunk of the corpus once. A media is read back from the store alone: from its list, its
-own chunks and those that its owners' rows give, checked against their digests and the media's SHA-256.
+own chunks and those that its owners' rows give, checked against their digests and the media's own.
 
 Shuffles: lists of digests and lengths; each distinct media once, compressed, to its list; in reading, the chunks that
 others asked for and the rows that ask. Copies of a payload share a media and travel as ids alone, one of them with its
 bytes; a hot chunk is an equi-join key that Spark may split.
 
 Defined cases. Null text: the empty payload, 64 zero bytes. Null keys are kept. Repeated rows and equal texts share a
-media. Further columns are dropped. An empty table gives an empty result. Chunks are identified by 128 bits of SHA-256;
-a false match would fail the media's own check.
+media. Further columns are dropped. An empty table gives an empty result. Media and chunks are named by 128 bits of their
+SHA-256; a false match of a chunk would fail the media's own check.
 """
 
 from __future__ import annotations
@@ -95,8 +95,13 @@ def _media_of(text: str | None) -> bytes:
     return to_media((text or "").encode("utf-8", "surrogatepass"))
 
 
+def media_digest(media: bytes) -> bytes:
+    """128 bits: what names a media, or a chunk."""
+    return hashlib.sha256(media).digest()[:16]
+
+
 def chunk_lists(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, media_id (SHA-256), chunks (array of digest, length), of each row."""
+    """key, media_id (its digest), chunks (array of digest, length), of each row."""
     schema = df.select(key).schema.add("media_id", T.BinaryType()).add("chunks", T.ArrayType(T.StructType().add("digest", T.BinaryType()).add("length", T.IntegerType())))
     chunks = pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32())]))
 
@@ -107,9 +112,9 @@ def chunk_lists(df: DataFrame, key: str, text: str) -> DataFrame:
                 ids, lists = [], []
                 for t in batch.column(1).to_pylist():
                     media = _media_of(t)
-                    ids.append(hashlib.sha256(media).digest())
+                    ids.append(media_digest(media))
                     lengths = cut(media)
-                    lists.append([(hashlib.sha256(c).digest()[:16], len(c)) for c in _pieces(media, lengths)])
+                    lists.append([(media_digest(c), len(c)) for c in _pieces(media, lengths)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(lists, chunks)], names=[key, "media_id", "chunks"])
 
     return df.select(key, text).mapInArrow(run, schema)
@@ -122,7 +127,7 @@ def compressed_media(df: DataFrame, text: str) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3)
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
-                media = {hashlib.sha256(m).digest(): m for t in whole.column(0).slice(first, 256).to_pylist() for m in (_media_of(t),)}
+                media = {media_digest(m): m for t in whole.column(0).slice(first, 256).to_pylist() for m in (_media_of(t),)}
                 yield pa.RecordBatch.from_arrays([pa.array(media.keys(), pa.binary()), pa.array([pack.compress(m) for m in media.values()], pa.binary())], names=["media_id", "packed"])
 
     return df.select(text).mapInArrow(run, "media_id binary, packed binary")
@@ -175,7 +180,7 @@ def write_store(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
 
 
 def _checked(piece: bytes, part: dict) -> bytes:
-    if hashlib.sha256(piece).digest()[:16] != part["digest"]:
+    if media_digest(piece) != part["digest"]:
         raise ValueError(f"chunk {part['digest'].hex()} is damaged")
     return piece
 
@@ -222,7 +227,7 @@ def _rebuild(rows: DataFrame) -> DataFrame:
                 media = []
                 for name, plan, own, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     media.append(join_chunks(plan, own, {g["seq"]: g["bytes"] for g in got or ()}))
-                    if hashlib.sha256(media[-1]).digest() != name:
+                    if media_digest(media[-1]) != name:
                         raise ValueError(f"media {name.hex()} is damaged")
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["media_id", "media"])
 
@@ -248,8 +253,8 @@ def media_features(medias: DataFrame) -> DataFrame:
 
     feature: sum, least and greatest sample, and crossings of the middle value.
     """
-    schema = "media_id binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    arrow = pa.schema([("media_id", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    schema = "media_id binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
+    arrow = pa.schema([("media_id", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +265,7 @@ def media_features(medias: DataFrame) -> DataFrame:
                 a = np.frombuffer(samples, np.uint8)
                 crossings = int(np.count_nonzero(np.diff(a >= 128)))
                 feature = f"sum={int(a.sum(dtype=np.int64))} min={a.min()} max={a.max()} crossings={crossings}"
-                rows.append((name, length, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                rows.append((name, length, len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).digest(), feature))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(arrow), arrow, strict=True)], schema=arrow)
 
     return medias.mapInArrow(run, schema)
@@ -271,4 +276,5 @@ def op1_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, store = write_store(table(spark, sf_dir, "documents"))
     # each media once, and written: the join has a plain exchange on each side, and Spark may split the copies of one media
     features = materialize(media_features(read_store(store)), "media-features")
-    return rows.join(features, "media_id").drop("media_id")
+    hexed = {c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}  # after the join, which moves half as many bytes
+    return rows.join(features, "media_id").drop("media_id").withColumns(hexed)

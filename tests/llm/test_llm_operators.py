@@ -49,7 +49,7 @@ def test_media_round_trip(docs, empty):
     found = rows.join(media.media_features(media.read_store(store)).dropDuplicates(["media_id"]), "media_id").collect()
     assert len(found) == docs.count()
     expected = sorted((str(r.doc_id), len((r.text or "").encode()), hashlib.sha256(padded(r.text)).hexdigest(), zlib.crc32(padded(r.text)[-64:])) for r in docs.collect())
-    assert sorted((str(r.doc_id), r.n_bytes, r.payload_sha256, r.tail_crc32) for r in found) == expected
+    assert sorted((str(r.doc_id), r.n_bytes, r.payload_sha256.hex(), r.tail_crc32) for r in found) == expected
     rows, store = media.write_store(empty)
     assert rows.count() == 0 and media.read_store(store).count() == 0
 
