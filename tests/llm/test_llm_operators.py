@@ -357,6 +357,7 @@ def brute_classes(texts, width, share):
 @pytest.mark.parametrize(("width", "share"), [(4, (85, 100)), (5, (80, 100))])
 def test_classes_against_brute_force(spark, width, share, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)  # several blocks in a cluster
+    monkeypatch.setattr(jaccard, "CLUSTER", 8)  # and clusters that share a task, or don't
     monkeypatch.setattr(jaccard, "SMALL", 6)  # and frequent n-grams
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
@@ -395,14 +396,38 @@ def test_repeated_rows_are_one_node(spark):
 
 
 def test_overlaps_are_sums_of_fragments(monkeypatch):
+    """Partial overlaps of every fragment, as a matrix and as pairs, sum up to the overlaps of whole sets."""
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 500, 120)).astype(np.uint64) for _ in range(9)]
+    pool = rng.integers(0, (1 << 64) - 1, 300, np.uint64)
+    sets = [np.unique(pool[rng.integers(0, 300, 120)]) for _ in range(9)]
+    key = np.sort(pool[:80] >> np.uint64(64 - jaccard.KEY_BITS))
+    order = jaccard.Order(256, np.zeros(1 << 10, np.uint8), key, np.arange(8, 88))
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
-    for width in (7, 4096):
-        monkeypatch.setattr(jaccard, "FRAGMENT", width)
-        assert jaccard.overlaps(sets[:4], sets[4:]).tolist() == [row[4:] for row in want[:4]]
-        inside = jaccard.overlaps(sets, None)
-        assert all(inside[i, j] == want[i][j] for i in range(9) for j in range(9) if i != j)
+    fragments = sorted({f for s in sets for f in order.fragments(s).tolist()})
+    assert len(fragments) > 8
+    position = np.lexsort((pool, order.classes(pool)))  # the order's fragments are contiguous
+    assert (np.diff(order.fragments(pool)[position]) >= 0).all()
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    whole, pairs = np.zeros((9, 9), int), np.zeros((9, 9), int)
+    for f in fragments:
+        cut = [s[order.fragments(s) == f] for s in sets]
+        whole += jaccard.overlaps(cut, list(cut))
+        a, b, n = jaccard.meeting_pairs(np.zeros(9, int), cut)
+        pairs[a, b] += n
+    assert whole.tolist() == want
+    assert all(pairs[i, j] == want[i][j] for i in range(9) for j in range(i + 1, 9))
+
+
+def test_a_passage_in_most_documents(spark):
+    """A boilerplate passage that two thirds of all documents hold ties none of them that isn't near another."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(60))
+    texts = [passage + " " + " ".join(word() for _ in range(rng.randrange(30, 200))) for _ in range(160)] + [" ".join(word() for _ in range(80)) for _ in range(60)]
+    texts += [texts[3] + " tail", texts[200] + " tail", passage, passage + " x"]
+    out = jaccard.set_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()
+    sizes, roots = brute_classes(texts, 4, (85, 100))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == {i: x for i, x in enumerate(zip(sizes, roots, strict=True))}
 
 
 # personal data
