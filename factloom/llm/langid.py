@@ -2,9 +2,11 @@
 
 Training counts character trigrams (letters in lower case, everything else one blank) in FEATURES hash buckets for each
 language, over labelled rows; where a language has more than TRAIN_ROWS of them, a hash of the key picks about that many
-(a documented bound: the model's size and cost don't grow). A document's trigrams are draws from a mixture of languages;
+(a documented bound: the model's size and cost don't grow). The MAX_LANGUAGES labels with most rows are learned (ties by
+name), which bounds the model at 32 MB. A document's trigrams are draws from a mixture of languages;
 EM finds the proportions, and of the nested sets of the likeliest languages that with the best likelihood less PENALTY x
-(languages) x ln(trigrams) is kept. The prediction is the set's largest language; the score is its proportion.
+(languages) x ln(trigrams) is kept. Proportions are fitted again on the kept set: the prediction is its largest language,
+the score that language's proportion in it.
 
 Defined cases. Text null or without a letter: ``und``, score 0, no languages; so with no trained language. Null labels
 aren't learned from. Ties go to the earlier name. Whole texts count, however long. Repeated rows count each. Other columns
@@ -27,8 +29,8 @@ from pyspark.sql import types as T
 from factloom.llm.base import spread, table
 
 FEATURES = 1 << 15
-#: Bound of the training rows of a language, about; most languages that a model may have.
-TRAIN_ROWS, MAX_LANGUAGES = 20_000, 1000
+#: Documented bounds of the model: training rows of a language, about, and languages that are learned.
+TRAIN_ROWS, MAX_LANGUAGES = 20_000, 256
 SMOOTHING, PENALTY, SHARE, ROUNDS = 0.2, 3.0, 0.03, 40
 
 
@@ -58,11 +60,9 @@ class LanguageModel:
 
 def train(df: DataFrame, label: str, text: str, key: str, rows: int = TRAIN_ROWS) -> LanguageModel:
     labelled = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r[0]: r[1] for r in labelled.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), label).limit(MAX_LANGUAGES).collect()}
     if not sizes:
-        return LanguageModel([], np.zeros((FEATURES, 0)))
+        return LanguageModel([], np.zeros((FEATURES, 0), np.float32))
     shares = [F.struct(F.lit(k).alias("k"), F.lit(min(1.0, rows / n)).alias("v")) for k, n in sorted(sizes.items())]
     share = F.map_from_entries(F.array(*shares))[F.col(label)]
     picked = labelled.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20))
@@ -79,12 +79,11 @@ def train(df: DataFrame, label: str, text: str, key: str, rows: int = TRAIN_ROWS
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["language", "bucket", "n"])
 
     counts = picked.select(label, text).mapInArrow(count, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()  # FEATURES x languages rows at most
     languages = sorted(sizes)
-    n = np.zeros((FEATURES, len(languages)))
-    n[found["bucket"].to_numpy(np.int64), [languages.index(x) for x in found["language"]]] = found["n"].to_numpy(float)
-    n += SMOOTHING
-    return LanguageModel(languages, n / n.sum(0))
+    n = np.full((FEATURES, len(languages)), SMOOTHING)
+    for r in counts.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("n")).toLocalIterator():  # a row for each language, FEATURES in it at most
+        n[[x.bucket for x in r.n], languages.index(r.language)] += [x.n for x in r.n]
+    return LanguageModel(languages, (n / n.sum(0)).astype(np.float32))
 
 
 def mixture(likelihood: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -106,18 +105,19 @@ def infer(model: LanguageModel, text: str | None) -> tuple[str, float, list[str]
         return "und", 0.0, []
     counts = np.bincount(at)
     seen = np.flatnonzero(counts)
-    counts, likelihood = counts[seen].astype(float), model.likelihood[seen]
+    counts, likelihood = counts[seen].astype(float), model.likelihood[seen].astype(float)
     share, _ = mixture(likelihood, counts)
     order = np.argsort(-share, kind="stable")
-    best, kept, cost = -np.inf, order[:1], PENALTY * np.log(counts.sum() + 1)
+    best, kept, fitted, cost = -np.inf, order[:1], np.ones(1), PENALTY * np.log(counts.sum() + 1)
     for size in range(1, len(order) + 1):
         if size > 1 and share[order[size - 1]] < SHARE:
             break
         part = likelihood[:, order[:size]]
-        gain = (float(counts @ np.log(part[:, 0])) if size == 1 else mixture(part, counts)[1]) - cost * size
-        if gain > best:
-            best, kept = gain, order[:size]
-    return model.languages[order[0]], float(min(1.0, share[order[0]])), sorted(model.languages[i] for i in kept)
+        parts, gain = (np.ones(1), float(counts @ np.log(part[:, 0]))) if size == 1 else mixture(part, counts)
+        if gain - cost * size > best:
+            best, kept, fitted = gain - cost * size, order[:size], parts
+    first = min(range(len(kept)), key=lambda i: (-fitted[i], model.languages[kept[i]]))
+    return model.languages[kept[first]], float(min(1.0, fitted[first])), sorted(model.languages[i] for i in kept)
 
 
 ADDED = ("lang_pred", "score", "lang_set")
