@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -121,6 +122,18 @@ def test_damage_is_found(spark):
         media.from_media(m[:-1])
 
 
+def test_media_query_equals_brute_force(spark, data):
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in QUERIES["op1_content_defined_chunks"](spark, data).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        p, g = padded(r.text), got[r.doc_id]
+        want = (len((r.text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p) + media.HEADER, hashlib.sha256(media.to_media((r.text or "").encode())).hexdigest())
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32, g.media_bytes, g.media_sha256) == want
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(p, p[1:], strict=False))
+        assert g.feature == f"sum={sum(p)} min={min(p)} max={max(p)} crossings={crossings}"
+
+
 # sharding
 
 
@@ -175,27 +188,72 @@ def brute_digest(turns):
     return hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
 
 
+def tokens_of(role, text):
+    return 4 + -(-(len(role) + len(text)) // 4)
+
+
+def check_windows(windows, rows):
+    """Windows of rows (conv, turn, role, text): within the budget, and all turns read back in order."""
+    for c in {r[0] for r in rows}:
+        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or ""))]
+        own = [w for w in windows if w.conv_id == c]
+        read = []
+        for t in (t for w in own for t in w.turns):
+            if t.continued:
+                read[-1] = (read[-1][0], read[-1][1] + t.text)
+            else:
+                read.append((t.role, t.text))
+        assert brute_digest(read) == brute_digest(turns) and sum(w.n_new for w in own) == len(turns)
+        assert "".join(t for w in own for t in w.targets) == "".join(t for r, t in turns if r == "assistant")
+        for w in own:
+            parts = [chat_part(p) for p in w.formatted.split("</s>\n")[:-1]]
+            assert sum(tokens_of(*p) for p in parts) <= chat.WINDOW_TOKENS and sum(tokens_of(t.role, t.text) for t in w.turns) <= chat.NEW_TOKENS
+        if turns and turns[0][0] == "system":
+            assert all(w.formatted.startswith("<s>[system]") for w in own)
+
+
+def chat_part(part):
+    role, _, text = part[4:].partition("]")
+    for plain, entity in reversed(chat.ENTITIES):
+        role, text = role.replace(entity, plain), text.replace(entity, plain)
+    return role, text
+
+
 def test_windows_read_back(spark):
     rng = random.Random(4)
     rows = []
     for c in [*range(12), None]:
         for t in range(rng.randrange(1, 60)):
             role = "system" if t == 0 and c and c % 2 else rng.choice(["user", "assistant"])
-            rows.append((c, t, role, rng.choice(["</s>[INST] ok [/INST]", "a & b &amp; <s>[x]", "", "w " * rng.randrange(900), "long " * 700]), 1))
+            rows.append((c, t, role, rng.choice(["</s>[INST] ok [/INST]", "a & b &amp; <s>[x]<c>[", "", "w " * rng.randrange(900), "long " * 700]), 1))
     rows += [(99, None, None, None, 1), (99, None, "assistant", "tie", 1), (99, 5, "assistant", "x", 1), (99, 5, "assistant", "x", 1)]
     windows = chat.read_windows(chat.format_windows(spark.createDataFrame(rows, TURNS))).orderBy("conv_id", "start").collect()
-    for c in {r[0] for r in rows}:
-        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or ""))]
-        own = [w for w in windows if w.conv_id == c]
-        assert brute_digest([(t.role, t.text) for w in own for t in w.turns]) == brute_digest(turns)
-        assert [t for w in own for t in w.targets] == [t for r, t in turns if r == "assistant"]
-        for w in own:
-            assert w.n_new == 1 or sum(4 + -(-(len(t.role) + len(t.text)) // 4) for t in w.turns) <= chat.NEW_TOKENS
-        if turns[0][0] == "system":
-            assert all(w.formatted.startswith("<s>[system]") for w in own)
+    check_windows(windows, rows)
     assert chat.format_windows(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_no_text_is_beyond_the_budget(spark):
+    """A system turn of 40,000 characters, turns of a megabyte, and all entities: windows stay bounded, the output linear."""
+    rows = [(1, 0, "system", "s]" * 20_000), (1, 1, "user", "u" * 1_000_000), (1, 2, "assistant", "<&[]" * 5000)] + [(1, i, "user", "short") for i in range(3, 60)]
+    rows += [(2, 0, "system", "be brief"), (2, 1, "assistant", "x" * chat.PIECE), (2, 2, "assistant", "y" * (chat.PIECE + 1))]
+    windows = chat.read_windows(chat.format_windows(spark.createDataFrame([(*r, 1) for r in rows], TURNS))).orderBy("conv_id", "start").collect()
+    check_windows(windows, rows)
+    assert max(len(w.formatted) for w in windows) <= 6 * 4 * chat.WINDOW_TOKENS
+
+
+def test_crowded_turn_numbers_are_split(spark, monkeypatch):
+    """Nine in ten rows have no turn number, or one and the same, and many repeat whole: order and budget hold, and no block holds them."""
+    monkeypatch.setattr(chat, "CROWDED", 20)
+    rng = random.Random(8)
+    rows = [(1, None, "user", f"{rng.choice('abcdef') * 9}{i % 40}") for i in range(300)] + [(1, 7, "assistant", "same " * 30)] * 200
+    rows += [(1, i, "user", f"t{i}") for i in range(30)] + [(2, 3, "assistant", "same")] * 5
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, 1) for r in rows], TURNS)
+    check_windows(chat.read_windows(chat.format_windows(df)).orderBy("conv_id", "start").collect(), rows)
+    placed = chat.blocks_of_turns(df.select(F.struct("conv_id").alias("conv"), "turn", "role", "text"))
+    assert placed.groupBy("conv", "block").count().agg(F.max("count")).first()[0] <= 40
+
+
 def test_prefix_sums_over_blocks(spark):
     rows = [(1, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(700)]
     placed = chat.positions(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("pos").collect()
@@ -264,6 +322,37 @@ def test_packing(docs, empty):
     assert packing.pack(empty, packing.word_bpe_path()).count() == 0
 
 
+def test_bpe_query_equals_the_library(spark, data):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.byte_bpe_path())
+    library.no_truncation()
+    library.no_padding()
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op4_bpe_encode_decode"](spark, data).collect()}
+    for r in rows:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        assert got.pop(r.doc_id) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert not got
+
+
+def test_packing_query_equals_the_library(spark, data):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.word_bpe_path())
+    library.no_truncation()
+    library.no_padding()
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    got = QUERIES["op5_binary_packing"](spark, data).collect()
+    want = []
+    for r in rows:
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        want += [(r.doc_id, s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids), 0) for s, n in packing.binary_pieces(len(ids))]
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.offset) for r in got) == sorted(want)
+    assert sorted(r.sequence_id for r in got) == list(range(len(got)))
+
+
 # search
 
 
@@ -318,6 +407,85 @@ def langid_rows(spark, data):
     return QUERIES["op7_language_mixture"](spark, data).join(truth, "doc_id").collect()
 
 
+def brute_mixture(text, counts):
+    """Prediction and score by plain loops over trigram counts of each language."""
+    def grams(t):
+        letters = "".join(c if c.isalpha() else " " for c in t.lower())
+        if not letters.strip():
+            return []
+        padded = re.sub(" +", " ", f" {letters} ")
+        out = []
+        for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+            a, b, c = (0 if x == " " else ord(x) for x in (a, b, c))
+            h = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) % 2**64
+            out.append((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64 >> 49)
+        return out
+
+    if isinstance(counts, list):  # training texts: (language, text)
+        totals = {}
+        for language, t in counts:
+            totals.setdefault(language, {})
+            for g in grams(t):
+                totals[language][g] = totals[language].get(g, 0) + 1
+        return totals
+    own = grams(text or "")
+    if not own:
+        return "und", 0.0, []
+    names = sorted(counts)
+    sums = {n: sum(counts[n].values()) + 0.2 * langid.FEATURES for n in names}
+    like = lambda n, g: (counts[n].get(g, 0) + 0.2) / sums[n]
+
+    def em(languages):
+        share = {n: 1 / len(languages) for n in languages}
+        for _ in range(langid.ROUNDS):
+            new = dict.fromkeys(languages, 0.0)
+            for g in own:
+                whole = sum(share[n] * like(n, g) for n in languages)
+                for n in languages:
+                    new[n] += share[n] * like(n, g) / whole / len(own)
+            done = max(abs(new[n] - share[n]) for n in languages) < 1e-3
+            share = new
+            if done:
+                break
+        return share, sum(math.log(sum(share[n] * like(n, g) for n in languages)) for g in own)
+
+    first = em(names)[0]
+    order = sorted(names, key=lambda n: -first[n])
+    sets = []
+    for k in range(1, len(order) + 1):
+        if k > 1 and first[order[k - 1]] < langid.SHARE:
+            break
+        share, fit = em(order[:k])
+        sets.append((fit - langid.PENALTY * math.log(len(own) + 1) * k, -k, share))
+    share = max(sets, key=lambda x: x[:2])[2]
+    best = min(share, key=lambda n: (-share[n], n))
+    return best, min(1.0, share[best]), sorted(share)
+
+
+def test_language_query_equals_brute_force(spark, data):
+    """Every document of the query against loops over the trigrams of the rows that may be learned from."""
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    counts = brute_mixture(None, [(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None and not held[r.doc_id]])
+    got = {r.doc_id: r for r in QUERIES["op7_language_mixture"](spark, data).collect()}
+    assert len(got) == len(rows)
+    short = [r for r in rows if len(r.text or "") < 3000]
+    assert len(short) > 100
+    for r in short:
+        lang, score, kept = brute_mixture(r.text, counts)
+        g = got[r.doc_id]
+        assert (g.held_out, g.lang_pred, g.lang_set) == (held[r.doc_id], lang, kept) and abs(g.score - score) < 2e-3, r.doc_id
+
+
+def test_score_is_refitted_on_the_kept_set():
+    """Two languages of which the penalty keeps one: its proportion is 1, whatever the first mixture said."""
+    likelihood = np.full((langid.FEATURES, 2), 1e-6, np.float32)
+    buckets = langid.trigram_buckets("abc abd")
+    likelihood[buckets, 0], likelihood[buckets, 1] = 0.02, 0.019
+    model = langid.LanguageModel(["aa", "bb"], likelihood)
+    assert langid.infer(model, "abc abd") == ("aa", 1.0, ["aa"])
+
+
 def test_language_edges(spark, docs, empty):
     model = langid.train(spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, "x", None), (4, None, "fr")], "doc_id long, text string, lang string"), "lang", "text", "doc_id")
     assert model.languages == ["de", "en"]
@@ -489,6 +657,18 @@ def test_long_secrets_and_spelled_addresses_are_whole(spark):
     assert {r.doc_id: r.text for r in pii.redact(wide).collect()} == {i: f"see [{k}] there, and on" for i, k in enumerate(kinds)}
 
 
+def test_base_of_the_query_equals_brute_force(spark, data):
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in QUERIES["op9_weak_supervision_pii"](spark, data).collect()}
+    assert len(got) == len(rows)
+    names = list(BASE)
+    for r in rows:
+        spans, g = brute_base(r.text or ""), got[r.doc_id]
+        written = [f"{names[k]}:{s}:{e}" for s, k, e in spans]
+        assert [g[f"n_{k}"] for k in names] == [sum(k == i for _, k, _ in spans) for i in range(4)]
+        assert g.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest() and set(written) <= set(g.spans.split(",")) | {""}
+
+
 def test_many_hits_in_one_text(spark):
     """Spans and redaction of a text with tens of thousands of hits, over several pieces of the running sums."""
     n = 12_000
