@@ -56,7 +56,7 @@ NGRAM_BYTES = 6
 #: Shared n-grams that a candidate pair needs, and documents of a rare n-gram.
 SHARED, SMALL = 3, 64
 #: Documents of a small cluster, documents of small clusters that share a task, and documents and n-grams in a block of a large one.
-CLUSTER, GROUPED, BLOCK, BLOCK_PRINTS = 64, 2048, 2048, 1 << 22
+CLUSTER, GROUPED, BLOCK, BLOCK_PRINTS = 64, 2048, 1024, 1 << 22
 #: Ranges of fingerprints in a class of the order: a fragment each. Columns of a matrix product.
 RANGES, COLUMNS = 4, 2048
 

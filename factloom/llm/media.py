@@ -174,7 +174,7 @@ def write_store(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
     wanted = asked.groupBy("media_id").agg(F.sort_array(F.collect_list("seq")).alias("wanted"))
     part = F.struct("seq", "length", "digest", "from", F.when(foreign, F.col("owner.media_id")).alias("owner"), F.when(foreign, F.col("owner.seq")).alias("at"))
     plans = refs.groupBy("media_id").agg(F.sort_array(F.collect_list(part)).cast(PLAN).alias("plan"))
-    plans = materialize(plans.join(wanted, "media_id", "left"), "chunk-plans")
+    plans = plans.join(wanted, "media_id", "left")  # a row for each media on all sides: dealt by media_id once
     packed = compressed_media(df, text).groupBy("media_id").agg(F.min("packed").alias("packed"))
     return lists.select(key, "media_id"), materialize(_keep_owned(plans.join(packed, "media_id")), "chunk-store")
 
