@@ -23,32 +23,60 @@ def list_score(key: Column, other_key: Column, words: Column, other_words: Colum
     return value
 
 
-def match_list(persons: DataFrame, entries: DataFrame, least_words: int = 2) -> DataFrame:
-    """(person, status, confidence, entry) of persons (person, words) against entries (entry, words).
+def stem_key(words: Column, stems: Column, letters: Column) -> Column:
+    """Keys (number of words, stem, first letter of another word): a name and its variant have one in common."""
+    return F.flatten(F.transform(stems, lambda s: F.transform(letters, lambda c: F.struct(F.size(words).alias("n"), s.alias("stem"), c.alias("letter")))))
 
-    Candidates meet on equal keys or on shared words, each an equi-join. Each entry counts once for a person, with its
-    best score. Two near the top are ambiguous; 0.95 and more is a match; other candidates need review. A name of
-    which every word agrees with an entry's up to an ending is no proof of absence: it needs review too.
+
+def name_variants_of(names: DataFrame, listed: DataFrame) -> DataFrame:
+    """(words, e_words): distinct names and list names of as many words, each word of which agrees with one of theirs up to an ending.
+
+    They meet where a word's stem begins a word of the list's name: an equi-join on the stem, the number of words, and the
+    first letter of the word after it, which the other name has too; so a frequent word alone brings nobody together.
     """
-    people = persons.withColumn("key", F.array_join(F.array_sort("words"), ""))
-    listed = entries.select("entry", F.col("words").alias("e_words"), F.array_join(F.array_sort("words"), "").alias("e_key"))
-    shared = people.select("person", "words", "key", F.explode(F.array_distinct("words")).alias("w")).join(
-        listed.select("entry", "e_words", "e_key", F.explode(F.array_distinct("e_words")).alias("w")), "w"
+    left, right = names.select("words").distinct(), listed.select("e_words").distinct()
+    first = lambda words: F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(1))))
+    keyed = F.transform(
+        "words",
+        lambda w, i: F.struct(
+            F.size("words").alias("n"), F.left(w, F.greatest(F.lit(3), F.length(w) - 2)).alias("stem"), F.left(F.get("words", (i + 1) % F.size("words")), F.lit(1)).alias("letter"), F.length(w).alias("size")
+        ),
     )
-    met = shared.groupBy("person", "entry").agg(F.first("words").alias("words"), F.first("e_words").alias("e_words"), F.first("key").alias("key"), F.first("e_key").alias("e_key"))
-    scored = met.withColumn("score", list_score(F.col("key"), F.col("e_key"), F.col("words"), F.col("e_words")))
-    endings = F.forall("words", lambda w: F.exists("e_words", lambda e: X.same_stem(w, e)))
-    scored = scored.withColumn("variant", endings & (F.size("words") == F.size("e_words")))
+    asked = left.select("words", F.explode(keyed).alias("k")).filter("k.size >= 3").select("words", F.struct("k.n", "k.stem", "k.letter").alias("k"))
+    heads = F.array_distinct(F.flatten(F.transform(F.filter("e_words", lambda e: F.length(e) >= 3), lambda e: F.transform(F.sequence(F.lit(3), F.length(e)), lambda i: F.left(e, i)))))
+    given = right.select("e_words", F.explode(stem_key(F.col("e_words"), heads, first(F.col("e_words")))).alias("k"))
+    met = asked.join(given, "k").select("words", "e_words").distinct()
+    return met.filter(F.forall("words", lambda w: F.exists("e_words", lambda e: X.same_stem(w, e))))
+
+
+def match_list(persons: DataFrame, entries: DataFrame, least_words: int = 2, aliases: DataFrame | None = None) -> DataFrame:
+    """(person, status, confidence, entry) of persons (person, words, and birth, if known) against entries (entry, words, birth).
+
+    aliases (person, words) are further identities of persons. Scores above one half need equal keys, so an equi-join on the
+    key gives all candidates; each entry counts once for a person, with the best score of its identities. Two near the
+    top are ambiguous; 0.95 and more is a match; other candidates need review. Where there is no candidate, a name with an
+    entry that is its variant (name_variants_of) is no proof of absence: it needs review too.
+    """
+    with_birth = lambda df: df if "birth" in df.columns else df.withColumn("birth", F.lit(None).cast("int"))
+    people, listed = with_birth(persons), with_birth(entries)
+    key = lambda words: F.array_join(F.array_sort(words), "")
+    every = people.select("person", "words", "birth")
+    if aliases is not None:
+        every = every.unionByName(aliases.select("person", "words").join(people.select("person", "birth"), "person"))
+    every = every.withColumn("key", key("words"))
+    listed = listed.select("entry", F.col("words").alias("e_words"), F.col("birth").alias("e_birth"), key("words").alias("key"))
+    score = list_score(F.lit(1), F.lit(1), F.col("words"), F.col("e_words"), F.col("birth"), F.col("e_birth"))
+    scored = every.join(listed, "key").groupBy("person", "entry").agg(F.max(score).alias("score")).filter(F.col("score") > CANDIDATE)
     order = F.row_number().over(Window.partitionBy("person").orderBy(F.col("score").desc(), "entry"))
-    best = scored.withColumn("good", F.col("score") > CANDIDATE).withColumn("r", order).groupBy("person").agg(
-        F.max(F.when((F.col("r") == 1) & F.col("good"), F.col("score"))).alias("top"),
-        F.max(F.when((F.col("r") == 2) & F.col("good"), F.col("score"))).alias("second"),
-        F.max(F.when((F.col("r") == 1) & F.col("good"), F.col("entry"))).alias("entry"),
-        F.bool_or("variant").alias("variant"),
+    best = scored.withColumn("r", order).filter("r <= 2").groupBy("person").agg(
+        F.max(F.when(F.col("r") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second"), F.max(F.when(F.col("r") == 1, F.col("entry"))).alias("entry")
     )
-    found = people.join(best, "person", "left")
+    alike = name_variants_of(every, listed).select("words").distinct()
+    variant = every.join(alike, "words", "left_semi").select("person").distinct().withColumn("variant", F.lit(True))
+    found = people.select("person", "words").join(best, "person", "left").join(variant, "person", "left")
+    full = F.size(F.filter("words", lambda w: F.length(w) > 1))
     status = (
-        F.when(F.col("top").isNull() & (F.size("words") < least_words), "INSUFFICIENT_DATA")
+        F.when(F.col("top").isNull() & (full < least_words), "INSUFFICIENT_DATA")
         .when(F.col("top").isNull() & F.coalesce("variant", F.lit(False)), "NEEDS_REVIEW")
         .when(F.col("top").isNull(), "NOT_MATCHED")
         .when(F.col("second").isNotNull() & (F.col("top") - F.col("second") < AMBIGUITY), "AMBIGUOUS")
@@ -59,6 +87,14 @@ def match_list(persons: DataFrame, entries: DataFrame, least_words: int = 2) ->
     return found.select("person", status.alias("status"), F.round(confidence, 6).alias("confidence"), "entry")
 
 
+def membership(checked: Column, listed: Column, certain: Column, identified: Column) -> Column:
+    """What is shown of a person and a list: unknown, not found, probable or confirmed.
+
+    listed: an entry was found; certain: by the whole name; identified: its birth date and place are the case's.
+    """
+    return F.when(~listed, F.when(checked, "not_found").otherwise("unknown")).when(certain & identified, "confirmed").otherwise("probable")
+
+
 def fill_inclusion(entries: DataFrame, others: list[DataFrame], keys: list[str]) -> DataFrame:
     """entries with included filled where null, by the first of `others` (keys, included) that knows it; `told_by` is its place."""
     out, values = entries.withColumnRenamed("included", "_v0"), [F.col("_v0")]

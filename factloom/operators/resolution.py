@@ -67,12 +67,50 @@ def decide(scored: DataFrame, key: str, candidate: str, value: str, conflict: st
     )
     margin = F.round(F.col("_top") - F.coalesce("_second", F.lit(0.0)), 4)
     near = (margin <= MARGIN) & (F.col("plausible") > 1)
+    told = (
+        ("no plausible candidate", F.col("plausible") == 0), ("incomplete name", ~F.col("_full")), ("low score", F.col("_top") < AUTO),
+        ("small margin", near), ("several strong candidates", F.col("_strong") > 1),
+    )
+    reasons = F.array_compact(F.array(*[F.when(when, name) for name, when in told]))
     action = (
         F.when(F.col("plausible") == 0, F.when(F.col("_full"), "CREATE_NEW").otherwise("REVIEW"))
         .when((F.col("_top") < AUTO) | near | (F.col("_strong") > 1) | ~F.col("_full"), "REVIEW")
         .otherwise("AUTO_LINK")
     )
-    return one.select(key, action.alias("action"), F.when(action == "AUTO_LINK", F.col("_chosen")).alias("selected"), margin.alias("margin"), "plausible")
+    return one.select(key, action.alias("action"), F.when(action == "AUTO_LINK", F.col("_chosen")).alias("selected"), margin.alias("margin"), "plausible", F.array_join(reasons, "; ").alias("reasons"))
+
+
+def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(x, y) of the distinct words left.x and right.y that are equal or a typo apart (typo_tolerance of the longer one)."""
+    left, right = left.select("x").distinct(), right.select("y").distinct()
+    near = typo_partners(left, right, 2).filter(F.col("edits") <= X.typo_tolerance(F.greatest(F.length("x"), F.length("y"))))
+    equal = left.join(right, F.col("x") == F.col("y")).select("x", "y")
+    return near.select("x", "y").union(equal).distinct()
+
+
+def candidates(incoming: DataFrame, known: DataFrame, limit: int = 30) -> DataFrame:
+    """The best `limit` known names (person, k_given, k_surname, k_patronymic) of each incoming name (given, surname, patronymic).
+
+    Two generators are merged: names of equal words in whatever order (an equal key), and names whose surname is equal or
+    a typo apart under the same given initial. A pair counts once, with both sources. Both sides are distinct names, so
+    that a name of many mentions meets the others once.
+    """
+    parts = ("given", "surname", "patronymic")
+    key = lambda *c: F.array_join(F.array_sort(F.array(*c)), " ")
+    incoming, known = incoming.select(*parts).distinct(), known.select("person", *[f"k_{c}" for c in parts])
+    by_key = incoming.withColumn("key", key(*parts)).join(known.withColumn("key", key(*[f"k_{c}" for c in parts])), "key").drop("key").withColumn("by", F.lit("key"))
+    words = near_words(incoming.select(F.col("surname").alias("x")), known.select(F.col("k_surname").alias("y")))
+    asked = incoming.join(words, F.col("surname") == F.col("x")).withColumn("initial", F.left("given", F.lit(1)))
+    by_name = asked.join(known.withColumn("initial", F.left("k_given", F.lit(1))), (F.col("y") == F.col("k_surname")) & (asked["initial"] == F.left("k_given", F.lit(1))))
+    by_name = by_name.select(*parts, "person", *[f"k_{c}" for c in parts], F.lit("name").alias("by"))
+    merged = by_key.unionByName(by_name).groupBy(*parts, "person", *[f"k_{c}" for c in parts]).agg(F.array_join(F.array_sort(F.collect_set("by")), "+").alias("sources"))
+    compared = merged.withColumns({f"m_{c}": compare(F.col(c), F.col(f"k_{c}")) for c in parts})
+    exact = F.array_join(F.array(*parts), " ") == F.array_join(F.array(*[f"k_{c}" for c in parts]), " ")
+    complete = (F.length("given") > 1) & (F.length("surname") > 1) & (F.length("patronymic") > 1)
+    compared = compared.withColumns({"exact_form": exact, "conflict": (F.col("m_surname") == "mismatch") | (F.col("m_given") == "mismatch") | (F.col("m_patronymic") == "mismatch")})
+    scored = compared.withColumn("score", score(F.col("m_surname"), F.col("m_given"), F.col("m_patronymic"), F.col("exact_form"), complete, F.lit(False)))
+    order = F.row_number().over(Window.partitionBy(*parts).orderBy(F.col("score").desc(), "person"))
+    return scored.withColumn("_r", order).filter(F.col("_r") <= limit).drop("_r")
 
 
 def trigram_pairs(names: DataFrame, key: str, name: str, least: float) -> DataFrame:
@@ -158,9 +196,14 @@ PATRONYMIC_SUFFIXES = ("ич", "вна", "вн", "ична", "ичн")
 
 
 def plausibility(reading: Column) -> Column:
-    """One for each part whose suffix speaks for its role."""
-    hint = lambda part, suffixes: F.coalesce(F.regexp_like(part, F.lit("(" + "|".join(suffixes) + ")$")), F.lit(False)).cast("int")
-    return hint(reading["surname"], SURNAME_SUFFIXES) + hint(reading["patronymic"], PATRONYMIC_SUFFIXES)
+    """One for each part whose suffix speaks for its role, less one for each part that carries the other role's suffix.
+
+    A patronymic's suffix is looked for first: what ends like a patronymic is no surname.
+    """
+    ends = lambda part, suffixes: F.coalesce(F.regexp_like(part, F.lit("(" + "|".join(suffixes) + ")$")), F.lit(False))
+    hint = lambda part: F.when(ends(part, PATRONYMIC_SUFFIXES), "patronymic").when(ends(part, SURNAME_SUFFIXES), "surname")
+    fits = lambda role: F.coalesce(F.when(hint(reading[role]) == role, 1).when(hint(reading[role]).isNotNull(), -1), F.lit(0))
+    return fits("surname") + fits("given") + fits("patronymic")
 
 
 def best_alignment(pairs: DataFrame, incoming: str, form: str) -> DataFrame:
@@ -168,7 +211,7 @@ def best_alignment(pairs: DataFrame, incoming: str, form: str) -> DataFrame:
 
     Ranked by the weight of the matches, by how plausible both readings are, and by fewest conflicts.
     """
-    weight = {"exact": 4, "typo": 3, "initial": 2, "missing": 1, "mismatch": 0}
+    weight = {"exact": 3, "typo": 2, "initial": 1, "missing": 0, "mismatch": 0}  # fixed values
     points = F.create_map(*[F.lit(x) for kv in weight.items() for x in kv])
     aligned = F.flatten(
         F.transform(

@@ -54,13 +54,13 @@ def lateral_first_charge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with copies as (select md5(text) as m, doc_id from documents where n_chars > 200)
-select a.doc_id as x, b.doc_id as y from copies a join copies b on a.m = b.m and a.doc_id < b.doc_id""")
+with copies as (select md5(text) as m, doc_id from documents), firsts as (select m, min(doc_id) as x from copies group by m)
+select x, doc_id as y from copies join firsts using (m) where x < doc_id""")
 def equal_name_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs x < y of equal content."""
-    docs = table(spark, sf, "documents").filter("n_chars > 200").select("doc_id", F.md5("text").alias("m"))
-    a, b = docs.select(F.col("doc_id").alias("x"), "m"), docs.select(F.col("doc_id").alias("y"), "m")
-    return a.join(b, "m").filter("x < y").select("x", "y")
+    """Pairs x < y of equal content, x the first of its class: the copies of a class are tied, not paired with each other."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("y"), F.md5("text").alias("m"))
+    firsts = docs.groupBy("m").agg(F.min("y").alias("x"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return docs.join(firsts, "m").filter("x < y").select("x", "y")
 
 
 @query("""

@@ -1,4 +1,8 @@
-"""Entity resolution, list matching, classification and grouping over names that the documents begin with."""
+"""Entity resolution, list matching, classification and grouping over the names that documents mention.
+
+The fixtures' prose has no names; three words from a capital on stand for one, wherever in a text they are. A document's
+subject is its first mention; list matching and the flagship take every mention.
+"""
 
 from __future__ import annotations
 
@@ -13,31 +17,39 @@ from factloom.plans.base import query, table
 #: Evidence lexicon of the fixtures' invented English, as data.
 LEXICON = {"charge": ["nation", "ationre"], "rights": ["thered", "inganat"], "press": ["ontheat", "whinger"], "faith": ["esheri", "thatin"]}
 
-_NAMES_SQL = r"""
-names as (
-    select doc_id, source, w[1] as given, w[2] as surname, w[3] as patronymic from (
-        select doc_id, source, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') as w from documents where lang = 'en') where len(w) >= 3)"""
+#: A name in the fixtures' prose: given name, surname, patronymic.
+NAME = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+ [a-zß-öø-ÿ]+ [a-zß-öø-ÿ]+"
+
+_NAMES_SQL = rf"""
+mentions as (
+    select doc_id, source, place, w[1] as given, w[2] as surname, w[3] as patronymic from (
+        select doc_id, source, string_split(lower(unnest(l)), ' ') as w, unnest(range(len(l))) as place from (
+            select doc_id, source, regexp_extract_all(text, '{NAME}') as l from documents))),
+names as (select doc_id, source, given, surname, patronymic from mentions where place = 0)"""
+
+
+def mentions(docs: DataFrame, *columns: str) -> DataFrame:
+    """(columns, place, given, surname, patronymic): every name of every whole text."""
+    found = docs.select(*columns, F.posexplode(F.regexp_extract_all("text", F.lit(NAME), F.lit(0))).alias("place", "name"))
+    words = found.select(*columns, "place", F.split(F.lower("name"), " ").alias("w"))
+    return words.select(*columns, "place", *[F.get("w", F.lit(i)).alias(c) for i, c in enumerate(("given", "surname", "patronymic"))])
 
 
 def names(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, source, given, surname, patronymic): the first three words of English documents, as names."""
-    docs = table(spark, sf, "documents").filter("lang = 'en'")
-    words = docs.select("doc_id", "source", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("w")).filter(F.size("w") >= 3)
-    return words.select("doc_id", "source", F.get("w", F.lit(0)).alias("given"), F.get("w", F.lit(1)).alias("surname"), F.get("w", F.lit(2)).alias("patronymic"))
+    """(doc_id, source, given, surname, patronymic): the subject of each document, its first mention."""
+    return mentions(table(spark, sf, "documents"), "doc_id", "source").filter("place = 0").drop("place")
+
+
+def _known(every: DataFrame) -> DataFrame:
+    """Known persons: the distinct names of the other sources, numbered by their first document."""
+    parts = ("given", "surname", "patronymic")
+    return every.filter("source <> 'src0'").groupBy(*[F.col(c).alias(f"k_{c}") for c in parts]).agg(F.min("doc_id").alias("person"))
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     every = names(spark, sf)
     incoming = every.filter("source = 'src0'").select("doc_id", "given", "surname", "patronymic")
-    known = every.filter("source <> 'src0'").select(F.col("doc_id").alias("person"), *[F.col(c).alias(f"k_{c}") for c in ("given", "surname", "patronymic")])
-    met = incoming.join(known, (F.left("surname", F.lit(3)) == F.left("k_surname", F.lit(3))) & (F.left("given", F.lit(1)) == F.left("k_given", F.lit(1))))
-    parts = {c: resolution.compare(F.col(c), F.col(f"k_{c}")) for c in ("surname", "given", "patronymic")}
-    exact = (F.col("given") == F.col("k_given")) & (F.col("surname") == F.col("k_surname")) & (F.col("patronymic") == F.col("k_patronymic"))
-    initials = (F.length("given") == 1) | (F.length("surname") == 1) | (F.length("patronymic") == 1)
-    met = met.withColumns({f"m_{c}": v for c, v in parts.items()} | {"exact_form": exact, "complete": ~initials})
-    value = resolution.score(F.col("m_surname"), F.col("m_given"), F.col("m_patronymic"), F.col("exact_form"), F.col("complete"), F.lit(False))
-    conflict = (F.col("m_surname") == "mismatch") | (F.col("m_given") == "mismatch") | (F.col("m_patronymic") == "mismatch")
-    return met.withColumn("score", value).withColumn("conflict", conflict)
+    return incoming.join(resolution.candidates(incoming, _known(every)), ["given", "surname", "patronymic"])
 
 
 def _compare_sql(c: str) -> str:
@@ -48,25 +60,30 @@ def _compare_sql(c: str) -> str:
 
 _SCORED_SQL = f"""
 with {_NAMES_SQL},
+known as (select given as k_given, surname as k_surname, patronymic as k_patronymic, min(doc_id) as person from names where source <> 'src0' group by all),
 met as (
-    select i.doc_id, k.doc_id as person, i.given, i.surname, i.patronymic, k.given as k_given, k.surname as k_surname, k.patronymic as k_patronymic
-    from names i join names k on left(i.surname, 3) = left(k.surname, 3) and left(i.given, 1) = left(k.given, 1) and i.source = 'src0' and k.source <> 'src0'),
+    select i.doc_id, i.given, i.surname, i.patronymic, k.*,
+           list_sort([i.given, i.surname, i.patronymic]) = list_sort([k_given, k_surname, k_patronymic]) as by_key,
+           levenshtein(surname, k_surname) <= case when greatest(length(surname), length(k_surname)) >= 10 then 2 when greatest(length(surname), length(k_surname)) >= 5 then 1 else 0 end
+               and left(given, 1) = left(k_given, 1) as by_name
+    from names i join known k on i.source = 'src0' where by_key or by_name),
 compared as (
-    select doc_id, person, {_compare_sql("surname")}, {_compare_sql("given")}, {_compare_sql("patronymic")},
+    select doc_id, person, concat_ws('+', case when by_key then 'key' end, case when by_name then 'name' end) as sources, {_compare_sql("surname")}, {_compare_sql("given")}, {_compare_sql("patronymic")},
            given = k_given and surname = k_surname and patronymic = k_patronymic as exact_form,
            length(given) > 1 and length(surname) > 1 and length(patronymic) > 1 as complete from met),
 summed as (
     select *, case m_surname when 'exact' then 0.45::double when 'typo' then 0.30 else 0 end + case m_given when 'exact' then 0.30::double when 'typo' then 0.20 when 'initial' then 0.08 else 0 end
               + case m_patronymic when 'exact' then 0.20::double when 'typo' then 0.12 when 'initial' then 0.05 when 'missing' then 0.05 else 0 end + case when exact_form then 0.05::double else 0 end as v,
            m_surname = 'mismatch' or m_given = 'mismatch' or m_patronymic = 'mismatch' as conflict from compared),
-scored as (
-    select *, round(least(1.0::double, case when conflict then least(v, 0.25) when exact_form and complete then greatest(v, 0.85) else v end), 4) as score from summed)"""
+valued as (
+    select *, round(least(1.0::double, case when conflict then least(v, 0.25) when exact_form and complete then greatest(v, 0.85) else v end), 4) as score from summed),
+scored as (select * from valued qualify row_number() over (partition by doc_id order by score desc, person) <= 30)"""
 
 
-@query(_SCORED_SQL + " select doc_id, person, m_surname, m_given, m_patronymic, exact_form, conflict, score from scored")
+@query(_SCORED_SQL + " select doc_id, person, sources, m_surname, m_given, m_patronymic, exact_form, conflict, score from scored")
 def er_candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates by block (surname prefix, given initial), their parts compared and scored."""
-    return _scored(spark, sf).select("doc_id", "person", "m_surname", "m_given", "m_patronymic", "exact_form", "conflict", "score")
+    """Candidates by key and by surname up to a typo, 30 at most for each name, their parts compared and scored."""
+    return _scored(spark, sf).select("doc_id", "person", "sources", "m_surname", "m_given", "m_patronymic", "exact_form", "conflict", "score")
 
 
 @query(_SCORED_SQL + """,
@@ -82,7 +99,9 @@ decided as (
     select *, round(top - coalesce(second, 0), 4) as margin,
            case when plausible = 0 then case when full_name then 'CREATE_NEW' else 'REVIEW' end
                 when top < 0.85 or (round(top - coalesce(second, 0), 4) <= 0.1 and plausible > 1) or strong > 1 or not full_name then 'REVIEW' else 'AUTO_LINK' end as action from one)
-select doc_id, action, case when action = 'AUTO_LINK' then chosen end as selected, margin, plausible from decided""")
+select doc_id, action, case when action = 'AUTO_LINK' then chosen end as selected, margin, plausible,
+       concat_ws('; ', case when plausible = 0 then 'no plausible candidate' end, case when not full_name then 'incomplete name' end, case when top < 0.85 then 'low score' end,
+                 case when margin <= 0.1 and plausible > 1 then 'small margin' end, case when strong > 1 then 'several strong candidates' end) as reasons from decided""")
 def er_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Each incoming name linked, reviewed, or made a new person."""
     incoming = names(spark, sf).filter("source = 'src0'").select("doc_id", ((F.length("given") > 1) & (F.length("surname") > 1)).alias("full"))
@@ -90,35 +109,42 @@ def er_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.decide(scored, "doc_id", "person", "score", "conflict", "full")
 
 
+_STEM = "greatest(3, least(length(w), length(e)) - 2)"
 _MATCH_SQL = rf"""
 listed as (
-    select item_id as entry, list_slice(w, 1, 3) as words from (
-        select item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') as w from benchmark) where len(w) >= 3),
-people as (select doc_id as person, [given, surname, patronymic] as words from names),
+    select item_id * 1000 + place as entry, case when item_id % 4 = 1 then w[1:2] else w end as words, case when item_id % 2 = 0 then 1950 + (item_id + place) % 9 end as birth from (
+        select item_id, string_split(lower(unnest(l)), ' ') as w, unnest(range(len(l))) as place from (select item_id, regexp_extract_all(text, '{NAME}') as l from benchmark))),
+people as (select given || ' ' || surname || ' ' || patronymic as person, [given, surname, patronymic] as words, case when min(doc_id) % 3 = 0 then 1950 + min(doc_id) % 9 end as birth from mentions group by all),
+everyone_ as (select person, words, birth from people union all select person, words[1:2], birth from people),
 met as (
-    select p.person, l.entry, p.words, l.words as e_words, case when list_sort(p.words) = list_sort(l.words) then 0.8::double else 0 end as k,
-           len(list_intersect(p.words, l.words))::double / len(list_distinct(list_concat(p.words, l.words))) as j
-    from people p join listed l on len(list_intersect(p.words, l.words)) > 0),
-scored as (
-    select *, least(1.0::double, k + case when j > 0.8 then 0.2 * j else 0 end) as score,
-           len(list_filter(words, lambda w: len(list_filter(e_words, lambda e:
-               (least(length(w), length(e)) >= 3 and left(w, greatest(3, least(length(w), length(e)) - 2)) = left(e, greatest(3, least(length(w), length(e)) - 2)))
-               or (left(w, 1) = left(e, 1) and levenshtein(w, e) <= 2))) = 0)) = 0 as variant from met),
-ranked as (select *, row_number() over (partition by person order by score desc, entry) as r from scored),
-best as (
-    select person, max(score) filter (where r = 1 and score > 0.5) as top, max(score) filter (where r = 2 and score > 0.5) as second,
-           max(entry) filter (where r = 1 and score > 0.5) as entry, bool_or(variant) as variant from ranked group by person),
+    select p.person, l.entry, max(case when p.birth is not null and l.birth is not null then case when p.birth = l.birth then least(s.score + 0.05, 1.0) else least(s.score, 0.5) end else s.score end) as score
+    from everyone_ p join listed l on list_sort(p.words) = list_sort(l.words), lateral (select least(1.0::double, 0.8 + 0.2) as score) s group by all),
+ranked as (select *, row_number() over (partition by person order by score desc, entry) as r from met where score > 0.5),
+best as (select person, max(score) filter (where r = 1) as top, max(score) filter (where r = 2) as second, max(entry) filter (where r = 1) as entry from ranked group by person),
+variants as (
+    select distinct p.person from everyone_ p join (select distinct words as e_words from listed) l
+    on len(p.words) = len(l.e_words)
+       and len(list_filter(p.words, lambda w: length(w) >= 3 and len(list_filter(l.e_words, lambda e: length(e) >= 3 and starts_with(e, left(w, greatest(3, length(w) - 2))))) > 0)) > 0
+       and len(list_filter(p.words, lambda w: len(list_filter(l.e_words, lambda e:
+           (least(length(w), length(e)) >= 3 and left(w, {_STEM}) = left(e, {_STEM})) or (left(w, 1) = left(e, 1) and levenshtein(w, e) <= 2))) = 0)) = 0),
 matched as (
-    select p.person, b.entry, case when top is null and coalesce(variant, false) then 'NEEDS_REVIEW' when top is null then 'NOT_MATCHED'
+    select p.person, b.entry, case when top is null and len(list_filter(p.words, lambda w: length(w) > 1)) < 2 then 'INSUFFICIENT_DATA'
+           when top is null and v.person is not null then 'NEEDS_REVIEW' when top is null then 'NOT_MATCHED'
            when second is not null and top - second < 0.1 then 'AMBIGUOUS' when top >= 0.95 then 'MATCHED' else 'NEEDS_REVIEW' end as status, top
-    from people p left join best b on b.person = p.person)"""
+    from people p left join best b on b.person = p.person left join variants v on v.person = p.person)"""
 
 
 def matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of documents against the list of names that benchmark items begin with."""
-    people = names(spark, sf).select(F.col("doc_id").alias("person"), F.array("given", "surname", "patronymic").alias("words"))
-    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("entry"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("w"))
-    return match_list(people, words.filter(F.size("w") >= 3).select("entry", F.slice("w", 1, 3).alias("words")))
+    """All names that documents mention against the names of benchmark items, with some births known and the first two words as an alias."""
+    parts = ("given", "surname", "patronymic")
+    every = mentions(table(spark, sf, "documents"), "doc_id").groupBy(*parts).agg(F.min("doc_id").alias("first"))
+    people = every.select(F.concat_ws(" ", *parts).alias("person"), F.array(*parts).alias("words"), F.when(F.col("first") % 3 == 0, 1950 + F.col("first") % 9).alias("birth"))
+    item, listed = F.col("item_id"), mentions(table(spark, sf, "benchmark"), "item_id")
+    entries = listed.select(
+        (item * 1000 + F.col("place")).alias("entry"), F.when(item % 4 == 1, F.array("given", "surname")).otherwise(F.array(*parts)).alias("words"),
+        F.when(item % 2 == 0, 1950 + (item + F.col("place")) % 9).alias("birth"),
+    )
+    return match_list(people, entries, aliases=people.select("person", F.slice("words", 1, 2).alias("words")))
 
 
 @query(f"""
@@ -166,7 +192,7 @@ def charge_in_own_code(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-with recursive ends as (select doc_id, 'b' || left(text, 40) as k from documents where n_chars > 60 union all select doc_id, 'e' || right(text, 40) from documents where n_chars > 60),
+with recursive ends as (select doc_id, 'b' || left(text, 40) as k from documents where text <> '' union all select doc_id, 'e' || right(text, 40) from documents where text <> ''),
 hubs as (select k, min(doc_id) as hub from ends group by k having count(*) > 1),
 edges as (select e.doc_id as a, h.hub as b from ends e join hubs h using (k) where e.doc_id <> h.hub),
 both_ as (select a, b from edges union select b, a from edges),
@@ -174,7 +200,7 @@ reached as (select a as node, a as root from both_ union select e.b, r.root from
 select node, min(root) as root from reached group by node""")
 def merged_components(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that share a beginning or an end, transitively."""
-    docs = table(spark, sf, "documents").filter("n_chars > 60")
+    docs = table(spark, sf, "documents").filter("text <> ''")
     ends = docs.select("doc_id", F.explode(F.array(F.concat(F.lit("b"), F.left("text", F.lit(40))), F.concat(F.lit("e"), F.right("text", F.lit(40))))).alias("k"))
     hubs = ends.groupBy("k").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     edges = ends.join(hubs, "k").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))

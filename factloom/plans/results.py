@@ -12,17 +12,22 @@ from factloom.plans.base import query, table
 
 @query(f"""
 with {M._NAMES_SQL}, {M._MATCH_SQL}, {M._CLASSIFIED_SQL},
-active as (select d.doc_id as person from documents d left join labels l on l.doc_id = d.doc_id where coalesce(l.toxic, 0) = 0)
+active as (select d.doc_id as person from documents d left join labels l on l.doc_id = d.doc_id where coalesce(l.toxic, 0) = 0),
+absent as (
+    select x.doc_id as person, case when bool_and(m.status = 'NOT_MATCHED') then 'NOT_MATCHED' else 'LISTED' end as status
+    from mentions x join matched m on m.person = x.given || ' ' || x.surname || ' ' || x.patronymic group by x.doc_id)
 select c.doc_id as person, c.confidence, coalesce(m.status, 'NO_MATCH_RECORD') as list_status, d.source, d.n_chars, count(*) over (partition by d.source) as of_source
-from classified c join active a on a.person = c.doc_id join documents d on d.doc_id = c.doc_id left join matched m on m.person = c.doc_id
+from classified c join active a on a.person = c.doc_id join documents d on d.doc_id = c.doc_id left join absent m on m.person = c.doc_id
 where c.status = 'POLITICAL' and c.confidence >= 0.7 and coalesce(m.status, 'NO_MATCH_RECORD') = 'NOT_MATCHED'""")
 def candidates_absent_from_list(spark: SparkSession, sf: str) -> DataFrame:
-    """Active persons with strong evidence whom the list does not hold, with statistics of their source."""
+    """Active documents with strong evidence none of whose names may be in the list, with statistics of their source."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("person"), "source", "n_chars")
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("person"), "toxic")
     active = docs.join(labels, "person", "left").filter(F.coalesce("toxic", F.lit(0)) == 0)
     judged = M.classified(spark, sf).select(F.col("doc_id").alias("person"), "status", "confidence", F.lit(1).alias("classified_at"), F.col("doc_id").alias("id"))
-    found = results.candidates(judged, active, M.matches(spark, sf)).join(docs, "person")
+    said = M.mentions(table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("of"), F.concat_ws(" ", "given", "surname", "patronymic").alias("person"))
+    absent = said.join(M.matches(spark, sf), "person").groupBy(F.col("of").alias("person")).agg(F.when(F.bool_and(F.col("status") == "NOT_MATCHED"), "NOT_MATCHED").otherwise("LISTED").alias("status"))
+    found = results.candidates(judged, active, absent).join(docs, "person")
     counts = found.groupBy("source").agg(F.count("*").alias("of_source"))
     return found.join(counts, "source").select("person", "confidence", "list_status", "source", "n_chars", "of_source")
 

@@ -57,7 +57,7 @@ select doc_id, round(sum(tf::double / dl * ln(1 + (select count(*) from document
 from tf join df using (term) group by doc_id having count(*) filter (where term = 'the') = 1""")
 def inverted_index_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    index = search.inverted_index(docs, "doc_id", "text")
+    index = search.inverted_index(docs, "doc_id", "text", only=TERMS)
     found = search.tf_idf_search(index, docs.count(), TERMS, "doc_id", require=["the"])
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -69,27 +69,45 @@ ranked as (select *, row_number() over (partition by term order by n desc, doc_i
 select doc_id, round(sum(1.0::double / (60 + r)), 6) as fused, count(*) as lists from ranked group by doc_id""")
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     """One ranked list for each term, fused."""
-    index = search.inverted_index(table(spark, sf, "documents"), "doc_id", "text").filter(F.col("term").isin(list(TERMS)))
+    index = search.inverted_index(table(spark, sf, "documents"), "doc_id", "text", only=TERMS)
     fused = search.reciprocal_rank_fusion(index, "term", "doc_id", "tf")
     return fused.select("doc_id", F.round("fused", 6).alias("fused"), "lists")
 
 
 @query(r"""
-select doc_id, regexp_replace(regexp_replace(substr(text, 1, 200), '(?i)(^|[^a-z\[])(nation|was|from)([^a-z]|$)', '\1[\2]\3', 'g'),
-                              '(?i)(^|[^a-z\[])(nation|was|from)([^a-z\]]|$)', '\1[\2]\3', 'g') as headline, count(*) over () as total
-from documents where lang = 'en' and regexp_matches(lower(substr(text, 1, 200)), '(^|[^a-z])(nation|was|from)([^a-z]|$)')""")
+with hits as (
+    select doc_id, text, regexp_extract(lower(text), '(^|[^\p{L}\p{N}])(nation|was|from)([^\p{L}\p{N}]|$)', 2) as word, regexp_replace(lower(text), '(^|[^\p{L}\p{N}])(nation|was|from)([^\p{L}\p{N}]|$)', '\1' || chr(1) || '\2\3') as marked
+    from documents where regexp_matches(lower(text), '(^|[^\p{L}\p{N}])(nation|was|from)([^\p{L}\p{N}]|$)')),
+placed as (select *, strpos(marked, chr(1)) as p from hits)
+select doc_id, substr(text, greatest(1, p - 80), p - greatest(1, p - 80)) || '[' || substr(text, p, length(word)) || ']' || substr(text, p + length(word), 80) as headline, count(*) over () as total
+from placed""")
 def any_word_headline(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.substring("text", 1, 200).alias("headline"))
-    hits = docs.filter(F.lower("headline").rlike(r"(^|[^a-z])(nation|was|from)([^a-z]|$)"))
-    marked = hits.withColumn("headline", search.mark_terms("headline", ["nation", "was", "from"]))
-    return marked.crossJoin(F.broadcast(hits.agg(F.count("*").alias("total"))))  # one row
+    """Any of three words, anywhere in the whole text of any document; the fragment around the first hit, and how many documents have one."""
+    hits = search.any_word(table(spark, sf, "documents"), "doc_id", "text", ["nation", "was", "from"])
+    return hits.crossJoin(F.broadcast(hits.agg(F.count("*").alias("total"))))  # one row
+
+
+@query(r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as t from documents),
+terms as (select doc_id, len(t) as dl, unnest(t) as term from w),
+groups_ as (select doc_id, dl, case when starts_with(term, 'nat') then 'nat*' when starts_with(term, 'ther') then 'ther*' else term end as term from terms
+            where starts_with(term, 'nat') or starts_with(term, 'ther') or term in ('the', 'der')),
+tf as (select doc_id, dl, term, count(*) as tf from groups_ group by all),
+df as (select term, count(*) as df from tf group by term)
+select doc_id, round(sum(tf::double / dl * ln(1 + (select count(*) from documents)::double / df)), 6) as score
+from tf join df using (term) group by doc_id having count(*) filter (where term in ('the', 'der')) > 0 and count(*) filter (where term like '%*') > 0""")
+def name_and_prefix_search(spark: SparkSession, sf: str) -> DataFrame:
+    """One of the whole words, and any word with one of the prefixes, over whole texts."""
+    docs = table(spark, sf, "documents")
+    found = search.prefix_search(docs, docs.count(), "doc_id", "text", words=["the", "der"], prefixes=["nat", "ther"])
+    return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("""
 select doc_id, substr(text, greatest(1, strpos(text, 'tion') - 160), strpos(text, 'tion') - greatest(1, strpos(text, 'tion') - 160) + 4 + 160) as quote
-from documents where lang = 'en' and contains(text, 'tion')""")
+from documents where contains(text, 'tion')""")
 def quotes_around_first_hit(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").filter("lang = 'en'")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", X.quote_around(F.col("text"), F.lit("tion")).alias("quote")).filter(F.col("quote").isNotNull())
 
 
@@ -110,12 +128,12 @@ def extracted_mentions(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"""
 select doc_id, i as place, s as sentence from (
     select doc_id, unnest(range(len(l))) as i, unnest(l) as s from (
-        select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([^ \n.(][\p{L}\p{N}\p{P}])([.!?])[ \n]+', '\1\2' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') as l
-        from documents where lang = 'en' and n_chars < 400 and not contains(text, chr(10)) and regexp_matches(text, '^[A-Za-z,. ]+$')))""")
+        select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '((^|[^\s.(])[^\s\p{L}]|(^|[^\s.(])\p{L}|\p{L}\p{L}|[\s.(][^\s\p{L}])([.!?])\s+', '\1\4' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') as l
+        from documents where text is not null))""")
 def sentence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences of short plain documents, in order."""
-    docs = table(spark, sf, "documents").filter("lang = 'en' and n_chars < 400").filter(F.col("text").rlike("^[A-Za-z,. ]+$"))
-    return docs.select("doc_id", F.posexplode(extraction.sentences(F.col("text"))).alias("i", "sentence")).select("doc_id", F.col("i").cast("long").alias("place"), "sentence")
+    """Sentences of all documents, in order."""
+    found = table(spark, sf, "documents").select("doc_id", F.posexplode(extraction.sentences(F.col("text"))).alias("i", "sentence"))
+    return found.select("doc_id", F.col("i").cast("long").alias("place"), "sentence")
 
 
 @query("""
@@ -129,12 +147,12 @@ def trigram_similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-with l as (select distinct lower(regexp_extract(text, '^[A-Za-z]+')) as x from benchmark), r as (select distinct lower(regexp_extract(text, '^[A-Za-z]+')) as y from documents where lang = 'en')
+with l as (select distinct lower(regexp_extract(text, '^[A-Za-z]+')) as x from benchmark), r as (select distinct lower(regexp_extract(text, '^[A-Za-z]+')) as y from documents)
 select x, y, levenshtein(x, y)::int as edits from l join r on levenshtein(x, y) <= 1 and x <> '' and y <> ''""")
 def words_one_edit_apart(spark: SparkSession, sf: str) -> DataFrame:
     first = F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0))
     left = table(spark, sf, "benchmark").select(first.alias("x")).distinct().filter("x <> ''")
-    right = table(spark, sf, "documents").filter("lang = 'en'").select(first.alias("y")).distinct().filter("y <> ''")
+    right = table(spark, sf, "documents").select(first.alias("y")).distinct().filter("y <> ''")
     return resolution.typo_partners(left, right, 1)
 
 
@@ -152,10 +170,13 @@ def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with e as (select regexp_extract_all(string_agg(text, ' '), '[0-9]+') as known from benchmark),
-n as (select doc_id, regexp_extract_all(text, '[0-9]+') as found from documents where lang = 'de')
-select doc_id, len(list_distinct(list_filter(found, lambda x: not list_contains(known, x)))) as unknown from n, e""")
+with e as (select distinct unnest(regexp_extract_all(text, '[0-9]+')) as n from benchmark),
+n as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) as n from documents)
+select d.doc_id, coalesce(u.unknown, 0) as unknown from documents d left join (select doc_id, count(*) as unknown from n where n not in (select n from e) group by doc_id) u on u.doc_id = d.doc_id""")
 def numbers_not_in_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    evidence = F.broadcast(table(spark, sf, "benchmark").agg(F.array_join(F.collect_list("text"), " ").alias("evidence")))  # one row
-    docs = table(spark, sf, "documents").filter("lang = 'de'").select("doc_id", "text").crossJoin(evidence)
-    return docs.select("doc_id", F.size(X.numbers_not_in(F.col("text"), F.col("evidence"))).cast("long").alias("unknown"))
+    """How many numbers of each document no benchmark item has: numbers meet numbers, an anti join."""
+    docs, numbers = table(spark, sf, "documents").select("doc_id", "text"), lambda c: F.regexp_extract_all(c, F.lit("([0-9]+)"), F.lit(1))
+    evidence = table(spark, sf, "benchmark").select(F.explode(numbers("text")).alias("n")).distinct()
+    said = docs.select("doc_id", F.explode(F.array_distinct(numbers("text"))).alias("n"))
+    unknown = said.join(evidence, "n", "left_anti").groupBy("doc_id").agg(F.count("*").alias("unknown"))
+    return docs.select("doc_id").join(unknown, "doc_id", "left").select("doc_id", F.coalesce("unknown", F.lit(0)).alias("unknown"))
