@@ -23,30 +23,37 @@ def list_score(key: Column, other_key: Column, words: Column, other_words: Colum
     return value
 
 
-def stem_key(words: Column, stems: Column, letters: Column) -> Column:
-    """Keys (number of words, stem, first letter of another word): a name and its variant have one in common."""
-    return F.flatten(F.transform(stems, lambda s: F.transform(letters, lambda c: F.struct(F.size(words).alias("n"), s.alias("stem"), c.alias("letter")))))
+def _first_letters(words: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(1)))))
 
 
 def name_variants_of(names: DataFrame, listed: DataFrame) -> DataFrame:
     """(words, e_words): distinct names and list names of as many words, each word of which agrees with one of theirs up to an ending.
 
-    They meet where a word's stem begins a word of the list's name: an equi-join on the stem, the number of words, and the
-    first letter of the word after it, which the other name has too; so a frequent word alone brings nobody together.
+    They meet where a word's stem begins a word of the list's name: an equi-join on the stem, the number of words, and two
+    first letters of the other words, which the list's name has too; so a frequent word alone brings nobody together.
     """
     left, right = names.select("words").distinct(), listed.select("e_words").distinct()
-    first = lambda words: F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(1))))
     keyed = F.transform(
         "words",
         lambda w, i: F.struct(
-            F.size("words").alias("n"), F.left(w, F.greatest(F.lit(3), F.length(w) - 2)).alias("stem"), F.left(F.get("words", (i + 1) % F.size("words")), F.lit(1)).alias("letter"), F.length(w).alias("size")
+            F.length(w).alias("size"),
+            F.struct(
+                F.size("words").alias("n"),
+                F.left(w, F.greatest(F.lit(3), F.length(w) - 2)).alias("stem"),
+                F.array_join(F.slice(_first_letters(F.filter("words", lambda _, j: j != i)), 1, 2), "").alias("letters"),
+            ).alias("k"),
         ),
     )
-    asked = left.select("words", F.explode(keyed).alias("k")).filter("k.size >= 3").select("words", F.struct("k.n", "k.stem", "k.letter").alias("k"))
+    asked = left.select("words", F.explode(F.filter(keyed, lambda x: x["size"] >= 3)).alias("x")).select("words", "x.k")
     heads = F.array_distinct(F.flatten(F.transform(F.filter("e_words", lambda e: F.length(e) >= 3), lambda e: F.transform(F.sequence(F.lit(3), F.length(e)), lambda i: F.left(e, i)))))
-    given = right.select("e_words", F.explode(stem_key(F.col("e_words"), heads, first(F.col("e_words")))).alias("k"))
-    met = asked.join(given, "k").select("words", "e_words").distinct()
-    return met.filter(F.forall("words", lambda w: F.exists("e_words", lambda e: X.same_stem(w, e))))
+    pairs = F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda b: F.concat(a, b))))
+    given = right.select("e_words", F.size("e_words").alias("n"), heads.alias("heads"), _first_letters(F.col("e_words")).alias("f"))
+    given = given.select("e_words", "n", "heads", F.explode(F.concat(F.array(F.lit("")), "f", pairs)).alias("letters")).select("e_words", "n", "letters", F.explode("heads").alias("stem"))
+    given = given.select("e_words", F.struct("n", "stem", "letters").alias("k"))
+    # compared before the shuffle that takes repeated pairs out
+    endings = F.forall("words", lambda w: F.exists("e_words", lambda e: X.same_stem(w, e)))
+    return asked.join(given, "k").filter(endings).select("words", "e_words").distinct()
 
 
 def match_list(persons: DataFrame, entries: DataFrame, least_words: int = 2, aliases: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from factloom.operators import classify, resolution
 from factloom.operators.graph import components
 from factloom.operators.listmatch import match_list
 from factloom.plans.base import query, table
+from factloom.storage import materialize
 
 #: Evidence lexicon of the fixtures' invented English, as data.
 LEXICON = {"charge": ["nation", "ationre"], "rights": ["thered", "inganat"], "press": ["ontheat", "whinger"], "faith": ["esheri", "thatin"]}
@@ -37,7 +38,9 @@ def mentions(docs: DataFrame, *columns: str) -> DataFrame:
 
 def names(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, source, given, surname, patronymic): the subject of each document, its first mention."""
-    return mentions(table(spark, sf, "documents"), "doc_id", "source").filter("place = 0").drop("place")
+    first = F.split(F.lower(F.regexp_extract("text", NAME, 0)), " ")
+    words = table(spark, sf, "documents").select("doc_id", "source", first.alias("w")).filter(F.size("w") == 3)
+    return words.select("doc_id", "source", *[F.get("w", F.lit(i)).alias(c) for i, c in enumerate(("given", "surname", "patronymic"))])
 
 
 def _known(every: DataFrame) -> DataFrame:
@@ -134,16 +137,22 @@ matched as (
     from people p left join best b on b.person = p.person left join variants v on v.person = p.person)"""
 
 
-def matches(spark: SparkSession, sf: str) -> DataFrame:
+def all_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, given, surname, patronymic): every name of every document, written once, as several joins read it."""
+    return materialize(mentions(table(spark, sf, "documents"), "doc_id").drop("place"), "mentions")
+
+
+def matches(spark: SparkSession, sf: str, said: DataFrame | None = None) -> DataFrame:
     """All names that documents mention against the names of benchmark items, with some births known and the first two words as an alias."""
     parts = ("given", "surname", "patronymic")
-    every = mentions(table(spark, sf, "documents"), "doc_id").groupBy(*parts).agg(F.min("doc_id").alias("first"))
+    every = (said or all_mentions(spark, sf)).groupBy(*parts).agg(F.min("doc_id").alias("first"))
     people = every.select(F.concat_ws(" ", *parts).alias("person"), F.array(*parts).alias("words"), F.when(F.col("first") % 3 == 0, 1950 + F.col("first") % 9).alias("birth"))
     item, listed = F.col("item_id"), mentions(table(spark, sf, "benchmark"), "item_id")
     entries = listed.select(
         (item * 1000 + F.col("place")).alias("entry"), F.when(item % 4 == 1, F.array("given", "surname")).otherwise(F.array(*parts)).alias("words"),
         F.when(item % 2 == 0, 1950 + (item + F.col("place")) % 9).alias("birth"),
     )
+    people, entries = materialize(people, "people"), materialize(entries, "entries")
     return match_list(people, entries, aliases=people.select("person", F.slice("words", 1, 2).alias("words")))
 
 

@@ -25,8 +25,9 @@ def candidates_absent_from_list(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("person"), "toxic")
     active = docs.join(labels, "person", "left").filter(F.coalesce("toxic", F.lit(0)) == 0)
     judged = M.classified(spark, sf).select(F.col("doc_id").alias("person"), "status", "confidence", F.lit(1).alias("classified_at"), F.col("doc_id").alias("id"))
-    said = M.mentions(table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("of"), F.concat_ws(" ", "given", "surname", "patronymic").alias("person"))
-    absent = said.join(M.matches(spark, sf), "person").groupBy(F.col("of").alias("person")).agg(F.when(F.bool_and(F.col("status") == "NOT_MATCHED"), "NOT_MATCHED").otherwise("LISTED").alias("status"))
+    mentions = M.all_mentions(spark, sf)
+    said = mentions.select(F.col("doc_id").alias("of"), F.concat_ws(" ", "given", "surname", "patronymic").alias("person"))
+    absent = said.join(M.matches(spark, sf, mentions), "person").groupBy(F.col("of").alias("person")).agg(F.when(F.bool_and(F.col("status") == "NOT_MATCHED"), "NOT_MATCHED").otherwise("LISTED").alias("status"))
     found = results.candidates(judged, active, absent).join(docs, "person")
     counts = found.groupBy("source").agg(F.count("*").alias("of_source"))
     return found.join(counts, "source").select("person", "confidence", "list_status", "source", "n_chars", "of_source")
