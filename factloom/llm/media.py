@@ -7,7 +7,11 @@ every other one refers to it. The store is a written table: a row for each media
 of the chunks that it owns, each chunk of the corpus once. A media is read back from the store alone: from its list, its
 own chunks and those that its owners' rows give, checked against their digests and the media's own.
 
-Shuffles: lists of digests and lengths; each distinct media once, compressed, to its list; in reading, the chunks that
+Media that share no chunk, most of them in a corpus, are stored where they are read: a filter of the shared digests (of
+bounded size, broadcast) tells which media may share one. Where it is too small for the corpus it lets more media through
+to the joins, which decide; the store is the same.
+
+Shuffles: lists of digests and lengths; each marked media once, compressed, to its list; in reading, the chunks that
 others asked for and the rows that ask. Copies of a payload share a media and travel as ids alone, one of them with its
 bytes; a hot chunk is an equi-join key that Spark may split.
 
@@ -38,6 +42,8 @@ PAD, RATE = 64, 8000
 LEAST, MOST, BITS = 256, 8192, 10
 WINDOW = 32
 HEADER = 56
+#: Bits of the marks for a key, and their bounds (32 MB at most).
+MARK_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 
 @lru_cache(maxsize=1)
@@ -120,22 +126,89 @@ def chunk_lists(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def compressed_media(df: DataFrame, text: str) -> DataFrame:
-    """media_id and the media, compressed for its one shuffle; a batch gives each media once."""
+class Marks:
+    """A filter of keys (digests) that errs on one side only: what it doesn't hit is surely not among them."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.bits = words, 64 * len(words)
+
+    def hit(self, digests: list[bytes]) -> bool:
+        return any(all(self.words[(at := int.from_bytes(d[i : i + 4], "big") % self.bits) >> 6] >> np.uint64(at & 63) & np.uint64(1) for i in (0, 4)) for d in digests)
+
+
+def marks_of(keys: DataFrame) -> Marks:
+    """The filter of a column of digests: MARK_BITS bits a key, within bounds; what reaches the driver is its words."""
+    n = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, MARK_BITS * n - 1).bit_length()))
+    part = lambda i: F.conv(F.hex(F.substring(F.col(keys.columns[0]), i, 4)), 16, 10).cast("long") % bits
+    at = keys.select(F.explode(F.array(part(1), part(5))).alias("at"))
+    words = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("set")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
+    return Marks(out)
+
+
+#: A chunk list as stored. from: the chunk's place in the media (its own place: an owned chunk; an earlier one: a chunk
+#: that the media holds twice), or null where `owner` holds it as its chunk `at`.
+PLAN = "array<struct<seq:int,length:int,digest:binary,from:int,owner:binary,at:int>>"
+
+
+def marked_media(df: DataFrame, text: str, marks: Marks) -> DataFrame:
+    """media_id and the media, compressed for its one shuffle, of those that the marks hit; a batch gives each media once."""
+    shared = df.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
-                media = {media_digest(m): m for t in whole.column(0).slice(first, 256).to_pylist() for m in (_media_of(t),)}
+                media = {}
+                for t in whole.column(0).slice(first, 256).to_pylist():
+                    m = _media_of(t)
+                    name = media_digest(m)
+                    if name not in media and shared.value.hit([name, *map(media_digest, _pieces(m, cut(m)))]):
+                        media[name] = m
                 yield pa.RecordBatch.from_arrays([pa.array(media.keys(), pa.binary()), pa.array([pack.compress(m) for m in media.values()], pa.binary())], names=["media_id", "packed"])
 
     return df.select(text).mapInArrow(run, "media_id binary, packed binary")
 
 
-#: A chunk list as stored. from: the chunk's place in the media (its own place: an owned chunk; an earlier one: a chunk
-#: that the media holds twice), or null where `owner` holds it as its chunk `at`.
-PLAN = "array<struct<seq:int,length:int,digest:binary,from:int,owner:binary,at:int>>"
+def unmarked_rows(df: DataFrame, text: str, marks: Marks) -> DataFrame:
+    """The store's rows of the media that the marks don't hit: they stand alone and own all their chunks."""
+    shared = df.sparkSession.sparkContext.broadcast(marks)
+    part = pa.struct([("seq", pa.int32()), ("length", pa.int32()), ("digest", pa.binary()), ("from", pa.int32()), ("owner", pa.binary()), ("at", pa.int32())])
+    schema = pa.schema([("media_id", pa.binary()), ("plan", pa.list_(part)), ("wanted", pa.list_(pa.int32())), ("own", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 64):
+                rows = []
+                for t in whole.column(0).slice(first, 64).to_pylist():
+                    m = _media_of(t)
+                    name, lengths = media_digest(m), cut(m)
+                    digests = [media_digest(c) for c in _pieces(m, lengths)]
+                    if not shared.value.hit([name, *digests]):
+                        rows.append((name, [(i, n, d, i, None, None) for i, (n, d) in enumerate(zip(lengths, digests, strict=True))], None, m))
+                columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return df.select(text).mapInArrow(run, f"media_id binary, plan {PLAN}, wanted array<int>, own binary")
+
+
+def _marked_lists(lists: DataFrame, marks: Marks) -> DataFrame:
+    """media_id and chunks of the media that the marks hit, once each."""
+    shared = lists.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [shared.value.hit([name, *(c["digest"] for c in chunks)]) for name, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield batch.filter(pa.array(hit, pa.bool_()))
+
+    kept = lists.select("media_id", "chunks").mapInArrow(run, lists.select("media_id", "chunks").schema)
+    return kept.groupBy("media_id").agg(F.min("chunks").alias("chunks"))
+
+
+def _exploded(medias: DataFrame) -> DataFrame:
+    return medias.select("media_id", F.posexplode("chunks").alias("seq", "c")).select("media_id", "seq", "c.digest", "c.length")
 
 
 def _keep_owned(joined: DataFrame) -> DataFrame:
@@ -161,11 +234,13 @@ def write_store(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
     Both are written tables; nothing in them leads back to df.
     """
     lists = materialize(chunk_lists(df, key, text), "chunk-lists")
-    chunks = lists.groupBy("media_id").agg(F.min("chunks").alias("chunks")).select("media_id", F.posexplode("chunks").alias("seq", "c"))
-    chunks = chunks.select("media_id", "seq", "c.digest", "c.length")
+    medias = lists.groupBy("media_id").agg(F.min("chunks").alias("chunks"), F.count("*").alias("n"))
     # written, so that the join has a plain exchange on each side and Spark may split the media that share one chunk
-    owners = chunks.groupBy(F.col("digest").alias("o_digest")).agg(F.min(F.struct("media_id", "seq")).alias("owner"), F.count("*").alias("n"))
+    owners = _exploded(medias).groupBy(F.col("digest").alias("o_digest")).agg(F.min(F.struct("media_id", "seq")).alias("owner"), F.count("*").alias("n"))
     shared = materialize(owners.filter("n > 1").drop("n"), "shared-chunks")
+    repeated = materialize(medias.filter("n > 1").select("media_id"), "repeated-media")
+    marks = marks_of(shared.select("o_digest").union(repeated))
+    chunks = _exploded(_marked_lists(lists, marks))
     refs = chunks.join(shared, F.col("digest") == F.col("o_digest"), "left")
     own = F.when(F.col("owner").isNull(), F.col("seq")).when(F.col("owner.media_id") == F.col("media_id"), F.col("owner.seq"))
     refs = refs.select("media_id", "seq", "length", "digest", own.alias("from"), "owner")
@@ -175,8 +250,9 @@ def write_store(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
     part = F.struct("seq", "length", "digest", "from", F.when(foreign, F.col("owner.media_id")).alias("owner"), F.when(foreign, F.col("owner.seq")).alias("at"))
     plans = refs.groupBy("media_id").agg(F.sort_array(F.collect_list(part)).cast(PLAN).alias("plan"))
     plans = plans.join(wanted, "media_id", "left")  # a row for each media on all sides: dealt by media_id once
-    packed = compressed_media(df, text).groupBy("media_id").agg(F.min("packed").alias("packed"))
-    return lists.select(key, "media_id"), materialize(_keep_owned(plans.join(packed, "media_id")), "chunk-store")
+    packed = marked_media(df, text, marks).groupBy("media_id").agg(F.min("packed").alias("packed"))
+    joined = _keep_owned(plans.join(packed, "media_id"))
+    return lists.select(key, "media_id"), materialize(unmarked_rows(df, text, marks).unionByName(joined), "chunk-store")
 
 
 def _checked(piece: bytes, part: dict) -> bytes:

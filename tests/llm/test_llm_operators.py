@@ -68,6 +68,18 @@ def test_shared_passages_are_stored_once(spark):
     assert {media.from_media(bytes(r.media))[1] for r in media.read_store(store).collect()} == {padded(t) for t in texts}
 
 
+def test_full_marks_change_nothing(spark, monkeypatch):
+    """A filter that hits everything sends all media through the joins: the store's chunks stay the same."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    texts = [f"{i} " * 40 + (passage if i % 3 else "") + "".join(rng.choice("xyz") for _ in range(3000)) for i in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:2])), "doc_id long, text string")
+    whole = lambda: sorted((bytes(r.media_id), [(p["from"], bytes(p.owner or b""), p.at) for p in r.plan], tuple(r.wanted or ()), bytes(r.own)) for r in media.write_store(df)[1].collect())
+    few = whole()
+    monkeypatch.setattr(media, "marks_of", lambda keys: media.Marks(np.full(16, (1 << 64) - 1, np.uint64)))
+    assert whole() == few and len(few) == 12
+
+
 def test_the_store_is_read_without_the_texts(spark, tmp_path):
     """The texts are gone before reading; a damaged chunk is refused, whether it is the media's own or another's."""
     import shutil
