@@ -17,6 +17,7 @@ are replaced). No candidates at all: an empty model, base spans only. An empty t
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -208,7 +209,8 @@ def fit(annotated: DataFrame) -> SpanModel:
         return SpanModel({}, {}, {})
     accuracy, share, posterior = estimate(sorted(patterns))
     # soft labels: each vote pattern's posterior, summed for each feature
-    labels = annotated.sparkSession.createDataFrame([(k, list(v), p) for (k, v), p in sorted(posterior.items())], "kind int, votes array<int>, label double")
+    told = json.dumps([{"kind": k, "votes": list(v), "label": p} for (k, v), p in sorted(posterior.items())])
+    labels = annotated.sparkSession.range(1).select(F.inline(F.from_json(F.lit(told), "array<struct<kind:int,votes:array<int>,label:double>>")))
     label = F.col("label")
     soft = counted.join(F.broadcast(labels), ["kind", "votes"]).select("kind", F.explode("features").alias("feature"), (F.col("n") * label).alias("yes"), (F.col("n") * (1 - label)).alias("no"))
     rows = soft.groupBy("kind", "feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()
