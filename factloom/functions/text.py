@@ -56,6 +56,13 @@ def same_stem(a: Column, b: Column) -> Column:
     return (ending & (short >= 3)) | ((F.left(a, F.lit(1)) == F.left(b, F.lit(1))) & (F.levenshtein(a, b) <= 2))
 
 
+def equal_but_ending(a: Column, b: Column) -> Column:
+    """Equal, or in common all but two letters of the shorter one, three at least."""
+    short = F.least(F.length(a), F.length(b))
+    kept = F.greatest(F.lit(3), short - 2)
+    return (a == b) | ((short >= 3) & (F.left(a, kept) == F.left(b, kept)))
+
+
 def one_letter_apart(a: Column, b: Column) -> Column:
     """Equal length and one letter respelled."""
     differ = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda n, d: n + d)
