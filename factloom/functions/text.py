@@ -56,6 +56,12 @@ def same_stem(a: Column, b: Column) -> Column:
     return (ending & (short >= 3)) | ((F.left(a, F.lit(1)) == F.left(b, F.lit(1))) & (F.levenshtein(a, b) <= 2))
 
 
+def name_words(words: Column) -> Column:
+    """Words of a name as they are compared: folded, each part of a hyphenated one by itself."""
+    parts = F.flatten(F.transform(words, lambda w: F.split(F.translate(F.lower(w), "ё", "е"), "[-\\s]+")))
+    return F.filter(parts, lambda w: w != "")
+
+
 def equal_but_ending(a: Column, b: Column) -> Column:
     """Equal, or in common all but two letters of the shorter one, three at least."""
     short = F.least(F.length(a), F.length(b))

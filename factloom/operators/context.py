@@ -1,4 +1,4 @@
-"""What sentences tell: triggers, dates, whom a pronoun means, whose evidence a passage is, and what corroborates a link."""
+"""What sentences tell: triggers, whom a pronoun means, whose evidence a passage is, and what corroborates a link."""
 
 from __future__ import annotations
 
@@ -27,25 +27,6 @@ def first_trigger(sentence: Column, verbs: Mapping[str, str], nouns: Mapping[str
     return F.coalesce(earliest(verbs), earliest(nouns))
 
 
-#: A day and a month, and perhaps a year, in digits.
-DATE = r"(?<![0-9.])([0-9]{1,2})\.([0-9]{1,2})(?:\.([0-9]{4}))?(?![0-9.])"
-
-
-def event_date(clause: Column, published: Column, most_past_days: int) -> Column:
-    """The one date that a clause writes; null for none, for several, and for days that don't exist.
-
-    Without a year it is that of publication if the day has passed by then, else the year before if that is at most
-    `most_past_days` ago. The day of publication itself is never taken in place of a written one.
-    """
-    part = lambda i: F.regexp_extract(clause, DATE, i)
-    day = lambda year: F.try_to_timestamp(F.concat_ws("-", year, F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
-    on = published.cast("date")
-    this, last = day(F.year(on).cast("string")), day((F.year(on) - 1).cast("string"))
-    inferred = F.when(this <= on, this).when(last.isNotNull() & (F.datediff(on, last) <= most_past_days), last)
-    one = F.regexp_count(clause, F.lit(DATE)) == 1
-    return F.when(one, F.when(part(3) != "", day(part(3))).otherwise(inferred))
-
-
 def antecedents(sentences: DataFrame, mentions: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, sentence, mention): the person that a sentence's pronoun stands for, where only one can fit.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
+from factloom.storage import materialize
 
 #: Fixed values of the list score and its statuses.
 KEY_SCORE, NAME_WEIGHT, NAME_LEAST, CANDIDATE, MATCHED, AMBIGUITY, BIRTH_BONUS, BIRTH_CAP = 0.8, 0.2, 0.8, 0.5, 0.95, 0.1, 0.05, 0.5
@@ -23,37 +24,73 @@ def list_score(key: Column, other_key: Column, words: Column, other_words: Colum
     return value
 
 
-def _first_letters(words: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(1)))))
+def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(w, e): words of left (w) and right (e) that are equal up to an ending or two edits behind an equal first letter.
+
+    Endings: the prefix that the shorter word keeps is the key, met by all prefixes of the longer one. Edits: of the three
+    segments of a word, two edits leave one whole, moved by as many places at most as there are edits on either side of
+    it; so a segment is the key, with the word's length and first letter. Both keys are of bounded number for a word.
+    """
+    bare = lambda df, c: df.select(c).distinct().withColumn("b", F.translate(c, "ьъ", "")).filter("b <> ''").withColumn("n", F.length("b"))
+    ws, es = bare(left, "w"), bare(right, "e")
+    kept = lambda df, c: df.filter("n >= 3").select(c, F.xxhash64(F.left("b", F.greatest(F.lit(3), F.col("n") - 2))).alias("k"))
+    heads = lambda df, c: df.filter("n >= 3").select(c, F.explode(F.transform(F.sequence(F.lit(3), F.col("n")), lambda i: F.xxhash64(F.left("b", i)))).alias("k"))
+    endings = kept(ws, "w").join(heads(es, "e"), "k").select("w", "e").union(heads(ws, "w").join(kept(es, "e"), "k").select("w", "e"))
+
+    def segments(size: Column, part: Column) -> tuple[Column, Column]:
+        """Where the part of a word of this size begins (from 1), and its length: later parts are the longer ones."""
+        short, rest = F.floor(size / 3).cast("int"), size % 3
+        longer = F.greatest(F.lit(0), part - (3 - rest))
+        return part * short + longer + 1, short + (part >= 3 - rest).cast("int")
+
+    part, moved = F.col("part"), F.col("moved")
+    given = es.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    at, long = segments(F.col("n"), part)
+    given = given.select("e", F.struct("n", "part", F.left("b", F.lit(1)).alias("f"), F.substring(F.col("b"), at, long).alias("s")).alias("k"))
+    # (part, difference of sizes, places that the segment has moved)
+    moves = [(p, d, m) for p in range(3) for d in range(-2, 3) for m in range(-2, 3) if abs(m) <= p and abs(m - d) <= 2 - p]
+    asked = ws.withColumn("m", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(d).alias("more"), F.lit(m).alias("moved")) for p, d, m in moves])))
+    asked = asked.select("w", "b", F.left("b", F.lit(1)).alias("f"), (F.col("n") - F.col("m.more")).alias("n"), "m.part", "m.moved", F.col("n").alias("own")).filter("n >= 1")
+    at, long = segments(F.col("n"), part)
+    inside = (at + moved >= 1) & (at + moved + long - 1 <= F.col("own"))
+    asked = asked.filter(inside).select("w", F.struct("n", "part", "f", F.substring(F.col("b"), at + moved, long).alias("s")).alias("k"))
+    edits = asked.join(given, "k").select("w", "e")
+    return endings.union(edits).filter(X.same_stem(F.col("w"), F.col("e"))).distinct()
+
+
+def _contained(short: DataFrame, long: DataFrame, pairs: DataFrame, least_more: int) -> DataFrame:
+    """(s, l): names of `short` (s) each word of which has a pair (a, b) in a name of `long` (l) of at least `least_more` words more.
+
+    Only names all of whose words have pairs go on, each under its rarest word: the one whose pairs are in fewest names.
+    """
+    of = long.select("l", F.explode(F.array_distinct("l")).alias("b"))
+    cost = pairs.join(of.groupBy("b").agg(F.count("*").alias("n")), "b").groupBy("a").agg(F.sum("n").alias("cost"))
+    words = short.select("s", F.explode(F.array_distinct("s")).alias("a"))
+    rarest = words.join(cost, "a").groupBy("s").agg(F.min(F.struct("cost", "a")).alias("key"), F.count("*").alias("met"))
+    rarest = rarest.filter(F.col("met") == F.size(F.array_distinct("s"))).select("s", F.col("key.a").alias("a"))
+    near = rarest.join(pairs, "a").join(of, "b").filter(F.size("l") >= F.size("s") + least_more)
+    return near.filter(F.forall("s", lambda w: F.exists("l", lambda e: X.same_stem(w, e)))).select("s", "l").distinct()
 
 
 def name_variants_of(names: DataFrame, listed: DataFrame) -> DataFrame:
-    """(words, e_words): distinct names and list names of as many words, each word of which agrees with one of theirs up to an ending.
+    """(words, e_words): distinct names and list names, of two words or more, of which the shorter's words all agree with words of the longer up to an ending or a typo.
 
-    They meet where a word's stem begins a word of the list's name: an equi-join on the stem, the number of words, and two
-    first letters of the other words, which the list's name has too; so a frequent word alone brings nobody together.
+    names: words, and stems: what a listed name must hold one of (the kept parts of all words that its person goes by).
+    Words are compared once, as a table of pairs; the shorter name's rarest word is then the one key of the join, in either
+    direction, so a frequent word alone brings nobody together.
     """
-    left, right = names.select("words").distinct(), listed.select("e_words").distinct()
-    keyed = F.transform(
-        "words",
-        lambda w, i: F.struct(
-            F.length(w).alias("size"),
-            F.struct(
-                F.size("words").alias("n"),
-                F.left(w, F.greatest(F.lit(3), F.length(w) - 2)).alias("stem"),
-                F.array_join(F.slice(_first_letters(F.filter("words", lambda _, j: j != i)), 1, 2), "").alias("letters"),
-            ).alias("k"),
-        ),
-    )
-    asked = left.select("words", F.explode(F.filter(keyed, lambda x: x["size"] >= 3)).alias("x")).select("words", "x.k")
-    heads = F.array_distinct(F.flatten(F.transform(F.filter("e_words", lambda e: F.length(e) >= 3), lambda e: F.transform(F.sequence(F.lit(3), F.length(e)), lambda i: F.left(e, i)))))
-    pairs = F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda b: F.concat(a, b))))
-    given = right.select("e_words", F.size("e_words").alias("n"), heads.alias("heads"), _first_letters(F.col("e_words")).alias("f"))
-    given = given.select("e_words", "n", "heads", F.explode(F.concat(F.array(F.lit("")), "f", pairs)).alias("letters")).select("e_words", "n", "letters", F.explode("heads").alias("stem"))
-    given = given.select("e_words", F.struct("n", "stem", "letters").alias("k"))
-    # compared before the shuffle that takes repeated pairs out
-    endings = F.forall("words", lambda w: F.exists("e_words", lambda e: X.same_stem(w, e)))
-    return asked.join(given, "k").filter(endings).select("words", "e_words").distinct()
+    left = names.select("words", "stems").distinct()
+    own, right = left.filter(F.size("words") >= 2).select("words").distinct(), listed.filter(F.size("e_words") >= 2).select("e_words").distinct()
+    pairs = materialize(word_pairs(own.select(F.explode("words").alias("w")), right.select(F.explode("e_words").alias("e"))), "word-pairs")
+    there = _contained(own.select(F.col("words").alias("s")), right.select(F.col("e_words").alias("l")), pairs.select(F.col("w").alias("a"), F.col("e").alias("b")), 0)
+    back = _contained(right.select(F.col("e_words").alias("s")), own.select(F.col("words").alias("l")), pairs.select(F.col("e").alias("a"), F.col("w").alias("b")), 1)
+    met = there.select(F.col("s").alias("words"), F.col("l").alias("e_words")).union(back.select(F.col("l").alias("words"), F.col("s").alias("e_words")))
+    return met.join(left, "words").filter(F.exists("stems", lambda p: F.contains(F.array_join("e_words", " "), p))).select("words", "stems", "e_words")
+
+
+def stems_of(words: Column) -> Column:
+    """What words of three letters and more keep of themselves whatever their ending."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: X.stem(w))))
 
 
 def match_list(persons: DataFrame, entries: DataFrame, least_words: int = 2, aliases: DataFrame | None = None) -> DataFrame:
@@ -61,8 +98,8 @@ def match_list(persons: DataFrame, entries: DataFrame, least_words: int = 2, ali
 
     aliases (person, words) are further identities of persons. Scores above one half need equal keys, so an equi-join on the
     key gives all candidates; each entry counts once for a person, with the best score of its identities. Two near the
-    top are ambiguous; 0.95 and more is a match; other candidates need review. Where there is no candidate, a name with an
-    entry that is its variant (name_variants_of) is no proof of absence: it needs review too.
+    top are ambiguous; 0.95 and more is a match; other candidates need review. Where there is no candidate, a person one of
+    whose names contains an entry's, or is contained in it (name_variants_of), isn't proven absent: review too.
     """
     with_birth = lambda df: df if "birth" in df.columns else df.withColumn("birth", F.lit(None).cast("int"))
     people, listed = with_birth(persons), with_birth(entries)
@@ -78,10 +115,13 @@ def match_list(persons: DataFrame, entries: DataFrame, least_words: int = 2, ali
     best = scored.withColumn("r", order).filter("r <= 2").groupBy("person").agg(
         F.max(F.when(F.col("r") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second"), F.max(F.when(F.col("r") == 1, F.col("entry"))).alias("entry")
     )
-    alike = name_variants_of(every, listed).select("words").distinct()
-    variant = every.join(alike, "words", "left_semi").select("person").distinct().withColumn("variant", F.lit(True))
+    bare = every.select("person", X.name_words("words").alias("words"))
+    goes_by = bare.groupBy("person").agg(stems_of(F.flatten(F.collect_list("words"))).alias("stems"), F.collect_set("words").alias("forms"))
+    named = materialize(goes_by.select("person", "stems", F.explode("forms").alias("words")), "identities")
+    alike = name_variants_of(named, listed.select(X.name_words("e_words").alias("e_words"))).select("words", "stems").distinct()
+    variant = named.join(alike, ["words", "stems"], "left_semi").select("person").distinct().withColumn("variant", F.lit(True))
     found = people.select("person", "words").join(best, "person", "left").join(variant, "person", "left")
-    full = F.size(F.filter("words", lambda w: F.length(w) > 1))
+    full = F.size(F.filter("words", lambda w: F.length(F.btrim(w, F.lit("."))) > 1))
     status = (
         F.when(F.col("top").isNull() & (full < least_words), "INSUFFICIENT_DATA")
         .when(F.col("top").isNull() & F.coalesce("variant", F.lit(False)), "NEEDS_REVIEW")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import context, extraction
+from factloom.operators import context, dates, extraction
 from factloom.plans import matching as M
 from factloom.plans.base import query, table
 
@@ -35,26 +35,33 @@ def sentence_events(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "place", F.col("t.type").alias("kind"), F.col("t.start").cast("long").alias("start"))
 
 
-@query("""
+#: Sentences with a written day in turn (d.m, d.m.Y and d month Y: the order's), and where each one's trigger begins.
+SAID = [
+    ("signed on {dm}", 0), ("on {dmy} at noon", 0), ("on 31.02.2001", 0), ("from 12.10 to {dm}", 0), ("article 20.2 of the code of 1.2.3", 0), ("on {dm} under article 20.2", 0),
+    ("held until {words}", 0), ("on 12 and 13 {month}", 0), ("closed on {words}, after he had paid on 5.08.2019", 0), ("one of {words} of birth", 0), ("he came in 1999 on {day} {month}.", 0),
+    ("paid on 5.08.2019, closed on {words}", 20), ("closed (on 1.1.2001) but opened on {dmy} - as told on 3.3.2003", 30), ("until now on {words}", 0),
+]
+
+
+@query(f"""
 with said as (
-    select o_orderkey, (o_orderdate + to_days((o_orderkey % 400)::int - 60))::date as published,
-           case o_orderkey % 5 when 0 then 'signed on ' || strftime(o_orderdate, '%d.%m') when 1 then 'on ' || strftime(o_orderdate, '%d.%m.%Y') || ' at noon' when 2 then 'on 31.02.2001'
-                when 3 then 'from 12.10 to ' || strftime(o_orderdate, '%d.%m') else 'article 20.2 of the code of 1.2.3' end as clause,
-           o_orderdate::date as on_ from orders),
-read as (select *, make_date(extract(year from published)::bigint, extract(month from on_)::bigint, case when month(on_) = 2 and day(on_) = 29 then 28 else day(on_) end::bigint) as this,
-                make_date(extract(year from published)::bigint - 1, extract(month from on_)::bigint, case when month(on_) = 2 and day(on_) = 29 then 28 else day(on_) end::bigint) as last_ from said where not (month(on_) = 2 and day(on_) = 29))
-select o_orderkey, case o_orderkey % 5 when 0 then case when this <= published then this when published - last_ <= 120 then last_ end when 1 then on_ end as on_day from read
-where o_orderkey % 5 <> 4""")
+    select o_orderkey, (o_orderdate + to_days((o_orderkey % 400)::int - 60))::date as published, o_orderkey % {len(SAID)} as form, o_orderdate::date as on_,
+           strftime(o_orderdate, '-%m-%d') as md from orders),
+read as (select *, try_cast(extract(year from published) || md as date) as this, try_cast((extract(year from published) - 1) || md as date) as last_ from said)
+select o_orderkey, case when form in (1, 8, 11, 12, 13) then on_ when form in (0, 5, 10) then case when this <= published then this when published - last_ <= 120 then last_ end end as on_day from read""")
 def dates_of_clauses(spark: SparkSession, sf: str) -> DataFrame:
-    """Days that clauses write, with the year of publication where it can be told; none for two dates or for days that don't exist."""
+    """Days that sentences write for their trigger, with the year of publication where it can be told; none for references, enumerated days, ends, births, and days that don't exist."""
     order, key = F.col("o_orderdate"), F.col("o_orderkey")
-    clause = (
-        F.when(key % 5 == 0, F.concat(F.lit("signed on "), F.date_format(order, "dd.MM"))).when(key % 5 == 1, F.concat(F.lit("on "), F.date_format(order, "dd.MM.yyyy"), F.lit(" at noon")))
-        .when(key % 5 == 2, F.lit("on 31.02.2001")).when(key % 5 == 3, F.concat(F.lit("from 12.10 to "), F.date_format(order, "dd.MM"))).otherwise("article 20.2 of the code of 1.2.3")
-    )
+    forms = {"{dmy}": F.date_format(order, "dd.MM.yyyy"), "{dm}": F.date_format(order, "dd.MM"), "{words}": F.date_format(order, "d MMMM yyyy"), "{month}": F.date_format(order, "MMMM"), "{day}": F.date_format(order, "d")}
+    sentence, trigger = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for i, (text, at) in enumerate(SAID):
+        filled = F.lit(text)
+        for name, value in forms.items():
+            filled = F.replace(filled, F.lit(name), value) if name in text else filled
+        sentence, trigger = F.when(key % len(SAID) == i, filled).otherwise(sentence), F.when(key % len(SAID) == i, at).otherwise(trigger)
     published = F.date_add(order.cast("date"), (key % 400).cast("int") - 60)
-    rows = table(spark, sf, "orders").filter((key % 5 != 4) & (F.date_format(order, "MMdd") != "0229"))
-    return rows.select("o_orderkey", context.event_date(clause, published, 120).alias("on_day"))
+    rows = table(spark, sf, "orders").select("o_orderkey", sentence.alias("sentence"), trigger.alias("trigger"), published.alias("published"))
+    return rows.select("o_orderkey", dates.event_date(F.col("sentence"), F.col("trigger"), F.col("published"), 120, dates.ENGLISH).alias("on_day"))
 
 
 _PLACED_SQL = f"""

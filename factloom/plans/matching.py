@@ -124,11 +124,12 @@ met as (
     from everyone_ p join listed l on list_sort(p.words) = list_sort(l.words), lateral (select least(1.0::double, 0.8 + 0.2) as score) s group by all),
 ranked as (select *, row_number() over (partition by person order by score desc, entry) as r from met where score > 0.5),
 best as (select person, max(score) filter (where r = 1) as top, max(score) filter (where r = 2) as second, max(entry) filter (where r = 1) as entry from ranked group by person),
+stems as (select person, list_transform(list_filter(words, lambda w: length(w) >= 3), lambda w: left(w, greatest(3, length(w) - 2))) as stems from people),
+e_names as (select distinct words as e_words, array_to_string(words, ' ') as e_name from listed),
+near as (select s.person, e.e_words from stems s join e_names e on len(list_filter(s.stems, lambda t: contains(e.e_name, t))) > 0),
 variants as (
-    select distinct p.person from everyone_ p join (select distinct words as e_words from listed) l
-    on len(p.words) = len(l.e_words)
-       and len(list_filter(p.words, lambda w: length(w) >= 3 and len(list_filter(l.e_words, lambda e: length(e) >= 3 and starts_with(e, left(w, greatest(3, length(w) - 2))))) > 0)) > 0
-       and len(list_filter(p.words, lambda w: len(list_filter(l.e_words, lambda e:
+    select distinct n.person from near n join everyone_ p using (person)
+    where len(list_filter(case when len(p.words) <= len(e_words) then p.words else e_words end, lambda w: len(list_filter(case when len(p.words) <= len(e_words) then e_words else p.words end, lambda e:
            (least(length(w), length(e)) >= 3 and left(w, {_STEM}) = left(e, {_STEM})) or (left(w, 1) = left(e, 1) and levenshtein(w, e) <= 2))) = 0)) = 0),
 matched as (
     select p.person, b.entry, case when top is null and len(list_filter(p.words, lambda w: length(w) > 1)) < 2 then 'INSUFFICIENT_DATA'
