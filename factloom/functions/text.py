@@ -53,7 +53,7 @@ def same_stem(a: Column, b: Column) -> Column:
     a, b = F.translate(a, "ьъ", ""), F.translate(b, "ьъ", "")
     short = F.least(F.length(a), F.length(b))
     ending = F.left(a, F.greatest(F.lit(3), short - 2)) == F.left(b, F.greatest(F.lit(3), short - 2))
-    return (ending & (short >= 3)) | ((F.left(a, F.lit(1)) == F.left(b, F.lit(1))) & (F.levenshtein(a, b) <= 2))
+    return (ending & (short >= 3)) | ((F.left(a, F.lit(1)) == F.left(b, F.lit(1))) & (F.abs(F.length(a) - F.length(b)) <= 2) & (F.levenshtein(a, b, 2) >= 0))
 
 
 def name_words(words: Column) -> Column:

@@ -11,6 +11,8 @@ from factloom.storage import materialize
 #: Fixed values of the list score and its statuses.
 KEY_SCORE, NAME_WEIGHT, NAME_LEAST, CANDIDATE, MATCHED, AMBIGUITY, BIRTH_BONUS, BIRTH_CAP = 0.8, 0.2, 0.8, 0.5, 0.95, 0.1, 0.05, 0.5
 NOT_MATCHED_CONFIDENCE = 0.8
+#: Letters up to which words are compared by what deletions leave of them, and longer ones by their segments.
+DELETED = 12
 
 
 def list_score(key: Column, other_key: Column, words: Column, other_words: Column, birth: Column | None = None, other_birth: Column | None = None) -> Column:
@@ -27,9 +29,10 @@ def list_score(key: Column, other_key: Column, words: Column, other_words: Colum
 def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(w, e): words of left (w) and right (e) that are equal up to an ending or two edits behind an equal first letter.
 
-    Endings: the prefix that the shorter word keeps is the key, met by all prefixes of the longer one. Edits: of the three
-    segments of a word, two edits leave one whole, moved by as many places at most as there are edits on either side of
-    it; so a segment is the key, with the word's length and first letter. Both keys are of bounded number for a word.
+    Endings: the prefix that the shorter word keeps is the key, met by all prefixes of the longer one. Edits: words of at
+    most DELETED letters meet where they are equal after two deletions at most on either side, which two edits always are.
+    Of the three segments of a longer word two edits leave one whole, moved by as many places at most as there are edits on
+    either side of it; so a segment is the key, with the word's length and first letter.
     """
     bare = lambda df, c: df.select(c).distinct().withColumn("b", F.translate(c, "ьъ", "")).filter("b <> ''").withColumn("n", F.length("b"))
     ws, es = bare(left, "w"), bare(right, "e")
@@ -43,19 +46,35 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         longer = F.greatest(F.lit(0), part - (3 - rest))
         return part * short + longer + 1, short + (part >= 3 - rest).cast("int")
 
+    without = lambda w, i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w)))
+    cut = lambda w: F.transform(F.filter(F.sequence(F.lit(2), F.length(w) + 1), lambda i: i <= F.length(w)), lambda i: without(w, i))
+
+    def deleted(df: DataFrame, c: str) -> DataFrame:
+        """A row for the word and for each way to delete one or two letters behind the first."""
+        one = df.filter(F.col("n") <= DELETED).withColumn("d", cut(F.col("b")))
+        two = F.flatten(F.transform("d", cut))
+        return one.select(c, F.explode(F.array_distinct(F.transform(F.concat(F.array("b"), "d", two), lambda w: F.xxhash64(w)))).alias("k"))
+
+    short = deleted(ws, "w").join(deleted(es, "e"), "k").select("w", "e")
     part, moved = F.col("part"), F.col("moved")
-    given = es.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    given = es.filter(F.col("n") > DELETED - 2).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2))))
     at, long = segments(F.col("n"), part)
     given = given.select("e", F.struct("n", "part", F.left("b", F.lit(1)).alias("f"), F.substring(F.col("b"), at, long).alias("s")).alias("k"))
     # (part, difference of sizes, places that the segment has moved)
     moves = [(p, d, m) for p in range(3) for d in range(-2, 3) for m in range(-2, 3) if abs(m) <= p and abs(m - d) <= 2 - p]
-    asked = ws.withColumn("m", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(d).alias("more"), F.lit(m).alias("moved")) for p, d, m in moves])))
-    asked = asked.select("w", "b", F.left("b", F.lit(1)).alias("f"), (F.col("n") - F.col("m.more")).alias("n"), "m.part", "m.moved", F.col("n").alias("own")).filter("n >= 1")
+    asked = ws.filter(F.col("n") > DELETED - 2).withColumn("m", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(d).alias("more"), F.lit(m).alias("moved")) for p, d, m in moves])))
+    asked = asked.select("w", "b", F.left("b", F.lit(1)).alias("f"), (F.col("n") - F.col("m.more")).alias("n"), "m.part", "m.moved", F.col("n").alias("own")).filter(F.col("n") > DELETED - 2)
     at, long = segments(F.col("n"), part)
     inside = (at + moved >= 1) & (at + moved + long - 1 <= F.col("own"))
     asked = asked.filter(inside).select("w", F.struct("n", "part", "f", F.substring(F.col("b"), at + moved, long).alias("s")).alias("k"))
     edits = asked.join(given, "k").select("w", "e")
-    return endings.union(edits).filter(X.same_stem(F.col("w"), F.col("e"))).distinct()
+    return endings.union(short).union(edits).filter(X.same_stem(F.col("w"), F.col("e"))).distinct()
+
+
+def _first_letters(words: Column) -> Column:
+    """A bit for each first letter: names whose words agree have those of the shorter one's words in common."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.left(F.translate(w, "ьъ", ""), F.lit(1))), F.lit(64)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda done, w: done.bitwiseOR(bit(w)))
 
 
 def _contained(short: DataFrame, long: DataFrame, pairs: DataFrame, least_more: int) -> DataFrame:
@@ -63,12 +82,13 @@ def _contained(short: DataFrame, long: DataFrame, pairs: DataFrame, least_more:
 
     Only names all of whose words have pairs go on, each under its rarest word: the one whose pairs are in fewest names.
     """
-    of = long.select("l", F.explode(F.array_distinct("l")).alias("b"))
+    of = long.withColumn("l_letters", _first_letters(F.col("l"))).select("l", "l_letters", F.explode(F.array_distinct("l")).alias("b"))
     cost = pairs.join(of.groupBy("b").agg(F.count("*").alias("n")), "b").groupBy("a").agg(F.sum("n").alias("cost"))
-    words = short.select("s", F.explode(F.array_distinct("s")).alias("a"))
-    rarest = words.join(cost, "a").groupBy("s").agg(F.min(F.struct("cost", "a")).alias("key"), F.count("*").alias("met"))
-    rarest = rarest.filter(F.col("met") == F.size(F.array_distinct("s"))).select("s", F.col("key.a").alias("a"))
-    near = rarest.join(pairs, "a").join(of, "b").filter(F.size("l") >= F.size("s") + least_more)
+    words = short.select("s", F.posexplode(F.array_distinct("s")).alias("at", "a"))
+    cheapest = F.min(F.col("cost") * 65536 + F.pmod(F.col("at"), F.lit(65536)))  # one number: cost, then place
+    rarest = words.join(cost, "a").groupBy("s").agg(cheapest.alias("key"), F.count("*").alias("met")).filter(F.col("met") == F.size(F.array_distinct("s")))
+    rarest = rarest.select("s", _first_letters(F.col("s")).alias("s_letters"), F.get(F.array_distinct("s"), (F.col("key") % 65536).cast("int")).alias("a"))
+    near = rarest.join(pairs, "a").join(of, "b").filter((F.size("l") >= F.size("s") + least_more) & (F.col("s_letters").bitwiseAND(F.bitwise_not("l_letters")) == 0))
     return near.filter(F.forall("s", lambda w: F.exists("l", lambda e: X.same_stem(w, e)))).select("s", "l").distinct()
 
 
