@@ -2,8 +2,9 @@
 
 Training counts character trigrams (letters in lower case, everything else one blank) in FEATURES hash buckets for each
 language, over labelled rows; where a language has more than TRAIN_ROWS of them, a hash of the key picks about that many
-(a documented bound: the model's size and cost don't grow). The MAX_LANGUAGES labels with most rows are learned (ties by
-name), which bounds the model at 32 MB. A document's trigrams are draws from a mixture of languages;
+(a documented bound: the model doesn't grow with the rows). Every label is learned: the model holds the buckets that occur
+in each language, and one number a language for the others; it grows with the number of languages alone, as does what one
+text needs (its buckets by the languages). A document's trigrams are draws from a mixture of languages;
 EM finds the proportions, and of the nested sets of the likeliest languages that with the best likelihood less PENALTY x
 (languages) x ln(trigrams) is kept. Proportions are fitted again on the kept set: the prediction is its largest language,
 the score that language's proportion in it.
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from factloom.llm.base import spread, table
 
 FEATURES = 1 << 15
-#: Documented bounds of the model: training rows of a language, about, and languages that are learned.
-TRAIN_ROWS, MAX_LANGUAGES = 20_000, 256
+#: Documented bound of the model: training rows of a language, about. Languages whose counts a task holds at a time.
+TRAIN_ROWS, HELD_LANGUAGES = 20_000, 256
 SMOOTHING, PENALTY, SHARE, ROUNDS = 0.2, 3.0, 0.03, 40
 
 
@@ -53,37 +54,69 @@ def trigram_buckets(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
+    """Likelihoods by bucket: `columns` and `values` from starts[bucket] on, `rest` of a language for buckets it doesn't have."""
+
     languages: list[str]
-    #: FEATURES x languages: likelihood of a bucket in each language.
-    likelihood: np.ndarray
+    starts: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    rest: np.ndarray
+
+    def likelihood(self, buckets: np.ndarray) -> np.ndarray:
+        """buckets x languages."""
+        out = np.tile(self.rest.astype(float), (len(buckets), 1))
+        first, size = self.starts[buckets], self.starts[buckets + 1] - self.starts[buckets]
+        rows = np.repeat(np.arange(len(buckets)), size)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        out[rows, self.columns[at]] = self.values[at]
+        return out
+
+
+def model_of(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModel:
+    """The smoothed likelihoods of (buckets, counts) of each language."""
+    languages = sorted(counts)
+    sums = np.array([counts[k][1].sum() + SMOOTHING * FEATURES for k in languages])
+    columns = np.repeat(np.arange(len(languages), dtype=np.int32), [len(counts[k][0]) for k in languages])
+    buckets, n = (np.concatenate([counts[k][i] for k in languages]) if languages else np.zeros(0, np.int64) for i in (0, 1))
+    order = np.argsort(buckets, kind="stable")
+    starts = np.searchsorted(buckets[order], np.arange(FEATURES + 1))
+    values = ((n + SMOOTHING) / sums[columns]).astype(np.float32)
+    return LanguageModel(languages, starts, columns[order], values[order], (SMOOTHING / sums).astype(np.float32))
 
 
 def train(df: DataFrame, label: str, text: str, key: str, rows: int = TRAIN_ROWS) -> LanguageModel:
+    """The model of all labels of df; the driver holds it, and a row for each label."""
     labelled = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), label).limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return LanguageModel([], np.zeros((FEATURES, 0), np.float32))
-    shares = [F.struct(F.lit(k).alias("k"), F.lit(min(1.0, rows / n)).alias("v")) for k, n in sorted(sizes.items())]
-    share = F.map_from_entries(F.array(*shares))[F.col(label)]
-    picked = labelled.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20))
+    sizes = labelled.groupBy(F.col(label).alias("_label")).agg(F.least(F.lit(1.0), rows / F.count("*")).alias("_share"))
+    known = sizes.collect()
+    if not known:
+        return model_of({})
+    shares = F.broadcast(df.sparkSession.createDataFrame(known, sizes.schema))  # a row for each language, as in the model
+    picked = labelled.join(shares, F.col(label) == F.col("_label")).filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
+
+        def full() -> Iterator[pa.RecordBatch]:
+            for language, n in totals.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["language", "bucket", "n"])
+            totals.clear()
+
         for batch in batches:
             for language, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if language not in totals:
+                    if len(totals) == HELD_LANGUAGES:
+                        yield from full()
                     totals[language] = np.zeros(FEATURES, np.int64)
                 totals[language] += np.bincount(trigram_buckets(t.as_py()), minlength=FEATURES)
-        for language, n in totals.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["language", "bucket", "n"])
+        yield from full()
 
     counts = picked.select(label, text).mapInArrow(count, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(sizes)
-    n = np.full((FEATURES, len(languages)), SMOOTHING)
+    found = {r._label: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for r in known}
     for r in counts.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("n")).toLocalIterator():  # a row for each language, FEATURES in it at most
-        n[[x.bucket for x in r.n], languages.index(r.language)] += [x.n for x in r.n]
-    return LanguageModel(languages, (n / n.sum(0)).astype(np.float32))
+        found[r.language] = (np.array([x.bucket for x in r.n], np.int64), np.array([x.n for x in r.n], np.int64))
+    return model_of(found)
 
 
 def mixture(likelihood: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -105,7 +138,7 @@ def infer(model: LanguageModel, text: str | None) -> tuple[str, float, list[str]
         return "und", 0.0, []
     counts = np.bincount(at)
     seen = np.flatnonzero(counts)
-    counts, likelihood = counts[seen].astype(float), model.likelihood[seen].astype(float)
+    counts, likelihood = counts[seen].astype(float), model.likelihood(seen)
     share, _ = mixture(likelihood, counts)
     order = np.argsort(-share, kind="stable")
     best, kept, fitted, cost = -np.inf, order[:1], np.ones(1), PENALTY * np.log(counts.sum() + 1)

@@ -491,13 +491,24 @@ def test_language_query_equals_brute_force(spark, data):
 
 def test_score_is_refitted_on_the_kept_set():
     """Two languages of which the penalty keeps one: its proportion is 1, whatever the first mixture said."""
-    likelihood = np.full((langid.FEATURES, 2), 1e-6, np.float32)
-    buckets = langid.trigram_buckets("abc abd")
-    likelihood[buckets, 0], likelihood[buckets, 1] = 0.02, 0.019
-    model = langid.LanguageModel(["aa", "bb"], likelihood)
+    buckets = np.unique(langid.trigram_buckets("abc abd"))
+    model = langid.model_of({"aa": (buckets, np.full(len(buckets), 20_000)), "bb": (buckets, np.full(len(buckets), 19_900))})
     assert langid.infer(model, "abc abd") == ("aa", 1.0, ["aa"])
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    """300 labels, most of one row: each can be predicted; counts are emitted while they are made."""
+    monkeypatch.setattr(langid, "HELD_LANGUAGES", 7)
+    rng = random.Random(9)
+    words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for i in range(300)}
+    rows = [(i, " ".join(w), k) for i, (k, w) in enumerate(words.items())] * 2 + [(1000 + i, " ".join(words["l007"]), "l007") for i in range(50)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), "lang", "text", "doc_id")
+    assert model.languages == sorted(words)
+    assert [langid.infer(model, " ".join(w[::-1]))[0] for w in words.values()] == list(words)
+    dense = model.likelihood(np.arange(langid.FEATURES))
+    assert dense.shape == (langid.FEATURES, 300) and np.allclose(dense.sum(0), 1, atol=1e-3)
+
+
 def test_language_edges(spark, docs, empty):
     model = langid.train(spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, "x", None), (4, None, "fr")], "doc_id long, text string, lang string"), "lang", "text", "doc_id")
     assert model.languages == ["de", "en"]
@@ -509,7 +520,7 @@ def test_language_edges(spark, docs, empty):
     assert langid.identify(clash, model).count() == docs.count()
     assert langid.identify(empty, model).count() == 0
     assert langid.train(empty, "lang", "text", "doc_id").languages == []
-    assert langid.identify(docs, langid.LanguageModel([], np.zeros((langid.FEATURES, 0)))).filter("lang_pred <> 'und'").count() == 0
+    assert langid.identify(docs, langid.model_of({})).filter("lang_pred <> 'und'").count() == 0
 
 
 # near duplicates
