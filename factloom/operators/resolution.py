@@ -172,6 +172,22 @@ def typo_partners(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     return met.withColumn("edits", F.levenshtein("x", "y")).filter(F.col("edits") <= most)
 
 
+def dispute_pairs(names: DataFrame) -> DataFrame:
+    """(given, surname, patronymic, other, kind): distinct names that agree but for the third part.
+
+    similar: third parts one edit apart, found over their distinct words. patronymic: what is no spelling of the first
+    (smallest) third part of the name meets that one, so a name of many third parts has as many pairs, not their square.
+    """
+    words = names.select("patronymic")
+    near = typo_partners(words.select(F.col("patronymic").alias("x")).distinct(), words.select(F.col("patronymic").alias("y")).distinct(), 1).filter("x < y").select(F.col("x").alias("patronymic"), F.col("y").alias("other"))
+    others = names.withColumnRenamed("patronymic", "other")
+    similar = names.join(near, "patronymic").join(others, ["given", "surname", "other"]).withColumn("kind", F.lit("similar"))
+    firsts = names.groupBy("given", "surname").agg(F.min("patronymic").alias("patronymic"))
+    apart = firsts.join(others, ["given", "surname"]).filter((F.col("patronymic") < F.col("other")) & (F.levenshtein("patronymic", "other") > 1)).withColumn("kind", F.lit("patronymic"))
+    columns = ["given", "surname", "patronymic", "other", "kind"]
+    return similar.select(*columns).unionByName(apart.select(*columns))
+
+
 #: Admissible readings of a name's words, by their shape (w: a word, i: an initial). s, g, p: surname, given, patronymic.
 READINGS = {
     "w": ("s", "g"), "ww": ("gs", "sg", "gp"), "www": ("sgp", "gps"),

@@ -28,3 +28,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def edits_sql(a: str, b: str) -> str:
+    """Edit distance of two lower-case words as SQL: DuckDB counts bytes, so each letter from ß to ÿ becomes one of a byte."""
+    single = lambda c: f"translate({c}, 'ßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456')"
+    return f"levenshtein({single(a)}, {single(b)})"

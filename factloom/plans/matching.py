@@ -1,7 +1,7 @@
 """Entity resolution, list matching, classification and grouping over the names that documents mention.
 
-The fixtures' prose has no names; three words from a capital on stand for one, wherever in a text they are. A document's
-subject is its first mention; list matching and the flagship take every mention.
+The fixtures' prose has no names; three words from a capital on stand for one, wherever in a text they are. Every mention
+counts; where a query is about a document's subject, that is its first mention.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom.operators import classify, resolution
 from factloom.operators.graph import components
 from factloom.operators.listmatch import match_list
-from factloom.plans.base import query, table
+from factloom.plans.base import edits_sql, query, table
 from factloom.storage import materialize
 
 #: Evidence lexicon of the fixtures' invented English, as data.
@@ -36,42 +36,49 @@ def mentions(docs: DataFrame, *columns: str) -> DataFrame:
     return words.select(*columns, "place", *[F.get("w", F.lit(i)).alias(c) for i, c in enumerate(("given", "surname", "patronymic"))])
 
 
-def names(spark: SparkSession, sf: str) -> DataFrame:
+def subjects(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, source, given, surname, patronymic): the subject of each document, its first mention."""
     first = F.split(F.lower(F.regexp_extract("text", NAME, 0)), " ")
     words = table(spark, sf, "documents").select("doc_id", "source", first.alias("w")).filter(F.size("w") == 3)
     return words.select("doc_id", "source", *[F.get("w", F.lit(i)).alias(c) for i, c in enumerate(("given", "surname", "patronymic"))])
 
 
-def _known(every: DataFrame) -> DataFrame:
-    """Known persons: the distinct names of the other sources, numbered by their first document."""
-    parts = ("given", "surname", "patronymic")
-    return every.filter("source <> 'src0'").groupBy(*[F.col(c).alias(f"k_{c}") for c in parts]).agg(F.min("doc_id").alias("person"))
+def every_name(spark: SparkSession, sf: str) -> DataFrame:
+    """(given, surname, patronymic, incoming, known): the distinct names that documents mention; incoming: in one source, known: in others."""
+    said = mentions(table(spark, sf, "documents"), "source")
+    return said.groupBy("given", "surname", "patronymic").agg(F.bool_or(F.col("source") == "src0").alias("incoming"), F.bool_or(F.col("source") != "src0").alias("known"))
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    every = names(spark, sf)
-    incoming = every.filter("source = 'src0'").select("doc_id", "given", "surname", "patronymic")
-    return incoming.join(resolution.candidates(incoming, _known(every)), ["given", "surname", "patronymic"])
+def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Incoming names, and their candidates among the known ones; a known person goes by its name."""
+    parts = ("given", "surname", "patronymic")
+    every = materialize(every_name(spark, sf), "names").withColumn("name", F.concat_ws(" ", *parts))
+    known = every.filter("known").select(F.col("name").alias("person"), *[F.col(c).alias(f"k_{c}") for c in parts])
+    incoming = every.filter("incoming").select("name", *parts)
+    return incoming, resolution.candidates(incoming, known).withColumn("name", F.concat_ws(" ", *parts))
 
 
 def _compare_sql(c: str) -> str:
     return f"""case when length({c}) = 1 or length(k_{c}) = 1 then case when left({c}, 1) = left(k_{c}, 1) then 'initial' else 'mismatch' end
-        when {c} = k_{c} then 'exact' when levenshtein({c}, k_{c}) <= case when greatest(length({c}), length(k_{c})) >= 10 then 2 when greatest(length({c}), length(k_{c})) >= 5 then 1 else 0 end then 'typo'
+        when {c} = k_{c} then 'exact' when {edits_sql(c, f'k_{c}')} <= case when greatest(length({c}), length(k_{c})) >= 10 then 2 when greatest(length({c}), length(k_{c})) >= 5 then 1 else 0 end then 'typo'
         else 'mismatch' end as m_{c}"""
 
 
 _SCORED_SQL = f"""
 with {_NAMES_SQL},
-known as (select given as k_given, surname as k_surname, patronymic as k_patronymic, min(doc_id) as person from names where source <> 'src0' group by all),
+incoming as materialized (select distinct given || ' ' || surname || ' ' || patronymic as name, given, surname, patronymic, array_to_string(list_sort([given, surname, patronymic]), ' ') as key from mentions where source = 'src0'),
+known as materialized (
+    select distinct given || ' ' || surname || ' ' || patronymic as person, given as k_given, surname as k_surname, patronymic as k_patronymic, array_to_string(list_sort([given, surname, patronymic]), ' ') as key
+    from mentions where source <> 'src0'),
+near as materialized (
+    select surname, k_surname from (select distinct surname from incoming) i join (select distinct k_surname from known) k
+    on {edits_sql('surname', 'k_surname')} <= case when greatest(length(surname), length(k_surname)) >= 10 then 2 when greatest(length(surname), length(k_surname)) >= 5 then 1 else 0 end),
 met as (
-    select i.doc_id, i.given, i.surname, i.patronymic, k.*,
-           list_sort([i.given, i.surname, i.patronymic]) = list_sort([k_given, k_surname, k_patronymic]) as by_key,
-           levenshtein(surname, k_surname) <= case when greatest(length(surname), length(k_surname)) >= 10 then 2 when greatest(length(surname), length(k_surname)) >= 5 then 1 else 0 end
-               and left(given, 1) = left(k_given, 1) as by_name
-    from names i join known k on i.source = 'src0' where by_key or by_name),
+    select name, given, surname, patronymic, person, k_given, k_surname, k_patronymic, bool_or(by_key) as by_key, bool_or(not by_key) as by_name from (
+        select name, given, surname, patronymic, person, k_given, k_surname, k_patronymic, true as by_key from incoming i join known k using (key)
+        union all select i.name, i.given, i.surname, i.patronymic, k.person, k.k_given, k.k_surname, k.k_patronymic, false from incoming i join near n using (surname) join known k on k.k_surname = n.k_surname and left(k.k_given, 1) = left(i.given, 1)) group by all),
 compared as (
-    select doc_id, person, concat_ws('+', case when by_key then 'key' end, case when by_name then 'name' end) as sources, {_compare_sql("surname")}, {_compare_sql("given")}, {_compare_sql("patronymic")},
+    select name, person, concat_ws('+', case when by_key then 'key' end, case when by_name then 'name' end) as sources, {_compare_sql("surname")}, {_compare_sql("given")}, {_compare_sql("patronymic")},
            given = k_given and surname = k_surname and patronymic = k_patronymic as exact_form,
            length(given) > 1 and length(surname) > 1 and length(patronymic) > 1 as complete from met),
 summed as (
@@ -80,36 +87,36 @@ summed as (
            m_surname = 'mismatch' or m_given = 'mismatch' or m_patronymic = 'mismatch' as conflict from compared),
 valued as (
     select *, round(least(1.0::double, case when conflict then least(v, 0.25) when exact_form and complete then greatest(v, 0.85) else v end), 4) as score from summed),
-scored as (select * from valued qualify row_number() over (partition by doc_id order by score desc, person) <= 30)"""
+scored as (select * from valued qualify row_number() over (partition by name order by score desc, person) <= 30)"""
 
 
-@query(_SCORED_SQL + " select doc_id, person, sources, m_surname, m_given, m_patronymic, exact_form, conflict, score from scored")
+@query(_SCORED_SQL + " select name, person, sources, m_surname, m_given, m_patronymic, exact_form, conflict, score from scored")
 def er_candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates by key and by surname up to a typo, 30 at most for each name, their parts compared and scored."""
-    return _scored(spark, sf).select("doc_id", "person", "sources", "m_surname", "m_given", "m_patronymic", "exact_form", "conflict", "score")
+    """Candidates by key and by surname up to a typo, 30 at most for each name that is mentioned, their parts compared and scored."""
+    return _scored(spark, sf)[1].select("name", "person", "sources", "m_surname", "m_given", "m_patronymic", "exact_form", "conflict", "score")
 
 
 @query(_SCORED_SQL + """,
-everyone as (select n.doc_id, s.person, s.score, coalesce(s.conflict, false) as conflict, length(n.given) > 1 and length(n.surname) > 1 as full_name
-             from names n left join scored s on s.doc_id = n.doc_id where n.source = 'src0'),
+everyone as (select n.name, s.person, s.score, coalesce(s.conflict, false) as conflict, length(n.given) > 1 and length(n.surname) > 1 as full_name from incoming n left join scored s on s.name = n.name),
 ranked as (
     select *, person is not null and not conflict and score >= 0.4 as ok,
-           row_number() over (partition by doc_id order by case when person is not null and not conflict and score >= 0.4 then score end desc nulls last, person nulls first) as r from everyone),
+           row_number() over (partition by name order by case when person is not null and not conflict and score >= 0.4 then score end desc nulls last, person nulls first) as r from everyone),
 one as (
-    select doc_id, max(score) filter (where r = 1 and ok) as top, max(score) filter (where r = 2 and ok) as second, max(person) filter (where r = 1 and ok) as chosen,
-           count(*) filter (where ok) as plausible, count(*) filter (where ok and score >= 0.85) as strong, bool_and(full_name) as full_name from ranked group by doc_id),
+    select name, max(score) filter (where r = 1 and ok) as top, max(score) filter (where r = 2 and ok) as second, max(person) filter (where r = 1 and ok) as chosen,
+           count(*) filter (where ok) as plausible, count(*) filter (where ok and score >= 0.85) as strong, bool_and(full_name) as full_name from ranked group by name),
 decided as (
     select *, round(top - coalesce(second, 0), 4) as margin,
            case when plausible = 0 then case when full_name then 'CREATE_NEW' else 'REVIEW' end
                 when top < 0.85 or (round(top - coalesce(second, 0), 4) <= 0.1 and plausible > 1) or strong > 1 or not full_name then 'REVIEW' else 'AUTO_LINK' end as action from one)
-select doc_id, action, case when action = 'AUTO_LINK' then chosen end as selected, margin, plausible,
+select name, action, case when action = 'AUTO_LINK' then chosen end as selected, margin, plausible,
        concat_ws('; ', case when plausible = 0 then 'no plausible candidate' end, case when not full_name then 'incomplete name' end, case when top < 0.85 then 'low score' end,
                  case when margin <= 0.1 and plausible > 1 then 'small margin' end, case when strong > 1 then 'several strong candidates' end) as reasons from decided""")
 def er_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Each incoming name linked, reviewed, or made a new person."""
-    incoming = names(spark, sf).filter("source = 'src0'").select("doc_id", ((F.length("given") > 1) & (F.length("surname") > 1)).alias("full"))
-    scored = incoming.join(_scored(spark, sf).select("doc_id", "person", "score", "conflict"), "doc_id", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
-    return resolution.decide(scored, "doc_id", "person", "score", "conflict", "full")
+    """Each name that is mentioned linked, reviewed, or made a new person."""
+    incoming, found = _scored(spark, sf)
+    full = incoming.select("name", ((F.length("given") > 1) & (F.length("surname") > 1)).alias("full"))
+    scored = full.join(found.select("name", "person", "score", "conflict"), "name", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
+    return resolution.decide(scored, "name", "person", "score", "conflict", "full")
 
 
 _STEM = "greatest(3, least(length(w), length(e)) - 2)"
@@ -130,7 +137,7 @@ near as (select s.person, e.e_words from stems s join e_names e on len(list_filt
 variants as (
     select distinct n.person from near n join everyone_ p using (person)
     where len(list_filter(case when len(p.words) <= len(e_words) then p.words else e_words end, lambda w: len(list_filter(case when len(p.words) <= len(e_words) then e_words else p.words end, lambda e:
-           (least(length(w), length(e)) >= 3 and left(w, {_STEM}) = left(e, {_STEM})) or (left(w, 1) = left(e, 1) and levenshtein(w, e) <= 2))) = 0)) = 0),
+           (least(length(w), length(e)) >= 3 and left(w, {_STEM}) = left(e, {_STEM})) or (left(w, 1) = left(e, 1) and {edits_sql('w', 'e')} <= 2))) = 0)) = 0),
 matched as (
     select p.person, b.entry, case when top is null and len(list_filter(p.words, lambda w: length(w) > 1)) < 2 then 'INSUFFICIENT_DATA'
            when top is null and v.person is not null then 'NEEDS_REVIEW' when top is null then 'NOT_MATCHED'
@@ -219,23 +226,24 @@ def merged_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"""
 with {_NAMES_SQL},
-keyed as (select doc_id, given || ' ' || surname as k, patronymic from names),
+keyed as (select doc_id, place, given || ' ' || surname as k, patronymic from mentions),
 known as (select k, min(patronymic) as p from keyed where length(patronymic) > 4 group by k having count(distinct patronymic) = 1)
-select y.doc_id, y.k as name, coalesce(case when length(y.patronymic) > 4 then y.patronymic end, n.p) as patronymic from keyed y left join known n on n.k = y.k""")
+select y.doc_id, y.place, y.k as name, coalesce(case when length(y.patronymic) > 4 then y.patronymic end, n.p) as patronymic from keyed y left join known n on n.k = y.k""")
 def attach_weaker_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """A name without a third part takes it from the fuller mentions of its key, where these agree on one."""
-    keyed = names(spark, sf).select("doc_id", F.concat_ws(" ", "given", "surname").alias("name"), F.when(F.length("patronymic") > 4, F.col("patronymic")).alias("patronymic"))
-    full = keyed.filter("patronymic is not null").groupBy("name").agg(F.min("patronymic").alias("p"), F.count_distinct("patronymic").alias("n")).filter("n = 1")
-    return keyed.join(full, "name", "left").select("doc_id", "name", F.coalesce("patronymic", "p").alias("patronymic"))
+    """A mention without a third part takes it from the fuller mentions of its key, where these agree on one."""
+    long = F.when(F.length("patronymic") > 4, F.col("patronymic")).alias("patronymic")
+    keyed = mentions(table(spark, sf, "documents"), "doc_id").select("doc_id", F.col("place").cast("long").alias("place"), F.concat_ws(" ", "given", "surname").alias("name"), long)
+    full = keyed.filter("patronymic is not null").groupBy("name").agg(F.min("patronymic").alias("p"), F.max("patronymic").alias("q")).filter("p = q").select("name", "p")
+    full = materialize(full, "fuller")  # a plain exchange on each side: Spark may split a name of many mentions
+    return keyed.join(full, "name", "left").select("doc_id", "place", "name", F.coalesce("patronymic", "p").alias("patronymic"))
 
 
 @query(rf"""
-with {_NAMES_SQL}, one as (select distinct given, surname, patronymic from names)
-select a.given, a.surname, a.patronymic, b.patronymic as other, case when levenshtein(a.patronymic, b.patronymic) <= 1 then 'similar' else 'patronymic' end as kind
-from one a join one b on a.given = b.given and a.surname = b.surname and a.patronymic < b.patronymic""")
+with {_NAMES_SQL}, one as (select distinct given, surname, patronymic from mentions),
+similar_ as (select a.given, a.surname, a.patronymic, b.patronymic as other, 'similar' as kind from one a join one b on a.given = b.given and a.surname = b.surname and a.patronymic < b.patronymic and {edits_sql('a.patronymic', 'b.patronymic')} <= 1),
+firsts as (select given, surname, min(patronymic) as f from one group by all)
+select * from similar_ union all
+select given, surname, f, patronymic, 'patronymic' from one join firsts using (given, surname) where patronymic > f and {edits_sql('f', 'patronymic')} > 1""")
 def dispute_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Names that agree but for the third part: spelling, or another person."""
-    one = names(spark, sf).select("given", "surname", "patronymic").distinct()
-    other = one.withColumnRenamed("patronymic", "other")
-    pairs = one.join(other, ["given", "surname"]).filter("patronymic < other")
-    return pairs.withColumn("kind", F.when(F.levenshtein("patronymic", "other") <= 1, "similar").otherwise("patronymic"))
+    """Names that agree but for the third part: all pairs that a spelling may part, and each other person with the first of the name."""
+    return resolution.dispute_pairs(materialize(every_name(spark, sf).select("given", "surname", "patronymic"), "names"))

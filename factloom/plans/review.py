@@ -90,7 +90,7 @@ levelled as (select *, case when exact = 1 and (n >= 3 or records = 1) then 'in_
 select person, level, case when level = 'in_base' then 1 else records end as records from levelled""")
 def known_base_levels(spark: SparkSession, sf: str) -> DataFrame:
     """What a base of names says of each document's subject."""
-    every = M.names(spark, sf)
+    every = M.subjects(spark, sf)
     words = lambda short: F.when(short, F.array("given", "surname")).otherwise(F.array("given", "surname", "patronymic"))
     asked = every.select(F.col("doc_id").alias("person"), words(F.col("doc_id") % 3 == 0).alias("words"))
     base = every.filter("source <> 'src0'").select(F.col("doc_id").alias("record"), words(F.col("doc_id") % 2 == 0).alias("words"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.operators import extraction, resolution, search
-from factloom.plans.base import query, table
+from factloom.plans.base import edits_sql, query, table
 from factloom.sources import html
 
 TERMS = ("the", "with", "from", "was")
@@ -146,14 +146,16 @@ def trigram_similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.trigram_pairs(names, "k", "p_name", 0.45)
 
 
-@query(r"""
-with l as (select distinct lower(regexp_extract(text, '^[A-Za-z]+')) as x from benchmark), r as (select distinct lower(regexp_extract(text, '^[A-Za-z]+')) as y from documents)
-select x, y, levenshtein(x, y)::int as edits from l join r on levenshtein(x, y) <= 1 and x <> '' and y <> ''""")
+@query(rf"""
+with l as materialized (select distinct unnest(regexp_extract_all(lower(text), '[\p{{L}}]+')) as x from benchmark), r as materialized (select distinct unnest(regexp_extract_all(lower(text), '[\p{{L}}]+')) as y from documents),
+-- one edit leaves the first or the last half of x whole
+halves as (select x, length(x) as n, left(x, length(x) // 2) as a, right(x, length(x) - length(x) // 2) as b from l),
+ends as (select y, n, left(y, n // 2) as a, right(y, n - n // 2) as b from (select y, unnest([length(y) - 1, length(y), length(y) + 1]) as n from r) where n > 0)
+select distinct x, y, {edits_sql("x", "y")}::int as edits from (select x, y from halves join ends using (n, a) union select x, y from halves join ends using (n, b)) where {edits_sql("x", "y")} <= 1""")
 def words_one_edit_apart(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0))
-    left = table(spark, sf, "benchmark").select(first.alias("x")).distinct().filter("x <> ''")
-    right = table(spark, sf, "documents").select(first.alias("y")).distinct().filter("y <> ''")
-    return resolution.typo_partners(left, right, 1)
+    """Words of the benchmark and words of all documents that one edit parts at most."""
+    words = lambda name, c: table(spark, sf, name).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias(c)).distinct()
+    return resolution.typo_partners(words("benchmark", "x"), words("documents", "y"), 1)
 
 
 @query(r"""
