@@ -1,4 +1,4 @@
-"""What sentences tell: triggers, whom a pronoun means, whose evidence a passage is, and what corroborates a link."""
+"""What sentences tell: triggers, whom a pronoun means, whose evidence a passage is, who is no person of the news, and what corroborates a link."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import text as X
+from factloom.operators.joins import as_of_join
 from factloom.operators.relational import merge_intervals
 
 
@@ -44,27 +46,86 @@ def antecedents(sentences: DataFrame, mentions: DataFrame, doc: str = "doc_id")
     return last.filter(fits).select(doc, "sentence", F.col("last.mention").alias("mention"))
 
 
-def evidence_windows(spans: DataFrame, mentions: DataFrame, width: int, doc: str = "doc_id") -> DataFrame:
-    """(doc, person, start, end): the text around a person's spans, merged where it overlaps.
+def with_borders(mentions: DataFrame, sentences: DataFrame, borders: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """mentions (doc, start, end, ...) with s_start and s_end of their sentence, and the clause borders around them.
 
-    spans: doc, person, start, end, s_start, s_end (its sentence). mentions: doc, person, s_start, s_end. A window of
-    `width` on both sides never reaches into a sentence that names another person, the span's own one aside. Only
-    sentences that end or begin within the window meet the span, by cells of its width.
+    sentences, borders: doc, start, end; sentences don't overlap. The borders are the last one that ends at or before the
+    mention (p_start, p_end) and the first that begins at or after its end (n_start, n_end). Three sweeps over a text's
+    places: no mention meets more than one sentence and two borders.
     """
+    within = as_of_join(mentions, sentences.select(doc, F.col("start").alias("s_start"), F.col("end").alias("s_end")), [doc], "start", "s_start", ["s_start", "s_end"])
+    before = as_of_join(within, borders.select(doc, F.col("start").alias("p_start"), F.col("end").alias("p_end")), [doc], "start", "p_end", ["p_start", "p_end"])
+    backward = borders.select(doc, (-F.col("start")).alias("_b"), F.col("start").alias("n_start"), F.col("end").alias("n_end"))
+    return as_of_join(before.withColumn("_e", -F.col("end")), backward, [doc], "_e", "_b", ["n_start", "n_end"]).drop("_e")
+
+
+def evidence_windows(mentions: DataFrame, width: int, doc: str = "doc_id") -> DataFrame:
+    """(doc, person, start, end): the text around a person's mentions, merged where it overlaps.
+
+    mentions: doc, person, start, end and what with_borders adds. A window of `width` on both sides never reaches into a
+    sentence that names another person. Inside the mention's own sentence it stops at the clause border nearest to it, if
+    another person is named beyond that border; a clause without such a border is shared. Other sentences meet a mention
+    by cells of its width; of its own sentence it meets the outermost other mentions only.
+    """
+    spot = [doc, "s_start"]
+    each = mentions.groupBy(*spot, "person").agg(F.max("start").alias("last"), F.min("end").alias("first"))
+    latest, earliest = Window.partitionBy(*spot).orderBy(F.col("last").desc(), "person"), Window.partitionBy(*spot).orderBy("first", "person")
+    ranked = each.withColumns({"a": F.row_number().over(latest), "b": F.row_number().over(earliest)}).filter("a <= 2 or b <= 2")
+    pick = lambda c, r, n: F.max(F.when(F.col(r) == n, F.col(c)))
+    outer = ranked.groupBy(*spot).agg(*[pick(c, r, n).alias(f"{c}_{r}{n}") for r, value in (("a", "last"), ("b", "first")) for c in ("person", value) for n in (1, 2)])
+    own = mentions.join(outer, spot)
+    last = F.when(F.col("person") == F.col("person_a1"), F.col("last_a2")).otherwise(F.col("last_a1"))
+    first = F.when(F.col("person") == F.col("person_b1"), F.col("first_b2")).otherwise(F.col("first_b1"))
+    own = own.withColumns({"c_low": F.when(F.col("p_start") >= first, F.col("p_end")), "c_high": F.when(F.col("n_end") <= last, F.col("n_start"))})
+    own = own.select(doc, "person", "start", "end", "s_start", "s_end", "c_low", "c_high").distinct()
+
     other = mentions.select(doc, F.col("person").alias("o_person"), F.col("s_start").alias("o_start"), F.col("s_end").alias("o_end")).distinct()
     cell = lambda c: F.floor(c / width)
-    near = spans.select(doc, "person", "start", "end", "s_start", "s_end", F.explode(F.sequence(cell(F.col("start")) - 1, cell(F.col("end")) + 1)).alias("cell"))
+    near = own.select(doc, "person", "start", "end", "s_start", "s_end", F.explode(F.sequence(cell(F.col("start")) - 1, cell(F.col("end")) + 1)).alias("cell"))
     left = other.withColumn("cell", cell(F.col("o_end"))).select(doc, "cell", "o_person", F.col("o_end").alias("edge"), F.lit(True).alias("ends"))
     right = other.withColumn("cell", cell(F.col("o_start"))).select(doc, "cell", "o_person", F.col("o_start").alias("edge"), F.lit(False).alias("ends"))
     met = near.join(left.unionByName(right), [doc, "cell"]).filter(F.col("o_person") != F.col("person"))
     clips = met.groupBy(doc, "person", "start", "end").agg(
         F.max(F.when(F.col("ends") & (F.col("edge") <= F.col("s_start")), F.col("edge"))).alias("after"), F.min(F.when(~F.col("ends") & (F.col("edge") >= F.col("s_end")), F.col("edge"))).alias("until")
     )
-    wide = spans.select(doc, "person", "start", "end").distinct().join(clips, [doc, "person", "start", "end"], "left")
-    low, high = F.greatest(F.lit(0), F.col("start") - width, F.coalesce("after", F.lit(0))), F.least(F.col("end") + width, F.coalesce("until", F.col("end") + width))
+    wide = own.join(clips, [doc, "person", "start", "end"], "left")
+    low = F.greatest(F.lit(0), F.col("start") - width, "after", "c_low")
+    high = F.least(F.col("end") + width, "until", "c_high")
     return merge_intervals(wide.select(doc, "person", low.alias("start"), high.alias("end")), [doc, "person"], "start", "end")
 
 
+#: What a finished sentence ends with, and what may follow an author's name: nothing, or a town.
+SENTENCE_ENDS = ".!?…»\"”)"
+BYLINE_END = r"(?:,[ \t]*\p{Lu}[\p{Ll}-]+(?:[ \t-]\p{L}[\p{Ll}-]+){0,2})?\s*"
+
+
+def mention_reasons(docs: DataFrame, key: str, text: str, name: str, kin: Sequence[str], given: DataFrame, endings: Sequence[str], byline_end: str = BYLINE_END) -> DataFrame:
+    """(key, place, surface, reason) of every match of `name`: byline, kinship or kept.
+
+    byline: the author's signature, a name of two or three words alone on the text's last line, behind a finished sentence
+    (a list of names keeps its last one). kinship: a word of kin before a given name that is declined: without its last
+    letter, or with one of `endings` for it, it is one of given (word), and it isn't so itself. Decided inside the text's
+    row, from what stands between matches; only words behind a word of kin meet the given names.
+    """
+    found, gaps = F.regexp_extract_all(F.col(text), F.lit(name), F.lit(0)), F.split(F.col(text), name, -1)
+    ends = "[" + "".join(f"\\{c}" for c in SENTENCE_ENDS) + "]"
+    several = lambda s: F.size(F.split(F.trim(s), r"\s+")).between(2, 3)
+    rest = lambda i: F.when(i == F.size(found) - 1, F.get(gaps, i + 1)).when(i == F.size(found) - 2, F.concat(F.get(gaps, i + 1), F.get(found, i + 1), F.get(gaps, i + 2)))  # noqa: E731  a town may match too
+    signed = lambda s, i: several(s) & F.coalesce(rest(i).rlike(rf"\A(?:{byline_end})\z"), F.lit(False)) & F.get(gaps, i).rlike(rf"{ends}\s*\n[ \t]*\z")
+    each = F.transform(found, lambda s, i: F.struct(s.alias("surface"), signed(s, i).alias("signed"), X.words(s).alias("words")))
+    rows = docs.filter(F.col(text).rlike(name)).select(key, F.posexplode(each).alias("place", "m")).select(key, "place", "m.*")
+    relative = (F.size("words") >= 2) & F.get("words", F.lit(0)).isin(*kin)
+    second = F.get("words", F.lit(1))
+    stem = F.left(second, F.length(second) - 1)
+    bases = F.when(relative, F.filter(F.array(stem, *[F.concat(stem, F.lit(e)) for e in endings]), lambda b: b != second))
+    told = rows.withColumn("bases", bases)
+    asked = told.filter(relative).select(F.explode("bases").alias("word")).distinct().join(given.select("word").distinct(), "word").withColumnRenamed("word", "_base")
+    kin_rows = told.filter(relative).select(key, "place", F.explode("bases").alias("_base")).join(asked, "_base").select(key, "place").distinct().withColumn("_kin", F.lit(True))
+    plain = told.filter(~F.coalesce(relative, F.lit(False))).withColumn("_kin", F.lit(None).cast("boolean"))
+    both = told.filter(relative).join(kin_rows, [key, "place"], "left").unionByName(plain)
+    return both.select(key, "place", "surface", F.when(F.col("signed"), "byline").when(F.col("_kin"), "kinship").otherwise("kept").alias("reason"))
+
+
 def bracketed_aliases(mentions: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(alias, named): a mention in brackets right behind another one's. mentions: doc, mention, start, end, before and
     after (the characters around it)."""

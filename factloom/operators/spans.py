@@ -2,7 +2,8 @@
 entries of a gazetteer, sentences that describe someone, whom a sentence is about, and whom a charge concerns.
 
 Places are code points, ends exclusive. `key` names a text and is unique. What meets inside a text meets by windows over
-its matches, so that no pair of them is formed; texts themselves are not shuffled unless said so.
+its matches. Texts as such stay in their rows, but what a pattern matches goes through those windows: for sentences that is
+the text in pieces. charges_of forms a pair of each citation and each name of its text.
 """
 
 from __future__ import annotations
@@ -19,14 +20,23 @@ from factloom.functions import text as X
 from factloom.operators import joins as J
 
 
-def located(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """(key, place, start, end, surface) of a pattern's matches, leftmost first and apart. Null texts have none."""
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(F.col(text), pattern, -1), 1, F.size(found))
-    both = F.zip_with(gaps, found, lambda g, s: F.struct(F.length(g).alias("gap"), s.alias("surface")))
+def _places(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, place, start, end, m) of a pattern's matches; m: code points since the match before (gap), the characters around it, its surface."""
+    found, parts = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), F.split(F.col(text), pattern, -1)
+    both = F.zip_with(F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("g"), F.slice(parts, 2, F.size(found)).alias("n")), found, lambda p, s: F.struct(F.length(p["g"]).alias("gap"), F.right(p["g"], F.lit(1)).alias("before"), F.left(p["n"], F.lit(1)).alias("after"), s.alias("surface")))
     rows = docs.filter(F.col(text).rlike(pattern)).select(key, F.posexplode(both).alias("place", "m"))
     upto = F.sum(F.col("m.gap") + F.length("m.surface")).over(Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(key, "place", (upto - F.length("m.surface")).alias("start"), upto.alias("end"), F.col("m.surface").alias("surface"))
+    return rows.select(key, "place", (upto - F.length("m.surface")).alias("start"), upto.alias("end"), "m")
+
+
+def located(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, place, start, end, surface) of a pattern's matches, leftmost first and apart. Null texts have none."""
+    return _places(docs, key, text, pattern).select(key, "place", "start", "end", F.col("m.surface").alias("surface"))
+
+
+def marked(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """located, with the character before and after each match (empty at another match and at the ends of the text)."""
+    return _places(docs, key, text, pattern).select(key, "place", "start", "end", F.col("m.surface").alias("surface"), F.col("m.before").alias("before"), F.col("m.after").alias("after"))
 
 
 def clear_of(spans: DataFrame, taken: DataFrame, key: str) -> DataFrame:

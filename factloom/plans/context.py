@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import context, dates, extraction
+from factloom.operators import joins as J
+from factloom.operators import spans as S
 from factloom.plans import matching as M
 from factloom.plans.base import query, table
+from factloom.plans.spans import _SENTENCES_SQL, _located_sql
 
 VERBS, NOUNS, NEGATIONS = {"opened": "with", "closed": "from"}, {"ruling": "tion", "notice": "ent"}, ("the", "of")
 SENTENCES_SQL = r"""
@@ -64,63 +67,92 @@ def dates_of_clauses(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("o_orderkey", dates.event_date(F.col("sentence"), F.col("trigger"), F.col("published"), 120, dates.ENGLISH).alias("on_day"))
 
 
-_PLACED_SQL = f"""
-with {M._NAMES_SQL},
-placed as (
-    select doc_id, place, given, surname, patronymic, case when length(given) % 2 = 0 then 'f' else 'm' end as gender, place * 90 + 10 as start,
-           place * 90 + 10 + length(given || surname || patronymic) + 2 as stop, (place // 5)::bigint as paragraph, left(surname, 2) as root from mentions)"""
-
-
-def _placed(spark: SparkSession, sf: str) -> DataFrame:
-    """Mentions of whole documents on a line of 90 places each, with a gender, a paragraph of five, and a surname's first letters."""
-    found = M.mentions(table(spark, sf, "documents"), "doc_id").withColumn("place", F.col("place").cast("long"))
-    start = F.col("place") * 90 + 10
-    return found.select(
-        "*", F.when(F.length("given") % 2 == 0, "f").otherwise("m").alias("gender"), start.alias("start"), (start + F.length(F.concat("given", "surname", "patronymic")) + 2).alias("stop"),
-        F.floor(F.col("place") / 5).alias("paragraph"), F.left("surname", F.lit(2)).alias("root"),
-    )
-
-
-@query(f"""{_PLACED_SQL},
-asked as (select doc_id, place as sentence, start + 60 as at, gender, paragraph from placed where place % 2 = 1),
-near as (
-    select a.doc_id, a.sentence, a.gender, a.paragraph, list(p order by p.place desc)[1:2] as l from asked a join placed p on p.doc_id = a.doc_id and p.stop <= a.at group by all)
-select doc_id, sentence, l[1].place as mention from near where len(l) = 2 and l[1].root = l[2].root and l[1].gender = gender and l[1].paragraph = paragraph""")
+@query(f"""
+with {_located_sql("found", M.NAME)}, {_located_sql("feeds", chr(10))}, {_SENTENCES_SQL},
+placed as materialized (
+    select f.doc_id, f.start, f."end" as stop, case when length(string_split(f.s, ' ')[1]) % 2 = 0 then 'f' else 'm' end as gender, left(lower(string_split(f.s, ' ')[2]), 2) as root, coalesce(n.i + 1, 0) as paragraph
+    from found f asof left join feeds n on n.doc_id = f.doc_id and f.start >= n.start),
+told as (select doc_id, start, case when contains(s, ' it ') then 'm' else 'f' end as gender from pieces where contains(s, ' it ') or contains(s, ' that ')),
+asked as (select t.*, coalesce(n.i + 1, 0) as paragraph from told t asof left join feeds n on n.doc_id = t.doc_id and t.start >= n.start),
+pairs as materialized (select *, lag(root) over (partition by doc_id order by stop, start) as before from placed),
+last_ as (select a.doc_id, a.start as sentence, a.gender, a.paragraph, p.start as mention, p.root, p.before, p.gender as own, p.paragraph as at_ from asked a asof join pairs p on p.doc_id = a.doc_id and a.start >= p.stop)
+select doc_id, sentence, mention from last_ where root = before and own = gender and at_ = paragraph""")
 def pronoun_antecedents(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences whose pronoun can mean one person only: the last two mentions agree, in gender and paragraph too."""
-    placed = _placed(spark, sf)
-    asked = placed.filter("place % 2 = 1").select("doc_id", F.col("place").alias("sentence"), (F.col("start") + 60).alias("start"), "gender", "paragraph")
-    mentions = placed.select("doc_id", F.col("place").alias("mention"), F.col("stop").alias("end"), F.col("root").alias("surname"), "gender", "paragraph")
-    return context.antecedents(asked, mentions)
-
-
-@query(f"""{_PLACED_SQL},
-spans as (select doc_id, gender as person, start, stop, place * 90 as s_start, place * 90 + 90 as s_end from placed where doc_id % 2 = 0),
-clipped as (
-    select s.doc_id, s.person, s.start, s.stop, max(o.s_end) filter (where o.s_end <= s.s_start and o.s_end > s.start - 120) as after, min(o.s_start) filter (where o.s_start >= s.s_end and o.s_start < s.stop + 120) as until_
-    from spans s left join spans o on o.doc_id = s.doc_id and o.person <> s.person group by all),
-wide as (select doc_id, person, greatest(0, start - 120, coalesce(after, 0)) as a, least(stop + 120, coalesce(until_, stop + 120)) as b from clipped),
+    docs = table(spark, sf, "documents")
+    feeds = S.located(docs, "doc_id", "text", "\n").select("doc_id", F.col("start").alias("f_start"), (F.col("place") + 1).alias("feeds"))
+    paragraph = lambda df: J.as_of_join(df, feeds, ["doc_id"], "start", "f_start", ["feeds"]).withColumn("paragraph", F.coalesce("feeds", F.lit(0))).drop("feeds")
+    it, that = (F.contains("surface", F.lit(f" {w} ")) for w in ("it", "that"))
+    sentences = paragraph(S.located(docs, "doc_id", "text", S.SENTENCE).filter(it | that).select("doc_id", F.col("start").alias("sentence"), "start", F.when(it, "m").otherwise("f").alias("gender")))
+    given, surname = (F.get(F.split("surface", " "), F.lit(i)) for i in (0, 1))
+    gender = F.when(F.length(given) % 2 == 0, "f").otherwise("m")
+    mentions = paragraph(S.located(docs, "doc_id", "text", M.NAME).select("doc_id", F.col("start").alias("mention"), "start", "end", F.left(F.lower(surname), F.lit(2)).alias("surname"), gender.alias("gender")))
+    return context.antecedents(sentences, mentions)
+
+
+@query(f"""
+with {_located_sql("found", M.NAME)}, {_located_sql("borders", "[,;:]")}, {_SENTENCES_SQL},
+sentences as (select doc_id, start as s_start, start + length(s) as s_end from pieces where s <> ''),
+placed as materialized (
+    select m.doc_id, string_split(lower(m.s), ' ')[2] as person, m.start, m."end" as stop, s_start, s_end from found m asof join sentences s on m.doc_id = s.doc_id and m.start >= s.s_start),
+ahead as (select p.*, b.start as n_start, b."end" as n_end from placed p asof left join borders b on p.doc_id = b.doc_id and p.stop <= b.start),
+both_ as materialized (select p.*, b.start as p_start, b."end" as p_end from ahead p asof left join borders b on p.doc_id = b.doc_id and p.start >= b."end"),
+inside as (
+    select s.doc_id, s.person, s.start, s.stop, max(s.n_start) filter (where s.n_end <= o.start) as c_high, max(s.p_end) filter (where s.p_start >= o.stop) as c_low
+    from both_ s join placed o on o.doc_id = s.doc_id and o.s_start = s.s_start and o.person <> s.person group by all),
+outside as (
+    select s.doc_id, s.person, s.start, s.stop, max(o.s_end) filter (where o.s_end <= s.s_start) as after, min(o.s_start) filter (where o.s_start >= s.s_end) as until_
+    from placed s join placed o on o.doc_id = s.doc_id and o.person <> s.person and o.start > s.start - 20000 and o.start < s.stop + 20000
+        and ((o.s_end <= s.s_start and o.s_end > s.start - 120) or (o.s_start >= s.s_end and o.s_start < s.stop + 120)) group by all),
+wide as (
+    select s.doc_id, s.person, greatest(0, s.start - 120, coalesce(after, 0), coalesce(c_low, 0)) as a, least(s.stop + 120, coalesce(until_, s.stop + 120), coalesce(c_high, s.stop + 120)) as b
+    from placed s left join inside i on i.doc_id = s.doc_id and i.person = s.person and i.start = s.start left join outside o on o.doc_id = s.doc_id and o.person = s.person and o.start = s.start),
 marked as (select *, case when a <= max(b) over (partition by doc_id, person order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from wide),
 islands as (select *, sum(fresh) over (partition by doc_id, person order by a, b rows unbounded preceding) as island from marked)
-select doc_id, person, min(a) as start, max(b) as stop from islands group by doc_id, person, island""")
+select doc_id, person, min(a)::bigint as start, max(b)::bigint as stop from islands group by doc_id, person, island""")
 def clipped_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence of persons around their mentions, which stops at sentences that name others."""
-    line = F.col("place") * 90
-    spans = _placed(spark, sf).filter("doc_id % 2 = 0").select("doc_id", F.col("gender").alias("person"), "start", F.col("stop").alias("end"), line.alias("s_start"), (line + 90).alias("s_end"))
-    found = context.evidence_windows(spans, spans, 120)
-    return found.select("doc_id", "person", "start", F.col("end").alias("stop"))
+    """Evidence of persons around their mentions in all documents, which stops at sentences and clauses that name others."""
+    docs = table(spark, sf, "documents")
+    located = lambda pattern: S.located(docs, "doc_id", "text", pattern)
+    mentions = located(M.NAME).select("doc_id", F.get(F.split(F.lower("surface"), " "), F.lit(1)).alias("person"), "start", "end")
+    found = context.evidence_windows(context.with_borders(mentions, located(S.SENTENCE), located("[,;:]")), 120)
+    return found.select("doc_id", "person", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
+
 
+_KIN, _ENDINGS = ("the", "eine", "la", "le", "die", "to", "and"), ("a", "e", "s", "n")
 
-@query(f"""{_PLACED_SQL},
-led as (select doc_id, place, start, lag(place) over w as named, start - lag(stop) over w as gap from placed window w as (partition by doc_id order by start))
-select doc_id * 100000 + place as alias, doc_id * 100000 + named as named from led where gap between 68 and 69 and place % 3 = 1""")
+
+@query(rf"""
+with given as (select distinct unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) as word from benchmark),
+found as (
+    select doc_id, m, string_split_regex(text, '{M.NAME}') as g, regexp_extract_all(text, '{M.NAME}') as l from (select doc_id, text, 0 as m from documents)),
+each_ as (select doc_id, unnest(range(len(l))) as place, unnest(l) as surface, unnest(g[1:len(l)]) as before, g[len(g)] as after, len(l) as n from found),
+told as (
+    select *, place = n - 1 and regexp_full_match(after, '[.]?\s*') and regexp_matches(before, '[.!?…»"”)]\s*\n[ \t]*$') as signed, string_split(lower(surface), ' ') as w from each_),
+bases as (select doc_id, place, w[2] as second, left(w[2], length(w[2]) - 1) as stem from told where w[1] in {_KIN}),
+kin as (select distinct doc_id, place from (select doc_id, place, second, unnest([stem, {", ".join(f"stem || '{e}'" for e in _ENDINGS)}]) as base from bases) join given on word = base where base <> second)
+select reason, count(*) as mentions, count(distinct doc_id) as documents from (
+    select t.doc_id, case when signed then 'byline' when k.place is not null then 'kinship' else 'kept' end as reason from told t left join kin k on k.doc_id = t.doc_id and k.place = t.place) group by reason""")
+def mentions_by_reason(spark: SparkSession, sf: str) -> DataFrame:
+    """All mentions, counted as authors' bylines, relatives and persons of the news."""
+    given = table(spark, sf, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
+    found = context.mention_reasons(table(spark, sf, "documents"), "doc_id", "text", M.NAME, _KIN, given, _ENDINGS, r"[.]?\s*")
+    each = found.groupBy("reason", "doc_id").agg(F.count("*").alias("n"))  # by document first: a reason of nearly all mentions is one sum a task
+    return each.groupBy("reason").agg(F.sum("n").alias("mentions"), F.count("*").alias("documents"))
+
+
+@query(f"""
+with {_located_sql("found", M.NAME)},
+placed as (select f.doc_id, f.start, f."end" as stop, substr(d.text, f.start, 1) as before, substr(d.text, f."end" + 1, 1) as after from found f join documents d on d.doc_id = f.doc_id),
+led as (select *, lag(start) over w as named, start - lag(stop) over w as gap from placed window w as (partition by doc_id order by start))
+select doc_id, start as alias, named from led where before = ' ' and after in (' ', '.', ',') and gap between 1 and 2""")
 def aliases_in_brackets(spark: SparkSession, sf: str) -> DataFrame:
-    """Mentions in brackets right behind another one."""
-    placed = _placed(spark, sf)
-    bracket = F.col("place") % 3 == 1
-    number = F.col("doc_id") * 100000 + F.col("place")
-    rows = placed.select("doc_id", number.alias("mention"), "start", (F.col("stop") + 67).alias("end"), F.when(bracket, "(").otherwise(" ").alias("before"), F.when(bracket, ")").otherwise(" ").alias("after"))
-    return context.bracketed_aliases(rows)
+    """Mentions right behind another one, between the marks that stand for brackets here: a blank, and a blank or a full stop."""
+    docs = table(spark, sf, "documents")
+    number = F.struct("doc_id", "start")
+    found = S.marked(docs, "doc_id", "text", M.NAME).withColumn("mention", number)
+    rows = found.withColumns({"before": F.when(F.col("before") == " ", "("), "after": F.when(F.col("after").isin(" ", ".", ","), ")")})
+    return context.bracketed_aliases(rows).select("alias.doc_id", F.col("alias.start").alias("alias"), F.col("named.start").alias("named"))
 
 
 @query("""
