@@ -107,13 +107,18 @@ def mention_reasons(docs: DataFrame, key: str, text: str, name: str, kin: Sequen
     letter, or with one of `endings` for it, it is one of given (word), and it isn't so itself. Decided inside the text's
     row, from what stands between matches; only words behind a word of kin meet the given names.
     """
-    found, gaps = F.regexp_extract_all(F.col(text), F.lit(name), F.lit(0)), F.split(F.col(text), name, -1)
+    found, gaps, n = F.col("_found"), F.col("_gaps"), F.size("_found")
     ends = "[" + "".join(f"\\{c}" for c in SENTENCE_ENDS) + "]"
-    several = lambda s: F.size(F.split(F.trim(s), r"\s+")).between(2, 3)
-    rest = lambda i: F.when(i == F.size(found) - 1, F.get(gaps, i + 1)).when(i == F.size(found) - 2, F.concat(F.get(gaps, i + 1), F.get(found, i + 1), F.get(gaps, i + 2)))  # noqa: E731  a town may match too
-    signed = lambda s, i: several(s) & F.coalesce(rest(i).rlike(rf"\A(?:{byline_end})\z"), F.lit(False)) & F.get(gaps, i).rlike(rf"{ends}\s*\n[ \t]*\z")
-    each = F.transform(found, lambda s, i: F.struct(s.alias("surface"), signed(s, i).alias("signed"), X.words(s).alias("words")))
-    rows = docs.filter(F.col(text).rlike(name)).select(key, F.posexplode(each).alias("place", "m")).select(key, "place", "m.*")
+
+    def signed(at: Column, rest: Column) -> Column:
+        alone = F.size(F.split(F.trim(F.get(found, at)), r"\s+")).between(2, 3) & rest.rlike(rf"\A(?:{byline_end})\z") & F.get(gaps, at).rlike(rf"{ends}\s*\n[ \t]*\z")
+        return F.coalesce(alone, F.lit(False))
+
+    # the last match, or the one before it where the last is the author's town
+    by = F.when(signed(n - 1, F.get(gaps, n)), n - 1).when(signed(n - 2, F.concat(F.get(gaps, n - 1), F.get(found, n - 1), F.get(gaps, n))), n - 2)
+    held = docs.filter(F.col(text).rlike(name)).select(key, F.regexp_extract_all(F.col(text), F.lit(name), F.lit(0)).alias("_found"), F.split(F.col(text), name, -1).alias("_gaps"))
+    rows = held.select(key, by.alias("_by"), F.posexplode("_found").alias("place", "surface"))
+    rows = rows.select(key, "place", "surface", F.coalesce(F.col("place") == F.col("_by"), F.lit(False)).alias("signed"), X.words(F.col("surface")).alias("words"))
     relative = (F.size("words") >= 2) & F.get("words", F.lit(0)).isin(*kin)
     second = F.get("words", F.lit(1))
     stem = F.left(second, F.length(second) - 1)
