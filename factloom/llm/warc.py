@@ -6,7 +6,8 @@ headers, Content-Length, end mark and payload digest. Of records with equal payl
 one of the least page is a response and the others are revisits that name it; smaller payloads are responses all.
 
 Archives are rows of a table (archive, data) in the shared folder, written and read by Spark, so any store that Spark
-reaches will do; ``read_files`` reads .warc.zst files by Spark's binary reader.
+reaches will do; ``read_files`` reads .warc.zst files by Spark's binary reader: records of all types, with any ids and
+digests, and bad ones as rows with an error where that is asked for.
 
 Defined cases. Null html: empty payload, a response. Null url: no target header. Null page_id: written without an id and
 read back as null; such a page revisits its equals, or is a response where none has an id. Rows of equal page_id and
@@ -16,7 +17,9 @@ pages are dropped.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -35,6 +38,11 @@ PIECE_BYTES = 16 << 10
 #: Bounds of an archive, and of what a dictionary is trained on.
 ARCHIVE_RECORDS, ARCHIVE_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 8 << 20, 64, 1 << 20, 16 << 10
 LINE, END = b"\r\n", b"\r\n\r\n"
+VERSION, OWN_ID, BARE = re.compile(rb"WARC/\d+\.\d+"), re.compile(rb"<urn:page:(-?\d+)>"), re.compile(r"sha-?256:([0-9A-Fa-f]{64})", re.IGNORECASE)
+#: The types of records.
+TYPES = frozenset(["warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"])
+#: Digests that are checked, by the names that headers give them.
+DIGESTS = frozenset(["md5", "sha1", "sha256", "sha384", "sha512"])
 
 
 class BadRecord(ValueError):
@@ -54,33 +62,71 @@ def write_record(kind: str, page: int | None, url: str | None, digest: str, size
     return LINE.join(head) + END + payload + END
 
 
+def checked_digest(label: str, data: bytes) -> bool | None:
+    """Whether a digest as headers give it (algorithm:value, in hex or base 32) is that of data; None for algorithms not known here."""
+    algorithm, _, value = label.partition(":")
+    name = algorithm.strip().lower().replace("-", "")
+    if name not in DIGESTS:
+        return None
+    own = hashlib.new(name, data).digest()
+    return value.strip().lower() == own.hex() or value.strip().upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def payload_of(fields: dict[bytes, bytes], block: bytes) -> tuple[bytes, bool]:
+    """The payload of a block, and whether its bytes are those that a digest is made of: behind the headers of an HTTP
+    message, if it isn't sent in chunks or coded; else the block."""
+    if not fields.get(b"content-type", b"").lower().startswith(b"application/http"):
+        return block, True
+    head, mark, body = block.partition(END)
+    return (body, b"transfer-encoding:" not in head.lower()) if mark else (b"", False)
+
+
 def read_record(record: bytes) -> dict:
-    """The fields of one decoded record, after all checks."""
+    """The fields of one decoded record of any type, after all checks.
+
+    page_id and refers_to are numbers of this library's own ids and null for others, which record_id and refers_to_id hold.
+    A digest is checked where its algorithm is known; that of a revisit is its original's. payload_digest is bare for
+    SHA-256 in hex, and as the header has it for others.
+    """
     head, mark, rest = record.partition(END)
     lines = head.split(LINE)
-    if not mark or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
+    if not mark or not VERSION.fullmatch(lines[0]):
         raise BadRecord("no version line")
-    fields = {}
+    fields: dict[bytes, bytes] = {}
+    name = b""
     for line in lines[1:]:
+        if line[:1] in (b" ", b"\t") and name:  # a folded header goes on
+            fields[name] += b" " + line.strip()
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise BadRecord(f"not a header: {line[:40]!r}")
-        fields[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        fields[name] = value.strip()
     if not fields.get(b"content-length", b"").isdigit():
         raise BadRecord("no Content-Length")
     length = int(fields[b"content-length"])
     if len(rest) != length + len(END) or rest[length:] != END:
         raise BadRecord(f"Content-Length {length} and {len(rest)} bytes of block")
-    payload, kind = rest[:length], fields.get(b"warc-type", b"").decode()
-    digest = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode()
-    if kind not in ("response", "revisit"):
+    text = lambda key: fields[key].decode("utf-8", "surrogatepass") if key in fields else None
+    block, kind = rest[:length], text(b"warc-type")
+    if kind not in TYPES:
         raise BadRecord(f"type {kind!r}")
-    if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or int(fields[b"x-payload-length"]) != length):
-        raise BadRecord("payload and digest differ")
-    page = lambda name: int(fields[name][10:-1]) if name in fields else None
+    payload, sound = payload_of(fields, block)
+    digest = text(b"warc-payload-digest")
+    if kind != "revisit":
+        if digest and sound and checked_digest(digest, payload) is False:
+            raise BadRecord("payload and digest differ")
+        if not fields.get(b"x-payload-length", b"0").isdigit() or (b"x-payload-length" in fields and int(fields[b"x-payload-length"]) != len(payload)):
+            raise BadRecord("payload and X-Payload-Length differ")
+    if b"warc-block-digest" in fields and checked_digest(text(b"warc-block-digest"), block) is False:
+        raise BadRecord("block and digest differ")
+    own = lambda key: int(found[1]) if (found := OWN_ID.fullmatch(fields.get(key, b""))) else None
+    size = int(fields[b"x-payload-length"]) if fields.get(b"x-payload-length", b"").isdigit() else None if kind == "revisit" else len(payload)
+    bare = BARE.fullmatch(digest or "")
     return {
-        "page_id": page(b"warc-record-id"), "url": fields[b"warc-target-uri"].decode("utf-8", "surrogatepass") if b"warc-target-uri" in fields else None,
-        "payload_bytes": int(fields[b"x-payload-length"]), "payload_digest": digest, "record_type": kind, "refers_to": page(b"warc-refers-to"), "payload": payload,
+        "page_id": own(b"warc-record-id"), "url": text(b"warc-target-uri"), "payload_bytes": size, "payload_digest": bare[1].lower() if bare else digest, "record_type": kind,
+        "refers_to": own(b"warc-refers-to"), "payload": payload, "record_id": text(b"warc-record-id"), "refers_to_id": text(b"warc-refers-to"), "date": text(b"warc-date"), "error": None,
     }
 
 
@@ -105,8 +151,8 @@ def write_archive(records: list[bytes]) -> bytes:
     return head + b"".join(compressor.compress(r) for r in records)
 
 
-def read_archive(data: bytes) -> Iterator[dict]:
-    """The records of an archive, one frame each."""
+def read_archive(data: bytes, strict: bool = True) -> Iterator[dict]:
+    """The records of an archive, one frame each; not strict: a bad record is a row with an error."""
     at, trained = 0, None
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == SKIPPABLE:
         size = struct.unpack_from("<I", data, 4)[0]
@@ -120,6 +166,9 @@ def read_archive(data: bytes) -> Iterator[dict]:
         trained, at = zstandard.ZstdCompressionDict(body), 8 + size
     decompressor, view = zstandard.ZstdDecompressor(dict_data=trained), memoryview(data)
     while at < len(data):
+        if len(data) - at >= 8 and struct.unpack_from("<I", data, at)[0] & 0xFFFFFFF0 == SKIPPABLE & 0xFFFFFFF0:
+            at += 8 + struct.unpack_from("<I", data, at + 4)[0]  # a frame of no record
+            continue
         frame, start, parts = decompressor.decompressobj(), at, []
         while not frame.eof:  # piece by piece: what a piece holds beyond the frame is little, however long the archive
             if at >= len(data):
@@ -130,7 +179,13 @@ def read_archive(data: bytes) -> Iterator[dict]:
                 raise BadRecord(f"frame at {start}: {e}") from e
             at = min(len(data), at + PIECE_BYTES)
         at -= len(frame.unused_data)
-        yield read_record(b"".join(parts))
+        try:
+            found = read_record(b"".join(parts))
+        except BadRecord as e:
+            if strict:
+                raise
+            found = {"error": f"record at {start}: {e}"}
+        yield found
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
@@ -190,17 +245,35 @@ def write_archives(pages: DataFrame, name: str = "archives") -> DataFrame:
     return materialize(plan_records(pages).mapInArrow(run, "archive long, data binary"), name, "uncompressed")
 
 
-def read_archives(archives: DataFrame, with_payload: bool = True, data: str = "data") -> DataFrame:
-    """A row for each record of each archive; payload is null for revisits, whose other fields are those of the full payload."""
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+RECORD = [
+    ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()),
+    ("record_id", pa.string()), ("refers_to_id", pa.string()), ("date", pa.string()), ("error", pa.string()),
+]
+
+
+def read_archives(archives: DataFrame, with_payload: bool = True, data: str = "data", strict: bool = True) -> DataFrame:
+    """A row for each record of each archive; payload is null for revisits, whose other fields are those of the full payload.
+
+    strict: a bad record or frame stops the job. Else a bad record is a row with nothing but an error, and so is a frame
+    that can't be decoded, with which its archive ends.
+    """
+    sql = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    schema, arrow = ", ".join(f"{name} {sql[kind]}" for name, kind in RECORD), pa.schema(RECORD)
+
+    def records(archive: bytes) -> Iterator[dict]:
+        try:
+            yield from read_archive(archive, strict)
+        except BadRecord as e:
+            if strict:
+                raise
+            yield {"error": str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 rows: list[dict] = []
-                for record in read_archive(batch.column(0)[row].as_py()):
-                    if not with_payload or record["record_type"] == "revisit":
+                for record in records(batch.column(0)[row].as_py()):
+                    if not with_payload or record.get("record_type") == "revisit":
                         record["payload"] = None
                     rows.append(record)
                     if len(rows) == 256:
@@ -212,9 +285,9 @@ def read_archives(archives: DataFrame, with_payload: bool = True, data: str = "d
     return archives.select(data).mapInArrow(run, schema)
 
 
-def read_files(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of .warc.zst files at path, which Spark's binary reader finds."""
-    return read_archives(spark.read.format("binaryFile").load(path), with_payload, "content")
+def read_files(spark: SparkSession, path: str, with_payload: bool = True, strict: bool = True) -> DataFrame:
+    """The records of .warc.zst files at path, of any writer, which Spark's binary reader finds."""
+    return read_archives(spark.read.format("binaryFile").load(path), with_payload, "content", strict)
 
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
