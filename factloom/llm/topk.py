@@ -7,8 +7,9 @@ dealt over several blocks by hash), and two rounds follow: each query searches o
 other block with its k-th best score so far. In a block, candidates are taken in the order of their bounds until the
 next bound cannot reach the k-th best score; ties in score count, so stopping is exact. Scores are integers.
 
-Scale: pivots are a bounded sample, the only broadcast. Queries are a stated set; they meet all rows block by block, and
-no task holds more than one block (BLOCK_ROWS on average) and QUERY_ROWS queries. Inner products in many dimensions can
+Scale: pivots are a bounded sample; they and their cells' bounds are the only broadcasts. Queries are a stated set; whole
+cells are ruled out for a query by its distances alone, and only ids of the (query, block) pairs that are left travel until
+each block gets its queries' vectors. No task holds more than one block (BLOCK_ROWS on average) and QUERY_ROWS queries. Inner products in many dimensions can
 leave bounds weak: then all blocks are read in full, which is still exact.
 
 Scores are exact whatever the components' size: 64-bit sums where they can't overflow, whole numbers of any length
@@ -155,10 +156,12 @@ def _search(q: np.ndarray, q_far: np.ndarray, q_norm: float, q_id: int, bounded:
 BLOCK = ["dim", "cell", "part", "slice"]
 
 
-def _round(blocked: DataFrame, queries: DataFrame, pivots: dict[int, np.ndarray], k: int, slices: int) -> DataFrame:
+def _round(blocked: DataFrame, queries: DataFrame, vectors: DataFrame, pivots: dict[int, np.ndarray], k: int) -> DataFrame:
     """Each query against the blocks it names: query_id, vec_id, score, wide; k rows at most for each block.
 
-    Rows and queries travel as plain vectors: distances to the pivots are worked out again in the block.
+    queries: vec_id, dim, cell, part, floor; vectors: vec_id, x of the queries. A block is copied only as often as its own
+    queries fill slices of QUERY_ROWS, and not at all where none asks for it. Rows and queries travel as plain vectors:
+    distances to the pivots are worked out again in the block.
     """
     shared = blocked.sparkSession.sparkContext.broadcast(pivots)
 
@@ -179,8 +182,11 @@ def _round(blocked: DataFrame, queries: DataFrame, pivots: dict[int, np.ndarray]
                 out += [(q.vec_id, i, max(LEAST, min(MOST, -s)), wide_key(-s)) for s, i in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "wide"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64", "wide": "str"})
 
-    rows = blocked.select("vec_id", "x", "dim", "cell", "part").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    dealt = queries.withColumn("slice", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(slices)).cast("int"))
+    needed = queries.groupBy("dim", "cell", "part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("slices"))
+    rows = blocked.select("vec_id", "x", "dim", "cell", "part").join(needed, ["dim", "cell", "part"])
+    rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    asked = queries.join(needed, ["dim", "cell", "part"]).join(vectors.select("vec_id", "x"), "vec_id")
+    dealt = asked.withColumn("slice", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("slices")).cast("int"))
     dealt = dealt.select(*[F.col(c).alias(c) for c in ("vec_id", "x", "dim", "cell", "part", "floor", "slice")])  # attributes of its own: both sides come from one table
     return rows.groupBy(*BLOCK).cogroup(dealt.groupBy(*BLOCK)).applyInPandas(run, "query_id long, vec_id long, score long, wide string")
 
@@ -202,33 +208,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, pivots: int = PIVOTS, bl
     sizes = F.broadcast(counted)  # a row for each pivot at most, and one
     blocked = tabled.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")).cast("int")).drop("parts")
     asking = tabled.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("x", "far", "dim", "cell", "norm")).alias("q")).select("vec_id", "q.*")
-    slices = max(1, -(-tabled.filter(is_query).count() // QUERY_ROWS))
-    home = asking.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-    one = materialize(_round(blocked, home.withColumn("floor", F.lit(None).cast("double")), chosen, k, slices), "first-round")
+    asking = materialize(asking, "queries")
+    home = asking.drop("x").join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    first = home.select("vec_id", "dim", "cell", "part", F.lit(None).cast("double").alias("floor"))
+    one = materialize(_round(blocked, first, asking, chosen, k), "first-round")
     # above 64 bits the floor is that bound, which such scores reach; below them there is none
     floors = one.groupBy("query_id").agg(F.when((F.count("*") >= k) & (F.min("score") > LEAST), F.min("score").cast("double")).alias("floor"))
     floors = floors.withColumn("floor", F.col("floor") - F.abs("floor") * 1e-15)  # the double may lie above the whole number
-    summary = blocked.groupBy("dim", "cell", "part").agg(
+    # a row for each pivot at most, and one: parts of a cell are dealt by hash, so the cell's bounds are theirs
+    cells = F.broadcast(tabled.groupBy("dim", F.col("cell").alias("b_cell")).agg(
+        F.ceil(F.count("*") / block_rows).cast("int").alias("parts"),
         F.max("norm").alias("most"),
         F.array(*[F.min(F.get("far", F.lit(i))) for i in range(pivots)]).alias("lo"),
         F.array(*[F.max(F.get("far", F.lit(i))) for i in range(pivots)]).alias("hi"),
-    )
-    cells = F.broadcast(counted.select("dim", F.col("cell").alias("b_cell"), "parts"))
-    pairs = (
-        home.withColumnsRenamed({"cell": "h_cell", "part": "h_part"})
-        .join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
-        .join(cells, "dim")
-        .withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .filter((F.col("b_cell") != F.col("h_cell")) | (F.col("b_part") != F.col("h_part")))
-        .withColumnsRenamed({"b_cell": "cell", "b_part": "part"})
-    )
+    ))
     outside = F.zip_with(F.zip_with("lo", "far", lambda lo, f: lo - f), F.zip_with("hi", "far", lambda hi, f: f - hi), lambda a, b: F.greatest(a, b))
     least = F.array_max(F.concat(F.array(F.lit(0.0)), F.filter(outside, lambda g: g.isNotNull())))
     slack = 1e-6 * (1 + least + F.sqrt("most") + F.sqrt("norm"))
     bound = (F.col("norm") + F.col("most") - F.pow(F.greatest(least - slack, F.lit(0.0)), 2)) / 2 + 1e-9 * (F.col("norm") + F.col("most")) + 1
-    unbounded = (F.col("cell") == NO_PIVOT) | (F.col("h_cell") == NO_PIVOT) | F.col("floor").isNull()
-    rest = pairs.join(summary, ["dim", "cell", "part"]).filter(unbounded | (bound >= F.col("floor")))
-    two = _round(blocked, rest.select("vec_id", "x", "dim", "cell", "part", "floor"), chosen, k, slices)
+    unbounded = (F.col("b_cell") == NO_PIVOT) | (F.col("cell") == NO_PIVOT) | F.col("floor").isNull()
+    reached = home.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").join(cells, "dim").filter(unbounded | (bound >= F.col("floor")))
+    parts = reached.select("vec_id", "dim", "floor", "b_cell", F.when(F.col("cell") == F.col("b_cell"), F.col("part")).otherwise(-1).alias("done"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rest = parts.filter(F.col("part") != F.col("done")).select("vec_id", "dim", F.col("b_cell").alias("cell"), "part", "floor")
+    two = _round(blocked, rest, asking, chosen, k)
     return best_of(one.unionByName(two), k)
 
 
