@@ -29,6 +29,18 @@ def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as r from events) where r = 1")
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest event of each user and type, merged batch by batch."""
+    """The latest event of each user and type, kept in the state store."""
     stream = jobs.read_events(spark, f"{sf}/events.parquet").select("user_id", "event_type", "event_id", "value")
-    return jobs.upsert_stream(stream, ["user_id", "event_type"], "event_id", "stream-upsert")
+    return jobs.upsert_stream(stream, ["user_id", "event_type"], "event_id", jobs.new_home(spark, "stream-upsert"))
+
+
+@query("""
+with led as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 2 hours then 0 else 1 end as fresh from events where user_id is not null),
+numbered as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from led),
+one as (select user_id, min(ts) as start, max(ts) + interval 2 hours as stop, count(*) as events from numbered group by user_id, n)
+select * from one where stop <= (select max(ts) from events) - interval 1 hour""")
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of users, two hours without an event apart, that the watermark has closed."""
+    stream = jobs.read_events(spark, f"{sf}/events.parquet").select("user_id", "at").filter("user_id is not null")
+    closed = jobs.drain(jobs.sessions(stream, "user_id", "2 hours", "1 hour"), "stream-sessions")
+    return closed.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("stop"), "events")

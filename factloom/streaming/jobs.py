@@ -1,10 +1,8 @@
-"""Structured Streaming jobs: deduplication under a watermark, sessions, and an upsert of findings by micro-batch."""
+"""Structured Streaming jobs: deduplication under a watermark, windows, sessions, and an upsert that keeps its state in the state store."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,31 +30,35 @@ def sessions(stream: DataFrame, key: str, gap: str, late: str) -> DataFrame:
     return stream.withWatermark("at", late).groupBy(F.session_window("at", gap), key).agg(F.count("*").alias("events"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run the stream over all that is there, into a table in the shared folder (or through `each`), and read that table."""
-    spark = stream.sparkSession
-    home = f"{shared_folder(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-    writer = stream.writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).outputMode(mode)
-    run = (writer.foreachBatch(each) if each else writer.format("parquet").option("path", f"{home}/table")).start()
+def new_home(spark: SparkSession, name: str) -> str:
+    """A folder for a run of its own."""
+    return f"{shared_folder(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run the stream over all that is there, into a table in the shared folder, and read that table."""
+    home = new_home(stream.sparkSession, name)
+    run = stream.writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).outputMode(mode).format("parquet").option("path", f"{home}/table").start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{home}/table") if not each else spark.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{home}/table")
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], version: str, name: str) -> DataFrame:
-    """Keep-latest state by micro-batch: each batch merges with the last written state (a table for each batch, so a
-    batch that runs again after a failure writes the same table again)."""
-    spark = stream.sparkSession
-    home = f"{shared_folder(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-    last: list[str] = []
+def upsert_stream(stream: DataFrame, keys: list[str], version: str, home: str) -> DataFrame:
+    """Keep-latest state of a stream: for each key its row of the greatest version, of equal ones the greatest row.
 
-    def merge(batch: DataFrame, number: int) -> None:
-        from factloom.sources.snapshots import upsert
+    home: a folder that executors share, which holds the checkpoint, with the state, and what each batch changed; a later
+    run on the same home reads new input only and goes on from that state. The state store keeps a row for each key; a batch
+    writes the keys that it changed to a table of its own, so a batch that runs again writes the same one again. Returns
+    the latest row of each key over all batches.
+    """
+    spark = stream.sparkSession
+    others = [c for c in stream.columns if c not in (*keys, version)]
+    latest = stream.groupBy(*keys).agg(F.max(F.struct(version, *others)).alias("_row"))
 
-        rows = batch if not last else upsert(batch.sparkSession.read.parquet(last[-1]), batch, keys, version)
-        if not last:
-            rows = upsert(batch.limit(0), batch, keys, version)
-        rows.write.mode("overwrite").parquet(f"{home}/{number}")
-        last.append(f"{home}/{number}")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/changes/batch={number}")
 
-    drain(stream, f"{name}-run", "append", merge)
-    return spark.read.parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
+    run = latest.writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).outputMode("update").foreachBatch(write).start()
+    run.awaitTermination()
+    changes = spark.read.schema(latest.schema).parquet(f"{home}/changes")
+    return changes.groupBy(*keys).agg(F.max("_row").alias("_row")).select(*keys, "_row.*").select(*stream.columns)
