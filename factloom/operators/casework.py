@@ -37,6 +37,29 @@ def _initial(name: Column) -> Column:
     return (asked == "") | F.startswith(F.upper(name), asked)
 
 
+def records_of_age(unnamed: DataFrame, base: DataFrame) -> DataFrame:
+    """(id, records): how many records of a base are of the age that is told, or a year more, and not of another sex.
+
+    unnamed: id, age, on (date), gender. base: birth (date), b_gender. No pair is formed: births become a histogram by day
+    (a row for each day of the calendar from the first birth to the last), its running sums a table, and a description
+    takes the difference of two days of it. Records without a birth day don't count; where the age or day isn't told, null.
+    """
+    sexes = F.when(F.col("b_gender").isNull(), F.array(F.lit("any"), F.lit("f"), F.lit("m"))).otherwise(F.array(F.lit("any"), F.col("b_gender")))
+    births = base.filter(F.col("birth").isNotNull()).select(_days("birth").alias("day"), F.explode(sexes).alias("sex")).groupBy("sex", "day").agg(F.count("*").alias("n"))
+    ends = births.groupBy("sex").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    every = ends.select("sex", F.explode(F.sequence(F.col("first"), F.col("last"))).alias("day")).join(births, ["sex", "day"], "left")
+    upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("sex").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    running = every.select("sex", "day", upto.alias("upto"))
+    on = F.col("on").cast("date")
+    low, high = _days(F.add_months(on, (-12 * (F.col("age") + 2)).cast("int"))), _days(F.add_months(on, (-12 * F.col("age")).cast("int")))
+    asked = unnamed.select("id", F.coalesce("gender", F.lit("any")).alias("sex"), low.alias("low"), high.alias("high")).join(ends, "sex", "left")
+    at = lambda c, name: running.select("sex", F.col("day").alias(f"_{c}"), F.col("upto").alias(name))
+    asked = asked.withColumns({f"_{c}": F.least(c, "last") for c in ("low", "high")})
+    met = asked.join(at("low", "before"), ["sex", "_low"], "left").join(at("high", "until"), ["sex", "_high"], "left")
+    value = F.coalesce("until", F.lit(0)) - F.coalesce("before", F.lit(0))
+    return met.select("id", F.when(F.col("low").isNotNull(), value).alias("records"))
+
+
 def base_candidates(unnamed: DataFrame, base: DataFrame, decisions: DataFrame, window: int, slack: int, shown: int) -> DataFrame:
     """(id, rank, person, by_sentence, article_match): records of a base that an unnamed person may be.
 

@@ -44,6 +44,22 @@ def unnamed_base_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return C.base_candidates(asked, base, decisions, 60, 3, 3)
 
 
+@query("""
+with u as (select s_suppkey as id, (20 + s_suppkey % 50)::int as age, date '2020-01-15' + s_suppkey::int as d, case s_suppkey % 3 when 0 then 'f' when 1 then 'm' end as gender from supplier),
+b as (select date '1950-01-01' + (c_custkey * 7 % 20000)::int as birth, case c_custkey % 5 when 0 then null when 1 then 'f' when 2 then 'f' else 'm' end as b_gender from customer)
+select id, (select count(*) from b where datediff('year', birth, d) - (strftime(d, '%m%d') < strftime(birth, '%m%d'))::int between age and age + 1 and (gender is null or b_gender is null or gender = b_gender)) as records from u""")
+def unnamed_age_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many records of the base have the age and sex that a description tells."""
+    key, of = F.col("s_suppkey"), F.col("c_custkey")
+    asked = table(spark, sf, "supplier").select(
+        key.alias("id"), (20 + key % 50).cast("int").alias("age"), F.date_add(F.lit("2020-01-15").cast("date"), key.cast("int")).alias("on"), F.when(key % 3 == 0, "f").when(key % 3 == 1, "m").alias("gender")
+    )
+    base = table(spark, sf, "customer").select(
+        F.date_add(F.lit("1950-01-01").cast("date"), (of * 7 % 20000).cast("int")).alias("birth"), F.when(of % 5 == 0, None).when((of % 5).isin(1, 2), "f").otherwise("m").alias("b_gender")
+    )
+    return C.records_of_age(asked, base)
+
+
 @query("""
 with o as (select *, o_orderdate::date as d, (floor(o_totalprice)::bigint % 13)::varchar as charge, case when o_orderkey % 3 = 0 then 'f' when o_orderkey % 3 = 1 then 'm' end as gender from orders),
 u as (select o_orderkey as id, d, o_orderpriority as place, case when o_orderkey % 2 = 0 then 'trial' end as stage, o_orderkey % 60 as age, gender, case when o_orderkey % 5 = 0 then 'o' else '' end as initial, charge from o where o_orderstatus = 'P'),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import incremental, results, screen
+from factloom.operators.memo import within_budget
 from factloom.plans import matching as M
 from factloom.plans.base import query, table
 
@@ -144,3 +145,18 @@ def reports_to_events(spark: SparkSession, sf: str) -> DataFrame:
     hubs = buys.groupBy("user_id", "day").agg(F.min("event_id").alias("hub"))
     edges = buys.join(hubs, ["user_id", "day"]).select(F.col("event_id").alias("a"), F.col("hub").alias("b"))
     return components(edges).select(F.col("node").alias("id"), F.col("root").alias("event"))
+
+
+@query("""
+with asked as (select source as model, sha256(text) as input, max((doc_id % 4)::int) as priority, max(n_chars) as cost from documents where text is not null group by all),
+memo as (select distinct d.source as model, sha256(d.text) as input from documents d join labels l on l.doc_id = d.doc_id where l.quality = 1 and d.text is not null),
+budgets as (select source as model, sum(n_chars) // 3 as budget from documents where source <> 'src1' group by source),
+summed as (select a.*, sum(cost) over (partition by model order by priority desc, md5(model || ':' || input), input rows unbounded preceding)::bigint as spent from asked a anti join memo m on a.model = m.model and a.input = m.input)
+select s.model, s.input, s.priority, s.cost, s.spent from summed s join budgets b on b.model = s.model where spent <= budget""")
+def asked_within_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that a source's model is asked about next: those without an answer, by priority, within a third of its characters."""
+    docs = table(spark, sf, "documents")
+    keyed = docs.filter("text is not null").select("doc_id", F.col("source").alias("model"), F.sha2(F.col("text").cast("binary"), 256).alias("input"), (F.col("doc_id") % 4).cast("int").alias("priority"), F.col("n_chars").alias("cost"))
+    memo = keyed.join(table(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    budgets = docs.filter("source <> 'src1'").groupBy(F.col("source").alias("model")).agg(F.floor(F.sum("n_chars") / 3).alias("budget"))
+    return within_budget(keyed, memo, budgets)
