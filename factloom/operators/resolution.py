@@ -116,11 +116,14 @@ def candidates(incoming: DataFrame, known: DataFrame, limit: int = 30) -> DataFr
 def trigram_pairs(names: DataFrame, key: str, name: str, least: float) -> DataFrame:
     """Pairs x < y of names whose trigram sets have a Jaccard similarity of `least` or more: (x, y, similarity).
 
-    An inverted index on trigrams counts those in common; a name enters by its prefix in a fixed order only (the first
-    size - ceil(least * size) + 1 trigrams), which no similar pair escapes.
+    An inverted index on trigrams finds them: a name enters by its rarest size - ceil(least * size) + 1 trigrams only, which
+    no similar pair escapes. Trigrams that most names have come last in that order, so names don't meet on them.
     """
     sets = names.select(F.col(key).alias("k"), F.array_sort(X.trigrams(F.col(name))).alias("t")).filter(F.size("t") > 0)
-    front = sets.select("k", F.explode(F.slice("t", 1, (F.size("t") - F.ceil(F.size("t") * least) + 1).cast("int"))).alias("g"))
+    each = sets.select("k", F.explode("t").alias("g"))
+    rarity = each.groupBy("g").agg(F.count("*").alias("n"))
+    ordered = each.join(rarity, "g").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("t"))
+    front = ordered.select("k", F.explode(F.slice("t.g", F.lit(1), (F.size("t") - F.ceil(F.size("t") * least - 1e-9) + 1).cast("int"))).alias("g"))
     other = front.select(F.col("k").alias("k2"), "g")
     met = front.join(other, "g").filter("k < k2").select("k", "k2").distinct()
     both = met.join(sets, "k").join(sets.select(F.col("k").alias("k2"), F.col("t").alias("t2")), "k2")

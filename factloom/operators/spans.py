@@ -116,19 +116,18 @@ def surname_repeats(names: DataFrame, words: DataFrame, key: str) -> DataFrame:
 def gazetteer_hits(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, most: int) -> DataFrame:
     """(key, start, end, entry, kind): the longest entry of a gazetteer (entry, kind) that begins at each word of a text.
 
-    Entries have `most` words at most. Texts and entries meet on an equal first word, whatever the gazetteer's size.
+    Entries have `most` words at most. Texts and entries meet on all words of an entry, by their number: a word that begins
+    many entries brings no more together than are there.
     """
     order = Window.partitionBy(key).orderBy("place")
     words = located(docs, key, text, r"[\p{L}\p{N}]+").withColumn("w", X.fold(F.col("surface")))
-    ahead = words.select(
-        key, "place", "start", "w", F.array(*[F.lead("end", i).over(order) for i in range(most)]).alias("ends"),
-        F.concat_ws(" ", *[F.lead("w", i).over(order) for i in range(most)]).alias("gram"),
-    )
-    entries = gazetteer.select("entry", "kind", X.words(F.col("entry")).alias("ws")).filter(F.size("ws").between(1, most))
-    entries = entries.select("entry", "kind", F.size("ws").alias("n"), F.get("ws", F.lit(0)).alias("w"), F.array_join("ws", " ").alias("folded"))
-    met = ahead.join(entries, "w").filter(F.startswith(F.concat("gram", F.lit(" ")), F.concat("folded", F.lit(" "))))
+    ahead = words.select(key, "place", "start", F.array(*[F.lead("end", i).over(order) for i in range(most)]).alias("ends"), F.array(*[F.lead("w", i).over(order) for i in range(most)]).alias("ws"))
+    grams = F.transform(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: F.get("ws", n - 1).isNotNull()), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ws", F.lit(1), n), " ").alias("folded"), F.get("ends", n - 1).alias("end")))
+    spoken = ahead.select(key, "place", "start", F.explode(grams).alias("g")).select(key, "place", "start", "g.*")
+    entries = gazetteer.select("entry", "kind", X.words(F.col("entry")).alias("ws")).filter(F.size("ws").between(1, most)).select("entry", "kind", F.array_join("ws", " ").alias("folded"))
+    met = spoken.join(entries, "folded")
     longest = F.max("n").over(Window.partitionBy(key, "place"))
-    return met.withColumn("_longest", longest).filter("n = _longest").select(key, "start", F.get("ends", F.col("n") - 1).alias("end"), "entry", "kind")
+    return met.withColumn("_longest", longest).filter("n = _longest").select(key, "start", "end", "entry", "kind")
 
 
 #: Sentences for reading: up to white space behind . ! ? or an ellipsis, or up to the end of the line. Possessive, so that

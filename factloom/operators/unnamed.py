@@ -52,7 +52,8 @@ def attach_unnamed(rows: DataFrame, cases: DataFrame) -> DataFrame:
 def court_hints(described: DataFrame, sentences: DataFrame, keys: Sequence[str], shown: int = 3) -> DataFrame:
     """Courts that sentences of equal keys name, the most frequent first. described: id and keys; sentences: courts (array) and keys."""
     named = sentences.select(*keys, F.explode(F.array_distinct("courts")).alias("court")).groupBy(*keys, "court").agg(F.count("*").alias("n"))
-    return R.top_k_per_group(described.join(named, list(keys)), ["id"], [F.col("n").desc(), F.col("court")], shown).select("id", "rank", "court", "n")
+    best = R.top_k_per_group(named, list(keys), [F.col("n").desc(), F.col("court")], shown)  # before the join: keys of many courts and many descriptions don't multiply
+    return described.join(best, list(keys)).select("id", "rank", "court", "n")
 
 
 def carried_age(told: DataFrame) -> DataFrame:
