@@ -11,7 +11,8 @@ from factloom.functions import text as X
 from factloom.operators.graph import components
 from factloom.storage import materialize
 
-#: What a surname's case adds to its stem, as (ending, what takes its place); and the shortest stem.
+#: What a surname's case adds to its stem, as (ending, what takes its place), because one expression reads all of
+#: them; and the shortest stem.
 RUSSIAN_ENDINGS: tuple[tuple[str, str], ...] = (
     ("а", ""), ("я", ""), ("у", ""), ("ю", ""), ("е", ""), ("ом", ""), ("ем", ""), ("ым", ""), ("им", ""), ("ой", ""), ("ей", ""), ("ы", ""), ("и", ""), ("ь", ""),
     ("ый", ""), ("ого", ""), ("ому", ""), ("ая", ""), ("ую", ""), ("ий", "ь"), ("его", "ь"), ("ему", "ь"), ("яя", "ь"), ("юю", "ь"),

@@ -191,21 +191,32 @@ def dispute_pairs(names: DataFrame) -> DataFrame:
     return similar.select(*columns).unionByName(apart.select(*columns))
 
 
-#: Admissible readings of a name's words, by their shape (w: a word, i: an initial). s, g, p: surname, given, patronymic.
-READINGS = {
-    "w": ("s", "g"), "ww": ("gs", "sg", "gp"), "www": ("sgp", "gps"),
-    "iw": ("gs",), "wi": ("sg",), "iiw": ("gps",), "wii": ("sgp",), "wiw": ("gps",), "wwi": ("sgp",),
-}
+#: Admissible orders of a name's words by their number, and where some are initials, by what each one is.
+FULL_ORDERS = {
+    1: (("surname",), ("given",)),
+    2: (("given", "surname"), ("surname", "given"), ("given", "patronymic")),
+    3: (("given", "patronymic", "surname"), ("surname", "given", "patronymic")),
+}
+INITIAL_ORDERS = {
+    ("initial", "word"): ("given", "surname"),
+    ("initial", "initial", "word"): ("given", "patronymic", "surname"),
+    ("word", "initial"): ("surname", "given"),
+    ("word", "initial", "initial"): ("surname", "given", "patronymic"),
+    ("word", "initial", "word"): ("given", "patronymic", "surname"),
+    ("word", "word", "initial"): ("surname", "given", "patronymic"),
+}
 
 
 def name_variants(name: Column) -> Column:
     """Every admissible reading of a name as (surname, given, patronymic), absent parts null; none for other shapes."""
     words = X.words(name)
-    shape = F.array_join(F.transform(words, lambda w: F.when(F.length(w) == 1, "i").otherwise("w")), "")
-    found = None
-    for form, readings in READINGS.items():
-        structs = [F.struct(*[(F.get(words, F.lit(r.index(c))) if c in r else F.lit(None).cast("string")).alias(n) for c, n in (("s", "surname"), ("g", "given"), ("p", "patronymic"))]) for r in readings]
-        found = F.when(shape == form, F.array(*structs)) if found is None else found.when(shape == form, F.array(*structs))
+    shape = F.array_join(F.transform(words, lambda w: F.when(F.length(w) == 1, "initial").otherwise("word")), " ")
+    orders = {("word",) * n: orders for n, orders in FULL_ORDERS.items()} | {form: (order,) for form, order in INITIAL_ORDERS.items()}
+    part = lambda order, role: F.get(words, F.lit(order.index(role))) if role in order else F.lit(None).cast("string")
+    found = F.lit(None).cast("array<struct<surname:string,given:string,patronymic:string>>")
+    for form, readings in orders.items():
+        structs = [F.struct(*[part(order, role).alias(role) for role in ("surname", "given", "patronymic")]) for order in readings]
+        found = F.when(shape == " ".join(form), F.array(*structs)).otherwise(found)
     return F.coalesce(found, F.array().cast("array<struct<surname:string,given:string,patronymic:string>>"))
 
 
