@@ -47,11 +47,17 @@ def score(surname: Column, given: Column, patronymic: Column, exact_form: Column
     return F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), 4)
 
 
-def decide(scored: DataFrame, key: str, candidate: str, value: str, conflict: str, full: str) -> DataFrame:
+#: What a review says where nothing but the name speaks for its best candidate.
+NAME_ONLY = "name only evidence"
+
+
+def decide(scored: DataFrame, key: str, candidate: str, value: str, conflict: str, full: str, proven: str | None = None) -> DataFrame:
     """One row for each key of `scored` (key, candidate or null, value, conflict, full identity): action, selected, margin, plausible.
 
     No plausible candidate creates an entity where the name is a full identity, and is reviewed otherwise. A strong
-    candidate is linked where no other is near it in score or strong as well, and the name is a full identity.
+    candidate is linked where no other is near it in score or strong as well, and the name is a full identity. proven: a
+    column that says whether more than the name speaks for a candidate (all parts of it, the article, the case); where it is
+    given, the best candidate needs that too, and `best` names it.
     """
     plausible = F.col(candidate).isNotNull() & ~F.col(conflict) & (F.col(value) >= REVIEW)
     ordered = F.row_number().over(Window.partitionBy(key).orderBy(F.when(plausible, F.col(value)).desc_nulls_last(), candidate))
@@ -64,20 +70,36 @@ def decide(scored: DataFrame, key: str, candidate: str, value: str, conflict: st
         F.count_if(F.col("_ok")).alias("plausible"),
         F.count_if(F.col("_ok") & (F.col(value) >= AUTO)).alias("_strong"),
         F.bool_and(F.col(full)).alias("_full"),
+        F.coalesce(F.bool_or((F.col("_r") == 1) & F.col("_ok") & F.col(proven)), F.lit(False)).alias("_proven") if proven else F.lit(True).alias("_proven"),
     )
     margin = F.round(F.col("_top") - F.coalesce("_second", F.lit(0.0)), 4)
     near = (margin <= MARGIN) & (F.col("plausible") > 1)
     told = (
         ("no plausible candidate", F.col("plausible") == 0), ("incomplete name", ~F.col("_full")), ("low score", F.col("_top") < AUTO),
         ("small margin", near), ("several strong candidates", F.col("_strong") > 1),
+        (NAME_ONLY, (F.col("plausible") > 0) & ~F.col("_proven")),
     )
     reasons = F.array_compact(F.array(*[F.when(when, name) for name, when in told]))
     action = (
         F.when(F.col("plausible") == 0, F.when(F.col("_full"), "CREATE_NEW").otherwise("REVIEW"))
-        .when((F.col("_top") < AUTO) | near | (F.col("_strong") > 1) | ~F.col("_full"), "REVIEW")
+        .when((F.col("_top") < AUTO) | near | (F.col("_strong") > 1) | ~F.col("_full") | ~F.col("_proven"), "REVIEW")
         .otherwise("AUTO_LINK")
     )
-    return one.select(key, action.alias("action"), F.when(action == "AUTO_LINK", F.col("_chosen")).alias("selected"), margin.alias("margin"), "plausible", F.array_join(reasons, "; ").alias("reasons"))
+    return one.select(key, action.alias("action"), F.when(action == "AUTO_LINK", F.col("_chosen")).alias("selected"), margin.alias("margin"), "plausible", F.array_join(reasons, "; ").alias("reasons"), *([F.col("_chosen").alias("best")] if proven else []))
+
+
+def redecide(decisions: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    """The reviews that new evidence settles or changes, as decide would give them with it.
+
+    decisions: as decide gives them with `proven`. told: key, candidate, for which more than the name speaks since then
+    (repeats count once). Only reviews for want of such evidence, of the keys told, are looked at: new evidence changes
+    nothing in other decisions, and none of these but that reason.
+    """
+    news = told.select(key, F.col("candidate").alias("best")).distinct()
+    asked = decisions.filter((F.col("action") == "REVIEW") & F.contains("reasons", F.lit(NAME_ONLY))).join(news, [key, "best"], "left_semi")
+    rest = F.filter(F.split("reasons", "; "), lambda r: r != NAME_ONLY)
+    action = F.when(F.size(rest) == 0, "AUTO_LINK").otherwise("REVIEW")
+    return asked.select(key, action.alias("action"), F.when(F.size(rest) == 0, F.col("best")).alias("selected"), "margin", "plausible", F.array_join(rest, "; ").alias("reasons"), "best")
 
 
 def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
