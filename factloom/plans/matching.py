@@ -120,31 +120,32 @@ def er_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_SCORED_SQL + """,
-there as (select distinct doc_id, given || ' ' || surname || ' ' || patronymic as n from mentions),
-told as (select distinct s.name, s.person from scored s join there a on a.n = s.name join there b on b.doc_id = a.doc_id and b.n = s.person),
-known_as as (select n.name, s.person, s.score, coalesce(s.conflict, false) as conflict, length(n.given) > 1 and length(n.surname) > 1 as full_name, coalesce(s.exact_form, false) as whole, t.name is not null as told
+there as (select distinct given || ' ' || surname || ' ' || patronymic as n from mentions join labels l using (doc_id) where quality = 1),
+told as (select distinct s.name, s.person from scored s where s.name in (select n from there) and s.person in (select n from there)),
+known_as as (select n.name, s.person, s.score, coalesce(s.conflict, false) as conflict, length(n.given) > 1 and length(n.surname) > 1 as full_name, t.name is not null as told
              from incoming n left join scored s on s.name = n.name left join told t on t.name = s.name and t.person = s.person),
 ranked as (
     select *, person is not null and not conflict and score >= 0.4 as ok,
            row_number() over (partition by name order by case when person is not null and not conflict and score >= 0.4 then score end desc nulls last, person nulls first) as r from known_as),
 one as (
     select name, max(score) filter (where r = 1 and ok) as top, max(score) filter (where r = 2 and ok) as second, max(person) filter (where r = 1 and ok) as best, count(*) filter (where ok) as plausible,
-           count(*) filter (where ok and score >= 0.85) as strong, bool_and(full_name) as full_name, coalesce(bool_or(r = 1 and ok and whole), false) as whole, coalesce(bool_or(r = 1 and ok and told), false) as told from ranked group by name),
+           count(*) filter (where ok and score >= 0.85) as strong, bool_and(full_name) as full_name, coalesce(bool_or(r = 1 and ok and told), false) as told from ranked group by name),
 settled as (
     select *, round(top - coalesce(second, 0), 4) as margin,
            concat_ws('; ', case when not full_name then 'incomplete name' end, case when top < 0.85 then 'low score' end, case when round(top - coalesce(second, 0), 4) <= 0.1 and plausible > 1 then 'small margin' end,
-                     case when strong > 1 then 'several strong candidates' end) as reasons from one where plausible > 0 and not whole and told)
+                     case when strong > 1 then 'several strong candidates' end) as reasons from one where plausible > 0 and told)
 select name, case when reasons = '' then 'AUTO_LINK' else 'REVIEW' end as action, case when reasons = '' then best end as selected, margin, plausible, reasons, best from settled""")
 def er_redecided(spark: SparkSession, sf: str) -> DataFrame:
-    """Reviews that only the name spoke for, decided again for candidates that a document names beside them."""
+    """Decisions while only names are known, and those reviews decided again of which documents of good quality name both sides."""
     parts = ("given", "surname", "patronymic")
     incoming, found = _scored(spark, sf)
-    found = materialize(found.select("name", "person", "score", "conflict", "exact_form"), "scored")
+    found = materialize(found.select("name", "person", "score", "conflict"), "scored")
     full = incoming.select("name", ((F.length("given") > 1) & (F.length("surname") > 1)).alias("full"))
-    scored = full.join(found, "name", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("conflict", "exact_form")})
-    first = resolution.decide(scored, "name", "person", "score", "conflict", "full", "exact_form")
-    there = materialize(mentions(table(spark, sf, "documents"), "doc_id").select("doc_id", F.concat_ws(" ", *parts).alias("n")).distinct(), "named-in")
-    beside = found.select("name", "person").join(there.withColumnRenamed("n", "name"), "name").join(there.withColumnRenamed("n", "person"), ["doc_id", "person"])
+    scored = full.join(found, "name", "left").withColumns({"conflict": F.coalesce("conflict", F.lit(False)), "proven": F.lit(False)})
+    first = resolution.decide(scored, "name", "person", "score", "conflict", "full", "proven")
+    reviewed = table(spark, sf, "documents").join(table(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    there = materialize(mentions(reviewed, "doc_id").select(F.concat_ws(" ", *parts).alias("n")).distinct(), "named-in")
+    beside = found.select("name", "person").join(there.withColumnRenamed("n", "name"), "name", "left_semi").join(there.withColumnRenamed("n", "person"), "person", "left_semi")
     return resolution.redecide(first, beside.select("name", F.col("person").alias("candidate")), "name")
 
 

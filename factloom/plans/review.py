@@ -205,9 +205,9 @@ def list_membership(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(M._SCORED_SQL + """
-select s.doc_id, s.person, length(n.given) > 1 and length(n.surname) > 1 and length(n.patronymic) > 1 and not conflict and m_surname = 'exact' and m_given = 'exact' and m_patronymic in ('exact', 'missing') as promoted
-from scored s join names n on n.doc_id = s.doc_id""")
+select s.name, s.person, length(n.given) > 1 and length(n.surname) > 1 and length(n.patronymic) > 1 and not conflict and m_surname = 'exact' and m_given = 'exact' and m_patronymic in ('exact', 'missing') as promoted
+from scored s join incoming n on n.name = s.name""")
 def alias_promotion(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates whose name becomes an alias of the person."""
     kept = review.may_be_alias(F.array("given", "surname", "patronymic"), F.col("m_surname"), F.col("m_given"), F.col("m_patronymic"), F.col("conflict"))
-    return M._scored(spark, sf).select("doc_id", "person", kept.alias("promoted"))
+    return M._scored(spark, sf)[1].select("name", "person", kept.alias("promoted"))
