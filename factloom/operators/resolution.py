@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
+from factloom.storage import materialize
 
 #: Fixed values of the additive score.
 SURNAME = {"exact": 0.45, "typo": 0.30}
@@ -102,37 +103,139 @@ def redecide(decisions: DataFrame, told: DataFrame, key: str) -> DataFrame:
     return asked.select(key, action.alias("action"), F.when(F.size(rest) == 0, F.col("best")).alias("selected"), "margin", "plausible", F.array_join(rest, "; ").alias("reasons"), "best")
 
 
+#: Letters up to which words meet by what deletions leave of them, and longer ones by whole pieces.
+DELETED = 24
+
+
 def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(x, y) of the distinct words left.x and right.y that are equal or a typo apart (typo_tolerance of the longer one)."""
+    """(x, y) of the distinct words left.x and right.y that are equal or a typo apart (typo_tolerance of the longer one).
+
+    Words of up to DELETED letters meet where they are equal after as many deletions on either side as their tolerance, which
+    so many edits always are; longer ones by typo_partners, whose pieces of them are long. Short words have no typos.
+    """
     left, right = left.select("x").distinct(), right.select("y").distinct()
-    near = typo_partners(left, right, 2).filter(F.col("edits") <= X.typo_tolerance(F.greatest(F.length("x"), F.length("y"))))
-    equal = left.join(right, F.col("x") == F.col("y")).select("x", "y")
-    return near.select("x", "y").union(equal).distinct()
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w))))
+
+    def deleted(df: DataFrame, c: str) -> DataFrame:
+        size = F.length(c)  # a word of 5 letters may be one of 4 with a typo, one of 10 one of 8 with two
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes of words become many rows
+        one = df.filter(size.between(4, DELETED)).repartition(tasks, c).withColumn("d", without(F.col(c)))
+        two = F.when(size >= 8, F.flatten(F.transform("d", without))).otherwise(F.array().cast("array<string>"))
+        return one.select(c, F.explode(F.array_distinct(F.transform(F.concat(F.array(c), "d", two), lambda w: F.xxhash64(w)))).alias("k"))
+
+    met = deleted(left, "x").join(deleted(right, "y"), "k").select("x", "y").filter("x <> y")
+    long = typo_partners(left.filter(F.length("x") > DELETED - 2), right.filter(F.length("y") > DELETED - 2), 2).select("x", "y")
+    near = met.union(long).filter(F.levenshtein("x", "y") <= X.typo_tolerance(F.greatest(F.length("x"), F.length("y")))).distinct()
+    return near.filter("x <> y").union(left.join(right, F.col("x") == F.col("y")).select("x", "y"))
+
+
+_PARTS = ("given", "surname", "patronymic")
+_KNOWN = tuple(f"k_{c}" for c in _PARTS)
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """pairs (parts, k_parts) with m_parts, exact_form, conflict and score."""
+    compared = pairs.withColumns({f"m_{c}": compare(F.col(c), F.col(f"k_{c}")) for c in _PARTS})
+    exact = F.array_join(F.array(*_PARTS), " ") == F.array_join(F.array(*_KNOWN), " ")
+    complete = (F.length("given") > 1) & (F.length("surname") > 1) & (F.length("patronymic") > 1)
+    compared = compared.withColumns({"exact_form": exact, "conflict": (F.col("m_surname") == "mismatch") | (F.col("m_given") == "mismatch") | (F.col("m_patronymic") == "mismatch")})
+    return compared.withColumn("score", score(F.col("m_surname"), F.col("m_given"), F.col("m_patronymic"), F.col("exact_form"), complete, F.lit(False)))
+
+
+def _key(*c: str) -> Column:
+    return F.array_join(F.sort_array(F.array(*c)), " ")
 
 
-def candidates(incoming: DataFrame, known: DataFrame, limit: int = 30) -> DataFrame:
+def _better(incoming: DataFrame, known: DataFrame, surnames: DataFrame, limit: int) -> DataFrame:
+    """(parts, person, k_parts): what may stand before the mass of a block (a surname near, an initial) in a name's candidates.
+
+    Such pairs agree in more than the block, so they meet on that: words in the given name and in the third part, whose
+    pairs are told once for all names. Where a part of one letter, or none, agrees with more than words near it, the group
+    that it agrees with gives its `limit` least persons: all of the group score as much at least, so no other is needed.
+    """
+    known = known.withColumns({"third": F.coalesce("k_patronymic", F.lit("")), "letter": F.left("k_patronymic", F.lit(1))})
+    asked = incoming.withColumn("p", F.coalesce("patronymic", F.lit("")))
+    words = {}
+    for c, theirs in (("given", "k_given"), ("p", "third")):  # an initial, and a third part that isn't told, agree as well
+        mine, others = asked.select(F.col(c).alias("x")).distinct(), known.select(F.col(theirs).alias("y")).distinct()
+        more = mine.filter(F.length("x") > 1).withColumn("y", F.left("x", F.lit(1))).unionByName(mine.withColumn("y", F.lit("")))
+        words[c] = materialize(near_words(mine, others).union(more.join(others.filter(F.length("y") <= 1), "y", "left_semi").select("x", "y")).distinct(), f"near-{c}").select(F.col("x").alias(c), F.col("y").alias(theirs))
+    short = lambda c: F.length(c) <= 1
+
+    def least(names: DataFrame, keys: list[str]) -> DataFrame:
+        """names with the `limit` least persons of their group."""
+        order = F.row_number().over(Window.partitionBy(*keys).orderBy("person"))
+        group = known.join(names.select(*keys).distinct(), keys, "left_semi").withColumn("_r", order).filter(F.col("_r") <= limit)
+        return names.join(group.select(*{*keys, "person", *_KNOWN}), keys)
+
+    # first the pairs of given name and surname that are there, for those asked for
+    two = asked.filter(~short("given")).select("given", "surname").distinct()
+    met = two.join(surnames, "surname").join(words["given"], "given").filter(F.left("given", F.lit(1)) == F.left("k_given", F.lit(1)))
+    met = materialize(met.join(known.select("k_given", "k_surname").distinct(), ["k_given", "k_surname"], "left_semi"), "near-names")
+    of_two = asked.join(met, ["given", "surname"])
+    in_block = asked.filter(short("given") | short("surname")).join(surnames, "surname").withColumn("initial", F.left("given", F.lit(1)))
+    initial, untold = (F.length("p") == 1), F.col("p") == ""
+    name, block = ["k_surname", "k_given"], ["k_surname", "initial"]
+    found = [
+        of_two.join(words["p"], "p").join(known, [*name, "third"]),
+        least(of_two.filter(initial).withColumn("letter", F.col("p")), [*name, "letter"]),
+        least(of_two.filter(untold | short("surname")), name),
+        least(in_block.join(words["p"], "p"), [*block, "third"]),
+        least(in_block.filter(initial).withColumn("letter", F.col("p")), [*block, "letter"]),
+        least(in_block.filter(untold), block),
+    ]
+    columns = [*_PARTS, "person", *_KNOWN]
+    out = found[0].select(*columns)
+    for df in found[1:]:
+        out = out.unionByName(df.select(*columns))
+    return out
+
+
+def candidates(incoming: DataFrame, known: DataFrame, limit: int = 30, plausible: bool = False) -> DataFrame:
     """The best `limit` known names (person, k_given, k_surname, k_patronymic) of each incoming name (given, surname, patronymic).
 
     Two generators are merged: names of equal words in whatever order (an equal key), and names whose surname is equal or
     a typo apart under the same given initial. A pair counts once, with both sources. Both sides are distinct names, so
-    that a name of many mentions meets the others once.
+    that a name of many mentions meets the others once. The second generator's block isn't paired out: names that agree in
+    more than the block are found by that (_better), and of the others, which score alike, a block's `limit` least persons
+    do for all of its names. They join as one array for each block. plausible: of these, only candidates that a decision may
+    be about (no conflict, REVIEW at least), which come before all others.
     """
-    parts = ("given", "surname", "patronymic")
-    key = lambda *c: F.array_join(F.array_sort(F.array(*c)), " ")
-    incoming, known = incoming.select(*parts).distinct(), known.select("person", *[f"k_{c}" for c in parts])
-    by_key = incoming.withColumn("key", key(*parts)).join(known.withColumn("key", key(*[f"k_{c}" for c in parts])), "key").drop("key").withColumn("by", F.lit("key"))
-    words = near_words(incoming.select(F.col("surname").alias("x")), known.select(F.col("k_surname").alias("y")))
-    asked = incoming.join(words, F.col("surname") == F.col("x")).withColumn("initial", F.left("given", F.lit(1)))
-    by_name = asked.join(known.withColumn("initial", F.left("k_given", F.lit(1))), (F.col("y") == F.col("k_surname")) & (asked["initial"] == F.left("k_given", F.lit(1))))
-    by_name = by_name.select(*parts, "person", *[f"k_{c}" for c in parts], F.lit("name").alias("by"))
-    merged = by_key.unionByName(by_name).groupBy(*parts, "person", *[f"k_{c}" for c in parts]).agg(F.array_join(F.array_sort(F.collect_set("by")), "+").alias("sources"))
-    compared = merged.withColumns({f"m_{c}": compare(F.col(c), F.col(f"k_{c}")) for c in parts})
-    exact = F.array_join(F.array(*parts), " ") == F.array_join(F.array(*[f"k_{c}" for c in parts]), " ")
-    complete = (F.length("given") > 1) & (F.length("surname") > 1) & (F.length("patronymic") > 1)
-    compared = compared.withColumns({"exact_form": exact, "conflict": (F.col("m_surname") == "mismatch") | (F.col("m_given") == "mismatch") | (F.col("m_patronymic") == "mismatch")})
-    scored = compared.withColumn("score", score(F.col("m_surname"), F.col("m_given"), F.col("m_patronymic"), F.col("exact_form"), complete, F.lit(False)))
-    order = F.row_number().over(Window.partitionBy(*parts).orderBy(F.col("score").desc(), "person"))
-    return scored.withColumn("_r", order).filter(F.col("_r") <= limit).drop("_r")
+    surname_of = lambda df, c: df.select(F.col(c).alias("x" if c == "surname" else "y"))
+    incoming = incoming.select(*_PARTS).distinct()
+    known = known.select("person", *_KNOWN).withColumn("initial", F.left("k_given", F.lit(1)))
+    surnames = materialize(near_words(surname_of(incoming, "surname"), surname_of(known, "k_surname")).select(F.col("x").alias("surname"), F.col("y").alias("k_surname")), "near-surnames")
+    by_key = incoming.withColumn("key", _key(*_PARTS)).join(known.withColumn("key", _key(*_KNOWN)), "key").select(*_PARTS, "person", *_KNOWN)
+    met = _compared(by_key.unionByName(_better(incoming, known, surnames, limit)).repartition(*[F.col(c) for c in _PARTS]).distinct())
+    ranked = F.row_number().over(Window.partitionBy(*_PARTS).orderBy(F.col("score").desc(), "person"))
+    same = F.coalesce(_key(*_PARTS) == _key(*_KNOWN), F.lit(False))
+    near = F.coalesce((F.left("given", F.lit(1)) == F.left("k_given", F.lit(1))) & (F.levenshtein("surname", "k_surname") <= X.typo_tolerance(F.greatest(F.length("surname"), F.length("k_surname")))), F.lit(False))
+    sources = F.concat_ws("+", F.when(same, "key"), F.when(near, "name"))
+    if plausible:
+        return met.withColumn("_r", ranked).filter((F.col("_r") <= limit) & ~F.col("conflict") & (F.col("score") >= REVIEW)).drop("_r").withColumn("sources", sources)
+    pair = F.struct((-F.col("score")).alias("under"), "person", *_KNOWN)
+    listed = met.withColumn("_r", ranked).filter(F.col("_r") <= limit).groupBy(*_PARTS).agg(F.collect_list(pair).alias("found"))
+
+    by_person = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("person"))
+    block = known.withColumn("_r", by_person("k_surname", "initial")).filter(F.col("_r") <= limit).drop("_r")
+    asked = incoming.select("surname", F.left("given", F.lit(1)).alias("initial")).distinct().join(surnames, "surname").join(block, ["k_surname", "initial"])
+    # a surname a typo apart scores like an equal one where the others differ: conflicts are capped below both
+    mass = asked.withColumn("_r", by_person("surname", "initial")).filter(F.col("_r") <= limit).groupBy("surname", "initial").agg(F.collect_list(F.struct("person", *_KNOWN)).alias("mass"))
+
+    own = listed.select(*[F.col(c).alias(f"l_{c}") for c in _PARTS], "found")
+    every = incoming.join(own, F.expr(" and ".join(f"{c} <=> l_{c}" for c in _PARTS)), "left").select(*_PARTS, "found", F.left("given", F.lit(1)).alias("initial"))
+    every = every.join(mass, ["surname", "initial"], "left")
+    match = {c: lambda k, c=c: compare(F.col(c), k[f"k_{c}"]) for c in _PARTS}
+    value = lambda k: score(match["surname"](k), match["given"](k), match["patronymic"](k), F.lit(False), F.lit(False), F.lit(False))
+    none = lambda c: F.coalesce(c, F.array())
+    persons = F.transform(none("found"), lambda k: k["person"])
+    rest = F.filter(none("mass"), lambda k: ~F.array_contains(persons, k["person"]))
+    valued = lambda v: F.transform(rest, lambda k: F.struct((-v(k)).alias("under"), k["person"].alias("person"), *[k[c].alias(c) for c in _KNOWN]))
+    # whole names are in conflict with all that isn't found: the surname alone is worth more than the cap
+    whole = (F.length("surname") > 1) & (F.length("given") > 1) & (F.coalesce("patronymic", F.lit("")) != "")
+    scored = F.when(whole, valued(lambda k: F.lit(CONFLICT_CAP))).otherwise(valued(value))
+    best = every.select(*_PARTS, F.explode(F.slice(F.sort_array(F.concat(none("found"), scored)), 1, limit)).alias("c")).select(*_PARTS, "c.person", *[f"c.{c}" for c in _KNOWN])
+    return _compared(best).withColumn("sources", sources)
 
 
 def trigram_pairs(names: DataFrame, key: str, name: str, least: float) -> DataFrame:
