@@ -45,7 +45,7 @@ def mentions_table(extracted: DataFrame, key: str, text: str) -> DataFrame:
 def sentences(text: Column) -> Column:
     """Sentences, trimmed: cut behind . ! ? and white space, but not after an initial or a one-letter abbreviation."""
     cut = F.split(F.regexp_replace(text, r"(?<![\s.(]\p{L})([.!?])\s+", "$1\u0001"), "\u0001")
-    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")  # F.trim itself would take the place as what to trim
 
 
 def score_spans(predicted: DataFrame, golden: DataFrame, keys: list[str]) -> DataFrame:
