@@ -66,6 +66,14 @@ def articles(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("_a", article_of(F.col(html))).select(*pages.columns, "_a.title", "_a.body", "_a.links")
 
 
+def title_of(html: Column) -> Column:
+    """The first title as it is written, trimmed, with its &lt;, &gt; and &amp; read; other references, and those cut off, stay."""
+    found = F.regexp_extract(html, r"<title>[\t\n\f\r ]*([^<]*?)[\t\n\f\r ]*</title>", 1)
+    for reference, letter in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        found = F.replace(found, F.lit(reference), F.lit(letter))
+    return found
+
+
 def canonical_url(url: Column) -> Column:
     """Host without www. or m., and path, without scheme, query, fragment and closing slash: a stable id."""
     host = F.regexp_replace(F.lower(F.parse_url(url, F.lit("HOST"))), r"^(www|m)\.", "")
