@@ -47,7 +47,7 @@ def unnamed_rows_to_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Reports without a person joined to the one case that their signature, or their place, points at."""
     rows = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), F.col("o_orderpriority").alias("region"),
-        F.when(F.col("o_totalprice") > 100000, F.round(F.col("o_totalprice") / 2000).cast("int")).alias("term"),
+        F.when(F.col("o_totalprice") > 100000, F.rint(F.col("o_totalprice") / 2000).cast("int")).alias("term"),
         F.when(F.col("o_totalprice") > 450000, "").otherwise(F.date_format("o_orderdate", "yyyy-MM")).alias("on"), F.lit(7).alias("exact"), "o_orderstatus",
     )
     named = rows.filter("o_orderstatus <> 'P'")
@@ -65,7 +65,7 @@ def discover_until_known(spark: SparkSession, sf: str) -> DataFrame:
     """New items on the pages before the first page that is known whole."""
     events = table(spark, sf, "events")
     once = R.latest_by(events, ["event_type", "user_id"], [F.col("value"), F.col("event_id")])
-    listing = once.select(F.col("event_type").alias("source"), F.round(F.col("value") / 20).cast("int").alias("page"), F.col("user_id").alias("item"))
+    listing = once.select(F.col("event_type").alias("source"), F.rint(F.col("value") / 20).cast("int").alias("page"), F.col("user_id").alias("item"))
     return unnamed.until_known(listing, events.filter("value > 250").select(F.col("user_id").alias("item")), "source", "page", "item")
 
 
