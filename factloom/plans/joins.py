@@ -104,7 +104,7 @@ pairs as (
 select user_id, id, r_id, gap from (select *, min(gap) over (partition by user_id, id) as least from pairs where gap <= 20000) where gap = least""")
 def nearest_span_within(spark: SparkSession, sf: str) -> DataFrame:
     """The purchases nearest to each sign-up, as spans of a minute, at most 20,000 s away; ties stay."""
-    t = F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+    t = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
     events = table(spark, sf, "events").withColumn("t", t)
     ups = events.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("id"), F.col("t").alias("start"), (F.col("t") + 60).alias("end"))
     buys = events.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("r_id"), F.col("t").alias("r_start"), (F.col("t") + 60).alias("r_end"))
