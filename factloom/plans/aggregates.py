@@ -160,6 +160,6 @@ select user_id, min(s) as s, max(e) as e, count(*) as merged from (
 group by user_id, island""")
 def merged_evidence_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of half an hour around each event, merged where they overlap."""
-    at = F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+    at = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
     windows = table(spark, sf, "events").select("user_id", (at - 1800).alias("s"), (at + 1800).alias("e"))
     return R.merge_intervals(windows, ["user_id"], "s", "e")
