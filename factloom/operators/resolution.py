@@ -316,6 +316,18 @@ def dispute_pairs(names: DataFrame) -> DataFrame:
     return similar.select(*columns).unionByName(apart.select(*columns))
 
 
+def all_dispute_pairs(names: DataFrame) -> DataFrame:
+    """(given, surname, patronymic, other, kind): all pairs of distinct names that agree but for the third part.
+
+    similar: third parts one edit apart at most; patronymic: others. A name of many third parts has the square of their
+    number as rows; they are formed in one join on the name and go out as they come, so no task holds them.
+    """
+    others = names.withColumnRenamed("patronymic", "other")
+    pairs = names.join(others, ["given", "surname"]).filter(F.col("patronymic") < F.col("other"))
+    kind = F.when(F.levenshtein("patronymic", "other", 1) >= 0, "similar").otherwise("patronymic")
+    return pairs.select("given", "surname", "patronymic", "other", kind.alias("kind"))
+
+
 #: Admissible orders of a name's words by their number, and where some are initials, by what each one is.
 FULL_ORDERS = {
     1: (("surname",), ("given",)),

@@ -48,3 +48,10 @@ def test_a_block_is_not_paired_out(spark):
     found = resolution.candidates(incoming, known)
     least = [r.person for r in known.select("person").orderBy("person").limit(30).collect()]
     assert found.count() == 90_000 and sorted({r.person for r in found.select("person").distinct().collect()}) == least
+
+
+def test_all_pairs_of_a_dispute(spark):
+    """Every two third parts of a name are a pair, not each with the first alone."""
+    df = spark.createDataFrame([("a", "b", t) for t in ("xxx", "yyy", "yyz", "zzz")] + [("c", "d", "e")], "given string, surname string, patronymic string")
+    found = {(r.patronymic, r.other): r.kind for r in resolution.all_dispute_pairs(df).collect()}
+    assert len(found) == 6 and [k for k, v in found.items() if v == "similar"] == [("yyy", "yyz")]
