@@ -59,13 +59,14 @@ def with_borders(mentions: DataFrame, sentences: DataFrame, borders: DataFrame,
     return as_of_join(before.withColumn("_e", -F.col("end")), backward, [doc], "_e", "_b", ["n_start", "n_end"]).drop("_e")
 
 
-def evidence_windows(mentions: DataFrame, width: int, doc: str = "doc_id") -> DataFrame:
+def evidence_windows(mentions: DataFrame, width: int, doc: str = "doc_id", reach: int | None = None) -> DataFrame:
     """(doc, person, start, end): the text around a person's mentions, merged where it overlaps.
 
     mentions: doc, person, start, end and what with_borders adds. A window of `width` on both sides never reaches into a
     sentence that names another person. Inside the mention's own sentence it stops at the clause border nearest to it, if
     another person is named beyond that border; a clause without such a border is shared. Other sentences meet a mention
-    by cells of its width; of its own sentence it meets the outermost other mentions only.
+    by cells of its width; of its own sentence it meets the outermost other mentions only. reach: another sentence counts only
+    where its mention is less than so many code points off, which matters for sentences as long as that.
     """
     spot = [doc, "s_start"]
     each = mentions.groupBy(*spot, "person").agg(F.max("start").alias("last"), F.min("end").alias("first"))
@@ -79,12 +80,14 @@ def evidence_windows(mentions: DataFrame, width: int, doc: str = "doc_id") -> Da
     own = own.withColumns({"c_low": F.when(F.col("p_start") >= first, F.col("p_end")), "c_high": F.when(F.col("n_end") <= last, F.col("n_start"))})
     own = own.select(doc, "person", "start", "end", "s_start", "s_end", "c_low", "c_high").distinct()
 
-    other = mentions.select(doc, F.col("person").alias("o_person"), F.col("s_start").alias("o_start"), F.col("s_end").alias("o_end")).distinct()
+    other = mentions.select(doc, F.col("person").alias("o_person"), F.col("s_start").alias("o_start"), F.col("s_end").alias("o_end"), "start").groupBy(doc, "o_person", "o_start", "o_end").agg(F.min("start").alias("first"), F.max("start").alias("last"))
     cell = lambda c: F.floor(c / width)
     near = own.select(doc, "person", "start", "end", "s_start", "s_end", F.explode(F.sequence(cell(F.col("start")) - 1, cell(F.col("end")) + 1)).alias("cell"))
-    left = other.withColumn("cell", cell(F.col("o_end"))).select(doc, "cell", "o_person", F.col("o_end").alias("edge"), F.lit(True).alias("ends"))
-    right = other.withColumn("cell", cell(F.col("o_start"))).select(doc, "cell", "o_person", F.col("o_start").alias("edge"), F.lit(False).alias("ends"))
+    left = other.withColumn("cell", cell(F.col("o_end"))).select(doc, "cell", "o_person", F.col("o_end").alias("edge"), F.col("last").alias("at"), F.lit(True).alias("ends"))
+    right = other.withColumn("cell", cell(F.col("o_start"))).select(doc, "cell", "o_person", F.col("o_start").alias("edge"), F.col("first").alias("at"), F.lit(False).alias("ends"))
     met = near.join(left.unionByName(right), [doc, "cell"]).filter(F.col("o_person") != F.col("person"))
+    if reach is not None:
+        met = met.filter((F.col("at") > F.col("start") - reach) & (F.col("at") < F.col("end") + reach))
     clips = met.groupBy(doc, "person", "start", "end").agg(
         F.max(F.when(F.col("ends") & (F.col("edge") <= F.col("s_start")), F.col("edge"))).alias("after"), F.min(F.when(~F.col("ends") & (F.col("edge") >= F.col("s_end")), F.col("edge"))).alias("until")
     )

@@ -100,3 +100,12 @@ def test_reasons_of_mentions(spark, text, reasons):
     found = context.mention_reasons(docs, "doc_id", "text", NAME, ["жена", "жене", "мужу"], given, ["а", "я", "й", "ь"])
     rows = sorted((r.doc_id, r.place, r.reason) for r in found.collect())
     assert [r for i, _, r in rows if i == 1] == reasons and [r for i, _, r in rows if i == 2] == ["kept"]
+
+
+def test_a_long_sentence_counts_where_its_mention_is_near(spark):
+    """The next sentence names another person 39,000 code points on: within reach, or without one, the window stops before it."""
+    rows = [(1, "a", 10, 20, 0, 50), (1, "b", 39_000, 39_010, 50, 40_000)]
+    columns = "doc_id int, person string, start int, end int, s_start int, s_end int, p_start int, p_end int, n_start int, n_end int"
+    df = spark.createDataFrame([(*r, None, None, None, None) for r in rows], columns)
+    until = lambda reach: {r.person: r.end for r in context.evidence_windows(df, 120, reach=reach).collect()}["a"]
+    assert (until(None), until(50_000), until(20_000)) == (50, 50, 140)
