@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.relational import latest_by
+from factloom.storage import materialize
 
 #: What each action makes of a state; others leave it as it is.
 HOLD_STEPS = {("none", "hold"): "held", ("held", "mark_junk"): "junk", ("held", "release"): "released", ("released", "unrelease"): "junk"}
@@ -53,20 +54,42 @@ def first_known(verdicts: Sequence[tuple[str, Column]]) -> tuple[Column, Column]
     return F.coalesce(*[v for _, v in verdicts]), F.coalesce(*[F.when(v.isNotNull(), name) for name, v in verdicts])
 
 
+#: Words up to which a name is taken apart into all its parts of two words and more; longer ones meet on single words.
+PARTED = 8
+
+
+def _parts(words: Column) -> Column:
+    """The sets of two words or more that a sorted array of up to PARTED distinct words holds, each sorted."""
+    has = lambda mask, i: (F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1))) == 1
+    masks = F.filter(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(words)) - 1), lambda m: F.bit_count(m) >= 2)
+    return F.transform(masks, lambda m: F.filter(words, lambda w, i: has(m, i)))
+
+
 def base_levels(asked: DataFrame, base: DataFrame) -> DataFrame:
     """(person, level, records) of names (person, words) that a base (record, words) may hold.
 
     A record fits where the shorter name's words all stand in the longer one (two words at least). in_base: one record is
-    equal and either the name has three words or nothing else fits; probably: one fits; namesakes: several do. Records and
-    names meet on their two least words in common: an equi-join on pairs of words, as a fit has two at least.
+    equal and either the name has three words or nothing else fits; probably: one fits; namesakes: several do. Records are
+    counted by their set of words, and what fits is counted without a pair of name and record: a set meets those that it
+    holds by its own parts, and those that hold it by theirs. Only names of more than PARTED words meet sets on single words.
     """
-    pairs = lambda words: F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.size(words)), lambda b: F.concat_ws(" ", a, b))))
-    sides = [df.withColumn("words", F.array_sort(F.array_distinct("words"))).filter(F.size("words") >= 2) for df in (asked, base)]
-    left = sides[0].select("person", F.col("words").alias("mine"), F.explode(pairs(F.col("words"))).alias("pair"))
-    right = sides[1].select("record", "words", F.explode(pairs(F.col("words"))).alias("pair"))
-    met = left.join(right, "pair").select("person", "mine", "record", "words").distinct()
-    fits = met.filter((F.size(F.array_except("mine", "words")) == 0) | (F.size(F.array_except("words", "mine")) == 0))
-    counted = fits.groupBy("person").agg(F.count_if(F.col("mine") == F.col("words")).alias("exact"), F.count("*").alias("records"), F.first(F.size("mine")).alias("n"))
+    tidy = lambda df, c: df.select(c, F.array_sort(F.array_distinct("words")).alias("words")).filter(F.size("words") >= 2).distinct()
+    mine, held = tidy(asked, "person"), materialize(tidy(base, "record").groupBy("words").agg(F.count("*").alias("n")), "held")
+    names, short = materialize(mine.select("words").distinct(), "asked-names"), F.size("words") <= PARTED
+    own = names.filter(short).select("words", F.explode(_parts(F.col("words"))).alias("part")).filter("part <> words")
+    below = own.join(held.select(F.col("words").alias("part"), "n"), "part").select("words", "n", F.lit(0).alias("equal"))
+    theirs = held.filter(short).select(F.explode(_parts(F.col("words"))).alias("part"), "words", "n")
+    above = theirs.select(F.col("part").alias("words"), "n", F.when(F.col("part") == F.col("words"), F.col("n")).otherwise(0).alias("equal"))
+
+    each = lambda df, c: df.select(F.col("words").alias(c), *[x for x in df.columns if x != "words"], F.explode("words").alias("w"))
+    long = lambda df: df.filter(~short)
+    met = each(long(names), "a").join(each(held, "b"), "w").unionByName(each(names.filter(short), "a").join(each(long(held), "b"), "w"))
+    common = met.groupBy("a", "b", "n").agg(F.count("*").alias("common")).filter(F.col("common") == F.least(F.size("a"), F.size("b")))
+    common = common.select(F.col("a").alias("words"), "n", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("equal"))
+
+    sums = [F.sum("equal").alias("exact"), F.sum("n").alias("records")]
+    fits = materialize(below.unionByName(above).unionByName(common).groupBy("words").agg(*sums), "fits")  # plain exchanges: a name of many persons is split
+    counted = mine.join(fits, "words").groupBy("person").agg(F.sum("exact").alias("exact"), F.sum("records").alias("records"), F.min(F.size("words")).alias("n"))
     level = F.when((F.col("exact") == 1) & ((F.col("n") >= 3) | (F.col("records") == 1)), "in_base").when(F.col("records") == 1, "probably").otherwise("namesakes")
     return counted.select("person", level.alias("level"), F.when(level == "in_base", 1).otherwise(F.col("records")).cast("long").alias("records"))
 
