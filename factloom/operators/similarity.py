@@ -2,20 +2,31 @@
 
 A word's similarity to a name is the best that any continuous extent of the name's ordered trigrams reaches: trigrams in
 common over trigrams of either. A pair of similarity s has at least s x |A| of the asked set A in common, so of the trigrams
-of A, the rarest first, one of the first |A| - ceil(s |A|) + 1 is in the other name: only these are looked up. A trigram that
-many names have is asked for only where nothing rarer is left, and names never meet on those that begin most words.
+of A, the rarest first, one of the first |A| - ceil(s |A|) + 1 is in the other name: only these are looked up, and a pair is
+weighed at the first one in common alone. Words keep their best persons each, before any name meets them, and a name that
+has enough of these asks for whole names that are better only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions import text as X
 from factloom.storage import materialize
 
 #: Least similarity of names, least word similarity of a word, letters of a word that is asked for.
 NAME_LEAST, WORD_LEAST, WORD_LETTERS = 0.3, 0.5, 3
+#: A word is asked for at this similarity first, and at WORD_LEAST only where that brings fewer persons than are shown.
+WORD_FIRST = 0.75
+#: Places are rounded to so much.
+ROUNDED = 0.00005
+#: The forms of a trigram are dealt out over so many tasks.
+SHARDS = 8
 
 
 def ordered_trigrams(c: Column) -> Column:
@@ -24,6 +35,36 @@ def ordered_trigrams(c: Column) -> Column:
     return F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))))
 
 
+@F.pandas_udf(T.DoubleType())
+def _word_similarity(asked: pd.Series, ordered: pd.Series) -> pd.Series:
+    """The best Jaccard similarity of one of the sets `asked` with an extent of `ordered`; both are trigrams one behind the other.
+
+    The best extents begin and end with a common trigram, so each is read once from each of these on.
+    """
+    cut = lambda joined: [joined[i : i + 3] for i in range(0, len(joined), 3)]
+
+    def best(sets: Sequence[str], joined: str) -> float:
+        grams, out = cut(joined), 0.0
+        for one in sets:
+            mine = set(cut(one))
+            hits = [i for i, g in enumerate(grams) if g in mine]
+            for i in hits:
+                common, more = set(), set()
+                for g in grams[i : hits[-1] + 1]:
+                    if g in mine:
+                        common.add(g)
+                        out = max(out, len(common) / (len(mine) + len(more)))
+                    else:
+                        more.add(g)
+        return out
+
+    return pd.Series([best(a, o) for a, o in zip(asked, ordered, strict=True)], dtype="float64")
+
+
+#: Not to be moved into the condition of a join, which can't call it.
+_word_similarity = _word_similarity.asNondeterministic()
+
+
 def word_similarity(asked: Column, ordered: Column) -> Column:
     """The best Jaccard similarity of the set `asked` with an extent of `ordered`; extents begin and end with a common trigram."""
     hits = F.filter(F.sequence(F.lit(1), F.size(ordered) + 1), lambda i: F.coalesce(F.array_contains(asked, F.get(ordered, i - 1)), F.lit(False)))
@@ -38,33 +79,77 @@ def _units(names: DataFrame) -> DataFrame:
     return names.select("name").distinct().withColumn("u", F.explode(each)).select("name", "u.unit", "u.whole")
 
 
+def _best(found: DataFrame, key: str, limit: int) -> DataFrame:
+    """found (key, person, similarity) cut to the best `limit` persons of each key."""
+    order = F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), "person"))
+    return found.groupBy(key, "person").agg(F.max("similarity").alias("similarity")).withColumn("_r", order).filter(F.col("_r") <= limit).drop("_r")
+
+
+def _meet(asked: DataFrame, posted: DataFrame, jaccard: bool) -> DataFrame:
+    """asked (t: its trigrams, the rarest first; least) with each form (form, ordered) that may reach `least`, once.
+
+    jaccard: the similarity is that of the whole sets, so the form's own rarest trigrams and its number of them count too.
+    """
+    size, least = F.size("t"), F.col("least")
+    needed = F.ceil(size * least - 1e-9)
+    probes = asked.withColumn("n", size).select("*", F.posexplode(F.slice("t", F.lit(1), (size - needed + 1).cast("int"))).alias("at", "g"))
+    met = probes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1)))).join(posted, ["g", "shard"])
+    if jaccard:
+        own = F.col("f_at") <= F.col("f_n") - F.ceil(F.col("f_n") * least - 1e-9)
+        reach = (1 + F.least(F.col("n") - 1 - F.col("at"), F.col("f_n") - 1 - F.col("f_at"))) * (1 + least) >= least * (F.col("n") + F.col("f_n")) - 1e-9
+        met = met.filter(own & reach)
+    common = F.array_intersect("t", "ordered")  # in the order of t
+    return met.filter((F.size(common) >= F.ceil(F.col("n") * least - 1e-9)) & (F.get(common, F.lit(0)) == F.col("g"))).drop("g", "shard", "at", "f_at", "f_n", "n")
+
+
 def trigram_candidates(incoming: DataFrame, forms: DataFrame, limit: int = 30) -> DataFrame:
     """(name, person, similarity): the best `limit` persons for each incoming name, ties to the smaller person.
 
     incoming: name. forms: person, form (its name and stored aliases, in words). A person takes part where a form is similar
     to the name by NAME_LEAST, or word-similar to one of its words by WORD_LEAST; the similarity is the best of all its
     forms that do, of the name or any word, to four places. Names and forms without a letter or digit have no candidates.
+
+    A person among the best of a name by one of its words is among the best of that word, so words keep `limit` persons. A
+    name that has so many by its words needs of the others only those whose whole names are as similar as the last of these.
     """
     units = materialize(_units(incoming), "asked-units")
-    index = materialize(forms.select("form").distinct().select("form", ordered_trigrams(F.col("form")).alias("ordered")).filter(F.size("ordered") > 0), "form-trigrams")
-    postings = index.select("form", F.explode(F.array_distinct("ordered")).alias("g"))
-    rarity = postings.groupBy("g").agg(F.count("*").alias("n"))
-    asked = units.select("unit", "whole").distinct().withColumn("t", F.array_distinct(ordered_trigrams(F.col("unit")))).filter(F.size("t") > 0)
-    told = asked.select("unit", "whole", F.explode("t").alias("g")).join(rarity, "g", "left").groupBy("unit", "whole").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("by"))
-    least = F.when(F.col("whole"), NAME_LEAST).otherwise(WORD_LEAST)
-    probes = told.select("unit", "whole", F.explode(F.slice("by.g", F.lit(1), (F.size("by") - F.ceil(F.size("by") * least - 1e-9) + 1).cast("int"))).alias("g"))
-    met = probes.join(postings, "g").select("unit", "whole", "form").distinct()
-    sets = met.join(asked, ["unit", "whole"]).join(index, "form")
-    value = F.when(F.col("whole"), X.jaccard(F.col("t"), F.array_distinct("ordered"))).otherwise(word_similarity(F.col("t"), F.col("ordered")))
-    good = sets.withColumn("value", value).filter(F.col("value") >= least).select("unit", "whole", "form")
-    pairs = units.join(good, ["unit", "whole"]).select("name", "form").distinct()
-    words = F.filter(F.array_distinct(X.words(F.col("name"))), lambda w: F.length(w) >= WORD_LETTERS)
-    of_words = F.transform(words, lambda w: word_similarity(F.array_distinct(ordered_trigrams(w)), F.col("ordered")))
-    best = F.array_max(F.concat(F.array(X.jaccard(F.array_distinct(ordered_trigrams(F.col("name"))), F.array_distinct("ordered"))), of_words))
-    scored = pairs.join(index, "form").select("name", "form", F.round(best, 4).alias("similarity"))
-    persons = scored.join(forms.select("person", "form").distinct(), "form").groupBy("name", "person").agg(F.max("similarity").alias("similarity"))
-    order = F.row_number().over(Window.partitionBy("name").orderBy(F.col("similarity").desc(), "person"))
-    return persons.withColumn("_r", order).filter(F.col("_r") <= limit).drop("_r")
+    plain = forms.select("form").distinct().select("form", ordered_trigrams(F.col("form")).alias("ordered")).filter(F.size("ordered") > 0)
+    plain = materialize(plain, "form-trigrams")
+    rarity = materialize(plain.select(F.explode(F.array_distinct("ordered")).alias("g")).groupBy("g").agg(F.count("*").alias("c")), "rarity")
+
+    def by_rarity(df: DataFrame, key: str) -> DataFrame:
+        each = df.select(key, F.explode("t").alias("g")).join(rarity, "g", "left")
+        return each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g"))).alias("t")).select(key, F.col("t.g").alias("t"))
+
+    ranked = plain.join(by_rarity(plain.select("form", F.array_distinct("ordered").alias("t")), "form"), "form")
+    posted = ranked.select("form", "ordered", F.size("t").alias("f_n"), F.pmod(F.xxhash64("form"), F.lit(SHARDS)).cast("int").alias("shard"), F.posexplode("t").alias("f_at", "g"))
+    posted, told = materialize(posted, "postings"), forms.select("person", "form").distinct()
+    trigrams = lambda whole: by_rarity(units.filter("whole" if whole else "not whole").select("unit").distinct().select("unit", F.array_distinct(ordered_trigrams(F.col("unit"))).alias("t")), "unit")
+
+    words = materialize(trigrams(False), "asked-words")
+
+    def of_words(asked: DataFrame, least: float) -> DataFrame:
+        met = _meet(asked.withColumn("least", F.lit(least)), posted, False)
+        good = met.select("unit", "form", _word_similarity(F.array(F.array_join("t", "")), F.array_join("ordered", "")).alias("value")).filter(F.col("value") >= least)
+        return _best(good.join(told, "form").select("unit", "person", F.round("value", 4).alias("similarity")), "unit", limit)
+
+    first = materialize(of_words(words, WORD_FIRST), "near-words")
+    full = first.groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") >= limit).select("unit")
+    rest = materialize(words.join(full, "unit", "left_anti"), "rest-words")
+    lists = first.join(full, "unit", "left_semi").unionByName(of_words(rest, WORD_LEAST))
+    by_word = materialize(_best(units.filter("not whole").select("name", "unit").join(lists, "unit").select("name", "person", "similarity"), "name", limit), "by-word")
+
+    last = by_word.groupBy("name").agg(F.count("*").alias("n"), F.min("similarity").alias("last")).filter(F.col("n") >= limit)
+    least = F.coalesce(F.greatest(F.col("last") - ROUNDED, F.lit(NAME_LEAST)), F.lit(NAME_LEAST))
+    asked = materialize(trigrams(True).withColumnRenamed("unit", "name").join(last, "name", "left").select("name", "t", least.alias("least")), "asked-names")
+    own = F.filter(F.array_distinct(X.words(F.col("name"))), lambda w: F.length(w) >= WORD_LETTERS)
+    alike = X.jaccard(F.col("t"), F.array_distinct("ordered"))
+    near = _meet(asked, posted, True).filter(alike >= F.col("least"))
+    sets = F.transform(own, lambda w: F.array_join(F.array_distinct(ordered_trigrams(w)), ""))
+    weighed = materialize(near.select("name", "form", alike.alias("alike"), sets.alias("own"), F.array_join("ordered", "").alias("joined")), "near-names")
+    weighed = weighed.select("name", "form", "alike", _word_similarity("own", "joined").alias("of_word"))
+    whole = weighed.select("name", "form", F.round(F.greatest("alike", "of_word"), 4).alias("similarity")).join(told, "form").select("name", "person", "similarity")
+    return _best(by_word.unionByName(whole), "name", limit)
 
 
 def key_candidates(incoming: DataFrame, forms: DataFrame, limit: int = 30) -> DataFrame:
