@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as X
 from factloom.operators.joins import as_of_join
 from factloom.operators.relational import merge_intervals
+from factloom.storage import materialize
 
 
 def first_trigger(sentence: Column, verbs: Mapping[str, str], nouns: Mapping[str, str], negations: Sequence[str]) -> Column:
@@ -126,10 +127,11 @@ def mention_reasons(docs: DataFrame, key: str, text: str, name: str, kin: Sequen
     second = F.get("words", F.lit(1))
     stem = F.left(second, F.length(second) - 1)
     bases = F.when(relative, F.filter(F.array(stem, *[F.concat(stem, F.lit(e)) for e in endings]), lambda b: b != second))
-    told = rows.withColumn("bases", bases)
+    told = materialize(rows.select(key, "place", "surface", "signed", F.coalesce(relative, F.lit(False)).alias("relative"), bases.alias("bases")), "named")  # read four times, matched once
+    relative = F.col("relative")
     asked = told.filter(relative).select(F.explode("bases").alias("word")).distinct().join(given.select("word").distinct(), "word").withColumnRenamed("word", "_base")
     kin_rows = told.filter(relative).select(key, "place", F.explode("bases").alias("_base")).join(asked, "_base").select(key, "place").distinct().withColumn("_kin", F.lit(True))
-    plain = told.filter(~F.coalesce(relative, F.lit(False))).withColumn("_kin", F.lit(None).cast("boolean"))
+    plain = told.filter(~relative).withColumn("_kin", F.lit(None).cast("boolean"))
     both = told.filter(relative).join(kin_rows, [key, "place"], "left").unionByName(plain)
     return both.select(key, "place", "surface", F.when(F.col("signed"), "byline").when(F.col("_kin"), "kinship").otherwise("kept").alias("reason"))
 
