@@ -1,15 +1,15 @@
 """Fuzzy candidates for names: trigram similarity of whole names, and word similarity of their words, over names and aliases.
 
 A word's similarity to a name is the best that any continuous extent of the name's ordered trigrams reaches: trigrams in
-common over trigrams of either. A pair of similarity s has at least s x |A| of the asked set A in common, so of the trigrams
-of A, the rarest first, one of the first |A| - ceil(s |A|) + 1 is in the other name: only these are looked up, and a pair is
-weighed at the first one in common alone. Words keep their best persons each, before any name meets them, and a name that
-has enough of these asks for whole names that are better only.
+common over trigrams of either. A word is first held against the words of the names: what its best words reach with as many
+persons as are shown is the least that a name must reach for it, so what is found doesn't grow with the number of names.
+Words keep their best persons each, before any name meets them, and a name that has enough of these asks for whole names
+that are better only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,16 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import text as X
+from factloom.operators.trigrams import meeting, reaching
 from factloom.storage import materialize
 
 #: Least similarity of names, least word similarity of a word, letters of a word that is asked for.
 NAME_LEAST, WORD_LEAST, WORD_LETTERS = 0.3, 0.5, 3
-#: A word is asked for at this similarity first, and at WORD_LEAST only where that brings fewer persons than are shown.
-WORD_FIRST = 0.75
 #: Places are rounded to so much.
 ROUNDED = 0.00005
-#: The forms of a trigram are dealt out over so many tasks.
-SHARDS = 8
+#: What is asked at once and forms of a shard, at most; batches of few.
+BATCH, SHARD, BATCHES = 20_000, 100_000, 16
 
 
 def ordered_trigrams(c: Column) -> Column:
@@ -85,21 +84,21 @@ def _best(found: DataFrame, key: str, limit: int) -> DataFrame:
     return found.groupBy(key, "person").agg(F.max("similarity").alias("similarity")).withColumn("_r", order).filter(F.col("_r") <= limit).drop("_r")
 
 
-def _meet(asked: DataFrame, posted: DataFrame, jaccard: bool) -> DataFrame:
-    """asked (t: its trigrams, the rarest first; least) with each form (form, ordered) that may reach `least`, once.
+def _meet(asked: DataFrame, forms: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """function (of operators.trigrams) over batches of asked (unit, t, least) and shards of forms (form, ordered, ...).
 
-    jaccard: the similarity is that of the whole sets, so the form's own rarest trigrams and its number of them count too.
+    Both are written tables. A batch meets every shard once, so what is sent grows with batches x shards, not with pairs.
     """
-    size, least = F.size("t"), F.col("least")
-    needed = F.ceil(size * least - 1e-9)
-    probes = asked.withColumn("n", size).select("*", F.posexplode(F.slice("t", F.lit(1), (size - needed + 1).cast("int"))).alias("at", "g"))
-    met = probes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1)))).join(posted, ["g", "shard"])
-    if jaccard:
-        own = F.col("f_at") <= F.col("f_n") - F.ceil(F.col("f_n") * least - 1e-9)
-        reach = (1 + F.least(F.col("n") - 1 - F.col("at"), F.col("f_n") - 1 - F.col("f_at"))) * (1 + least) >= least * (F.col("n") + F.col("f_n")) - 1e-9
-        met = met.filter(own & reach)
-    common = F.array_intersect("t", "ordered")  # in the order of t
-    return met.filter((F.size(common) >= F.ceil(F.col("n") * least - 1e-9)) & (F.get(common, F.lit(0)) == F.col("g"))).drop("g", "shard", "at", "f_at", "f_n", "n")
+    n, m = asked.count(), forms.count()
+    batches, shards = max(-(-n // BATCH), min(BATCHES, -(-n // 64)), 1), max(-(-m // SHARD), 1)
+    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = asked.withColumn("_b", deal("unit", batches)).withColumn("_s", every(shards))
+    b = forms.withColumn("_s", deal("form", shards)).withColumn("_b", every(batches))
+    # few groups of much work: adaptive execution must not put them into one task
+    tasks = min(4 * batches * shards, 400)
+    sides = [df.withColumn("group", F.col("_b") * shards + F.col("_s")).drop("_b", "_s").repartition(tasks, "group").groupBy("group") for df in (a, b)]
+    return sides[0].cogroup(sides[1]).applyInArrow(function, schema)
 
 
 def trigram_candidates(incoming: DataFrame, forms: DataFrame, limit: int = 30) -> DataFrame:
@@ -113,40 +112,32 @@ def trigram_candidates(incoming: DataFrame, forms: DataFrame, limit: int = 30) -
     name that has so many by its words needs of the others only those whose whole names are as similar as the last of these.
     """
     units = materialize(_units(incoming), "asked-units")
-    plain = forms.select("form").distinct().select("form", ordered_trigrams(F.col("form")).alias("ordered")).filter(F.size("ordered") > 0)
+    told = materialize(forms.select("person", "form").distinct(), "persons-forms")
+    joined = lambda c: F.array_join(ordered_trigrams(F.col(c)), "")
+    plain = told.groupBy("form").agg(F.min("person").alias("first")).select("form", joined("form").alias("ordered"), "first").filter("ordered <> ''")
     plain = materialize(plain, "form-trigrams")
-    rarity = materialize(plain.select(F.explode(F.array_distinct("ordered")).alias("g")).groupBy("g").agg(F.count("*").alias("c")), "rarity")
-
-    def by_rarity(df: DataFrame, key: str) -> DataFrame:
-        each = df.select(key, F.explode("t").alias("g")).join(rarity, "g", "left")
-        return each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g"))).alias("t")).select(key, F.col("t.g").alias("t"))
-
-    ranked = plain.join(by_rarity(plain.select("form", F.array_distinct("ordered").alias("t")), "form"), "form")
-    posted = ranked.select("form", "ordered", F.size("t").alias("f_n"), F.pmod(F.xxhash64("form"), F.lit(SHARDS)).cast("int").alias("shard"), F.posexplode("t").alias("f_at", "g"))
-    posted, told = materialize(posted, "postings"), forms.select("person", "form").distinct()
-    trigrams = lambda whole: by_rarity(units.filter("whole" if whole else "not whole").select("unit").distinct().select("unit", F.array_distinct(ordered_trigrams(F.col("unit"))).alias("t")), "unit")
-
-    words = materialize(trigrams(False), "asked-words")
-
-    def of_words(asked: DataFrame, least: float) -> DataFrame:
-        met = _meet(asked.withColumn("least", F.lit(least)), posted, False)
-        good = met.select("unit", "form", _word_similarity(F.array(F.array_join("t", "")), F.array_join("ordered", "")).alias("value")).filter(F.col("value") >= least)
-        return _best(good.join(told, "form").select("unit", "person", F.round("value", 4).alias("similarity")), "unit", limit)
-
-    first = materialize(of_words(words, WORD_FIRST), "near-words")
-    full = first.groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") >= limit).select("unit")
-    rest = materialize(words.join(full, "unit", "left_anti"), "rest-words")
-    lists = first.join(full, "unit", "left_semi").unionByName(of_words(rest, WORD_LEAST))
+    # how many persons have a word; a person is counted once for each of its words
+    worded = told.select("person", F.explode(X.words(F.col("form"))).alias("form")).distinct()
+    has = materialize(worded.groupBy("form").agg(F.count("*").alias("n")).select("form", joined("form").alias("ordered"), "n"), "form-words")
+    deepest = lambda df: df.groupBy("person").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 1
+    words_each, forms_each = deepest(worded), deepest(told)
+    trigrams = lambda whole: units.filter("whole" if whole else "not whole").select("unit").distinct().select("unit", F.array_join(F.array_distinct(ordered_trigrams(F.col("unit"))), "").alias("t")).filter("t <> ''")
+
+    words = materialize(trigrams(False).withColumn("least", F.lit(WORD_LEAST)), "asked-words")
+    reach = materialize(_meet(words, has, reaching(limit * words_each), "unit string, least double"), "word-reach").groupBy("unit").agg(F.max("least").alias("reach"))
+    least = F.greatest(F.lit(WORD_LEAST), F.coalesce(F.col("reach") - 2 * ROUNDED, F.lit(WORD_LEAST)))
+    words = materialize(words.drop("least").join(reach, "unit", "left").select("unit", "t", least.alias("least")), "near-words")
+    good = materialize(_meet(words, plain, meeting(False, limit * forms_each), "unit string, form string, value double"), "word-forms")
+    lists = _best(good.join(told, "form").select("unit", "person", F.round("value", 4).alias("similarity")), "unit", limit)
     by_word = materialize(_best(units.filter("not whole").select("name", "unit").join(lists, "unit").select("name", "person", "similarity"), "name", limit), "by-word")
 
     last = by_word.groupBy("name").agg(F.count("*").alias("n"), F.min("similarity").alias("last")).filter(F.col("n") >= limit)
     least = F.coalesce(F.greatest(F.col("last") - ROUNDED, F.lit(NAME_LEAST)), F.lit(NAME_LEAST))
-    asked = materialize(trigrams(True).withColumnRenamed("unit", "name").join(last, "name", "left").select("name", "t", least.alias("least")), "asked-names")
+    asked = materialize(trigrams(True).join(last.withColumnRenamed("name", "unit"), "unit", "left").select("unit", "t", least.alias("least")), "asked-names")
     own = F.filter(F.array_distinct(X.words(F.col("name"))), lambda w: F.length(w) >= WORD_LETTERS)
-    alike = X.jaccard(F.col("t"), F.array_distinct("ordered"))
-    near = _meet(asked, posted, True).filter(alike >= F.col("least"))
     sets = F.transform(own, lambda w: F.array_join(F.array_distinct(ordered_trigrams(w)), ""))
-    weighed = materialize(near.select("name", "form", alike.alias("alike"), sets.alias("own"), F.array_join("ordered", "").alias("joined")), "near-names")
+    near = _meet(asked, plain, meeting(True, None), "unit string, form string, value double").select(F.col("unit").alias("name"), "form", F.col("value").alias("alike"))
+    weighed = materialize(near.select("name", "form", "alike", sets.alias("own"), joined("form").alias("joined")), "near-names")
     weighed = weighed.select("name", "form", "alike", _word_similarity("own", "joined").alias("of_word"))
     whole = weighed.select("name", "form", F.round(F.greatest("alike", "of_word"), 4).alias("similarity")).join(told, "form").select("name", "person", "similarity")
     return _best(by_word.unionByName(whole), "name", limit)
