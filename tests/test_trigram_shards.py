@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pyarrow as pa
+import pytest
 from growth import most_joined
 from test_similarity import brute, grams, jaccard, word_similarity
 
@@ -23,7 +24,8 @@ def test_shards_and_batches_against_brute_force(spark, monkeypatch):
     assert {(r.name, r.person, r.similarity) for r in found.collect()} == brute(names, forms, 4)
 
 
-def test_like_words_do_not_become_rows_of_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("merged", [False, True])
+def test_like_words_do_not_become_rows_of_pairs(spark, monkeypatch, merged):
     write, most = similarity.materialize, []
 
     def watched(df, name):
@@ -34,7 +36,7 @@ def test_like_words_do_not_become_rows_of_pairs(spark, monkeypatch):
     # each asked word is similar to the words of all forms, but less than by three quarters
     names = spark.range(300).selectExpr("concat('abcdef', chr(1072 + id div 30), chr(1072 + id % 30), 'xy') as name")
     forms = spark.range(300).selectExpr("concat('p', lpad(id, 3, '0')) as person", "concat('abcdef', chr(1072 + id div 30), 'qr', chr(1072 + id % 30)) as form")
-    found = similarity.trigram_candidates(names, forms, 3)
+    found = similarity.merged_candidates(names, forms.selectExpr("*", "false as alias"), 3) if merged else similarity.trigram_candidates(names, forms, 3)
     rows = found.collect()
     assert len(rows) == 900
     assert max(*most, most_joined(found)) < 45_000
